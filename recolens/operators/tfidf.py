@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recolens.functions import text as T
+from recolens.session import cut_lineage
 
 
 @dataclass
@@ -37,21 +38,31 @@ class TfidfModel:
     ngram_max: int = 2
 
 
-def segment_terms(segments: DataFrame, ngram_max: int = 2) -> DataFrame:
-    """Term occurrences ``(item_id, term, n)`` of each item's joined document."""
-    seg = (segments.select("item_id", "seg_order", T.word_tokens(F.col("text")).alias("toks"))
-           .where(F.size("toks") > 0))
-    uni = seg.select("item_id", F.explode("toks").alias("term"))
-    parts = [uni]
+def tokenize_segments(segments: DataFrame, materialize: bool = True) -> DataFrame:
+    """``(item_id, seg_order, toks)`` for every segment.
+
+    Cleaning may involve a Python UDF and the tokens feed two consumers
+    (term counts and segment edges), so the tokenised corpus is written once
+    to the reliable checkpoint folder; filters on the tokens are applied only
+    after that point, so the optimizer cannot copy the UDF into a filter."""
+    toks = segments.select("item_id", "seg_order", T.word_tokens(F.col("text")).alias("toks"))
+    return cut_lineage(toks) if materialize else toks
+
+
+def segment_terms(segments: DataFrame, ngram_max: int = 2, materialize: bool = True) -> DataFrame:
+    """Term occurrences ``(item_id, term, tf)`` of each item's joined document."""
+    seg = tokenize_segments(segments, materialize)
+    grams = F.concat(F.col("toks"), T.bigrams(F.col("toks"))) if ngram_max >= 2 else F.col("toks")
+    parts = [seg.select("item_id", F.explode(grams).alias("term"))]
     if ngram_max >= 2:
-        parts.append(seg.select("item_id", F.explode(T.bigrams(F.col("toks"))).alias("term")))
         # bigram across a segment boundary: last token of one non-empty segment
         # + first token of the next.  The window only sees two tokens per
-        # segment, not the text.
+        # segment, never the text.
         w = Window.partitionBy("item_id").orderBy("seg_order")
-        edge = seg.select("item_id", "seg_order",
-                          F.element_at("toks", -1).alias("last_tok"),
-                          F.element_at("toks", 1).alias("first_tok"))
+        edge = (seg.where(F.size("toks") > 0)
+                .select("item_id", "seg_order",
+                        F.element_at("toks", -1).alias("last_tok"),
+                        F.element_at("toks", 1).alias("first_tok")))
         nxt = edge.withColumn("next_first", F.lead("first_tok").over(w))
         parts.append(nxt.where(F.col("next_first").isNotNull())
                      .select("item_id", F.concat_ws(" ", "last_tok", "next_first").alias("term")))
