@@ -7,7 +7,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from recolens.operators import overlap, ranking
 from recolens.plans import evaluation as E
@@ -86,4 +85,24 @@ def q_eval_summary(spark, sf):
     return E.eval_summary(spark, sf)
 
 
-_ = F
+# ------------------------------------------------------------------ text
+
+from recolens.plans import textplans as TP  # noqa: E402
+
+for _name, _fn, _sql in (
+        ("clean_basic", TP.clean_basic, TP.CLEAN_BASIC_SQL),
+        ("clean_app", TP.clean_app, TP.CLEAN_APP_SQL),
+        ("token_map", TP.token_map, TP.TOKEN_MAP_SQL),
+        ("stopword_filter", TP.stopword_filter, TP.STOPWORD_FILTER_SQL),
+        ("clean_full", TP.clean_full, TP.CLEAN_FULL_SQL),
+        ("ngrams", TP.ngrams, TP.NGRAMS_SQL),
+        ("review_bag", TP.review_bag, TP.REVIEW_BAG_SQL),
+        ("corpus_left_join", TP.corpus_left_join, TP.CORPUS_SQL),
+        ("length_profile", TP.length_profile, TP.LENGTH_PROFILE_SQL),
+        ("tfidf_vocab", TP.tfidf_vocab, TP.TFIDF_VOCAB_SQL),
+        ("tfidf_weights", TP.tfidf_weights, TP.TFIDF_WEIGHTS_SQL),
+        ("tfidf_similar_topk", TP.tfidf_similar_topk, TP.TFIDF_SIMILAR_SQL),
+        ("text_search_topk", TP.text_search_topk, TP.TEXT_SEARCH_SQL),
+        ("similar_by_name", TP.similar_by_name, TP.SIMILAR_BY_NAME_SQL),
+        ("embedding_similar_topk", TP.embedding_similar_topk, TP.EMBEDDING_SIMILAR_SQL)):
+    register(_name, _sql)(_fn)
