@@ -106,3 +106,23 @@ for _name, _fn, _sql in (
         ("similar_by_name", TP.similar_by_name, TP.SIMILAR_BY_NAME_SQL),
         ("embedding_similar_topk", TP.embedding_similar_topk, TP.EMBEDDING_SIMILAR_SQL)):
     register(_name, _sql)(_fn)
+
+
+# --------------------------------------------------- ratings, ids, ALS, lookups
+
+from recolens.plans import ratingplans as RP  # noqa: E402
+
+for _name, _fn, _sql in (
+        ("rating_parse", RP.rating_parse, RP.RATING_PARSE_SQL),
+        ("rating_unparsed", RP.rating_unparsed, RP.RATING_UNPARSED_SQL),
+        ("id_encode", RP.id_encode, RP.ID_ENCODE_SQL),
+        ("distinct_users", RP.distinct_users, RP.DISTINCT_USERS_SQL),
+        ("distinct_item_names", RP.distinct_item_names, RP.DISTINCT_ITEM_NAMES_SQL),
+        ("missing_labels", RP.missing_labels, RP.MISSING_LABELS_SQL),
+        ("user_recs_join", RP.user_recs_join, RP.USER_RECS_JOIN_SQL),
+        # model outputs (seeded MLlib solvers): row-count checks + unit tests
+        ("als_grid", RP.als_grid, None),
+        ("best_trial", RP.best_trial, None),
+        ("als_recommend", RP.als_recommend, None),
+        ("doc_embedding", RP.doc_embedding, None)):
+    register(_name, _sql)(_fn)
