@@ -17,7 +17,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 DICT_SCHEMA = StructType([StructField("key", StringType()), StructField("value", StringType())])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     if "://" not in path:
         return os.path.exists(path)
     jvm = spark.sparkContext._jvm
@@ -27,7 +27,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def read_dict(spark: SparkSession, path: str, sep: str | None = "\t") -> DataFrame:
     """``(key, value)`` per distinct key; ``sep=None`` reads a plain word list."""
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         return spark.createDataFrame([], DICT_SCHEMA)
     lines = (spark.read.text(path, wholetext=False)
              .select(F.trim(F.col("value")).alias("line"),
