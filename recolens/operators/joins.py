@@ -27,6 +27,16 @@ def fits(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
     return row_count_at_most(df, max_rows) <= max_rows
 
 
+def checked_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS):
+    """Materialise ``df`` once (reliable checkpoint) and test its size on the
+    materialised copy, so the size check never recomputes the upstream plan.
+    Returns ``(frame, is_small)``; a small frame comes back broadcast-hinted."""
+    from recolens.session import cut_lineage
+    frozen = cut_lineage(df)
+    small = fits(frozen, max_rows)
+    return (F.broadcast(frozen) if small else frozen), small
+
+
 def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only when the frame is proven to hold <= ``max_rows`` rows."""
     return F.broadcast(df) if fits(df, max_rows) else df

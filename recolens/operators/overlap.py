@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recolens.operators.joins import DEFAULT_BROADCAST_ROWS, fits, salted_join
+from recolens.operators.joins import DEFAULT_BROADCAST_ROWS, checked_small, salted_join
 
 # Fixed values of the evaluation protocol (must equal the reference's):
 N_SEEDS = 300          # seeds sampled for evaluation
@@ -87,25 +87,21 @@ def jaccard_topk(pairs: DataFrame, seeds: DataFrame, topn: int = RELEVANT_TOPN,
     excluded; only items with at least one shared user (jaccard > 0); ties
     broken by item id.
     """
-    seeds = seeds.select("seed_id").distinct()
-    if fits(seeds, max_broadcast_rows):
-        seeds = F.broadcast(seeds)
+    seeds, seeds_small = checked_small(seeds.select("seed_id").distinct(), max_broadcast_rows)
     seed_users = (pairs.join(seeds, pairs.item_id == seeds.seed_id)
                   .select("seed_id", "user_id"))
     # Stream the full pair table past the seeds' users.  The seed side is
-    # broadcast when its checked size allows; otherwise a salted join spreads a
-    # hot user's items over many tasks.
-    if fits(seed_users, max_broadcast_rows):
-        co = pairs.join(F.broadcast(seed_users), "user_id")
-    else:
-        co = salted_join(pairs, seed_users, ["user_id"])
+    # materialised once and broadcast when its checked size allows; otherwise
+    # a salted join spreads a hot user's items over many tasks.
+    seed_users, small = checked_small(seed_users, max_broadcast_rows)
+    co = pairs.join(seed_users, "user_id") if small else salted_join(pairs, seed_users, ["user_id"])
     inter = (co.where(F.col("item_id") != F.col("seed_id"))
              .groupBy("seed_id", "item_id").agg(F.count(F.lit(1)).alias("inter")))
     deg = item_user_counts(pairs)
     seed_deg = deg.join(seeds, deg.item_id == seeds.seed_id).select(
         "seed_id", F.col("n_users").alias("n_seed"))
-    scored = (inter.join(F.broadcast(seed_deg) if fits(seed_deg, max_broadcast_rows) else seed_deg,
-                         "seed_id")
+    # one row per seed: bounded by the (checked) seed count
+    scored = (inter.join(F.broadcast(seed_deg) if seeds_small else seed_deg, "seed_id")
               .join(deg, "item_id")
               .withColumn("union_size", F.col("n_seed") + F.col("n_users") - F.col("inter"))
               .withColumn("jaccard", F.col("inter") / F.col("union_size")))

@@ -22,29 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recolens.operators.joins import DEFAULT_BROADCAST_ROWS, fits, salted_join
+from recolens.operators.joins import DEFAULT_BROADCAST_ROWS, checked_small, fits, salted_join
 from recolens.operators.ranking import top_k
 
 SCORE_DIGITS = 6
 
 
-def _small(df: DataFrame, max_rows: int) -> DataFrame:
-    return F.broadcast(df) if fits(df, max_rows) else df
-
-
-def sparse_dot(query_w: DataFrame, weights: DataFrame,
-               max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``(seed_id, item_id, dot)`` from query weights ``(seed_id, term, w)`` and
-    item weights ``(item_id, term, w)``."""
-    q = query_w.select("seed_id", "term", F.col("w").alias("w_q"))
-    if fits(q, max_broadcast_rows):
-        joined = weights.join(F.broadcast(q), "term")
-    else:
-        joined = salted_join(weights, q, ["term"])
-    return (joined.groupBy("seed_id", "item_id")
-            .agg(F.sum(F.col("w") * F.col("w_q")).alias("dot")))
-
-
 def cosine_topk_for_seeds(weights: DataFrame, seeds: DataFrame, k: int,
                           exclude_self: bool = True,
                           max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
@@ -52,7 +35,7 @@ def cosine_topk_for_seeds(weights: DataFrame, seeds: DataFrame, k: int,
 
     Output ``(seed_id, item_id, similarity, rank)``, ``rank`` 1-based by
     similarity DESC then item id."""
-    seeds = _small(seeds.select("seed_id").distinct(), max_broadcast_rows)
+    seeds, _ = checked_small(seeds.select("seed_id").distinct(), max_broadcast_rows)
     seed_w = (weights.join(seeds, weights.item_id == seeds.seed_id)
               .select("seed_id", "term", "w"))
     return cosine_topk_for_queries(seed_w, weights, k, exclude_self, max_broadcast_rows)
@@ -61,13 +44,20 @@ def cosine_topk_for_seeds(weights: DataFrame, seeds: DataFrame, k: int,
 def cosine_topk_for_queries(query_w: DataFrame, weights: DataFrame, k: int,
                             exclude_self: bool = False,
                             max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Top-k items for each query vector ``(seed_id, term, w)``."""
-    dots = sparse_dot(query_w, weights, max_broadcast_rows)
+    """Top-k items for each query vector ``(seed_id, term, w)``.
+
+    The query side is materialised once and size-checked; when small it is
+    broadcast and the weight table streams past it with no shuffle, else a
+    salted join spreads each term over many tasks."""
+    q, small = checked_small(query_w.select("seed_id", "term", F.col("w").alias("w_q")),
+                             max_broadcast_rows)
+    joined = weights.join(q, "term") if small else salted_join(weights, q, ["term"])
+    dots = joined.groupBy("seed_id", "item_id").agg(F.sum(F.col("w") * F.col("w_q")).alias("dot"))
     if exclude_self:
         dots = dots.where(F.col("item_id") != F.col("seed_id"))
-    qn = query_w.groupBy("seed_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("q_norm"))
+    qn = q.groupBy("seed_id").agg(F.sqrt(F.sum(F.col("w_q") * F.col("w_q"))).alias("q_norm"))
     inorm = weights.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("i_norm"))
-    scored = (dots.join(_small(qn, max_broadcast_rows), "seed_id").join(inorm, "item_id")
+    scored = (dots.join(F.broadcast(qn) if small else qn, "seed_id").join(inorm, "item_id")
               .withColumn("similarity", F.round(F.col("dot") / (F.col("q_norm") * F.col("i_norm")),
                                                 SCORE_DIGITS))
               .where(F.col("similarity") > 0))
