@@ -68,13 +68,17 @@ class GridResult:
     best_model: ALSModel
 
 
-def grid_search(ratings: DataFrame, grid: dict | None = None, parallelism: int = 2,
+def grid_search(ratings: DataFrame, grid: dict | None = None, parallelism: int | None = None,
                 seed: int = SEED) -> GridResult:
     """M9: every (rank, regParam, maxIter) on one hold-out; keep the minimum
     RMSE (the first trial wins a tie).  Trials are numbered rank-major as in
-    the reference."""
+    the reference.  ``parallelism`` trials are fitted concurrently (separate
+    Spark jobs sharing the executors; each fit is seeded, so the result does
+    not depend on it)."""
     spark = ratings.sparkSession
     checkpoint_dir(spark)
+    if parallelism is None:
+        parallelism = max(1, min(4, spark.sparkContext.defaultParallelism // 2))
     grid = grid or PARAM_GRID
     train, test = split(ratings, seed)
     combos = list(itertools.product(grid["rank"], grid["regParam"], grid["maxIter"]))

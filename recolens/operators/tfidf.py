@@ -38,23 +38,22 @@ class TfidfModel:
     ngram_max: int = 2
 
 
-def tokenize_segments(segments: DataFrame, materialize: bool = True) -> DataFrame:
-    """``(item_id, seg_order, toks)`` for every segment.
-
-    Cleaning may involve a Python UDF and the tokens feed two consumers
-    (term counts and segment edges), so the tokenised corpus is written once
-    to the reliable checkpoint folder; filters on the tokens are applied only
-    after that point, so the optimizer cannot copy the UDF into a filter."""
-    toks = segments.select("item_id", "seg_order", T.word_tokens(F.col("text")).alias("toks"))
-    return cut_lineage(toks) if materialize else toks
-
-
-def segment_terms(segments: DataFrame, ngram_max: int = 2, materialize: bool = True) -> DataFrame:
-    """Term occurrences ``(item_id, term, tf)`` of each item's joined document."""
-    seg = tokenize_segments(segments, materialize)
+def tokenize_segments(segments: DataFrame) -> DataFrame:
+    """``(item_id, seg_order, toks)`` for every segment."""
+    return segments.select("item_id", "seg_order", T.word_tokens(F.col("text")).alias("toks"))
+
+
+def segment_terms(segments: DataFrame, ngram_max: int = 2, materialize: bool = True,
+                  multi_segment: bool = True) -> DataFrame:
+    """Term occurrences ``(item_id, term, tf)`` of each item's joined document
+    (the document-term table).  With ``materialize`` it is written once to the
+    reliable checkpoint folder: the vocabulary fit and the weights both read
+    it, and cleaning upstream runs exactly once.  ``multi_segment=False``
+    declares one segment per item (no boundary bigrams to find)."""
+    seg = tokenize_segments(segments)
     grams = F.concat(F.col("toks"), T.bigrams(F.col("toks"))) if ngram_max >= 2 else F.col("toks")
     parts = [seg.select("item_id", F.explode(grams).alias("term"))]
-    if ngram_max >= 2:
+    if ngram_max >= 2 and multi_segment:
         # bigram across a segment boundary: last token of one non-empty segment
         # + first token of the next.  The window only sees two tokens per
         # segment, never the text.
@@ -69,7 +68,8 @@ def segment_terms(segments: DataFrame, ngram_max: int = 2, materialize: bool = T
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    dtm = out.groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return cut_lineage(dtm) if materialize else dtm
 
 
 def single_segment(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -78,8 +78,9 @@ def single_segment(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def fit(term_counts: DataFrame, n_docs: int, min_df: int = 2, max_df: int | None = None,
-        max_features: int | None = 50_000) -> TfidfModel:
-    """A6 + M1 fit: document frequency, corpus frequency, vocabulary, idf."""
+        max_features: int | None = 50_000, materialize: bool = True) -> TfidfModel:
+    """A6 + M1 fit: document frequency, corpus frequency, vocabulary, idf.
+    The vocabulary (bounded by ``max_features``) is materialised once."""
     stats = term_counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"),
                                            F.sum("tf").alias("tf"))
     stats = stats.where(F.col("df") >= min_df)
@@ -89,6 +90,8 @@ def fit(term_counts: DataFrame, n_docs: int, min_df: int = 2, max_df: int | None
         stats = stats.orderBy(F.col("tf").desc(), F.col("term").asc()).limit(max_features)
     vocab = stats.withColumn(
         "idf", F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1.0)) + 1.0)
+    if materialize:
+        vocab = cut_lineage(vocab)
     return TfidfModel(vocab, n_docs, max_features)
 
 
@@ -118,9 +121,9 @@ def transform(term_counts: DataFrame, model: TfidfModel) -> DataFrame:
 
 def fit_corpus(segments: DataFrame, n_docs: int, min_df: int = 2,
                max_features: int | None = 50_000, ngram_max: int = 2,
-               max_df: int | None = None):
+               max_df: int | None = None, multi_segment: bool = True):
     """Convenience: counts, fitted model and un-normalised weights of a corpus."""
-    counts = segment_terms(segments, ngram_max)
+    counts = segment_terms(segments, ngram_max, multi_segment=multi_segment)
     model = fit(counts, n_docs, min_df, max_df, max_features)
     model.ngram_max = ngram_max
     return counts, model, raw_weights(counts, model)

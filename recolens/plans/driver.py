@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recolens.functions import text as T
-from recolens.sources.tables import load_table
+from recolens.sources.tables import load_table, spread
 
 
 def raw_score(q2: F.Column, key: F.Column) -> F.Column:
@@ -73,13 +73,13 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(item_id, seg_order, merged) - the merged text is every string column of
     the review row joined by spaces (P10), nulls as empty."""
-    c = load_table(spark, sf_dir, "conversations")
+    c = spread(load_table(spark, sf_dir, "conversations"))
     return c.select(F.col("conv_id").alias("item_id"), F.col("turn").alias("seg_order"),
                     F.concat_ws(" ", T.as_text(F.col("role")), T.as_text(F.col("text"))).alias("merged"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_table(spark, sf_dir, "documents").select(
+    return spread(load_table(spark, sf_dir, "documents")).select(
         F.col("doc_id").alias("item_id"), "text")
 
 

@@ -21,30 +21,37 @@ STOPWORDS_TOP = 20   # data-derived stopword list: most frequent tokens by docum
 
 # ------------------------------------------------------------------ Spark
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.distinct_pairs(driver.interactions(spark, sf_dir))
+def pairs(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
+    """Distinct (user, item) pairs; ``materialize`` writes them once when a
+    plan reads them several times (seeds, relevance, degrees)."""
+    p = overlap.distinct_pairs(driver.interactions(spark, sf_dir))
+    return cut_lineage(p) if materialize else p
 
 
-def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+def eligible(spark: SparkSession, sf_dir: str, pairs_df: DataFrame | None = None) -> DataFrame:
     cat = driver.catalog(spark, sf_dir).select("item_id")
-    return overlap.eligible_items(pairs(spark, sf_dir)).join(cat, "item_id", "left_semi")
+    p = pairs_df if pairs_df is not None else pairs(spark, sf_dir)
+    return overlap.eligible_items(p).join(cat, "item_id", "left_semi")
 
 
-def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.sample_seeds(eligible(spark, sf_dir))
+def seeds(spark: SparkSession, sf_dir: str, pairs_df: DataFrame | None = None) -> DataFrame:
+    return overlap.sample_seeds(eligible(spark, sf_dir, pairs_df))
 
 
-def relevance(spark: SparkSession, sf_dir: str, seed_df: DataFrame | None = None) -> DataFrame:
-    sd = seed_df if seed_df is not None else cut_lineage(seeds(spark, sf_dir))
-    return overlap.jaccard_topk(pairs(spark, sf_dir), sd)
+def relevance(spark: SparkSession, sf_dir: str, seed_df: DataFrame | None = None,
+              pairs_df: DataFrame | None = None) -> DataFrame:
+    p = pairs_df if pairs_df is not None else pairs(spark, sf_dir, materialize=True)
+    sd = seed_df if seed_df is not None else cut_lineage(seeds(spark, sf_dir, p))
+    return overlap.jaccard_topk(p, sd)
 
 
 def doc_stopwords(spark: SparkSession, sf_dir: str, n: int = STOPWORDS_TOP) -> list[str]:
     """The ``n`` tokens present in most documents (ties: token order).  The
     list is bounded by ``n`` (a top-n), so it is collected and inlined."""
     d = driver.documents(spark, sf_dir)
-    toks = d.select("item_id", F.explode(T.split_tokens(T.simple_clean(F.col("text")))).alias("tok"))
-    top = (toks.distinct().groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    # distinct tokens per document inside the row: no (doc, token) shuffle
+    toks = d.select(F.explode(F.array_distinct(T.split_tokens(T.simple_clean(F.col("text"))))).alias("tok"))
+    top = (toks.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
            .orderBy(F.col("df").desc(), F.col("tok").asc()).limit(n))
     return [r[0] for r in top.collect()]
 
@@ -76,8 +83,9 @@ def embedding_recs(spark: SparkSession, sf_dir: str, seed_df: DataFrame,
 
 
 def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sd = cut_lineage(seeds(spark, sf_dir))
-    rel = cut_lineage(relevance(spark, sf_dir, sd))
+    p = pairs(spark, sf_dir, materialize=True)
+    sd = cut_lineage(seeds(spark, sf_dir, p))
+    rel = cut_lineage(relevance(spark, sf_dir, sd, p))
     cat_ids = driver.catalog(spark, sf_dir).select(F.col("item_id").alias("seed_id"))
     emb_ids = driver.embeddings(spark, sf_dir).select(F.col("item_id").alias("seed_id"))
     recs = ranking.union_methods([

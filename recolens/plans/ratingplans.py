@@ -87,10 +87,10 @@ def user_recs_join(spark, sf):
 
 
 def _ratings(spark, sf):
-    p = rating_parse(spark, sf)
-    i = driver.interactions(spark, sf).select("l_orderkey", "l_linenumber", "user_id", "item_id")
-    return factor.ratings_frame(p.join(i, ["l_orderkey", "l_linenumber"]), "user_id", "item_id",
-                                "rating_clean")
+    """One rating per interaction row, parsed from the dirty score."""
+    i = driver.interactions(spark, sf).withColumn(
+        "rating_clean", R.normalize_rating(F.col("raw_score")))
+    return factor.ratings_frame(i, "user_id", "item_id", "rating_clean")
 
 
 _GRID_CACHE: dict = {}

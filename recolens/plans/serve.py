@@ -47,7 +47,8 @@ def build_index(catalog: DataFrame, text_col: str = "text", max_features: int =
     n = catalog.count()
     seg = tfidf.single_segment(
         catalog.select("item_id", T.preprocess_text(F.col(text_col)).alias("text")), "item_id", "text")
-    _, model, w = tfidf.fit_corpus(seg, n, min_df=min_df, max_features=max_features)
+    _, model, w = tfidf.fit_corpus(seg, n, min_df=min_df, max_features=max_features,
+                                   multi_segment=False)
     return ContentIndex(model, cut_lineage(w), catalog)
 
 
@@ -56,7 +57,7 @@ def search(index: ContentIndex, query: str, k: int = 9) -> DataFrame:
     spark = index.catalog.sparkSession
     q = spark.createDataFrame([(0, 0, query)], "item_id long, seg_order long, text string")
     q = q.select("item_id", "seg_order", T.preprocess_text(F.col("text")).alias("text"))
-    qw = (tfidf.raw_weights(tfidf.segment_terms(q, materialize=False), index.model)
+    qw = (tfidf.raw_weights(tfidf.segment_terms(q, materialize=False, multi_segment=False), index.model)
           .withColumnRenamed("item_id", "seed_id"))
     top = similarity.cosine_topk_for_queries(qw, index.weights, k)
     return top.join(index.catalog, "item_id").orderBy("rank")

@@ -88,7 +88,7 @@ def _doc_segments(spark, sf, stop):
 
 def ngrams(spark, sf):
     stop = E.doc_stopwords(spark, sf)
-    return (tfidf.segment_terms(_doc_segments(spark, sf, stop))
+    return (tfidf.segment_terms(_doc_segments(spark, sf, stop), multi_segment=False)
             .select(F.col("item_id").alias("doc_id"), "term", F.col("tf").cast("long").alias("tf")))
 
 
@@ -120,7 +120,8 @@ def length_profile(spark, sf):
 def _doc_model(spark, sf):
     stop = E.doc_stopwords(spark, sf)
     n = driver.documents(spark, sf).count()
-    return tfidf.fit_corpus(_doc_segments(spark, sf, stop), n, min_df=2, max_features=NB_MAX_FEATURES)
+    return tfidf.fit_corpus(_doc_segments(spark, sf, stop), n, min_df=2, max_features=NB_MAX_FEATURES,
+                            multi_segment=False)
 
 
 def tfidf_vocab(spark, sf):
@@ -147,11 +148,12 @@ def text_search_topk(spark, sf):
     n = d.count()
     _, model, w = tfidf.fit_corpus(
         tfidf.single_segment(d.select("item_id", T.preprocess_text(F.col("text")).alias("text")),
-                             "item_id", "text"), n, min_df=2, max_features=APP_MAX_FEATURES)
+                             "item_id", "text"), n, min_df=2, max_features=APP_MAX_FEATURES,
+        multi_segment=False)
     b = spark.read.parquet(f"{sf.rstrip('/')}/benchmark.parquet")
     qseg = tfidf.single_segment(
         b.select(F.col("item_id"), T.preprocess_text(F.col("text")).alias("text")), "item_id", "text")
-    qw = (tfidf.raw_weights(tfidf.segment_terms(qseg, materialize=False), model)
+    qw = (tfidf.raw_weights(tfidf.segment_terms(qseg, materialize=False, multi_segment=False), model)
           .withColumnRenamed("item_id", "seed_id"))
     return (similarity.cosine_topk_for_queries(qw, w, APP_TOPK)
             .select(F.col("seed_id").alias("query_id"), "item_id", "similarity", "rank"))
@@ -164,7 +166,8 @@ def similar_by_name(spark, sf):
     n = cat.count()
     _, _, w = tfidf.fit_corpus(
         tfidf.single_segment(cat.select("item_id", T.preprocess_text(F.col("text")).alias("text")),
-                             "item_id", "text"), n, min_df=2, max_features=APP_MAX_FEATURES)
+                             "item_id", "text"), n, min_df=2, max_features=APP_MAX_FEATURES,
+        multi_segment=False)
     seeds = cat.groupBy("name").agg(F.min("item_id").alias("seed_id"))
     top = similarity.cosine_topk_for_seeds(w, seeds.select("seed_id"), APP_TOPK)
     return top.join(seeds, "seed_id").select("name", "seed_id", "item_id", "similarity", "rank")

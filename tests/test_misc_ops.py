@@ -80,23 +80,23 @@ def test_tables_io(spark, tmp_dir):
     assert len(files.run_stamp()) == 15
 
 
-def _toy_encoder():
-    import zlib
+def test_encode_texts_batches(spark):
+    from recolens.operators.encoders import encode_texts
 
-    import numpy as np
+    def toy_encoder():
+        import zlib
 
-    def enc(texts):
-        out = np.zeros((len(texts), 8), dtype=np.float32)
-        for i, t in enumerate(texts):
-            for w in t.split():
-                out[i, zlib.crc32(w.encode()) % 8] += 1.0
-        return out
-    return enc
+        import numpy as np
 
+        def enc(texts):
+            out = np.zeros((len(texts), 8), dtype=np.float32)
+            for i, t in enumerate(texts):
+                for w in t.split():
+                    out[i, zlib.crc32(w.encode()) % 8] += 1.0
+            return out
+        return enc
 
-def test_encode_texts_batches(spark):
-    from recolens.operators.encoders import encode_texts
     df = spark.createDataFrame([(i, f"w{i % 3} common") for i in range(40)], "item_id long, text string")
-    out = encode_texts(df.repartition(3), _toy_encoder, batch_size=7).collect()
+    out = encode_texts(df.repartition(3), toy_encoder, batch_size=7).collect()
     assert len(out) == 40 and all(len(r["embedding"]) == 8 for r in out)
     assert all(sum(r["embedding"]) == 2.0 for r in out)
