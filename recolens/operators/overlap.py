@@ -106,7 +106,7 @@ def jaccard_topk(pairs: DataFrame, seeds: DataFrame, topn: int = RELEVANT_TOPN,
               .withColumn("union_size", F.col("n_seed") + F.col("n_users") - F.col("inter"))
               .withColumn("jaccard", F.col("inter") / F.col("union_size")))
     w = Window.partitionBy("seed_id").orderBy(F.col("jaccard").desc(), F.col("item_id").asc())
-    return (scored.withColumn("rel_rank", F.row_number().over(w))
+    return (scored.withColumn("rel_rank", F.row_number().over(w).cast("long"))
             .where(F.col("rel_rank") <= topn)
             .select("seed_id", "item_id", F.col("inter").cast("long").alias("inter"),
                     F.col("union_size").cast("long").alias("union_size"),

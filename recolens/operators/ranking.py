@@ -130,7 +130,7 @@ def rank_within(df: DataFrame, group_cols, score_col: str, id_col: str,
     order agree)."""
     score = F.round(F.col(score_col), digits) if digits is not None else F.col(score_col)
     w = Window.partitionBy(*group_cols).orderBy(score.desc(), F.col(id_col).asc())
-    return df.withColumn(out_col, F.row_number().over(w))
+    return df.withColumn(out_col, F.row_number().over(w).cast("long"))
 
 
 def top_k(df: DataFrame, group_cols, score_col: str, id_col: str, k: int,

@@ -63,6 +63,15 @@ def search(index: ContentIndex, query: str, k: int = 9) -> DataFrame:
     return top.join(index.catalog, "item_id").orderBy("rank")
 
 
+def seed_by_id(catalog: DataFrame, item_id) -> DataFrame:
+    """J14 + P16: the seed row for an id; raises when the id is not in the
+    catalog (one bounded existence probe)."""
+    seed = catalog.where(F.col("item_id") == F.lit(item_id)).select(F.col("item_id").alias("seed_id"))
+    if seed.limit(1).count() == 0:
+        raise ValueError(f"item id {item_id!r} not found in the catalog")
+    return seed.distinct()
+
+
 def seed_by_name(catalog: DataFrame, name: str) -> DataFrame:
     """The first item (lowest id) with that name; empty when unknown."""
     return (catalog.where(F.col("name") == F.lit(name))

@@ -100,3 +100,31 @@ def test_encode_texts_batches(spark):
     out = encode_texts(df.repartition(3), toy_encoder, batch_size=7).collect()
     assert len(out) == 40 and all(len(r["embedding"]) == 8 for r in out)
     assert all(sum(r["embedding"]) == 2.0 for r in out)
+
+
+def test_align_key_type_and_membership(spark):
+    recs = spark.createDataFrame([("1", 0.5), ("x", 0.2)], "itemId string, score double")
+    cat = spark.createDataFrame([(1, "a")], "item_id bigint, name string")
+    out = C.align_key_type(recs, "itemId", cat, "item_id")
+    assert dict(out.dtypes)["itemId"] == "bigint"
+    joined = out.join(cat, out.itemId == cat.item_id, "left").orderBy("score").collect()
+    assert [r["name"] for r in joined] == [None, "a"]
+    from recolens.plans import serve
+    assert serve.seed_by_id(cat, 1).first()["seed_id"] == 1
+    with pytest.raises(ValueError):
+        serve.seed_by_id(cat, 99)
+
+
+def test_serve_search_and_similar(spark):
+    from recolens.plans import serve
+    cat = spark.createDataFrame(
+        [(1, "h1", "quiet room near beach pool"), (2, "h2", "pool and beach bar"),
+         (3, "h3", "city centre quiet room"), (4, "h2", "mountain view")],
+        "item_id long, name string, text string")
+    idx = serve.build_index(cat, min_df=1)
+    top = [r["item_id"] for r in serve.search(idx, "Beach POOL!", 2).collect()]
+    assert top[0] in (1, 2) and set(top) == {1, 2}
+    sim = serve.similar(idx, "h2", 3).collect()       # first item named h2 is id 2
+    assert all(r["item_id"] != 2 for r in sim) and sim[0]["item_id"] == 1
+    recs = spark.createDataFrame([("u", "h2"), ("v", "h1")], "UserName string, RecommendedHotel string")
+    assert sorted(r["item_id"] for r in serve.recommend(recs, cat, "u").collect()) == [2, 4]
