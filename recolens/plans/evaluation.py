@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recolens.functions import text as T
-from recolens.operators import overlap, ranking, similarity, tfidf
+from recolens.operators import overlap, ranking, similarity, tfidf, wordvec
 from recolens.operators.lexicon import Lexicons, preprocess
 from recolens.plans import driver, sqltext as S
 from recolens.session import cut_lineage
@@ -82,25 +82,41 @@ def embedding_recs(spark: SparkSession, sf_dir: str, seed_df: DataFrame,
     return similarity.embedding_topk_for_seeds(driver.embeddings(spark, sf_dir), seed_df, k)
 
 
-def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wordvec_recs(spark: SparkSession, sf_dir: str, seed_df: DataFrame, k: int = ranking.REC_TOPN,
+                 stop: list[str] | None = None) -> DataFrame:
+    """M4 re-aimed: Word2Vec item vectors over the same cleaned corpus."""
+    stop = doc_stopwords(spark, sf_dir) if stop is None else stop
+    toks = cut_lineage(wordvec.segment_tokens(part_segments(spark, sf_dir, stop)))
+    model = wordvec.fit(toks)
+    vecs = cut_lineage(wordvec.item_vectors(model, toks))
+    return similarity.embedding_topk_for_seeds(vecs, seed_df, k)
+
+
+METHODS = ("tfidf", "embedding")
+ALL_METHODS = ("tfidf", "embedding", "word2vec")
+
+
+def eval_rows(spark: SparkSession, sf_dir: str, methods=METHODS) -> DataFrame:
+    """Every method x seed x K in one plan (U1 over the methods present)."""
     p = pairs(spark, sf_dir, materialize=True)
     sd = cut_lineage(seeds(spark, sf_dir, p))
     rel = cut_lineage(relevance(spark, sf_dir, sd, p))
     cat_ids = driver.catalog(spark, sf_dir).select(F.col("item_id").alias("seed_id"))
     emb_ids = driver.embeddings(spark, sf_dir).select(F.col("item_id").alias("seed_id"))
-    recs = ranking.union_methods([
-        tfidf_recs(spark, sf_dir, sd).withColumn("method", F.lit("tfidf")),
-        embedding_recs(spark, sf_dir, sd).withColumn("method", F.lit("embedding")),
-    ])
+    stop = doc_stopwords(spark, sf_dir) if ("tfidf" in methods or "word2vec" in methods) else []
+    builders = {
+        "tfidf": (lambda: tfidf_recs(spark, sf_dir, sd, stop=stop), cat_ids),
+        "embedding": (lambda: embedding_recs(spark, sf_dir, sd), emb_ids),
+        "word2vec": (lambda: wordvec_recs(spark, sf_dir, sd, stop=stop), cat_ids),
+    }
+    recs = ranking.union_methods([builders[m][0]().withColumn("method", F.lit(m)) for m in methods])
     eval_seeds = ranking.union_methods([
-        sd.join(cat_ids, "seed_id", "left_semi").withColumn("method", F.lit("tfidf")),
-        sd.join(emb_ids, "seed_id", "left_semi").withColumn("method", F.lit("embedding")),
-    ])
+        sd.join(builders[m][1], "seed_id", "left_semi").withColumn("method", F.lit(m)) for m in methods])
     return ranking.evaluate(recs.select("method", "seed_id", "item_id", "rank"), rel, eval_seeds)
 
 
-def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.summarize(eval_rows(spark, sf_dir))
+def eval_summary(spark: SparkSession, sf_dir: str, methods=METHODS) -> DataFrame:
+    return ranking.summarize(eval_rows(spark, sf_dir, methods))
 
 
 # -------------------------------------------------------------------- SQL

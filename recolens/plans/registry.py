@@ -85,6 +85,11 @@ def q_eval_summary(spark, sf):
     return E.eval_summary(spark, sf)
 
 
+@register("eval_summary_all")          # + Word2Vec method: model output, rows only
+def q_eval_summary_all(spark, sf):
+    return E.eval_summary(spark, sf, E.ALL_METHODS)
+
+
 # ------------------------------------------------------------------ text
 
 from recolens.plans import textplans as TP  # noqa: E402

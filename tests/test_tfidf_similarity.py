@@ -100,3 +100,23 @@ def test_embedding_topk_matches_numpy(spark):
         order = sorted((i for i in range(50) if i != s), key=lambda i: (-sims[i], i))[:5]
         g = [r["item_id"] for r in sorted((r for r in got if r["seed_id"] == s), key=lambda r: r["rank"])]
         assert g == order
+
+
+def test_wordvec_item_vectors_equal_transform(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from recolens.operators import wordvec
+    rows = [(1, 0, "red bolt small red"), (1, 1, "great bolt zzz"), (2, 0, "red widget"),
+            (2, 1, "small red widget red"), (3, 0, "blue gear"), (3, 1, "")]
+    seg = spark.createDataFrame(rows, "item_id long, seg_order long, text string")
+    toks = wordvec.segment_tokens(seg)
+    model = wordvec.fit(toks, vector_size=8, min_count=2, num_partitions=1)
+    got = {r["item_id"]: r["embedding"] for r in wordvec.item_vectors(model, toks).collect()}
+    docs = {}
+    for i, o, t in sorted(rows):
+        docs.setdefault(i, []).extend(t.split())
+    ref = model.transform(spark.createDataFrame([(i, w) for i, w in docs.items()], "item_id long, toks array<string>"))
+    want = {r["item_id"]: r["v"] for r in ref.select("item_id", vector_to_array("__v").alias("v")).collect()}
+    assert set(got) == set(want)
+    for i in want:
+        assert got[i] == pytest.approx(want[i], abs=1e-6)
