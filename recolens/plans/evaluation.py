@@ -7,6 +7,8 @@ independent DuckDB forms used as the correctness oracle.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,12 +70,19 @@ def part_segments(spark: SparkSession, sf_dir: str, stop: list[str]) -> DataFram
     return s0.unionByName(rv)
 
 
-def tfidf_recs(spark: SparkSession, sf_dir: str, seed_df: DataFrame, k: int = ranking.REC_TOPN,
-               stop: list[str] | None = None) -> DataFrame:
-    stop = doc_stopwords(spark, sf_dir) if stop is None else stop
+def fit_part_tfidf(spark: SparkSession, sf_dir: str, stop: list[str]):
+    """M1 over the catalog corpus: materialised document-term table and vocabulary."""
     n_docs = driver.catalog(spark, sf_dir).count()
-    _, _, w = tfidf.fit_corpus(part_segments(spark, sf_dir, stop), n_docs, min_df=2,
-                               max_features=50_000)
+    return tfidf.fit_corpus(part_segments(spark, sf_dir, stop), n_docs, min_df=2,
+                            max_features=50_000)
+
+
+def tfidf_recs(spark: SparkSession, sf_dir: str, seed_df: DataFrame, k: int = ranking.REC_TOPN,
+               stop: list[str] | None = None, fitted=None) -> DataFrame:
+    if fitted is None:
+        stop = doc_stopwords(spark, sf_dir) if stop is None else stop
+        fitted = fit_part_tfidf(spark, sf_dir, stop)
+    _, _, w = fitted
     return similarity.cosine_topk_for_seeds(w, seed_df, k)
 
 
@@ -97,15 +106,30 @@ ALL_METHODS = ("tfidf", "embedding", "word2vec")
 
 
 def eval_rows(spark: SparkSession, sf_dir: str, methods=METHODS) -> DataFrame:
-    """Every method x seed x K in one plan (U1 over the methods present)."""
-    p = pairs(spark, sf_dir, materialize=True)
-    sd = cut_lineage(seeds(spark, sf_dir, p))
-    rel = cut_lineage(relevance(spark, sf_dir, sd, p))
+    """Every method x seed x K in one plan (U1 over the methods present).
+
+    The relevance chain (pairs -> seeds -> Jaccard) and the corpus chain
+    (stopwords -> document-term table -> vocabulary) do not depend on each
+    other, so they are submitted as concurrent Spark jobs."""
+    def relevance_chain():
+        p = pairs(spark, sf_dir, materialize=True)
+        sd = cut_lineage(seeds(spark, sf_dir, p))
+        return sd, cut_lineage(relevance(spark, sf_dir, sd, p))
+
+    def corpus_chain():
+        if "tfidf" not in methods and "word2vec" not in methods:
+            return [], None
+        stop = doc_stopwords(spark, sf_dir)
+        return stop, (fit_part_tfidf(spark, sf_dir, stop) if "tfidf" in methods else None)
+
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        f_rel, f_corpus = pool.submit(relevance_chain), pool.submit(corpus_chain)
+        sd, rel = f_rel.result()
+        stop, fitted = f_corpus.result()
     cat_ids = driver.catalog(spark, sf_dir).select(F.col("item_id").alias("seed_id"))
     emb_ids = driver.embeddings(spark, sf_dir).select(F.col("item_id").alias("seed_id"))
-    stop = doc_stopwords(spark, sf_dir) if ("tfidf" in methods or "word2vec" in methods) else []
     builders = {
-        "tfidf": (lambda: tfidf_recs(spark, sf_dir, sd, stop=stop), cat_ids),
+        "tfidf": (lambda: tfidf_recs(spark, sf_dir, sd, fitted=fitted), cat_ids),
         "embedding": (lambda: embedding_recs(spark, sf_dir, sd), emb_ids),
         "word2vec": (lambda: wordvec_recs(spark, sf_dir, sd, stop=stop), cat_ids),
     }
