@@ -48,8 +48,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster (``spark.checkpoint.dir``).
 
-    Read from the session; only when unset (local runs and tests) a scratch
-    folder is created and registered.
+    Read from the session; only when unset *and* the master is local (tests,
+    local runs) a scratch folder is created and registered.  On a cluster an
+    unset folder is an error rather than a silent machine-local fallback.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -60,6 +61,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if current is not None:
         return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...); "
+                           "a machine-local folder does not survive executor loss")
     local = tempfile.mkdtemp(prefix="recolens-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
