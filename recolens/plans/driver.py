@@ -5,7 +5,7 @@
 | user / item / rating   | ``orders.o_custkey`` / ``lineitem.l_partkey`` / quantity / 5 |
 | raw (dirty) score text | formatted from the same quantity, see ``raw_score``         |
 | user display name      | ``customer.c_name``                                          |
-| catalog                | ``part``: id, name, text = name + brand + type               |
+| catalog                | ``part``: id, name, display name, text = name + brand + type |
 | reviews (ordered)      | ``conversations``: conv_id = item, turn = order, role + text |
 | text corpus            | ``documents.text``                                           |
 | embedding table        | ``embeddings`` (vec_id taken as the item id)                 |
@@ -64,9 +64,11 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, name, text)."""
+    """(item_id, name, display_name, text).  ``name`` repeats across items (64
+    values), ``display_name`` is unique per item, like a hotel's listed name."""
     return load_table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("item_id"), F.col("p_name").alias("name"),
+        F.concat(F.col("p_name"), F.lit(" #"), F.col("p_partkey").cast("string")).alias("display_name"),
         F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
 
 

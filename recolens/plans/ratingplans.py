@@ -71,17 +71,17 @@ def user_recs_table(spark, sf):
     i = _named_interactions(spark, sf)
     per = i.groupBy("user_name", "item_id").agg(F.sum("rating").alias("score"))
     top = top_k(per, ["user_name"], "score", "item_id", USER_RECS_TOP, digits=6)
-    cat = driver.catalog(spark, sf).select("item_id", "name")
+    cat = driver.catalog(spark, sf).select("item_id", "display_name")
     return top.join(cat, "item_id").select(F.col("user_name").alias("UserName"),
-                                            F.col("name").alias("RecommendedHotel"))
+                                            F.col("display_name").alias("RecommendedHotel"))
 
 
 def user_recs_join(spark, sf):
-    """Recommendation rows joined to the catalog by *name*; repeated names
-    fan out (inner join, as the app's merge)."""
+    """Recommendation rows joined to the catalog by *name* (inner join, as
+    the app's merge; a repeated name would fan out - see the serve tests)."""
     recs = user_recs_table(spark, sf)
-    cat = driver.catalog(spark, sf).select("item_id", "name")
-    return (recs.join(cat, recs.RecommendedHotel == cat.name)
+    cat = driver.catalog(spark, sf).select("item_id", "display_name")
+    return (recs.join(cat, recs.RecommendedHotel == cat.display_name)
             .select(F.col("UserName").alias("user_name"), F.col("RecommendedHotel").alias("recommended"),
                     "item_id"))
 
@@ -166,6 +166,7 @@ USER_RECS_JOIN_SQL = NAMED_CTE + f""",
 per AS (SELECT user_name, item_id, sum(rating) AS score FROM named GROUP BY user_name, item_id),
 top AS (SELECT user_name, item_id FROM per
         QUALIFY row_number() OVER (PARTITION BY user_name ORDER BY round(score, 6) DESC, item_id) <= {USER_RECS_TOP}),
-recs AS (SELECT t.user_name AS UserName, p.p_name AS RecommendedHotel FROM top t JOIN part p ON p.p_partkey = t.item_id)
-SELECT r.UserName AS user_name, r.RecommendedHotel AS recommended, p.p_partkey AS item_id
-FROM recs r JOIN part p ON p.p_name = r.RecommendedHotel"""
+cat AS (SELECT p_partkey, p_name || ' #' || CAST(p_partkey AS VARCHAR) AS display_name FROM part),
+recs AS (SELECT t.user_name AS UserName, c.display_name AS RecommendedHotel FROM top t JOIN cat c ON c.p_partkey = t.item_id)
+SELECT r.UserName AS user_name, r.RecommendedHotel AS recommended, c.p_partkey AS item_id
+FROM recs r JOIN cat c ON c.display_name = r.RecommendedHotel"""
