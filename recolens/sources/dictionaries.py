@@ -1,6 +1,6 @@
 """Dictionary text files as DataFrames.
 
-Each line is trimmed, blank lines are skipped, the line is split once on the
+Each line is stripped of white space (CRLF files included), blank lines are skipped, the line is split once on the
 separator (a real tab by default); keys and values are trimmed; a line without
 the separator becomes a key with an empty value; for a repeated key the later
 line wins.  An absent path gives an empty frame with the same schema.
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from recolens.functions.text import WS
+
 DICT_SCHEMA = StructType([StructField("key", StringType()), StructField("value", StringType())])
 
 
@@ -30,15 +32,15 @@ def read_dict(spark: SparkSession, path: str, sep: str | None = "\t") -> DataFra
     if not path_exists(spark, path):
         return spark.createDataFrame([], DICT_SCHEMA)
     lines = (spark.read.text(path, wholetext=False)
-             .select(F.trim(F.col("value")).alias("line"),
+             .select(_strip(F.col("value")).alias("line"),
                      F.monotonically_increasing_id().alias("line_no"))
              .where(F.col("line") != ""))
     if sep:
         has = F.instr("line", sep) > 0
         parts = F.split("line", _java_quote(sep), 2)
         kv = lines.select(
-            F.when(has, F.trim(parts[0])).otherwise(F.col("line")).alias("key"),
-            F.when(has, F.trim(parts[1])).otherwise(F.lit("")).alias("value"),
+            F.when(has, _strip(parts[0])).otherwise(F.col("line")).alias("key"),
+            F.when(has, _strip(parts[1])).otherwise(F.lit("")).alias("value"),
             "line_no")
     else:
         kv = lines.select(F.col("line").alias("key"), F.lit("").alias("value"), "line_no")
@@ -46,6 +48,11 @@ def read_dict(spark: SparkSession, path: str, sep: str | None = "\t") -> DataFra
     return kv.groupBy("key").agg(F.max_by("value", "line_no").alias("value"))
 
 
+def _strip(c):
+    """Python ``str.strip()``: Unicode white space incl. ``\r`` of CRLF files."""
+    return F.regexp_replace(c, rf"^[{WS}]+|[{WS}]+$", "")
+
+
 def _java_quote(s: str) -> str:
     return "\\Q" + s + "\\E"
 

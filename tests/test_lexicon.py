@@ -56,3 +56,11 @@ def test_inset_used_for_large_sets(spark):
     assert q.first()["o"] == "keep"
     plan = q._jdf.queryExecution().optimizedPlan().toString()
     assert "INSET" in plan.upper() or "inset" in plan
+
+
+def test_crlf_dictionary(spark, tmp_dir):
+    p = f"{tmp_dir}/emo.txt"
+    with open(p, "wb") as f:
+        f.write("❤\tyêu\r\n👍\tthích\r\n\r\n".encode("utf-8"))
+    d = {r["key"]: r["value"] for r in read_dict(spark, p).collect()}
+    assert d == {"❤": "yêu", "👍": "thích"}
