@@ -76,3 +76,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Survives executor loss (unlike local checkpoints or caches)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def size_for_input(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 << 20,
+                   shuffle_expansion: float = 1.0, min_partitions: int | None = None,
+                   override: bool = False) -> dict:
+    """Runtime SQL settings sized for ``input_bytes`` of input.
+
+    * ``spark.sql.files.maxPartitionBytes`` = 128 MiB: scan tasks stay small
+      enough to hold a decoded split comfortably in executor memory;
+    * ``spark.sql.shuffle.partitions`` = shuffle volume / target size, at least
+      the cluster's cores (an upper bound: AQE coalesces small partitions
+      towards ``advisoryPartitionSizeInBytes``);
+    * skew handling: a partition 5x the median and above 256 MiB is split.
+    Values set explicitly at session start are left alone unless ``override``."""
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(min_partitions or cores, int(input_bytes * shuffle_expansion / target_partition_bytes))
+    wanted = {
+        "spark.sql.files.maxPartitionBytes": str(128 << 20),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
+    }
+    applied = {}
+    for k, v in wanted.items():
+        if not spark.conf.isModifiable(k):
+            continue
+        current = spark.sparkContext.getConf().get(k, None)
+        if current is None or override:
+            spark.conf.set(k, v)
+            applied[k] = v
+    return applied

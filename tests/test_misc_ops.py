@@ -128,3 +128,21 @@ def test_serve_search_and_similar(spark):
     assert all(r["item_id"] != 2 for r in sim) and sim[0]["item_id"] == 1
     recs = spark.createDataFrame([("u", "h2"), ("v", "h1")], "UserName string, RecommendedHotel string")
     assert sorted(r["item_id"] for r in serve.recommend(recs, cat, "u").collect()) == [2, 4]
+
+
+def test_size_for_input(spark):
+    from recolens.session import size_for_input
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes"]
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        kept = size_for_input(spark, 100 << 40)            # explicit session value kept
+        assert "spark.sql.shuffle.partitions" not in kept
+        applied = size_for_input(spark, 100 << 40, override=True)   # 100 TiB
+        assert int(applied["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+        assert applied["spark.sql.files.maxPartitionBytes"] == str(128 << 20)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
