@@ -80,6 +80,47 @@ def collect_set(df: DataFrame, key: str = "key",
     return sorted({r[0] for r in df.select(key).collect()})
 
 
+# ------------------------------------------------------ compound stopwords
+
+def _esc(ch: str) -> str:
+    return ch if (ch.isalnum() or ch == " ") else "\\" + ch
+
+
+def compound_regex(words: Iterable[str], joiner: str = "_") -> str | None:
+    """Q13 option: multi-token dictionary entries (``a_lô``) as one regex that
+    removes the token sequence ``a lô``.  The entries form a character trie,
+    so at each character at most one branch can continue (no backtracking
+    over alternatives); optional continuations are greedy, so the longest
+    entry wins; matches are anchored on token boundaries and scan left to
+    right."""
+    trie: dict = {}
+    for w in words:
+        if joiner not in w:
+            continue
+        node = trie
+        for ch in w.replace(joiner, " "):
+            node = node.setdefault(ch, {})
+        node[""] = True
+    if not trie:
+        return None
+
+    def emit(node) -> str:
+        branches = [_esc(ch) + emit(child) for ch, child in sorted(node.items()) if ch != ""]
+        if not branches:
+            return ""
+        body = branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+        return f"(?:{body})?" if "" in node else body
+
+    return "(?<=^| )" + emit(trie) + "(?= |$)"
+
+
+def drop_compounds(c: Column, words: Iterable[str], joiner: str = "_") -> Column:
+    """Remove every dictionary compound (``joiner``-joined tokens) from a
+    single-spaced, lower-cased text."""
+    rx = compound_regex(words, joiner)
+    return c if rx is None else T.collapse_ws(F.regexp_replace(c, rx, " "))
+
+
 # ---------------------------------------------------------------- join forms
 
 def _explode_tokens(df: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
@@ -123,12 +164,15 @@ class Lexicons:
     file gives an empty dictionary in the reference.
     """
 
-    def __init__(self, emoji=None, teencode=None, wrong=None, en_vi=None, stopwords=None):
+    def __init__(self, emoji=None, teencode=None, wrong=None, en_vi=None, stopwords=None,
+                 stop_compounds: bool = False):
         self.emoji = dict(emoji or {})
         self.teencode = dict(teencode or {})
         self.wrong = list(wrong or [])
         self.en_vi = dict(en_vi or {})
         self.stopwords = list(stopwords or [])
+        # Q13 option: also remove '_'-joined stopword compounds as token runs
+        self.stop_compounds = stop_compounds
 
 
 def preprocess(c, lex: Lexicons | None = None, null_token: str = "") -> Column:
@@ -146,5 +190,7 @@ def preprocess(c, lex: Lexicons | None = None, null_token: str = "") -> Column:
     if lex.en_vi:
         # values may hold several words: re-split after mapping (Q14)
         toks = T.split_tokens(T.join_tokens(map_tokens(toks, lex.en_vi, lower_key=True)))
+    if lex.stop_compounds:
+        toks = T.split_tokens(drop_compounds(F.lower(T.join_tokens(toks)), lex.stopwords))
     toks = drop_tokens(toks, lex.stopwords, lower_key=True, min_len=2)
     return T.join_tokens(toks)

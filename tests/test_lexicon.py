@@ -64,3 +64,31 @@ def test_crlf_dictionary(spark, tmp_dir):
         f.write("❤\tyêu\r\n👍\tthích\r\n\r\n".encode("utf-8"))
     d = {r["key"]: r["value"] for r in read_dict(spark, p).collect()}
     assert d == {"❤": "yêu", "👍": "thích"}
+
+
+def _greedy_compounds(tokens, compounds):
+    seqs = sorted((c.split("_") for c in compounds if "_" in c), key=len, reverse=True)
+    out, i = [], 0
+    while i < len(tokens):
+        for s in seqs:
+            if tokens[i:i + len(s)] == s:
+                i += len(s)
+                break
+        else:
+            out.append(tokens[i])
+            i += 1
+    return out
+
+
+def test_compound_stopwords_greedy_longest(spark):
+    import random
+    compounds = ["a_lô", "ai_ai", "ai_ai_ai", "ai_nấy", "bị_vì", "b.c_d", "x_y_z"]
+    vocab = ["a", "lô", "ai", "nấy", "bị", "vì", "aiz", "b.c", "d", "x", "y", "z", "q"]
+    rnd = random.Random(5)
+    rows = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 14)))) for i in range(200)]
+    rows.append((999, "ai ai ai nấy a lô ai aiz x"))
+    df = spark.createDataFrame(rows, "id int, t string")
+    got = {r["id"]: r["o"] for r in df.select("id", L.drop_compounds(F.col("t"), compounds).alias("o")).collect()}
+    for i, t in rows:
+        assert got[i] == " ".join(_greedy_compounds(t.split(), compounds)), t
+    assert got[999] == "nấy ai aiz x"
