@@ -120,3 +120,23 @@ def test_wordvec_item_vectors_equal_transform(spark):
     assert set(got) == set(want)
     for i in want:
         assert got[i] == pytest.approx(want[i], abs=1e-6)
+
+
+def test_cosine_symmetric_and_bounded(spark):
+    _, _, w = tfidf.fit_corpus(_segments(spark), len(DOCS), min_df=1, max_features=None)
+    seeds = spark.createDataFrame([(d,) for d in DOCS], "seed_id long")
+    sims = {(r["seed_id"], r["item_id"]): r["similarity"]
+            for r in similarity.cosine_topk_for_seeds(w, seeds, 100).collect()}
+    assert sims
+    for (a, b), v in sims.items():
+        assert a != b and 0 < v <= 1.0 + 1e-9
+        assert sims.get((b, a)) == pytest.approx(v)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(12, 5))
+    items = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(12)],
+                                  "item_id long, embedding array<double>")
+    e = {(r["seed_id"], r["item_id"]): r["similarity"] for r in similarity.embedding_topk_for_seeds(
+        items, spark.createDataFrame([(i,) for i in range(12)], "seed_id long"), 11).collect()}
+    assert len(e) == 12 * 11
+    for (a, b), v in e.items():
+        assert -1 - 1e-9 <= v <= 1 + 1e-9 and e[(b, a)] == pytest.approx(v)
