@@ -43,3 +43,19 @@ def test_entry_contract(spark):
     rows = df.collect()
     assert len(rows) > 0
     assert set(df.columns) >= {"method", "K", "precision", "map", "ndcg_bin", "ndcg_grd"}
+
+
+def test_model_save_load_and_user_subset(spark, tmp_dir):
+    ratings = RP._ratings(spark, SF_SMALL)
+    train, _ = factor.split(ratings)
+    model = factor.make_als(4, 0.1, 3).fit(train)
+    path = f"{tmp_dir}/als"
+    factor.save_model(model, path)
+    factor.save_model(model, path)                 # overwrite works
+    back = factor.load_model(path)
+    users = train.select("userId").distinct().orderBy("userId").limit(3)
+    a = factor.recommend_users(model, users, 5).orderBy("userId", "rank").collect()
+    b = factor.recommend_users(back, users, 5).orderBy("userId", "rank").collect()
+    assert [(r.userId, r.itemId) for r in a] == [(r.userId, r.itemId) for r in b]
+    assert {r.userId for r in a} <= {r.userId for r in users.collect()}
+    assert max(r["rank"] for r in a) <= 5

@@ -92,3 +92,10 @@ def test_compound_stopwords_greedy_longest(spark):
     for i, t in rows:
         assert got[i] == " ".join(_greedy_compounds(t.split(), compounds)), t
     assert got[999] == "nấy ai aiz x"
+
+
+def test_collect_bounded_dictionaries(spark):
+    d = spark.createDataFrame([("a", "x"), ("b", "y")], "key string, value string")
+    assert L.collect_map(d) == {"a": "x", "b": "y"}
+    assert L.collect_map(d, max_entries=1) is None          # past the bound: use the join form
+    assert L.collect_set(d) == ["a", "b"]

@@ -115,3 +115,12 @@ def test_hot_user_third_of_rows_salted_matches_sql(spark):
           SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY jac DESC, item_id) rn FROM j)
         WHERE rn <= 50 ORDER BY 1, 2""").fetchall()
     assert g == [tuple(int(x) for x in r) for r in exp]
+
+
+def test_join_small_broadcast_and_salted_agree(spark):
+    from recolens.operators.joins import join_small
+    big = spark.createDataFrame([(i % 3 if i < 300 else i, i) for i in range(900)], "k long, v long")
+    small = spark.createDataFrame([(k, f"n{k}") for k in range(0, 900, 2)], "k long, name string")
+    a = sorted(tuple(r) for r in join_small(big, small, ["k"]).collect())
+    b = sorted(tuple(r) for r in join_small(big, small, ["k"], max_rows=10, buckets=7).collect())
+    assert a == b and len(a) > 0
