@@ -114,7 +114,7 @@ def best_trial(spark, sf):
 def als_recommend(spark, sf):
     """Top 10 per user from the best model, flattened, with names."""
     model = grid(spark, sf).best_model
-    return factor.with_names(factor.recommend_all(model), driver.catalog(spark, sf))
+    return factor.with_names(factor.recommend_blocked(model), driver.catalog(spark, sf))
 
 
 def doc_embedding(spark, sf):
