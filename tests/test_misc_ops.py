@@ -146,3 +146,16 @@ def test_size_for_input(spark):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_review_bag_two_level_equals_single_pass(spark):
+    import random
+    rnd = random.Random(3)
+    rows = [(i % 3, o, f"w{o}" if rnd.random() > 0.1 else "") for i, o in
+            enumerate(rnd.sample(range(5000), 700))]
+    rv = spark.createDataFrame(rows, "item_id long, seg_order long, text string")
+    got = {r["item_id"]: r["bag"] for r in corpus.review_bag(rv, chunk_rows=37).collect()}
+    want = {}
+    for it in {r[0] for r in rows}:
+        want[it] = " ".join(t for _, o, t in sorted((r for r in rows if r[0] == it), key=lambda r: r[1]))
+    assert got == want
