@@ -43,6 +43,38 @@ def tokenize_segments(segments: DataFrame) -> DataFrame:
     return segments.select("item_id", "seg_order", T.word_tokens(F.col("text")).alias("toks"))
 
 
+EDGE_CHUNK = 4096   # segments per first-level chunk of the boundary-bigram pass
+
+
+def boundary_bigrams(seg: DataFrame, chunk: int = EDGE_CHUNK) -> DataFrame:
+    """Bigrams across segment boundaries: last token of a non-empty segment +
+    first token of the next non-empty segment of the same item.
+
+    Two levels, so a hot item's segments never sit in one window: pairs
+    inside chunks of ``chunk`` consecutive order values come from a window
+    per (item, chunk); pairs across chunk borders come from each chunk's
+    first and last token (a partial aggregate) and a window over the chunks
+    of the item (one row per chunk)."""
+    edge = (seg.where(F.size("toks") > 0)
+            .select("item_id", "seg_order",
+                    F.element_at("toks", -1).alias("last_tok"),
+                    F.element_at("toks", 1).alias("first_tok"),
+                    F.floor(F.col("seg_order").cast("double") / F.lit(float(chunk)))
+                    .cast("long").alias("chunk")))
+    w1 = Window.partitionBy("item_id", "chunk").orderBy("seg_order")
+    inner = (edge.withColumn("next_first", F.lead("first_tok").over(w1))
+             .where(F.col("next_first").isNotNull())
+             .select("item_id", F.concat_ws(" ", "last_tok", "next_first").alias("term")))
+    ends = edge.groupBy("item_id", "chunk").agg(
+        F.min_by("first_tok", "seg_order").alias("c_first"),
+        F.max_by("last_tok", "seg_order").alias("c_last"))
+    w2 = Window.partitionBy("item_id").orderBy("chunk")
+    across = (ends.withColumn("next_first", F.lead("c_first").over(w2))
+              .where(F.col("next_first").isNotNull())
+              .select("item_id", F.concat_ws(" ", "c_last", "next_first").alias("term")))
+    return inner.unionByName(across)
+
+
 def segment_terms(segments: DataFrame, ngram_max: int = 2, materialize: bool = True,
                   multi_segment: bool = True) -> DataFrame:
     """Term occurrences ``(item_id, term, tf)`` of each item's joined document
@@ -54,17 +86,7 @@ def segment_terms(segments: DataFrame, ngram_max: int = 2, materialize: bool = T
     grams = F.concat(F.col("toks"), T.bigrams(F.col("toks"))) if ngram_max >= 2 else F.col("toks")
     parts = [seg.select("item_id", F.explode(grams).alias("term"))]
     if ngram_max >= 2 and multi_segment:
-        # bigram across a segment boundary: last token of one non-empty segment
-        # + first token of the next.  The window only sees two tokens per
-        # segment, never the text.
-        w = Window.partitionBy("item_id").orderBy("seg_order")
-        edge = (seg.where(F.size("toks") > 0)
-                .select("item_id", "seg_order",
-                        F.element_at("toks", -1).alias("last_tok"),
-                        F.element_at("toks", 1).alias("first_tok")))
-        nxt = edge.withColumn("next_first", F.lead("first_tok").over(w))
-        parts.append(nxt.where(F.col("next_first").isNotNull())
-                     .select("item_id", F.concat_ws(" ", "last_tok", "next_first").alias("term")))
+        parts.append(boundary_bigrams(seg))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -140,3 +140,26 @@ def test_cosine_symmetric_and_bounded(spark):
     assert len(e) == 12 * 11
     for (a, b), v in e.items():
         assert -1 - 1e-9 <= v <= 1 + 1e-9 and e[(b, a)] == pytest.approx(v)
+
+
+def test_boundary_bigrams_two_level_equals_sequential(spark):
+    import random
+    from collections import Counter
+    rnd = random.Random(17)
+    words = ["aa", "bb", "cc", "dd", ""]
+    rows = []
+    for item in range(4):
+        orders = rnd.sample(range(3000), 300 if item == 0 else 25)   # item 0 is "hot"
+        rows += [(item, o, " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 3))).strip())
+                 for o in orders]
+    seg = spark.createDataFrame(rows, "item_id long, seg_order long, text string")
+    toks = tfidf.tokenize_segments(seg)
+    got = Counter((r["item_id"], r["term"]) for r in tfidf.boundary_bigrams(toks, chunk=7).collect())
+    want = Counter()
+    for item in range(4):
+        segs = [t.split() for _, _, t in sorted(r for r in rows if r[0] == item and r[2].split())
+                if True]
+        segs = [s for s in (x for x in segs) if s]
+        for a, b in zip(segs, segs[1:]):
+            want[(item, f"{a[-1]} {b[0]}")] += 1
+    assert got == want
