@@ -14,7 +14,7 @@ bigrams spanning a segment boundary, come from each segment's first and last
 token.
 
 Plan shape: one partial-aggregated shuffle for (item, term) counts, one for
-(term) statistics, a distributed top-n for the vocabulary (bounded by
+(term) statistics, an exact distributed top-n for the vocabulary (bounded by
 ``max_features``, so broadcasting it is safe), and per-item norms as a
 partial aggregate.  The weight table itself is never shuffled by item.
 """
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recolens.functions import text as T
+from recolens.operators.joins import fits
 from recolens.session import cut_lineage
 
 
@@ -99,6 +100,37 @@ def single_segment(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        F.col(text_col).alias("text"))
 
 
+def top_terms(stats: DataFrame, n: int, tie_bound: int = 200_000) -> DataFrame:
+    """Exactly the ``n`` terms with the highest corpus frequency (ties: term
+    ascending), without gathering the candidates in one task.
+
+    A histogram of frequencies (one row per distinct value; its top ``n``
+    rows are a bounded collect) gives the threshold frequency ``T``: all
+    terms above ``T`` are in; of the terms at ``T`` the first ``need`` by
+    term are in.  That tie group is ordered by a distributed sort
+    (``ids.dense_ids``) when it is large, by a small top-n otherwise."""
+    from recolens.operators.ids import dense_ids
+    stats = cut_lineage(stats)
+    hist = (stats.groupBy("tf").agg(F.count(F.lit(1)).alias("c"))
+            .orderBy(F.col("tf").desc()).limit(n).collect())
+    above, threshold = 0, None
+    for r in hist:
+        if above + r["c"] >= n:
+            threshold = r["tf"]
+            break
+        above += r["c"]
+    if threshold is None:                       # fewer than n candidates
+        return stats
+    need = n - above
+    ties = stats.where(F.col("tf") == threshold)
+    if not fits(ties, tie_bound):
+        ranked = dense_ids(ties, "term", "__pos")
+        keep = ties.join(ranked.where(F.col("__pos") < need).select("term"), "term", "left_semi")
+    else:
+        keep = ties.orderBy("term").limit(need)
+    return stats.where(F.col("tf") > threshold).unionByName(keep)
+
+
 def fit(term_counts: DataFrame, n_docs: int, min_df: int = 2, max_df: int | None = None,
         max_features: int | None = 50_000, materialize: bool = True) -> TfidfModel:
     """A6 + M1 fit: document frequency, corpus frequency, vocabulary, idf.
@@ -109,7 +141,7 @@ def fit(term_counts: DataFrame, n_docs: int, min_df: int = 2, max_df: int | None
     if max_df is not None:
         stats = stats.where(F.col("df") <= max_df)
     if max_features is not None:
-        stats = stats.orderBy(F.col("tf").desc(), F.col("term").asc()).limit(max_features)
+        stats = top_terms(stats, max_features)
     vocab = stats.withColumn(
         "idf", F.log((F.lit(1.0) + n_docs) / (F.col("df") + 1.0)) + 1.0)
     if materialize:

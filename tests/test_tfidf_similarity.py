@@ -163,3 +163,15 @@ def test_boundary_bigrams_two_level_equals_sequential(spark):
         for a, b in zip(segs, segs[1:]):
             want[(item, f"{a[-1]} {b[0]}")] += 1
     assert got == want
+
+
+@pytest.mark.parametrize("tie_bound", [200_000, 3])     # small top-n / distributed tie ranking
+@pytest.mark.parametrize("n", [1, 4, 7, 12, 50])
+def test_top_terms_exact(spark, n, tie_bound):
+    import random
+    rnd = random.Random(n)
+    rows = [(f"t{i:02d}", rnd.choice([1, 2, 2, 3, 3, 3, 5])) for i in range(30)]
+    stats = spark.createDataFrame(rows, "term string, tf long").repartition(4)
+    got = sorted(r["term"] for r in tfidf.top_terms(stats, n, tie_bound=tie_bound).collect())
+    want = sorted(t for t, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:n])
+    assert got == want
