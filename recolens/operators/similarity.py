@@ -84,7 +84,9 @@ def embedding_topk_for_seeds(items: DataFrame, seeds: DataFrame, k: int,
                              exclude_self: bool = True, max_seeds: int = 100_000) -> DataFrame:
     """Top-k cosine neighbours of each seed among ``items(item_id, embedding)``.
 
-    Output ``(seed_id, item_id, similarity, rank)``."""
+    Output ``(seed_id, item_id, similarity, rank)``.  Items without a vector
+    (null or empty) cannot be scored and are left out."""
+    items = items.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
     seed_vecs = (items.join(seeds.select("seed_id").distinct(), items.item_id == seeds.seed_id)
                  .select("seed_id", "embedding"))
     ids, mat = _seed_matrix(seed_vecs, max_seeds)

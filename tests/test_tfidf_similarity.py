@@ -175,3 +175,11 @@ def test_top_terms_exact(spark, n, tie_bound):
     got = sorted(r["term"] for r in tfidf.top_terms(stats, n, tie_bound=tie_bound).collect())
     want = sorted(t for t, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:n])
     assert got == want
+
+
+def test_embedding_topk_skips_missing_vectors(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.9, 0.1]), (4, [])],
+                                  "item_id long, embedding array<double>")
+    seeds = spark.createDataFrame([(1,), (2,)], "seed_id long")
+    got = [(r.seed_id, r.item_id) for r in similarity.embedding_topk_for_seeds(items, seeds, 3).collect()]
+    assert got == [(1, 3)]
