@@ -82,3 +82,14 @@ def test_blocked_topk_equals_mllib(spark):
         assert mine == pytest.approx(theirs, rel=1e-5, abs=1e-5)
     sub = spark.createDataFrame([(u,) for u in sorted(ref_users)[:4]], "userId int")
     assert {r.userId for r in factor.recommend_blocked(model, 3, users=sub).collect()} <= set(sorted(ref_users)[:4])
+
+
+def test_write_reports(spark, tmp_dir):
+    from recolens.plans.report import write_reports
+    paths = write_reports(spark, SF_SMALL, tmp_dir, methods=("tfidf", "embedding"),
+                          grid={"rank": [4], "regParam": [0.1], "maxIter": [3]}, stamp="20260101_000000")
+    summary = spark.read.option("header", "true").csv(paths["eval_summary"])
+    assert summary.count() == 6 and "ndcg_grd" in summary.columns
+    assert spark.read.option("header", "true").csv(paths["als_trials"]).count() == 1
+    assert spark.read.option("header", "true").csv(paths["eval_rows"]).count() > 0
+    assert factor.load_model(paths["best_model"]).rank == 4
