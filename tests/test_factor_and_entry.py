@@ -93,3 +93,10 @@ def test_write_reports(spark, tmp_dir):
     assert spark.read.option("header", "true").csv(paths["als_trials"]).count() == 1
     assert spark.read.option("header", "true").csv(paths["eval_rows"]).count() > 0
     assert factor.load_model(paths["best_model"]).rank == 4
+    from recolens.plans import serve
+    from recolens.sources.files import read_recommendations
+    recs = read_recommendations(spark, paths["recommendations"])
+    first_user = recs.orderBy("UserName").first()["UserName"]
+    cat = spark.read.parquet(f"{SF_SMALL}/part.parquet").selectExpr(
+        "p_partkey AS item_id", "concat(p_name, ' #', CAST(p_partkey AS STRING)) AS name")
+    assert serve.recommend(recs, cat, first_user).count() == 10
