@@ -19,10 +19,20 @@ from pyspark.sql import functions as F
 from recolens.session import cut_lineage
 
 
-def dense_ids(df: DataFrame, key: str, id_col: str = "dense_id") -> DataFrame:
-    """``(key, id_col)`` for the distinct non-null keys of ``df``."""
-    keys = (df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key)
-            .withColumn("__pid", F.spark_partition_id())
+def dense_ids(df: DataFrame, key: str, id_col: str = "dense_id",
+              order_col: str | None = None) -> DataFrame:
+    """``(key, id_col)`` for the distinct non-null keys of ``df``.
+
+    Ids follow key order, or - with ``order_col`` - the order of each key's
+    first appearance (smallest ``order_col``; ties by key), which is the
+    reference's factorize order when ``order_col`` is the row position."""
+    base = df.where(F.col(key).isNotNull())
+    if order_col is None:
+        keys = base.select(key).distinct().orderBy(key)
+    else:
+        keys = (base.groupBy(key).agg(F.min(order_col).alias("__first"))
+                .orderBy("__first", key).select(key))
+    keys = (keys.withColumn("__pid", F.spark_partition_id())
             .withColumn("__mono", F.monotonically_increasing_id()))
     keys = cut_lineage(keys)
     counts = keys.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))

@@ -159,3 +159,14 @@ def test_review_bag_two_level_equals_single_pass(spark):
     for it in {r[0] for r in rows}:
         want[it] = " ".join(t for _, o, t in sorted((r for r in rows if r[0] == it), key=lambda r: r[1]))
     assert got == want
+
+
+def test_dense_ids_first_appearance(spark):
+    rows = [(i, f"u{(i * 7) % 23}") for i in range(200)] + [(500, None)]
+    df = spark.createDataFrame(rows, "pos long, name string").repartition(4)
+    got = {r["name"]: r["dense_id"] for r in ids.dense_ids(df, "name", order_col="pos").collect()}
+    seen = []
+    for _, n in sorted(rows):
+        if n is not None and n not in seen:
+            seen.append(n)
+    assert got == {n: i for i, n in enumerate(seen)}
