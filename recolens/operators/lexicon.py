@@ -57,10 +57,15 @@ def drop_tokens(tokens: Column, words: Iterable[str], lower_key: bool = False,
     return F.filter(tokens, keep)
 
 
-def replace_substrings(c: Column, mapping: Mapping[str, str]) -> Column:
-    """Substring replacement ``emo -> ' meaning '`` in dictionary order."""
+def replace_substrings(c: Column, mapping: Mapping[str, str], longest_first: bool = False) -> Column:
+    """Substring replacement ``emo -> ' meaning '`` in dictionary order
+    (the reference's order); ``longest_first`` applies longer keys first, for
+    dictionaries whose keys contain one another."""
     out = c
-    for k, v in mapping.items():
+    items = list(mapping.items())
+    if longest_first:
+        items.sort(key=lambda kv: -len(kv[0]))
+    for k, v in items:
         out = F.replace(out, F.lit(k), F.lit(f" {v} "))
     return out
 

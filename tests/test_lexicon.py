@@ -99,3 +99,11 @@ def test_collect_bounded_dictionaries(spark):
     assert L.collect_map(d) == {"a": "x", "b": "y"}
     assert L.collect_map(d, max_entries=1) is None          # past the bound: use the join form
     assert L.collect_set(d) == ["a", "b"]
+
+
+def test_replace_substrings_order(spark):
+    df = spark.createDataFrame([("x:)) y",)], "t string")
+    m = {":)": "smile", ":))": "laugh"}
+    a = df.select(L.replace_substrings(F.col("t"), m).alias("o")).first()["o"]
+    b = df.select(L.replace_substrings(F.col("t"), m, longest_first=True).alias("o")).first()["o"]
+    assert a == "x smile ) y" and b == "x laugh  y"
