@@ -58,25 +58,34 @@ def doc_stopwords(spark: SparkSession, sf_dir: str, n: int = STOPWORDS_TOP) -> l
     return [r[0] for r in top.collect()]
 
 
-def part_segments(spark: SparkSession, sf_dir: str, stop: list[str]) -> DataFrame:
-    """Catalog text (segment 0) + its reviews in turn order."""
-    lex = Lexicons(stopwords=stop)
-    cat = driver.catalog(spark, sf_dir)
-    s0 = cat.select("item_id", F.lit(0).cast("long").alias("seg_order"),
-                    preprocess(F.col("text"), lex).alias("text"))
-    rv = (driver.reviews(spark, sf_dir).join(cat.select("item_id"), "item_id", "left_semi")
+def corpus_segments(catalog: DataFrame, reviews: DataFrame, lex: Lexicons) -> DataFrame:
+    """Catalog text (segment 0) + its reviews in order.
+
+    catalog: (item_id, text); reviews: (item_id, seg_order, merged)."""
+    s0 = catalog.select("item_id", F.lit(0).cast("long").alias("seg_order"),
+                        preprocess(F.col("text"), lex).alias("text"))
+    rv = (reviews.join(catalog.select("item_id"), "item_id", "left_semi")
           .select("item_id", (F.col("seg_order") + 1).alias("seg_order"),
                   preprocess(F.col("merged"), lex).alias("text")))
     return s0.unionByName(rv)
 
 
-def fit_part_tfidf(spark: SparkSession, sf_dir: str, stop: list[str]):
+def part_segments(spark: SparkSession, sf_dir: str, stop: list[str]) -> DataFrame:
+    return corpus_segments(driver.catalog(spark, sf_dir), driver.reviews(spark, sf_dir),
+                           Lexicons(stopwords=stop))
+
+
+def fit_catalog_tfidf(catalog: DataFrame, reviews: DataFrame, lex: Lexicons):
     """M1 over the catalog corpus: materialised document-term table and vocabulary."""
-    n_docs = driver.catalog(spark, sf_dir).count()
-    return tfidf.fit_corpus(part_segments(spark, sf_dir, stop), n_docs, min_df=2,
+    return tfidf.fit_corpus(corpus_segments(catalog, reviews, lex), catalog.count(), min_df=2,
                             max_features=50_000)
 
 
+def fit_part_tfidf(spark: SparkSession, sf_dir: str, stop: list[str]):
+    return fit_catalog_tfidf(driver.catalog(spark, sf_dir), driver.reviews(spark, sf_dir),
+                             Lexicons(stopwords=stop))
+
+
 def tfidf_recs(spark: SparkSession, sf_dir: str, seed_df: DataFrame, k: int = ranking.REC_TOPN,
                stop: list[str] | None = None, fitted=None) -> DataFrame:
     if fitted is None:
@@ -91,47 +100,61 @@ def embedding_recs(spark: SparkSession, sf_dir: str, seed_df: DataFrame,
     return similarity.embedding_topk_for_seeds(driver.embeddings(spark, sf_dir), seed_df, k)
 
 
-def wordvec_recs(spark: SparkSession, sf_dir: str, seed_df: DataFrame, k: int = ranking.REC_TOPN,
-                 stop: list[str] | None = None) -> DataFrame:
-    """M4 re-aimed: Word2Vec item vectors over the same cleaned corpus."""
-    stop = doc_stopwords(spark, sf_dir) if stop is None else stop
-    toks = cut_lineage(wordvec.segment_tokens(part_segments(spark, sf_dir, stop)))
+def wordvec_recs_from(segments: DataFrame, seed_df: DataFrame, k: int = ranking.REC_TOPN) -> DataFrame:
+    """M4 re-aimed: Word2Vec item vectors over the cleaned corpus segments."""
+    toks = cut_lineage(wordvec.segment_tokens(segments))
     model = wordvec.fit(toks)
     vecs = cut_lineage(wordvec.item_vectors(model, toks))
     return similarity.embedding_topk_for_seeds(vecs, seed_df, k)
 
 
+def wordvec_recs(spark: SparkSession, sf_dir: str, seed_df: DataFrame, k: int = ranking.REC_TOPN,
+                 stop: list[str] | None = None) -> DataFrame:
+    stop = doc_stopwords(spark, sf_dir) if stop is None else stop
+    return wordvec_recs_from(part_segments(spark, sf_dir, stop), seed_df, k)
+
+
 METHODS = ("tfidf", "embedding")
 ALL_METHODS = ("tfidf", "embedding", "word2vec")
 
 
-def eval_rows(spark: SparkSession, sf_dir: str, methods=METHODS) -> DataFrame:
-    """Every method x seed x K in one plan (U1 over the methods present).
+def eval_rows_frames(catalog: DataFrame, reviews: DataFrame, interactions: DataFrame,
+                     lexicons, embeddings: DataFrame | None = None,
+                     methods=METHODS) -> DataFrame:
+    """A18 over any catalog / reviews / interactions frames: every method x
+    seed x K in one plan (U1 over the methods present; a method without its
+    input - e.g. no embedding table - is skipped, M11).
+
+    catalog (item_id, text), reviews (item_id, seg_order, merged),
+    interactions (user_id, item_id), embeddings (item_id, embedding).
+    ``lexicons`` is a ``Lexicons`` or a zero-argument callable returning one
+    (derived dictionaries).  The relevance chain (pairs -> seeds -> Jaccard)
+    and the corpus chain (dictionaries -> document-term table -> vocabulary)
+    do not depend on each other, so they run as concurrent Spark jobs."""
+    methods = [m for m in methods if m != "embedding" or embeddings is not None]
+    cat_ids = catalog.select(F.col("item_id").alias("seed_id"))
 
-    The relevance chain (pairs -> seeds -> Jaccard) and the corpus chain
-    (stopwords -> document-term table -> vocabulary) do not depend on each
-    other, so they are submitted as concurrent Spark jobs."""
     def relevance_chain():
-        p = pairs(spark, sf_dir, materialize=True)
-        sd = cut_lineage(seeds(spark, sf_dir, p))
-        return sd, cut_lineage(relevance(spark, sf_dir, sd, p))
+        p = cut_lineage(overlap.distinct_pairs(interactions))
+        elig = overlap.eligible_items(p).join(catalog.select("item_id"), "item_id", "left_semi")
+        sd = cut_lineage(overlap.sample_seeds(elig))
+        return sd, cut_lineage(overlap.jaccard_topk(p, sd))
 
     def corpus_chain():
         if "tfidf" not in methods and "word2vec" not in methods:
-            return [], None
-        stop = doc_stopwords(spark, sf_dir)
-        return stop, (fit_part_tfidf(spark, sf_dir, stop) if "tfidf" in methods else None)
+            return None, None
+        lex = lexicons() if callable(lexicons) else lexicons
+        return lex, (fit_catalog_tfidf(catalog, reviews, lex) if "tfidf" in methods else None)
 
     with ThreadPoolExecutor(max_workers=2) as pool:
         f_rel, f_corpus = pool.submit(relevance_chain), pool.submit(corpus_chain)
         sd, rel = f_rel.result()
-        stop, fitted = f_corpus.result()
-    cat_ids = driver.catalog(spark, sf_dir).select(F.col("item_id").alias("seed_id"))
-    emb_ids = driver.embeddings(spark, sf_dir).select(F.col("item_id").alias("seed_id"))
+        lex, fitted = f_corpus.result()
     builders = {
-        "tfidf": (lambda: tfidf_recs(spark, sf_dir, sd, fitted=fitted), cat_ids),
-        "embedding": (lambda: embedding_recs(spark, sf_dir, sd), emb_ids),
-        "word2vec": (lambda: wordvec_recs(spark, sf_dir, sd, stop=stop), cat_ids),
+        "tfidf": (lambda: similarity.cosine_topk_for_seeds(fitted[2], sd, ranking.REC_TOPN), cat_ids),
+        "embedding": (lambda: similarity.embedding_topk_for_seeds(embeddings, sd, ranking.REC_TOPN),
+                      embeddings.select(F.col("item_id").alias("seed_id")) if embeddings is not None else None),
+        "word2vec": (lambda: wordvec_recs_from(corpus_segments(catalog, reviews, lex), sd), cat_ids),
     }
     recs = ranking.union_methods([builders[m][0]().withColumn("method", F.lit(m)) for m in methods])
     eval_seeds = ranking.union_methods([
@@ -139,6 +162,15 @@ def eval_rows(spark: SparkSession, sf_dir: str, methods=METHODS) -> DataFrame:
     return ranking.evaluate(recs.select("method", "seed_id", "item_id", "rank"), rel, eval_seeds)
 
 
+def eval_rows(spark: SparkSession, sf_dir: str, methods=METHODS) -> DataFrame:
+    """The evaluation over the driver tables (stopwords derived from the documents)."""
+    return eval_rows_frames(
+        driver.catalog(spark, sf_dir), driver.reviews(spark, sf_dir),
+        driver.interactions(spark, sf_dir),
+        lambda: Lexicons(stopwords=doc_stopwords(spark, sf_dir)),
+        driver.embeddings(spark, sf_dir), methods)
+
+
 def eval_summary(spark: SparkSession, sf_dir: str, methods=METHODS) -> DataFrame:
     return ranking.summarize(eval_rows(spark, sf_dir, methods))
 
