@@ -14,12 +14,9 @@ import itertools
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
@@ -130,40 +127,18 @@ def recommend_blocked(model: ALSModel, n: int = TOP_N, users: DataFrame | None =
     blocks.  Work is users x items (the operator's definition); memory per
     task is two factor blocks and one score block; no pair is emitted as a
     row.  Ties are broken by item id."""
+    from recolens.operators.similarity import dense_topk_blocked
     uf = model.userFactors
     if users is not None:
         uf = uf.join(users.select(F.col("userId").alias("id")).distinct(), "id", "left_semi")
-    itf = model.itemFactors
-    n_users = max(1, uf.count())
-    n_items = max(1, itf.count())
-    bu = -(-n_users // block_rows)
-    bi = -(-n_items // block_rows)
-    u = (uf.select(F.col("id").alias("uid"), F.col("features").alias("uf"),
-                   F.pmod(F.xxhash64("id"), F.lit(bu)).alias("ub"))
-         .withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(bi - 1)))))
-    i = (itf.select(F.col("id").alias("iid"), F.col("features").alias("vf"),
-                    F.pmod(F.xxhash64("id"), F.lit(bi)).alias("ib"))
-         .withColumn("ub", F.explode(F.sequence(F.lit(0), F.lit(bu - 1)))))
-    schema = "userId int, itemId int, score double"
-
-    def block_topk(upd: pd.DataFrame, ipd: pd.DataFrame) -> pd.DataFrame:
-        if upd.empty or ipd.empty:
-            return pd.DataFrame({"userId": [], "itemId": [], "score": []})
-        um = np.vstack(upd["uf"].to_numpy()).astype(np.float32)
-        im = np.vstack(ipd["vf"].to_numpy()).astype(np.float32)
-        scores = um @ im.T                                   # users x items of this block
-        kk = min(n, scores.shape[1])
-        kth = -np.partition(-scores, kk - 1, axis=1)[:, kk - 1]
-        rows, cols = np.nonzero(scores >= kth[:, None])
-        return pd.DataFrame({"userId": upd["uid"].to_numpy()[rows].astype("int32"),
-                             "itemId": ipd["iid"].to_numpy()[cols].astype("int32"),
-                             "score": scores[rows, cols].astype("float64")})
-
-    part = (u.groupBy("ub", "ib").cogroup(i.groupBy("ub", "ib"))
-            .applyInPandas(block_topk, schema))
-    w = Window.partitionBy("userId").orderBy(F.col("score").desc(), F.col("itemId").asc())
-    return (part.withColumn("rank", F.row_number().over(w).cast("long"))
-            .where(F.col("rank") <= n))
+    top = dense_topk_blocked(
+        uf.select(F.col("id").cast("long").alias("seed_id"), F.col("features").alias("embedding")),
+        model.itemFactors.select(F.col("id").cast("long").alias("item_id"),
+                                 F.col("features").alias("embedding")),
+        n, cosine=False, block_rows=block_rows)
+    return top.select(F.col("seed_id").cast("int").alias("userId"),
+                      F.col("item_id").cast("int").alias("itemId"),
+                      F.col("similarity").alias("score"), "rank")
 
 
 def recommend_users(model: ALSModel, users: DataFrame, n: int = TOP_N) -> DataFrame:

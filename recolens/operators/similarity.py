@@ -67,9 +67,59 @@ def cosine_topk_for_queries(query_w: DataFrame, weights: DataFrame, k: int,
 
 # ------------------------------------------------------------------- dense
 
-def _seed_matrix(seed_vecs: DataFrame, max_rows: int):
-    if not fits(seed_vecs, max_rows):
-        raise ValueError(f"more than {max_rows} seed vectors; split the seed set")
+def dense_topk_blocked(queries: DataFrame, items: DataFrame, k: int, cosine: bool = True,
+                       exclude_self: bool = False, block_rows: int = 4096) -> DataFrame:
+    """Exact top-k of ``items(item_id, embedding)`` for every row of
+    ``queries(seed_id, embedding)`` by cosine (or raw dot product) - the form
+    for query sets too large to broadcast.
+
+    Both sides are hashed into blocks of about ``block_rows`` vectors; every
+    (query block, item block) pair is one cogroup group scored by one matrix
+    product, and only each query's best ``k`` of that block (ties kept)
+    leave the task; a windowed top-k merges the blocks.  Memory per task is
+    two blocks and one score block; no pair is emitted as a row.
+    Output ``(seed_id, item_id, similarity, rank)``."""
+    nq = max(1, queries.count())
+    ni = max(1, items.count())
+    bq, bi = -(-nq // block_rows), -(-ni // block_rows)
+    q = (queries.select(F.col("seed_id").alias("qid"), F.col("embedding").alias("qv"),
+                        F.pmod(F.xxhash64("seed_id"), F.lit(bq)).alias("qb"))
+         .withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(bi - 1)))))
+    it = (items.select(F.col("item_id").alias("iid"), F.col("embedding").alias("iv"),
+                       F.pmod(F.xxhash64("item_id"), F.lit(bi)).alias("ib"))
+          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bq - 1)))))
+    digits = SCORE_DIGITS if cosine else None
+
+    def unit(m):
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+    def block(qpd: pd.DataFrame, ipd: pd.DataFrame) -> pd.DataFrame:
+        if qpd.empty or ipd.empty:
+            return pd.DataFrame({"seed_id": [], "item_id": [], "similarity": []})
+        qm = np.vstack([np.asarray(v, dtype=np.float64) for v in qpd["qv"]])
+        im = np.vstack([np.asarray(v, dtype=np.float64) for v in ipd["iv"]])
+        if cosine:
+            qm, im = unit(qm), unit(im)
+        sims = qm @ im.T
+        if digits is not None:
+            sims = np.round(sims, digits)
+        qids = qpd["qid"].to_numpy(dtype=np.int64)
+        iids = ipd["iid"].to_numpy(dtype=np.int64)
+        if exclude_self:
+            sims = np.where(qids[:, None] == iids[None, :], -np.inf, sims)
+        kk = min(k, sims.shape[1])
+        kth = -np.partition(-sims, kk - 1, axis=1)[:, kk - 1]
+        rows, cols = np.nonzero((sims >= kth[:, None]) & np.isfinite(sims))
+        return pd.DataFrame({"seed_id": qids[rows], "item_id": iids[cols], "similarity": sims[rows, cols]})
+
+    part = q.groupBy("qb", "ib").cogroup(it.groupBy("qb", "ib")).applyInPandas(
+        block, "seed_id long, item_id long, similarity double")
+    return (top_k(part, ["seed_id"], "similarity", "item_id", k, digits=None)
+            .select("seed_id", "item_id", "similarity", "rank"))
+
+
+def _seed_matrix(seed_vecs: DataFrame):
     pdf = seed_vecs.select("seed_id", "embedding").toPandas()
     if pdf.empty:
         return np.zeros(0, dtype=np.int64), np.zeros((0, 0))
@@ -85,11 +135,16 @@ def embedding_topk_for_seeds(items: DataFrame, seeds: DataFrame, k: int,
     """Top-k cosine neighbours of each seed among ``items(item_id, embedding)``.
 
     Output ``(seed_id, item_id, similarity, rank)``.  Items without a vector
-    (null or empty) cannot be scored and are left out."""
+    (null or empty) cannot be scored and are left out.  Seed vectors within
+    ``max_seeds`` (checked on a materialised copy) are shipped to every task;
+    a larger seed set takes the blocked cogroup form."""
     items = items.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
     seed_vecs = (items.join(seeds.select("seed_id").distinct(), items.item_id == seeds.seed_id)
                  .select("seed_id", "embedding"))
-    ids, mat = _seed_matrix(seed_vecs, max_seeds)
+    seed_vecs, small = checked_small(seed_vecs, max_seeds)
+    if not small:
+        return dense_topk_blocked(seed_vecs, items, k, cosine=True, exclude_self=exclude_self)
+    ids, mat = _seed_matrix(seed_vecs)
     spark = items.sparkSession
     bc = spark.sparkContext.broadcast((ids, mat))
     schema = "seed_id long, item_id long, similarity double"

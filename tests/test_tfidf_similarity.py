@@ -183,3 +183,18 @@ def test_embedding_topk_skips_missing_vectors(spark):
     seeds = spark.createDataFrame([(1,), (2,)], "seed_id long")
     got = [(r.seed_id, r.item_id) for r in similarity.embedding_topk_for_seeds(items, seeds, 3).collect()]
     assert got == [(1, 3)]
+
+
+def test_embedding_blocked_fallback_equals_broadcast(spark):
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(60, 6))
+    x[11] = x[5]
+    items = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(60)],
+                                  "item_id long, embedding array<double>")
+    seeds = spark.createDataFrame([(i,) for i in range(0, 60, 3)], "seed_id long")
+    a = sorted(tuple(r) for r in similarity.embedding_topk_for_seeds(items, seeds, 4).collect())
+    b = sorted(tuple(r) for r in similarity.embedding_topk_for_seeds(items, seeds, 4, max_seeds=5).collect())
+    c = sorted(tuple(r) for r in similarity.dense_topk_blocked(
+        items.join(seeds, items.item_id == seeds.seed_id).select("seed_id", "embedding"),
+        items, 4, exclude_self=True, block_rows=7).collect())
+    assert a == b == c and len(a) == 20 * 4
