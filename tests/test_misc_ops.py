@@ -170,3 +170,16 @@ def test_dense_ids_first_appearance(spark):
         if n is not None and n not in seen:
             seen.append(n)
     assert got == {n: i for i, n in enumerate(seen)}
+
+
+def test_similar_with_embeddings_and_head(spark):
+    from recolens.plans import serve
+    from recolens.sources.files import head
+    cat = spark.createDataFrame([(1, "a", "x y"), (2, "b", "x z"), (3, "c", "q r")],
+                                "item_id long, name string, text string")
+    emb = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.9, 0.1])],
+                                "item_id long, embedding array<double>")
+    idx = serve.build_index(cat, min_df=1)
+    got = [r.item_id for r in serve.similar(idx, "a", 2, embeddings=emb).collect()]
+    assert got == [3, 2]
+    assert head(cat, 2).count() == 2

@@ -84,3 +84,12 @@ def test_word_tokens_and_bigrams(spark):
 def test_preprocess_text_app_form(spark):
     got = _run(spark, T.preprocess_text)
     assert got[3] == "phòng 203 giá 1 500 000đ 5 sao"
+
+
+def test_preprocess_wrong_words_and_en_vi(spark):
+    lex = Lexicons(wrong=["abc"], en_vi={"room": "phòng ngủ", "good": "tốt"}, stopwords=["ngủ"])
+    df = spark.createDataFrame([(1, "Room abc GOOD view ABC")], "id int, text string")
+    out = df.select(preprocess(F.col("text"), lex).alias("o")).first()["o"]
+    # lower-cased first: 'abc' removed twice, en->vi on lower-cased keys,
+    # multi-word value re-split, then stopwords ('ngủ') and 1-char tokens go
+    assert out == "phòng tốt view"
