@@ -20,7 +20,9 @@ def test_grid_small(spark):
     g2 = factor.grid_search(ratings, grid, parallelism=1)
     r1 = [r["rmse"] for r in g1.trials.orderBy("trial").collect()]
     r2 = [r["rmse"] for r in g2.trials.orderBy("trial").collect()]
-    assert r1 == r2 and all(math.isfinite(x) for x in r1)
+    # seeded fits agree; ALS sums shuffled blocks in fetch order, so allow
+    # floating-point noise (a different split or model differs by ~1e-2)
+    assert r1 == pytest.approx(r2, rel=1e-6) and all(math.isfinite(x) for x in r1)
     best = factor.best_trial(g1.trials).first()
     assert best["rmse"] == min(r1)
     train, test = factor.split(ratings)
