@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from recolens.llm import bitsliced, bpe, quality, warc
+from recolens.llm import backoff, bitsliced, bpe, packing, quality, warc
 from recolens.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,47 @@ def q_byte_bpe(spark, sf):
                        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+@register("op4_vector_packing")
+def q_vector_packing(spark, sf):
+    return packing.piece_digests(packing.pack_documents(
+        load_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
+
+
+BACKOFF_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (
+  SELECT r, v AS g1, a AS x1, a || ' ' || v AS g2, b || ' ' || a AS x2, b || ' ' || a || ' ' || v AS g3
+  FROM (SELECT *, lag(v) OVER o AS a, lag(v, 2) OVER o AS b
+        FROM (SELECT r, unnest(w) AS v, generate_subscripts(w, 1) AS i FROM d)
+        WINDOW o AS (PARTITION BY r ORDER BY i))),
+c1 AS (SELECT g1, count(*) AS c FROM p GROUP BY g1),
+c2 AS (SELECT g2, count(*) AS c FROM p WHERE g2 IS NOT NULL GROUP BY g2),
+c3 AS (SELECT g3, count(*) AS c FROM p WHERE g3 IS NOT NULL GROUP BY g3),
+s AS (
+  SELECT p.r, CASE
+    WHEN c3.c >= 2 THEN ln(c3.c) - ln(x2.c)
+    WHEN c2.c >= 2 THEN ln(c2.c) - ln(x1.c) + CASE WHEN p.g3 IS NULL THEN 0 ELSE ln(0.4) END
+    ELSE ln(c1.c) - ln((SELECT count(*) FROM p)) + CASE WHEN p.g2 IS NULL THEN 0 ELSE ln(0.4) END
+         + CASE WHEN p.g3 IS NULL THEN 0 ELSE ln(0.4) END END AS v
+  FROM p JOIN c1 ON p.g1 = c1.g1
+  LEFT JOIN c2 ON p.g2 = c2.g2 LEFT JOIN c3 ON p.g3 = c3.g3
+  LEFT JOIN c1 x1 ON p.x1 = x1.g1 LEFT JOIN c2 x2 ON p.x2 = x2.g2),
+t AS (SELECT r, sum(v) AS score, count(*) AS n FROM s GROUP BY r)
+SELECT d.doc_id, CAST(coalesce(t.n, 0) AS BIGINT) AS n_words, round(coalesce(t.score, 0.0), 4) AS score,
+       round(t.score / t.n, 6) AS mean_score
+FROM d LEFT JOIN t ON d.r = t.r
+"""
+
+
+@register("op5_stupid_backoff", BACKOFF_SQL)
+def q_stupid_backoff(spark, sf):
+    scored = backoff.score(load_table(spark, sf, "documents"))
+    return scored.select("doc_id", "n_words", F.round("score", 4).alias("score"),
+                         F.round("mean_score", 6).alias("mean_score"))
+
+
 TOP_K_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
