@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recolens.llm import backoff, bitsliced, bpe, packing, quality, warc
+from recolens.llm import backoff, bitsliced, bpe, packing, quality, toxicity, warc
 from recolens.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_crf_toxicity")
+def q_crf_toxicity(spark, sf):
+    return toxicity.score(load_table(spark, sf, "documents"), load_table(spark, sf, "labels"))
+
+
 @register("op2_byte_bpe")
 def q_byte_bpe(spark, sf):
     return bpe.digests(load_table(spark, sf, "documents"),
