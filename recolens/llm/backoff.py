@@ -22,10 +22,12 @@ table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,10 +58,29 @@ def ngram_hashes(words: np.ndarray, place: np.ndarray, order: int) -> list[np.nd
     return out
 
 
-def block_words(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, doc_id, text) rows to one compressed Arrow stream per batch and block."""
+    schema = pa.schema([("block", pa.int32()), ("docs", pa.binary())])
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        batch = batch.take(pc.sort_indices(batch["block"]))
+        blocks, starts = np.unique(batch["block"].to_numpy(), return_index=True)
+        packed = []
+        for a, b in zip(starts, np.append(starts[1:], batch.num_rows)):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, pa.schema([("doc_id", pa.int64()), ("text", pa.string())]),
+                                   options=options) as stream:
+                stream.write_batch(pa.record_batch([batch["doc_id"].slice(a, b - a),
+                                                    batch["text"].slice(a, b - a)], names=["doc_id", "text"]))
+            packed.append(sink.getvalue().to_pybytes())
+        yield pa.record_batch([pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], schema=schema)
+
+
+def block_words(packed: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """Ids, word counts, word hashes and word places of a block, in a fixed order of rows."""
     from xxhash import xxh3_64_intdigest
 
+    table = pa.concat_tables([pa.ipc.open_stream(d.as_buffer()).read_all() for d in packed["docs"]])
     table = table.take(pc.sort_indices(table, sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
     seen: dict[bytes, int] = {}
     codes, sizes = [], []
@@ -97,12 +118,13 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """Counts as bytes; 255 stands for the next of the long counts behind them."""
+    """Counts as bytes, compressed; 255 stands for the next of the long counts behind them."""
     short = np.minimum(counts, 255).astype(np.uint8)
-    return short.tobytes() + counts[short == 255].astype("<i8").tobytes()
+    return zstandard.compress(short.tobytes() + counts[short == 255].astype("<i8").tobytes(), 1)
 
 
 def unpack_counts(data: bytes, n: int) -> np.ndarray:
+    data = zstandard.decompress(data)
     out = np.frombuffer(data, np.uint8, n).astype(np.int64)
     out[out == 255] = np.frombuffer(data, "<i8", offset=n)
     return out
@@ -186,7 +208,8 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int =
     blocks = 1 + total // block_words_max
     tables = 1 + total // table_ngrams
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    dealt = dealt.repartition("block")
+    dealt = (dealt.select("block", "doc_id", "text").mapInArrow(_dealt, "block int, docs binary")
+             .repartition("block"))
     asked = dealt.groupBy("block").applyInArrow(
         _asked(order, tables), "block int, n int, part int, size int, grams binary, counts binary")
     answers = asked.groupBy("n", "part").applyInArrow(

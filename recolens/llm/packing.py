@@ -67,19 +67,35 @@ class Pieces:
         self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
 
-    def ids(self, text: str) -> bytes:
-        out = []
-        for part in chunks(text):
-            found = self.split(part)
-            new = [p for p in set(found) if p not in self.known]
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """Packed little-endian unsigned 32-bit ids of each text."""
+        for group in _groups(texts):
+            parts = [[self.split(part) for part in chunks(text)] for text in group]
+            distinct = {p for text in parts for part in text for p in part}
+            new = distinct.difference(self.known)
             if len(self.known) + len(new) > CACHE_PIECES:
                 self.known.clear()
-                new = list(set(found))
-            encoded = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            for piece, e in zip(new, encoded, strict=True):
-                self.known[piece] = np.array(e.ids, dtype="<u4").tobytes()
-            out.append(b"".join([self.known[p] for p in found]))
-        return b"".join(out)
+                new = distinct
+            if new:
+                new = list(new)
+                encoded = self.tokenizer.encode_batch(new, add_special_tokens=False)
+                self.known.update(zip(new, (np.array(e.ids, dtype="<u4").tobytes() for e in encoded), strict=True))
+            look = self.known.__getitem__
+            for text in parts:
+                yield b"".join([b"".join(map(look, part)) for part in text])
+
+
+def _groups(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
+    """Runs of texts of about ``chars`` characters, each run one text at least."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 @lru_cache(maxsize=2)
@@ -277,8 +293,8 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, pattern: str, limits: L
 
     def items(batch: pa.RecordBatch) -> Iterator[Item]:
         encoder = pieces(tokenizer_file, pattern)
-        for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-            ids = np.frombuffer(encoder.ids(text.as_py()) + end, dtype="<u4")
+        for doc_id, ids in zip(batch.column(0), encoder.ids(batch.column(1).to_pylist()), strict=True):
+            ids = np.frombuffer(ids + end, dtype="<u4")
             yield Item(doc_id.as_py(), 0, ids, None, len(ids))
 
     return text_rows(docs).mapInArrow(_packed(items, limits, True), PIECES)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recolens.llm import backoff, bitsliced, bpe, packing, quality, toxicity, warc
+from recolens.llm import backoff, bitsliced, bpe, line_dedup, packing, quality, toxicity, warc
 from recolens.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +104,34 @@ def q_quality_cascade(spark, sf):
     return quality.cascade(load_table(spark, sf, "documents"))
 
 
+LINE_DEDUP_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (
+  SELECT doc_id, i, ls[i] AS line,
+         list_filter(regexp_split_to_array(ls[i], '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+s AS (SELECT line, list_distinct(any_value(w)) AS w, min((doc_id, i)) AS first FROM l WHERE len(w) >= 5 GROUP BY line),
+t AS (SELECT line, len(w) AS n, first, unnest(w) AS tok FROM s),
+o AS (
+  SELECT a.line AS a, b.line AS b, count(*) AS o, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM t a JOIN t b ON a.tok = b.tok AND a.first < b.first AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+  GROUP BY a.line, b.line HAVING 9 * count(*) >= 4 * (any_value(a.n) + any_value(b.n))),
+g AS (
+  SELECT l.doc_id, l.i FROM l JOIN s ON l.line = s.line
+  WHERE (l.doc_id, l.i) > s.first OR l.line IN (SELECT b FROM o)),
+k AS (SELECT doc_id, list(i) AS gone FROM g GROUP BY doc_id)
+SELECT d.doc_id,
+       coalesce(array_to_string(list_filter(ls, lambda x, i: NOT list_contains(coalesce(gone, []), i)), chr(10)), '') AS text,
+       CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(coalesce(gone, [])) AS BIGINT) AS n_removed
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+
+@register("op9_line_dedup", LINE_DEDUP_SQL)
+def q_line_dedup(spark, sf):
+    return line_dedup.dedup_lines(load_table(spark, sf, "documents"))
+
+
 WARC_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
