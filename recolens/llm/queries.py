@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recolens.llm import backoff, bitsliced, bpe, line_dedup, packing, quality, toxicity, warc
+from recolens.llm import backoff, bitsliced, bpe, line_dedup, lsh_forest, packing, quality, toxicity, warc
 from recolens.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,30 @@ def q_byte_bpe(spark, sf):
                        public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 4], ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 9 * count(*) >= 4 * (any_value(x.n) + any_value(y.n))),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, min(r.b) AS class_id, (SELECT count(*) FROM l WHERE l.a = d.doc_id) AS n_links
+FROM d JOIN r ON r.a = d.doc_id GROUP BY d.doc_id
+"""
+
+
+@register("op3_ngram_jaccard_join", JACCARD_SQL)
+def q_ngram_jaccard_join(spark, sf):
+    return lsh_forest.jaccard_join(load_table(spark, sf, "documents"))
+
+
 @register("op4_vector_packing")
 def q_vector_packing(spark, sf):
     return packing.piece_digests(packing.pack_documents(
