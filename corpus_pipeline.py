@@ -1,15 +1,70 @@
-"""Corpus pipeline: documents to packed training sequences, stage by stage."""
+"""Corpus pipeline: documents to packed training sequences, stage by stage.
+
+1. toxicity: documents that the tagger predicts toxic go;
+2. line_dedup: later similar lines leave the texts, documents stay;
+3. near_duplicates: one document of each class of similar texts stays;
+4. secrets: secrets in texts are masked, documents stay;
+5. packing: the remaining texts become packed sequence pieces.
+
+All but the last stage return the columns of documents.  Stages cannot be
+expressed in SQL (trained models, tokenizer), so there is no oracle.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recolens.llm import line_dedup, lsh_forest, packing, secrets_forest, toxicity
+from recolens.llm.frames import written
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Integer ids as they are; a null id is a key of its own (the last)."""
+    return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents predicted toxic (rows without an id are judged by text alone)."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    model = toxicity.fit(toxicity.training_sample(docs, labels))
+    return toxicity.filter_clean(docs, model)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove later similar lines from the texts."""
+    return line_dedup.without_later_lines(docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of smallest id of each class of similar texts."""
+    classes = lsh_forest.jaccard_join(docs)
+    gone = written(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("__id")).distinct(), "duplicates")
+    if gone.count() <= lsh_forest.BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return _keyed(docs).join(gone, "__id", "left_anti").select(*docs.columns)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask secrets in the texts."""
+    return secrets_forest.redact(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences."""
+    return packing.piece_digests(packing.pack_documents(
+        docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
+
+
+STAGES = [("toxicity", toxicity_stage), ("line_dedup", line_dedup_stage), ("near_duplicates", near_duplicate_stage),
+          ("secrets", secrets_stage), ("packing", packing_stage)]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -168,20 +168,40 @@ def similar_lines(docs: DataFrame, min_words: int) -> DataFrame:
     return found.union(verified(docs, more, ranks).select(F.col("b_lh").alias("lh"))).distinct()
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
-    """(doc_id, text, n_lines, n_removed): every document without its later similar lines."""
+def removed_lines(docs: DataFrame, min_words: int) -> DataFrame:
+    """(__d, __gone): per id, hashes of the places and texts of its lines to remove."""
     similar = similar_lines(docs, min_words).withColumn("similar", F.lit(True))
     lines = line_rows(docs, min_words).drop("line")
     first = lines.groupBy("lh").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
     first = first.join(similar, "lh", "left")
     removed = (lines.join(first, "lh")
                .where(F.col("similar") | (F.struct("doc_id", "line_no") > F.col("first")))
-               .groupBy(F.col("doc_id").alias("d")).agg(F.collect_set(F.xxhash64("line_no", "lh")).alias("gone")))
-    removed = written(removed, "line-removed")
+               .groupBy(F.col("doc_id").alias("__d")).agg(F.collect_set(F.xxhash64("line_no", "lh")).alias("__gone")))
+    return written(removed, "line-removed")
+
+
+def _kept_lines() -> Column:
     kept = F.filter(F.split("text", "\n"),
-                    lambda line, i: ~F.array_contains("gone", F.xxhash64(i, F.xxhash64(line))))
-    return (text_rows(docs).withColumn("d", F.coalesce("doc_id", F.lit(_LAST))).join(_sized(removed), "d", "left")
-            .withColumn("kept", F.when(F.col("gone").isNull(), F.split("text", "\n")).otherwise(kept))
+                    lambda line, i: ~F.array_contains("__gone", F.xxhash64(i, F.xxhash64(line))))
+    return F.when(F.col("__gone").isNull(), F.split("text", "\n")).otherwise(kept)
+
+
+def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
+    """(doc_id, text, n_lines, n_removed): every document without its later similar lines."""
+    return (text_rows(docs).withColumn("__d", F.coalesce("doc_id", F.lit(_LAST)))
+            .join(_sized(removed_lines(docs, min_words)), "__d", "left")
+            .withColumn("kept", _kept_lines())
             .select("doc_id", F.array_join("kept", "\n").alias("text"),
                     F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
                     (F.size(F.split("text", "\n")) - F.size("kept")).cast("long").alias("n_removed")))
+
+
+def without_later_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
+    """All columns of ``docs``; the text loses its later similar lines, ``n_chars`` follows it."""
+    columns = docs.columns
+    out = (docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
+           .join(_sized(removed_lines(docs, min_words)), "__d", "left")
+           .withColumn("text", F.array_join(_kept_lines(), "\n")))
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast(docs.schema["n_chars"].dataType))
+    return out.select(*columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recolens.llm import backoff, bitsliced, bpe, line_dedup, lsh_forest, packing, quality, toxicity, warc
+from recolens.llm import backoff, bitsliced, bpe, line_dedup, lsh_forest, packing, quality, secrets_forest, toxicity, warc
 from recolens.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,6 +123,11 @@ def q_bit_sliced_top_k(spark, sf):
     return bitsliced.top_k(rows, rows.where("vec_id % 50 = 0"), 5)
 
 
+@register("op7_secret_forest")
+def q_secret_forest(spark, sf):
+    return secrets_forest.scored(load_table(spark, sf, "documents"))
+
+
 @register("op8_quality_cascade")
 def q_quality_cascade(spark, sf):
     return quality.cascade(load_table(spark, sf, "documents"))

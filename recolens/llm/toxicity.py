@@ -297,6 +297,21 @@ def _scored(model: Model):
     return run
 
 
+def filter_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below one half."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                part = batch.slice(i, 2000)
+                odds = tag([[w.lower() for w in tokens(t or "")] for t in part.column(at).to_pylist()], model)
+                x = np.array([(1.0, *document_features(o)) for o in odds])
+                yield part.filter(pa.array(x @ model.head < 0))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that teach nothing: crc32 of the id's text divisible by 5."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
