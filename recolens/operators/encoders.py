@@ -18,18 +18,11 @@ from pyspark.sql import DataFrame
 
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
-_CACHE: dict[int, Encoder] = {}
-
-
 def encode_texts(df: DataFrame, encoder_factory: Callable[[], Encoder], id_col: str = "item_id",
                  text_col: str = "text", batch_size: int = 256) -> DataFrame:
     """``(item_id, embedding ARRAY<FLOAT>)`` for every row of ``df``."""
-    key = id(encoder_factory)
-
     def run(batches):
-        enc = _CACHE.get(key)
-        if enc is None:
-            enc = _CACHE[key] = encoder_factory()
+        enc = encoder_factory()
         for pdf in batches:
             for start in range(0, len(pdf), batch_size):
                 part = pdf.iloc[start:start + batch_size]

@@ -19,8 +19,8 @@ DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> int:
-    """Rows of ``df`` up to ``max_rows + 1`` (stops counting past the bound)."""
-    return df.limit(max_rows + 1).count()
+    """Rows of ``df``, counted in parallel (one partial count per task), held to ``max_rows + 1``."""
+    return min(df.count(), max_rows + 1)
 
 
 def fits(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:

@@ -63,9 +63,9 @@ def eligible_items(pairs: DataFrame, min_rel: int = MIN_REL) -> DataFrame:
 def sample_order(id_col: str, seed: int = SEED_RNG):
     """Deterministic pseudo-random order key (LCG step on the id).
 
-    Integer arithmetic only, so any SQL engine reproduces the same sample;
-    valid for non-negative ids below 8e9 (no 64-bit overflow)."""
-    return F.pmod(F.col(id_col) * F.lit(1103515245) + F.lit(12345 + seed), F.lit(2147483648))
+    Integer arithmetic only, so any SQL engine reproduces the same sample; the
+    id is reduced before the product, so no id overflows 64 bits."""
+    return F.pmod(F.pmod(F.col(id_col), F.lit(2147483648)) * F.lit(1103515245) + F.lit(12345 + seed), F.lit(2147483648))
 
 
 def sample_seeds(candidates: DataFrame, n: int = N_SEEDS, seed: int = SEED_RNG,

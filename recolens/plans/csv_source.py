@@ -48,6 +48,10 @@ DICTIONARY_FILES = {"teencode": ("teencode.txt", "\t"), "emoji": ("emojicon.txt"
                     "en_vi": ("english-vnmese.txt", "\t")}
 
 
+def _roles(synonyms: dict[str, list[str]]) -> list[C.Role]:
+    return [C.Role(name, tuple(labels)) for name, labels in synonyms.items()]
+
+
 @dataclass
 class ReviewTables:
     catalog: DataFrame
@@ -65,11 +69,11 @@ def _item_ids(catalog: DataFrame, key: str) -> DataFrame:
 
 
 def load_review_tables(spark: SparkSession, catalog_csv: str, reviews_csv: str) -> ReviewTables:
-    info = C.auto_rename(C.trim_columns(read_csv_safely(spark, catalog_csv)), CATALOG_SYNONYMS)
-    com = C.auto_rename(C.trim_columns(read_csv_safely(spark, reviews_csv)), REVIEW_SYNONYMS)
+    info = C.with_role_names(C.trim_columns(read_csv_safely(spark, catalog_csv)), _roles(CATALOG_SYNONYMS))
+    com = C.with_role_names(C.trim_columns(read_csv_safely(spark, reviews_csv)), _roles(REVIEW_SYNONYMS))
     C.require_columns(info, ["Hotel_ID", "Hotel_Name"], os.path.basename(catalog_csv))
     C.require_columns(com, ["Reviewer_Name", "Hotel_ID"], os.path.basename(reviews_csv))
-    info = C.description_fallback(info).withColumn("__pos", F.monotonically_increasing_id())
+    info = C.with_joined_default(info, "Hotel_Description", ("Hotel_Name", "Hotel_Address")).withColumn("__pos", F.monotonically_increasing_id())
     com = com.withColumn("__pos", F.monotonically_increasing_id())
     # freeze file order and the (possibly non-deterministic) decoding once
     info, com = cut_lineage(info), cut_lineage(com)
@@ -86,10 +90,11 @@ def load_review_tables(spark: SparkSession, catalog_csv: str, reviews_csv: str)
                        T.as_text(F.col("Hotel_Description")).alias("text")))
     strings = [f.name for f in com.schema.fields if isinstance(f.dataType, StringType)]
     merged = F.concat_ws(" ", *[T.as_text(F.col(f"`{c}`")) for c in strings]) if strings else F.lit("")
-    com = com.dropna(subset=["Reviewer_Name"]).withColumn("__key", key).join(idmap, "__key")
+    # anonymous reviews stay in the text corpus; only pairs and ratings need a user
+    com = com.withColumn("__key", key).join(idmap, "__key")
     reviews = com.select("item_id", F.col("__pos").alias("seg_order"), merged.alias("merged"))
     score = F.col("Score") if "Score" in com.columns else F.lit(None).cast("string")
-    interactions = com.select(F.col("Reviewer_Name").cast("string").alias("user_id"), "item_id",
+    interactions = com.dropna(subset=["Reviewer_Name"]).select(F.col("Reviewer_Name").cast("string").alias("user_id"), "item_id",
                               score.cast("string").alias("raw_score"), F.col("__pos").alias("pos"))
     return ReviewTables(catalog, reviews, interactions)
 

@@ -93,14 +93,8 @@ def _ratings(spark, sf):
     return factor.ratings_frame(i, "user_id", "item_id", "rating_clean")
 
 
-_GRID_CACHE: dict = {}
-
-
 def grid(spark: SparkSession, sf: str) -> factor.GridResult:
-    key = (id(spark), sf)
-    if key not in _GRID_CACHE:
-        _GRID_CACHE[key] = factor.grid_search(_ratings(spark, sf))
-    return _GRID_CACHE[key]
+    return factor.grid_search(_ratings(spark, sf))
 
 
 def als_grid(spark, sf):

@@ -8,8 +8,6 @@ line wins.  An absent path gives an empty frame with the same schema.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -20,8 +18,7 @@ DICT_SCHEMA = StructType([StructField("key", StringType()), StructField("value",
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path:
-        return os.path.exists(path)
+    """Existence on the file system Spark itself would read ``path`` from."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -16,18 +16,21 @@ def test_dense_ids_follow_key_order(spark):
     assert got == want
 
 
-def test_column_helpers(spark):
-    assert C.normalize_col(" Hotel ID ") == "hotel_id"
-    df = spark.createDataFrame([(1, "a", "b")], ["Hotel ID", "name", "hotel_id"])
-    out = C.auto_rename(df, {"Hotel_ID": ["hotel_id"], "Hotel_Name": ["hotel_name", "name"]})
-    # two columns normalise to hotel_id: the later one is renamed
-    assert out.columns == ["Hotel ID", "Hotel_Name", "Hotel_ID"]
+def test_column_roles(spark):
+    assert C.label_key(" Hotel ID ") == "hotel_id" and C.label_key("--") == ""
+    roles = [C.Role("Hotel_ID", ("hotelid",), required=True), C.Role("Hotel_Name", ("hotel_name", "name")),
+             C.Role("text", ("description",), place=2)]
+    df = spark.createDataFrame([(1, "a", "b")], [" Hotel ID ", "name", "about"])
+    assert C.with_role_names(df, roles).columns == ["Hotel_ID", "Hotel_Name", "text"]
+    with pytest.raises(ValueError, match="several columns"):
+        C.resolve_roles(["Hotel ID", "name", "hotel_id"], roles)
+    with pytest.raises(ValueError, match="required role Hotel_ID"):
+        C.resolve_roles(["name", "about"], roles)
+    assert C.resolve_roles(["hotelid"], roles) == {"Hotel_ID": "hotelid"}
+    assert C.resolve_roles(["Hotel_ID", "name", "Name 2"], roles)["text"] == "Name 2"
     assert C.trim_columns(spark.createDataFrame([(1,)], [" x "])).columns == ["x"]
     with pytest.raises(ValueError):
         C.require_columns(df, ["Reviewer_Name"])
-    roles = C.discover_roles(["Hotel_ID", "Hotel_Name", "Hotel_Description"],
-                             ["Hotel ID", "Reviewer Name", "Score"])
-    assert roles["join_key"] == "Hotel ID" and roles["rating"] == "Score" and roles["user"] == "Reviewer Name"
 
 
 def test_missing_label_and_fallbacks(spark):
@@ -35,7 +38,7 @@ def test_missing_label_and_fallbacks(spark):
     got = [r["d"] for r in df.select(C.missing_label(F.col("v")).alias("d")).collect()]
     assert got == [C.MISSING_LABEL, C.MISSING_LABEL, "4 stars", C.MISSING_LABEL]
     cat = spark.createDataFrame([("h", "addr")], "Hotel_Name string, Hotel_Address string")
-    out = C.score_fallback(C.description_fallback(cat)).first()
+    out = C.score_fallback(C.with_joined_default(cat, "Hotel_Description", ("Hotel_Name", "Hotel_Address"))).first()
     assert out["Hotel_Description"] == "h addr" and 7.5 <= out["Total_Score"] <= 9.8
 
 
