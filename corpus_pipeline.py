@@ -17,16 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recolens.llm import line_dedup, lsh_forest, packing, secrets_forest, toxicity
-from recolens.llm.frames import written
+from recolens.llm.frames import unpacked, whole_rows, written
 
 ORACLE_SQL = None
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Integer ids as they are; a null id is a key of its own (the last)."""
-    return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
-
-
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents predicted toxic (rows without an id are judged by text alone)."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
@@ -40,12 +35,13 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each class of similar texts."""
+    """Keep the document of smallest id of each class of similar texts (rows that
+    share that id stay together; rows without an id stay)."""
     classes = lsh_forest.jaccard_join(docs)
-    gone = written(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("__id")).distinct(), "duplicates")
+    gone = written(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("id")).distinct(), "duplicates")
     if gone.count() <= lsh_forest.BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return _keyed(docs).join(gone, "__id", "left_anti").select(*docs.columns)
+    return unpacked(whole_rows(docs).join(gone, "id", "left_anti"), docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -165,7 +165,7 @@ def _searched(k: int):
                 words = -(-len(ids) // 64)
                 index = np.frombuffer(data, "<u8").reshape(dim, bits, words)
                 there = np.packbits(np.arange(words * 64) < len(ids), bitorder="little").view("<u8")
-                queries = np.frombuffer(q_data, np.int64).reshape(-1, dim)
+                queries = np.frombuffer(q_data, np.int64).reshape(len(q_ids) // 8, dim)
                 out: list[tuple[int, int, int]] = []
                 for q_id, query in zip(np.frombuffer(q_ids, np.int64).tolist(), queries, strict=True):
                     sums, offset = score_slices(query, low, bits, index)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recolens.session import checkpoint_dir
@@ -21,6 +21,21 @@ def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+LAST_ID = (1 << 63) - 1
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(row, id, text): all columns as one struct, so that helper columns cannot
+    clash with them; a null id is the last id."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+                       F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.col("text"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of ``row`` again, some of them replaced."""
+    return rows.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in columns))
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder path below the cluster's shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

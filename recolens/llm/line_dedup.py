@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recolens.llm.frames import WORD_GAP, text_rows, written
+from recolens.llm.frames import WORD_GAP, text_rows, unpacked, whole_rows, written
 
 BUCKETS = 1 << 16
 #: Sides of at most this many rows (of some 100 bytes) are broadcast, others shuffled.
@@ -86,7 +86,8 @@ def prefix_rows(lines: DataFrame, ranks: Column) -> DataFrame:
             .withColumn("n", F.size("codes")))
     sets = sets.withColumn("b0", _bitmap(F.col("codes"), 0)).withColumn("b1", _bitmap(F.col("codes"), 1))
     return sets.select("lh", "n", "b0", "b1", "doc_id", "line_no",
-                       F.posexplode(F.expr("slice(codes, 1, n - cast(ceil(0.8 * n) as int) + 1)")).alias("i", "token"))
+                       F.posexplode(F.expr("slice(codes, 1, n - cast(ceil(0.8 * n) as int) + 1)")).alias("i", "token")
+                       ).where("token is not null")
 
 
 def _passes(a: str, b: str) -> Column:
@@ -197,11 +198,12 @@ def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
 
 
 def without_later_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
-    """All columns of ``docs``; the text loses its later similar lines, ``n_chars`` follows it."""
-    columns = docs.columns
-    out = (docs.withColumn("__d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)))
-           .join(_sized(removed_lines(docs, min_words)), "__d", "left")
-           .withColumn("text", F.array_join(_kept_lines(), "\n")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    """All columns of ``docs``; the text loses its later similar lines (a null one
+    stays null), ``n_chars`` follows it."""
+    rows = (whole_rows(docs).join(_sized(removed_lines(docs, min_words)).withColumnRenamed("__d", "id"), "id", "left")
+            .withColumn("text", F.array_join(_kept_lines(), "\n")))
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        changed["n_chars"] = F.coalesce(F.length("text").cast(kind), F.col("row.n_chars"))
+    return unpacked(rows, docs.columns, **changed)

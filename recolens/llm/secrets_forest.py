@@ -26,7 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recolens.llm.frames import WORD_GAP, text_rows, written
+from recolens.llm.frames import LAST_ID, WORD_GAP, text_rows, unpacked, whole_rows, written
 
 CANDIDATE = r"(?<![A-Za-z0-9+/=_\-])(?=[A-Za-z+/=_\-]*[0-9])[A-Za-z0-9+/=_\-]{12,}"
 CREDENTIAL = r"(?i)(token|secret|passw(or)?d|pwd|api.?key|access.?key|private.?key|auth|credential|bearer)"
@@ -142,7 +142,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
     """All columns of ``docs``, with every secret in ``text`` replaced by ``mark``."""
     found = (scored(docs, **options).where("is_secret")
              .groupBy("doc_id", F.col("at")).agg(F.collect_set("value").alias("values"))
-             .groupBy(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("__id"))
+             .groupBy(F.coalesce("doc_id", F.lit(LAST_ID)).alias("__id"))
              .agg(F.collect_set(F.struct("at", "values")).alias("__found")))
     found = written(found, "secrets")
     if found.count() <= BROADCAST_ROWS:
@@ -152,7 +152,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
     hit = lambda i, v: F.exists("__found", lambda f: (f["at"] == i) & F.array_contains(f["values"], v))
     marked = F.transform(values, lambda v, i: F.concat(F.get(gaps, i), F.when(hit(i, v), F.lit(mark)).otherwise(v)))
     text = F.concat(F.array_join(marked, ""), F.element_at(gaps, -1))
-    return (docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)))
-            .join(found, "__id", "left")
-            .withColumn("text", F.when(F.col("__found").isNull(), F.col("text")).otherwise(text))
-            .select(*docs.columns))
+    rows = whole_rows(docs).join(found.withColumnRenamed("__id", "id"), "id", "left")
+    return unpacked(rows, docs.columns, text=F.when(F.col("__found").isNull(), F.col("text")).otherwise(text))

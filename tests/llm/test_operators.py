@@ -1,0 +1,422 @@
+"""The dealt operators against brute force, round trips and edge cases."""
+
+import base64
+import gzip
+import hashlib
+import math
+import os
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from recolens.llm import (backoff, bitsliced, bpe, line_dedup, lsh_forest, packing, quality, secrets_forest, toxicity,
+                          warc)
+from recolens.llm.frames import shared_path
+
+SCHEMA = "doc_id long, text string, score string, d int, __gone int"
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+JSON = public_tokenizers.path("byte_bpe_50k.json")
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(3)
+    base = [prose(rng, 60) for _ in range(6)]
+    near = base[0].split()
+    near[5] = "changed"
+    texts = [*base, base[0], " ".join(near), None, "", " \t\n ", "one", "two words", base[1],
+             "\n".join([base[2], base[3], base[2], "x y"]), prose(rng, 3000), "é ü 漢字 🙂 " * 5]
+    out = [(i, t, "s", 1, 2) for i, t in enumerate(texts)]
+    return [*out, out[3], (None, base[4], None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(text):
+    return (text or "").encode().split()
+
+
+# ------------------------------------------------------------------ tokens
+
+def reference_bpe(text, ranks):
+    import regex
+
+    out = []
+    for piece in regex.findall(PATTERN, text):
+        parts = [bytes([b]) for b in piece.encode()]
+        while True:
+            pairs = [(ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
+            if not pairs or min(pairs)[0] == 1 << 30:
+                break
+            i = min(pairs)[1]
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        out += [ranks[p] for p in parts]
+    return out
+
+
+def test_bpe_matches_brute_force_and_round_trips(spark, docs, nothing):
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    for r in bpe.digests(docs, RANKS, PATTERN).join(docs.select("doc_id", "text"), "doc_id").collect():
+        ids = np.array(reference_bpe(r.text or "", ranks), "<u4")
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+    assert bpe.digests(nothing, RANKS, PATTERN).count() == 0
+    assert bpe.digests(docs, RANKS, PATTERN).count() == docs.count()
+    encoded = bpe.encode(docs, RANKS, PATTERN)
+    back = bpe.decode(encoded, RANKS, PATTERN).where("doc_id = 16").first()
+    assert bytes(back.decoded).decode() == "é ü 漢字 🙂 " * 5
+
+
+def test_bpe_chunks_do_not_change_ids():
+    rng = random.Random(1)
+    text = "".join(rng.choice(["ab", " ", "\n", "12", "'s", "  ", "é", "!", "\t\n", "x9", " "]) for _ in range(4000))
+    whole = bpe.encode_text(text, RANKS, PATTERN, 1 << 30)
+    assert all(bpe.encode_text(text, RANKS, PATTERN, n) == whole for n in (1, 7, 100))
+    assert "".join(bpe.chunks(text, 5)) == text
+
+
+# ----------------------------------------------------------------- packing
+
+def check_pieces(pieces, limits):
+    by_sequence = {}
+    for p in pieces:
+        by_sequence.setdefault(p.sequence_id, []).append(p)
+    for members in by_sequence.values():
+        members.sort(key=lambda p: p.offset)
+        assert [p.offset for p in members] == [sum(q.length for q in members[:i]) for i in range(len(members))]
+        assert sum(p.length for p in members) <= limits.tokens and len(members) <= limits.segments
+        assert sum(p.loss for p in members) <= limits.loss
+    return [sum(p.length for p in m) for m in by_sequence.values()]
+
+
+def test_packing_documents(docs, nothing, rows):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(JSON)
+    tok.encode_special_tokens = True
+    limits = packing.Limits(64, 4, 64)
+    pieces = packing.pack_documents(docs, JSON, PATTERN, limits).collect()
+    sizes = check_pieces(pieces, limits)
+    assert sum(0 if n & (n - 1) == 0 else 64 - n for n in sizes) == 0
+    wanted = Counter()
+    for r in rows:
+        wanted[r[0], np.array([*tok.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4").tobytes()] += 1
+    single = {d: ids for (d, ids), n in wanted.items() if n == 1 and d is not None}
+    for d, ids in single.items():
+        mine = sorted((p for p in pieces if p.doc_id == d), key=lambda p: p.start)
+        assert b"".join(bytes(p.ids) for p in mine) == ids and all(p.doc_tokens * 4 == len(ids) for p in mine)
+    assert sum(sizes) == sum(len(ids) // 4 * n for (_, ids), n in wanted.items())
+    assert packing.pack_documents(nothing, JSON, PATTERN).count() == 0
+
+
+def test_packing_instruction_examples(spark):
+    rng = random.Random(5)
+    data = []
+    for i in range(200):
+        n = rng.randrange(0, 40)
+        data.append((i, list(range(n)), None if i % 9 == 0 else [int(j > n // 2) for j in range(n)]))
+    data.append((None, None, None))
+    limits = packing.Limits(64, 5, 30)
+    frame = spark.createDataFrame(data, "doc_id long, ids array<long>, loss array<int>").repartition(2)
+    for cut in (False, True):
+        pieces = packing.pack_examples(frame, limits, cut).collect()
+        check_pieces(pieces, limits)
+        assert sum(p.length for p in pieces) == sum(len(r[1] or []) for r in data)
+        if not cut:
+            whole = Counter(p.doc_id for p in pieces)
+            assert all(whole[i] == 1 for i, ids, loss in data
+                       if ids and len(ids) <= 30), "small examples stay whole"
+
+
+# ---------------------------------------------------------------- toxicity
+
+def test_forward_backward_matches_enumeration():
+    rng = np.random.default_rng(2)
+    odds, chain = rng.normal(size=(5, 1)), rng.normal(size=5)
+    trans = chain[1:].reshape(2, 2)
+    weight = Counter()
+    for y in range(32):
+        ys = [y >> t & 1 for t in range(5)]
+        w = math.exp(ys[0] * chain[0] + sum(odds[t, 0] * ys[t] for t in range(5))
+                     + sum(trans[a, b] for a, b in zip(ys, ys[1:])))
+        for t in range(5):
+            weight[t, ys[t]] += w
+    total, _ = toxicity.forward_backward(odds, np.array([5]), chain)
+    assert np.allclose(toxicity.sigmoid(total[:, 0]), [weight[t, 1] / (weight[t, 0] + weight[t, 1]) for t in range(5)])
+
+
+def test_toxicity_learns_and_points_at_spans(spark, nothing):
+    rng = random.Random(8)
+    data, labels = [], []
+    for i in range(400):
+        text = [rng.choice(WORDS) for _ in range(40)]
+        if i % 4 == 0:
+            for _ in range(3):
+                text[rng.randrange(40)] = rng.choice(["nastyfool", "nastybrute", "nastyrat"])
+        data.append((i, " ".join(text), "", 0, 0))
+        labels.append((i, int(i % 4 == 0), 1))
+    data += [(1000, None, "", 0, 0), (1001, "", "", 0, 0), (1002, "12 34", "", 0, 0), (None, "alpha", "", 0, 0)]
+    labels += [(None, 1, 1), (5000, None, 1)]
+    frame = spark.createDataFrame(data, SCHEMA)
+    known = spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    got = {r.doc_id: r for r in toxicity.score(frame, known).collect()}
+    assert len(got) == len(data)
+    assert all(got[i].predicted == int(i % 4 == 0) for i in range(400))
+    assert all(0 <= r.score <= 1 for r in got.values()) and got[None].held_out is False
+    assert got[1000].predicted == got[1001].predicted == got[1002].predicted == 0
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(400))
+    text = data[0][1]
+    assert got[0].spans and all("nasty" in text[s.start:s.end] for s in got[0].spans)
+    assert toxicity.score(nothing, known).count() == 0
+    alone = toxicity.score(frame, known.where("toxic = 0")).agg(F.max("score"), F.countDistinct("score")).first()
+    assert alone[1] == 1 and alone[0] < 0.5
+
+
+# -------------------------------------------------------------- LM scoring
+
+def test_backoff_matches_brute_force(docs, nothing, rows):
+    texts = [words(r[1]) for r in rows]
+    counts = [Counter(tuple(t[i:i + n]) for t in texts for i in range(len(t) - n + 1)) for n in (1, 2, 3)]
+    total = sum(counts[0].values())
+
+    def s(context, w):
+        gram = (*context, w)
+        if not context:
+            return counts[0][gram] / total
+        if counts[len(context)][gram] >= 2:
+            return counts[len(context)][gram] / counts[len(context) - 1][context]
+        return 0.4 * s(context[1:], w)
+
+    want = Counter()
+    for r, t in zip(rows, texts):
+        want[r[0], len(t), round(sum(math.log(s(tuple(t[max(0, i - 2):i]), w)) for i, w in enumerate(t)), 6)] += 1
+    for kw in ({}, {"block_words_max": 500, "table_ngrams": 700}):
+        got = backoff.score(docs, **kw).collect()
+        assert Counter((r.doc_id, r.n_words, round(r.score, 6) + 0.0) for r in got) == want
+    assert backoff.score(nothing).count() == 0
+
+
+def test_backoff_packing_of_hashes_and_counts():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 1000):
+        h = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        assert (backoff.unpack_sorted(backoff.pack_sorted(h)) == h).all()
+    c = np.array([1, 254, 255, 256, 10**12])
+    assert (backoff.unpack_counts(backoff.pack_counts(c), 5) == c).all()
+
+
+# ------------------------------------------------------------------ search
+
+def test_bit_sliced_search_matches_brute_force(spark):
+    rng = random.Random(6)
+    data = [(i, [rng.choice([-0.5, 0.0, 0.25, rng.uniform(-1, 1)]) for _ in range(6)]) for i in range(300)]
+    data += [(300, None), (301, [None] * 6), (302, [float("nan")] * 6), (303, [float("inf")] * 6), (304, [1.0]),
+             (350, []), (None, [0.0] * 6), data[7], (400, data[7][1])]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3)
+    got = [tuple(r) for r in bitsliced.top_k(frame, frame.where("vec_id % 50 = 0"), 5, block_rows=64,
+                                             query_rows=2).collect()]
+    ok = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in data if i is not None and v is not None
+          and all(x is not None and math.isfinite(x) for x in v)]
+    want = []
+    for q, u in dict((i, v) for i, v in ok if i % 50 == 0).items():
+        found = sorted((-sum(a * b for a, b in zip(u, v)), i) for i, v in ok if i != q and len(v) == len(u))[:5]
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(found, 1)]
+    assert sorted(got) == sorted(want)
+    assert bitsliced.top_k(frame.limit(0), frame.limit(0), 5).count() == 0
+
+
+# ----------------------------------------------------------------- quality
+
+def test_quality_measures_match_brute_force(spark, docs, nothing, rows):
+    junk = [(100, "#spam $$ " * 30, "", 0, 0), (101, "a b c d e f g " * 4, "", 0, 0),
+            (102, "\n".join(["line of text", "other", "line of text", " ", " "]), "", 0, 0)]
+    frame = docs.unionByName(spark.createDataFrame(junk, SCHEMA))
+    got = {(r.doc_id, r.n_words): r for r in quality.cascade(frame).collect()}
+    for doc_id, text, *_ in [*rows, *junk]:
+        w = words(text)
+        grams = Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
+        inside = {j for i in range(len(w) - 4) if grams[tuple(w[i:i + 5])] > 1 for j in range(i, i + 5)}
+        lines = (text or "").split("\n")
+        dup = sum(bool(words(x)) and x in lines[:i] for i, x in enumerate(lines))
+        r = got[doc_id, len(w)]
+        assert r.word_chars == sum(len(x.decode()) for x in w) and r.n_dup_lines == dup
+        assert r.n_symbols == sum(c in "#*$%&|<>" for c in text or "") and r.n_repeat_words == len(inside)
+        assert r.base_failed == (len(w) < 10 or 100 * len(inside) > 20 * len(w))
+        t = quality.Text(text or "")
+        assert r.kept == (not r.base_failed and not any(x.rejects(t) for x in quality.RULES))
+    assert not got[100, 60].kept and got[0, 60].kept
+    assert quality.cascade(nothing).count() == 0
+    big = np.arange(3_000_000) % 2_999_000  # key recoding beyond 63 bits
+    assert quality.repeated_words(big, 5) == 2000
+
+
+# ------------------------------------------------------------ near copies
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_jaccard_join_matches_brute_force(spark, nothing, rows):
+    rng = random.Random(9)
+    data = list(rows[:-2])
+    base = prose(rng, 80).split()
+    for i in range(200, 320):  # one large class of variants over several blocks
+        t = list(base)
+        t[rng.randrange(80)] = "new" + str(i)
+        data.append((i, " ".join(t), "", 0, 0))
+    sets = {r[0]: {tuple(words(r[1])[i:i + 5]) for i in range(max(1, len(words(r[1])) - 4))} if words(r[1]) else set()
+            for r in data}
+    links = {a: {b for b in sets if a != b and sets[a] and sets[b] and 9 * len(sets[a] & sets[b])
+                 >= 4 * (len(sets[a]) + len(sets[b]))} for a in sets}
+    want = {}
+    for a in sorted(sets):
+        seen, todo = {a}, [a]
+        while todo:
+            new = links[todo.pop()] - seen
+            seen |= new
+            todo += new
+        want[a] = (min(seen), len(links[a]))
+    old, lsh_forest.BLOCK_MEMBERS = lsh_forest.BLOCK_MEMBERS, 32
+    try:
+        got = lsh_forest.jaccard_join(spark.createDataFrame(data, SCHEMA).repartition(3)).collect()
+    finally:
+        lsh_forest.BLOCK_MEMBERS = old
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == want
+    assert lsh_forest.jaccard_join(nothing).count() == 0
+
+
+def test_prefix_depth_reaches_target():
+    for target in (0.9, 0.99999):
+        d = lsh_forest.prefix_depth(0.8, 32, 8, target)
+        assert 1 - (1 - 0.8 ** d) ** 32 >= target and (d == 8 or 1 - (1 - 0.8 ** (d + 1)) ** 32 < target)
+
+
+def test_line_dedup_matches_brute_force(spark, nothing, rows):
+    rng = random.Random(12)
+    data = list(rows[:-2])
+    line = prose(rng, 30).split()
+    for i in range(50, 80):
+        t = list(line)
+        t[rng.randrange(30)] = "v" + str(i)
+        data.append((i, "\n".join([prose(rng, 12), " ".join(t), "short one", prose(rng, 8)]), "", 0, 0))
+    seen, want = [], {}
+    for doc_id, text, *_ in sorted(data):
+        kept, place = [], 0
+        for x in (text or "").split("\n"):
+            w = words(x)
+            s = set(w)
+            gone = len(w) >= 5 and any(5 * len(s & o) >= 4 * len(s | o) for o in seen)
+            if len(w) >= 5:
+                seen.append(s)
+            place += 1
+            if not gone:
+                kept.append(x)
+        want[doc_id] = ("\n".join(kept), place, place - len(kept))
+    frame = spark.createDataFrame(data, SCHEMA).repartition(3)
+    got = line_dedup.dedup_lines(frame).collect()
+    assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in got} == want
+    whole = line_dedup.without_later_lines(frame)
+    assert whole.columns == frame.columns and {r.doc_id: r.text or "" for r in whole.collect()} == {k: v[0] for k, v in want.items()}
+    assert line_dedup.dedup_lines(nothing).count() == 0
+
+
+# ----------------------------------------------------------------- secrets
+
+def test_secret_forest(spark, nothing):
+    rng = random.Random(13)
+    data, secret = [], {}
+    for i in range(300):
+        value = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        number = "".join(rng.choice("0123456789") for _ in range(16))
+        text = f"alpha beta {number} gamma"
+        if i % 3 == 0:
+            text = f"é delta token = \"{value}\" zeta {number}"
+            secret[i] = value
+        data.append((i, text, "", 0, 0))
+    data += [(900, None, "", 0, 0), (901, "", "", 0, 0), (None, "plain words", "", 0, 0)]
+    frame = spark.createDataFrame(data, SCHEMA)
+    got = secrets_forest.scored(frame).collect()
+    texts = {r[0]: r[1] for r in data}
+    assert all(texts[r.doc_id][r.start:r.start + r.length] == r.value for r in got)
+    assert {r.doc_id: r.value for r in got if r.is_secret} == secret
+    clean = secrets_forest.redact(frame)
+    assert clean.columns == frame.columns
+    out = {r.doc_id: r.text for r in clean.collect()}
+    assert all(out[i] == (texts[i].replace(secret[i], "[SECRET]") if i in secret else texts[i]) for i in texts)
+    assert secrets_forest.scored(nothing).count() == 0
+    plan = clean._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+# -------------------------------------------------------------------- WARC
+
+def test_warc_round_trip(spark):
+    pages = [(i, f"http://h/{i}\n", "<p>é " + "x" * (i % 4), 1) for i in range(40)]
+    pages += [(50, None, None, 1), (51, "u", "", 1), (None, "u", "", 1), pages[3], (60, "u", "WARC/1.1\r\nfoo\r\n\r\n", 1)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string, digest int").repartition(3)
+    got = Counter(tuple(r) for r in warc.archive_round_trip(frame).collect())
+    first = {}
+    for i, _, html, _ in pages:
+        if i is not None:
+            first[html or ""] = min(first.get(html or "", i), i)
+    want = Counter()
+    for i, _, html, _ in pages:
+        data = (html or "").encode()
+        same = first[html or ""] == i
+        want[i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if same else "revisit",
+             None if same else first[html or ""]] += 1
+    assert got == want
+    assert warc.archive_round_trip(frame.limit(0)).count() == 0
+    small = warc.archive_round_trip(frame, min_bytes=1 << 20)
+    assert small.where("record_type = 'revisit'").count() == 0
+
+
+def record(payload, i):
+    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    return (f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:{i}>\r\nX-Page-ID: {i}\r\n"
+            f"WARC-Payload-Digest: sha1:{digest}\r\nContent-Length: {len(payload)}\r\n\r\n").encode() + payload + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_warc_salvage(packed):
+    parts = [record(f"page {i} WARC/1.1\r\n".encode() * 3, i) for i in range(6)]
+    if packed:
+        parts = [gzip.compress(p, mtime=0) for p in parts]
+    broken = bytearray(parts[2])
+    broken[-12] ^= 0x55
+    data = parts[0] + b"noise" + parts[1] + bytes(broken) + parts[3] + parts[4][:-9] + parts[5]
+    out = list(warc.salvage(data))
+    good = [h["x-page-id"] for _, _, h, _, gap in out if gap is None]
+    assert good == ["0", "1", "3", "5"]
+    assert sum(n for _, n, *_ in out) == len(data)
+    assert [data[o:o + n] for o, n, _, _, gap in out if gap][0] == b"noise"
+    assert list(warc.salvage(b"")) == [] and [g[4] for g in warc.salvage(b"junk")] == ["no version line"]
+
+
+def test_warc_gaps_are_reported(spark):
+    folder = shared_path(spark, "warc-test").removeprefix("file://")
+    os.makedirs(folder)
+    with open(f"{folder}/a.warc", "wb") as f:
+        f.write(record(b"a", 1) + b"???" + record(b"b", 2))
+    rows = warc.read_archives(spark, folder).orderBy("offset").collect()
+    assert [(r.page_id, r.gap) for r in rows] == [(1, None), (None, "no version line"), (2, None)]
+    assert rows[1].length == 3
