@@ -177,10 +177,13 @@ def order_rules(texts: list[str], rules: tuple[Rule, ...]) -> list[str]:
 def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_docs: int = SAMPLE_DOCS,
                  sample_chars: int = 4_000_000) -> list[str]:
     """Order of the rules from a sample bounded in documents and characters:
-    the rows of the lowest id hashes, one small row set per partition."""
+    the rows of the lowest id hashes; only ids are ranked, texts are fetched for those."""
     rows = text_rows(docs)
-    picked = (rows.select("text", F.xxhash64("doc_id", F.lit(17)).alias("h")).orderBy("h", "text")
-              .where(F.length("text") <= sample_chars // sample_docs).limit(sample_docs))
+    picked = (rows.where(F.length("text") <= sample_chars // sample_docs)
+              .select("doc_id", F.xxhash64("doc_id", F.lit(17)).alias("h")).orderBy("h").limit(sample_docs)
+              .select("doc_id").distinct())
+    picked = rows.where(F.length("text") <= sample_chars // sample_docs).join(F.broadcast(picked), "doc_id")
+    picked = picked.select("text").limit(sample_docs)
     return order_rules([r.text for r in picked.collect()], rules)
 
 
