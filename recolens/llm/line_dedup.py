@@ -1,19 +1,23 @@
-"""Line deduplication by an exact set-similarity join, in native SQL functions.
+"""Line deduplication by an exact set-similarity join.
 
 A line is the set of its words.  Words become 64-bit codes whose order is that
 of rarity: the top 16 bits of the word hash are replaced by the rarity rank of
 that hash bucket over the whole corpus (a fixed 65,536 counts), which keeps
 codes distinct and gives every line the same global order.  Two lines of
 similarity 4/5 or more share a code in their prefixes (the rarest fifth and
-one more).  Prefix rows meet by code and pass length, positional and bitmap
-filters; what passes is verified on the full sets.  A line is removed if an
-earlier line, by (doc_id, line number), is similar.
+one more).  Only the first place of each distinct line enters the join.  Prefix
+rows meet by code and pass length, positional and bitmap filters; what passes
+is verified on the full sets.  A line is removed if an earlier line, by
+(doc_id, line number), is similar or equal.
 
 Large groups of variants stay linear: under each code, a line is paired with
 the earliest line alone when that one passes all filters, with all earlier ones
 otherwise.  A line whose earliest partner then fails verification is joined
 with all earlier lines in a second pass.
 
+Words are split, coded and sorted in Arrow batches, joins and aggregates are
+DataFrame code (README: the native form could not meet the limits).
+
 Defined results: a null or empty text has no lines to remove and stays as the
 empty text; lines of fewer than ``min_words`` words are never removed
 and match nothing; a null id sorts last; rows that repeat an id and a text are
@@ -24,83 +28,172 @@ an empty result.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import count
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recolens.llm.frames import WORD_GAP, text_rows, unpacked, whole_rows, written
+from recolens.llm.frames import LAST_ID, text_rows, unpacked, whole_rows, written
 
 BUCKETS = 1 << 16
 #: Sides of at most this many rows (of some 100 bytes) are broadcast, others shuffled.
 BROADCAST_ROWS = 400_000
-_LOW = (1 << 48) - 1
-_LAST = (1 << 63) - 1
-
-
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, WORD_GAP), lambda w: w != "")
-
-
-def _bucket(word: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(word), 48).cast("int")
-
-
-def rarity_ranks(docs: DataFrame) -> Column:
-    """Rank of every hash bucket by its words' count over all texts, as a constant array."""
-    counts = (text_rows(docs).select(F.explode(F.split("text", WORD_GAP)).alias("w"))
-              .groupBy(_bucket(F.col("w")).alias("b")).count().collect())
-    held = dict.fromkeys(range(BUCKETS), 0) | {r.b: r["count"] for r in counts}
-    ranks = [0] * BUCKETS
-    for rank, b in enumerate(sorted(held, key=lambda b: (held[b], b))):
-        ranks[b] = rank
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
-
-
-def codes_of(line: Column, ranks: Column) -> Column:
-    """Distinct words of a line as codes, rarest bucket first."""
-    def code(w: Column) -> Column:
-        rank = F.element_at(ranks, _bucket(w) + 1).cast("long") - BUCKETS // 2
-        return F.shiftleft(rank, 48).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit(_LOW)))
-    return F.sort_array(F.array_distinct(F.transform(words_of(line), code)))
-
-
-def line_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, line_no, lh, line): lines of ``min_words`` words or more; null ids last."""
-    return (text_rows(docs)
-            .select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), F.posexplode(F.split("text", "\n"))
-                    .alias("line_no", "line"))
-            .where(F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")) >= min_words)
-            .select("doc_id", "line_no", F.xxhash64("line").alias("lh"), "line"))
-
-
-def _bitmap(codes: Column, half: int) -> Column:
-    """64 parity bits of the codes whose bit 6 is ``half``."""
-    def flip(x: Column, c: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
-        return F.when(c.bitwiseAND(F.lit(64)) == 64 * half, x.bitwiseXOR(bit)).otherwise(x)
-    return F.aggregate(codes, F.lit(0).cast("long"), flip)
-
-
-def prefix_rows(lines: DataFrame, ranks: Column) -> DataFrame:
-    """(token, lh, n, i, b0, b1, doc_id, line_no): one row per code of the prefix."""
-    sets = (lines.withColumn("codes", codes_of(F.col("line"), ranks)).drop("line")
-            .withColumn("n", F.size("codes")))
-    sets = sets.withColumn("b0", _bitmap(F.col("codes"), 0)).withColumn("b1", _bitmap(F.col("codes"), 1))
-    return sets.select("lh", "n", "b0", "b1", "doc_id", "line_no",
-                       F.posexplode(F.expr("slice(codes, 1, n - cast(ceil(0.8 * n) as int) + 1)")).alias("i", "token")
-                       ).where("token is not null")
+#: Words coded at a time (a longer line is coded whole).
+CHUNK_WORDS = 1 << 19
+_LOW = np.uint64((1 << 48) - 1)
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, text): null ids last; an id and the hash of its text name a row."""
+    return text_rows(docs).select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("doc_id"),
+                                  F.xxhash64("text").alias("th"), "text")
+
+
+def coded(lines: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Words per line, and the 64-bit hash of every word of all lines."""
+    from xxhash import xxh3_64_intdigest
+
+    seen: dict[bytes, int] = defaultdict(count().__next__)
+    codes, sizes = [], []
+    for line in lines:
+        found = line.split()
+        sizes.append(len(found))
+        codes.extend(map(seen.__getitem__, found))
+    hashes = np.fromiter(map(xxh3_64_intdigest, seen), np.uint64, len(seen))
+    return np.array(sizes, np.int64), hashes[np.array(codes, np.int64)]
+
+
+def _bucket_counts(batches: Batches) -> Batches:
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for text in batch.column(0).cast(pa.binary()):
+            words = coded([text.as_py()])[1]
+            total += np.bincount((words >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+    held = np.flatnonzero(total)
+    yield pa.record_batch([pa.array(held), pa.array(total[held])], names=["bucket", "words"])
+
+
+def rarity_ranks(docs: DataFrame) -> np.ndarray:
+    """Rank of every hash bucket by its words' count over all texts."""
+    counts = (text_rows(docs).select("text").mapInArrow(_bucket_counts, "bucket long, words long")
+              .groupBy("bucket").agg(F.sum("words").alias("words")).collect())
+    held = np.zeros(BUCKETS, np.int64)
+    for row in counts:
+        held[row.bucket] = row.words
+    ranks = np.empty(BUCKETS, np.uint64)
+    ranks[np.argsort(held, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
+    return ranks
+
+
+def line_places(docs: DataFrame, min_words: int) -> DataFrame:
+    """(lh, doc_id, line_no, th): every place of a line of ``min_words`` words or more."""
+    def run(batches: Batches) -> Batches:
+        from xxhash import xxh3_64_intdigest
+
+        for batch in batches:
+            rows, numbers, hashes = [], [], []
+            for row, text in enumerate(batch.column(2).cast(pa.binary())):
+                for number, line in enumerate(text.as_py().split(b"\n")):
+                    if len(line.split(None, min_words - 1)) >= min_words:
+                        rows.append(row), numbers.append(number), hashes.append(xxh3_64_intdigest(line))
+            at = pa.array(rows, pa.int64())
+            yield pa.record_batch([pa.array(np.array(hashes, np.uint64).view(np.int64)), batch.column(0).take(at),
+                                   pa.array(numbers, pa.int32()), batch.column(1).take(at)],
+                                  names=["lh", "doc_id", "line_no", "th"])
+
+    return keyed_rows(docs).mapInArrow(run, "lh long, doc_id long, line_no int, th long")
+
+
+def first_places(places: DataFrame) -> DataFrame:
+    """(lh, doc_id, line_no, th, n): the first place of every distinct line, its number of places."""
+    return (places.groupBy("lh").agg(F.min(F.struct("doc_id", "line_no", "th")).alias("first"), F.count("*").alias("n"))
+            .select("lh", "first.*", "n"))
+
+
+def _line_sets(batches: Batches, ranks: np.ndarray) -> Iterator[tuple]:
+    """Of the listed lines of (doc_id, text, lines): id, number and hash of each
+    line, its distinct codes in order of rarity end to end, and their number."""
+    def sets(part: list[tuple]) -> tuple:
+        ids, numbers, hashes, lines = zip(*part)
+        sizes, words = coded(lines)
+        codes = ranks[(words >> np.uint64(48)).astype(np.int64)] << np.uint64(48) | words & _LOW
+        owner = np.repeat(np.arange(len(part)), sizes)
+        order = np.lexsort((codes, owner))
+        owner, codes = owner[order], codes[order]
+        new = np.ones(len(codes), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (codes[1:] != codes[:-1])
+        return (np.array(ids, np.int64), np.array(numbers, np.int32), np.array(hashes, np.int64), codes[new],
+                np.bincount(owner[new], minlength=len(part)))
+
+    for batch in batches:
+        part, held = [], 0
+        for doc_id, text, lines in zip(batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2)):
+            all_lines = text.as_py().split(b"\n")
+            for at in lines.as_py():
+                line = all_lines[at["line_no"]]
+                part.append((doc_id.as_py(), at["line_no"], at["lh"], line))
+                held += len(line) // 6
+                if held >= CHUNK_WORDS:
+                    yield sets(part)
+                    part, held = [], 0
+        if part:
+            yield sets(part)
+
+
+def _listed(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, text, lines): the texts that hold some of these places."""
+    lines = written(places.groupBy("doc_id", "th").agg(F.collect_set(F.struct("line_no", "lh")).alias("lines")),
+                    "line-lists")
+    return keyed_rows(docs).join(_sized(lines), ["doc_id", "th"]).select("doc_id", "text", "lines")
+
+
+def prefix_rows(docs: DataFrame, places: DataFrame, ranks: np.ndarray) -> DataFrame:
+    """(token, lh, n, i, bits, doc_id, line_no): one row per code of each line's prefix."""
+    def run(batches: Batches) -> Batches:
+        for ids, numbers, hashes, codes, n in _line_sets(batches, ranks):
+            starts = np.cumsum(n) - n
+            bits = np.bitwise_xor.reduceat(np.uint64(1) << (codes & np.uint64(63)), starts).view(np.int64)
+            owner = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(codes)) - starts[owner]
+            short = at < (n - (4 * n + 4) // 5 + 1)[owner]
+            owner, at = owner[short], at[short].astype(np.int32)
+            yield pa.record_batch([codes[short].view(np.int64), hashes[owner], n[owner].astype(np.int32), at, bits[owner],
+                                   ids[owner], numbers[owner]],
+                                  names=["token", "lh", "n", "i", "bits", "doc_id", "line_no"])
+
+    return _listed(docs, places).mapInArrow(
+        run, "token long, lh long, n int, i int, bits long, doc_id long, line_no int")
+
+
+def full_sets(docs: DataFrame, places: DataFrame, ranks: np.ndarray) -> DataFrame:
+    """(lh, codes): the whole set of each line."""
+    def run(batches: Batches) -> Batches:
+        for _, _, hashes, codes, n in _line_sets(batches, ranks):
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            yield pa.record_batch([pa.array(hashes), pa.ListArray.from_arrays(pa.array(ends), pa.array(codes.view(np.int64)))],
+                                  names=["lh", "codes"])
+
+    return _listed(docs, places).mapInArrow(run, "lh long, codes array<long>").dropDuplicates(["lh"])
 
 
 def _passes(a: str, b: str) -> Column:
-    """Length, positional and bitmap filters for two prefix rows of one code; a before b."""
+    """Length, positional and bitmap filters for two prefix rows of one code; a
+    before b.  A similar pair passes under the first code that it shares, with
+    all its common codes from there on."""
     return F.expr(f"""
-        ({a}doc_id < {b}doc_id or ({a}doc_id = {b}doc_id and {a}line_no < {b}line_no)) and {a}lh <> {b}lh
+        ({a}doc_id < {b}doc_id or ({a}doc_id = {b}doc_id and {a}line_no < {b}line_no))
         and 5L * least({a}n, {b}n) >= 4L * greatest({a}n, {b}n)
-        and 9L * (least({a}i, {b}i) + 1 + least({a}n - {a}i, {b}n - {b}i) - 1) >= 4L * ({a}n + {b}n)
-        and 9L * (bit_count({a}b0 ^ {b}b0) + bit_count({a}b1 ^ {b}b1)) <= {a}n + {b}n""")
+        and 9L * least({a}n - {a}i, {b}n - {b}i) >= 4L * ({a}n + {b}n)
+        and 9L * bit_count({a}bits ^ {b}bits) <= {a}n + {b}n""")
 
 
-_ROW = ("lh", "n", "i", "b0", "b1", "doc_id", "line_no")
-_PAIR = ("a_lh", "a_doc_id", "a_line_no", "b_lh", "b_doc_id", "b_line_no")
+_ROW = ("lh", "n", "i", "bits", "doc_id", "line_no")
 
 
 def _named(rows: DataFrame, side: str) -> DataFrame:
@@ -108,27 +201,19 @@ def _named(rows: DataFrame, side: str) -> DataFrame:
 
 
 def candidate_pairs(prefixes: DataFrame) -> DataFrame:
-    """Pairs of lines that pass all filters under a code: with the earliest line
-    alone where that passes (``led``), else with all earlier ones."""
-    by_line = Window.partitionBy("token", "lh").orderBy("doc_id", "line_no")
-    by_token = Window.partitionBy("token").orderBy("doc_id", "line_no", "lh")
-    rows = (prefixes.repartition("token").withColumn("r", F.row_number().over(by_line)).where("r = 1").drop("r"))
+    """(a, b, led): pairs of lines, a earlier, that pass all filters under a code:
+    with the earliest line alone where that passes (``led``), else with all earlier ones."""
+    by_token = Window.partitionBy("token").orderBy("doc_id", "line_no")
+    rows = prefixes.repartition("token")
     led = rows.withColumn("f", F.first(F.struct(*_ROW)).over(by_token))
     led = led.select("token", *(F.col(c).alias(f"b_{c}") for c in _ROW), *(F.col(f"f.{c}").alias(f"a_{c}") for c in _ROW))
     passed = F.coalesce(_passes("a_", "b_"), F.lit(False))
-    first = led.where(passed).select(*_PAIR, F.lit(True).alias("led"))
-    rest = (led.where(~passed).select("token", *(f"b_{c}" for c in _ROW))
+    ends = (F.col("a_lh").alias("a"), F.col("b_lh").alias("b"))
+    first = led.where(passed).select(*ends, F.lit(True).alias("led"))
+    rest = (led.where(~passed & (F.col("a_lh") != F.col("b_lh"))).select("token", *(f"b_{c}" for c in _ROW))
             .join(_named(rows, "a"), "token").where(_passes("a_", "b_"))
-            .select(*_PAIR, F.lit(False).alias("led")))
-    return first.unionByName(rest).groupBy(*_PAIR).agg(F.max("led").alias("led"))
-
-
-def full_pairs(prefixes: DataFrame, of: DataFrame) -> DataFrame:
-    """All passing pairs whose later line is one of ``of`` (lh)."""
-    wanted = _named(prefixes.join(_sized(of), "lh"), "b")
-    wanted = written(wanted, "line-pending")
-    return (_named(prefixes, "a").join(_sized(wanted), "token").where(_passes("a_", "b_"))
-            .select(*_PAIR).distinct())
+            .select(*ends, F.lit(False).alias("led")))
+    return first.unionByName(rest).groupBy("a", "b").agg(F.max("led").alias("led"))
 
 
 def _sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -136,72 +221,67 @@ def _sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def verified(docs: DataFrame, pairs: DataFrame, ranks: Column) -> DataFrame:
-    """The pairs whose full word sets have similarity 4/5 or more."""
-    places = (pairs.select(F.col("a_doc_id").alias("d"), F.col("a_line_no").alias("line_no"), F.col("a_lh").alias("lh"))
-              .union(pairs.select("b_doc_id", "b_line_no", "b_lh")).distinct()
-              .groupBy("d").agg(F.collect_set(F.struct("line_no", "lh")).alias("lines")))
-    places = written(places, "line-places")
-    texts = text_rows(docs).withColumn("d", F.coalesce("doc_id", F.lit(_LAST))).join(_sized(places), "d")
-    sets = (texts.select(F.explode("lines").alias("at"), F.split("text", "\n").alias("all"))
-            .select("at.lh", F.get("all", F.col("at.line_no")).alias("line"))
-            .where(F.xxhash64("line") == F.col("lh"))
-            .select("lh", codes_of(F.col("line"), ranks).alias("codes")).dropDuplicates(["lh"]))
-    sets = written(sets, "line-sets")
-    left = sets.select(F.col("lh").alias("a_lh"), F.col("codes").alias("a_codes"))
-    right = sets.select(F.col("lh").alias("b_lh"), F.col("codes").alias("b_codes"))
-    return (pairs.join(left, "a_lh").join(right, "b_lh")
+def verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, ranks: np.ndarray) -> DataFrame:
+    """(lh): later lines of the pairs whose full word sets have similarity 4/5 or more."""
+    named = written(pairs.select(F.col("a").alias("lh")).union(pairs.select("b")).distinct(), "line-named")
+    sets = written(full_sets(docs, firsts.join(_sized(named), "lh"), ranks), "line-sets")
+    left, right = (sets.select(F.col("lh").alias(c), F.col("codes").alias(f"{c}_codes")) for c in "ab")
+    return (pairs.join(left, "a").join(right, "b")
             .where("9L * size(array_intersect(a_codes, b_codes)) >= 4L * (size(a_codes) + size(b_codes))")
-            .drop("a_codes", "b_codes"))
+            .select(F.col("b").alias("lh")).distinct())
 
 
-def similar_lines(docs: DataFrame, min_words: int) -> DataFrame:
+def similar_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """(lh): lines whose first place has a similar, different line before it."""
     ranks = rarity_ranks(docs)
-    prefixes = prefix_rows(line_rows(docs, min_words), ranks)
-    pairs = written(candidate_pairs(prefixes), "line-pairs")
-    found = written(verified(docs, pairs, ranks).select(F.col("b_lh").alias("lh")).distinct(), "line-matches")
-    open_lines = written(pairs.where("led").select(F.col("b_lh").alias("lh")).distinct()
+    pairs = written(candidate_pairs(prefix_rows(docs, firsts, ranks)), "line-pairs")
+    found = written(verified(docs, firsts, pairs, ranks), "line-matches")
+    open_lines = written(pairs.where("led").select(F.col("b").alias("lh")).distinct()
                          .join(found, "lh", "left_anti"), "line-open")
     if open_lines.isEmpty():
         return found
-    more = written(full_pairs(prefixes, open_lines).join(pairs.select(*_PAIR), list(_PAIR), "left_anti"), "line-pairs")
-    return found.union(verified(docs, more, ranks).select(F.col("b_lh").alias("lh"))).distinct()
+    wanted = written(_named(prefix_rows(docs, firsts.join(_sized(open_lines), "lh"), ranks), "b"), "line-pending")
+    more = written(_named(prefix_rows(docs, firsts, ranks), "a").join(_sized(wanted), "token")
+                   .where(_passes("a_", "b_")).select(F.col("a_lh").alias("a"), F.col("b_lh").alias("b")).distinct()
+                   .join(pairs, ["a", "b"], "left_anti"), "line-pairs")
+    return found.union(verified(docs, firsts, more, ranks)).distinct()
 
 
 def removed_lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(__d, __gone): per id, hashes of the places and texts of its lines to remove."""
-    similar = similar_lines(docs, min_words).withColumn("similar", F.lit(True))
-    lines = line_rows(docs, min_words).drop("line")
-    first = lines.groupBy("lh").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    first = first.join(similar, "lh", "left")
-    removed = (lines.join(first, "lh")
+    """(doc_id, th, gone): per text, the numbers of its lines to remove."""
+    places = written(line_places(docs, min_words), "line-places")
+    firsts = written(first_places(places), "line-firsts")
+    similar = similar_lines(docs, firsts).withColumn("similar", F.lit(True))
+    marked = written(firsts.join(similar, "lh", "left").where("n > 1 or similar")
+                     .select("lh", F.struct("doc_id", "line_no").alias("first"), "similar"), "line-marked")
+    removed = (places.join(_sized(marked), "lh")
                .where(F.col("similar") | (F.struct("doc_id", "line_no") > F.col("first")))
-               .groupBy(F.col("doc_id").alias("__d")).agg(F.collect_set(F.xxhash64("line_no", "lh")).alias("__gone")))
+               .groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("gone")))
     return written(removed, "line-removed")
 
 
-def _kept_lines() -> Column:
-    kept = F.filter(F.split("text", "\n"),
-                    lambda line, i: ~F.array_contains("__gone", F.xxhash64(i, F.xxhash64(line))))
-    return F.when(F.col("__gone").isNull(), F.split("text", "\n")).otherwise(kept)
+def _without(text: Column, gone: Column) -> Column:
+    lines = F.split(text, "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    return F.when(gone.isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """(doc_id, text, n_lines, n_removed): every document without its later similar lines."""
-    return (text_rows(docs).withColumn("__d", F.coalesce("doc_id", F.lit(_LAST)))
-            .join(_sized(removed_lines(docs, min_words)), "__d", "left")
-            .withColumn("kept", _kept_lines())
-            .select("doc_id", F.array_join("kept", "\n").alias("text"),
-                    F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
-                    (F.size(F.split("text", "\n")) - F.size("kept")).cast("long").alias("n_removed")))
+    rows = (text_rows(docs).withColumn("k", F.coalesce("doc_id", F.lit(LAST_ID))).withColumn("th", F.xxhash64("text"))
+            .join(_sized(removed_lines(docs, min_words).withColumnRenamed("doc_id", "k")), ["k", "th"], "left"))
+    ends = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    return rows.select("doc_id", _without(F.col("text"), F.col("gone")).alias("text"),
+                       (ends + 1).cast("long").alias("n_lines"),
+                       F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
 
 
 def without_later_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """All columns of ``docs``; the text loses its later similar lines (a null one
     stays null), ``n_chars`` follows it."""
-    rows = (whole_rows(docs).join(_sized(removed_lines(docs, min_words)).withColumnRenamed("__d", "id"), "id", "left")
-            .withColumn("text", F.array_join(_kept_lines(), "\n")))
+    gone = removed_lines(docs, min_words).withColumnRenamed("doc_id", "id")
+    rows = (whole_rows(docs).withColumn("th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+            .join(_sized(gone), ["id", "th"], "left").withColumn("text", _without(F.col("text"), F.col("gone"))))
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
