@@ -34,7 +34,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recolens.llm.frames import LAST_ID, text_rows, unpacked, whole_rows, written
@@ -44,6 +44,9 @@ BUCKETS = 1 << 16
 BROADCAST_ROWS = 400_000
 #: Words coded at a time (a longer line is coded whole).
 CHUNK_WORDS = 1 << 19
+#: Rows of one code that a task pairs in memory; codes of more rows are joined by Spark.
+HOT_ROWS = 20_000
+PAIRS_AT_ONCE = 1 << 21
 _LOW = np.uint64((1 << 48) - 1)
 
 Batches = Iterator[pa.RecordBatch]
@@ -154,21 +157,22 @@ def _listed(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def prefix_rows(docs: DataFrame, places: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """(token, lh, n, i, bits, doc_id, line_no): one row per code of each line's prefix."""
+    """(token, lh, n, i, b0, b1, doc_id, line_no): one row per code of each line's prefix."""
     def run(batches: Batches) -> Batches:
         for ids, numbers, hashes, codes, n in _line_sets(batches, ranks):
             starts = np.cumsum(n) - n
-            bits = np.bitwise_xor.reduceat(np.uint64(1) << (codes & np.uint64(63)), starts).view(np.int64)
+            bit, half = np.uint64(1) << (codes & np.uint64(63)), codes & np.uint64(64)
+            b0, b1 = (np.bitwise_xor.reduceat(np.where(half == np.uint64(h), bit, np.uint64(0)), starts).view(np.int64)
+                      for h in (0, 64))
             owner = np.repeat(np.arange(len(n)), n)
             at = np.arange(len(codes)) - starts[owner]
             short = at < (n - (4 * n + 4) // 5 + 1)[owner]
             owner, at = owner[short], at[short].astype(np.int32)
-            yield pa.record_batch([codes[short].view(np.int64), hashes[owner], n[owner].astype(np.int32), at, bits[owner],
-                                   ids[owner], numbers[owner]],
-                                  names=["token", "lh", "n", "i", "bits", "doc_id", "line_no"])
+            yield pa.record_batch([codes[short].view(np.int64), hashes[owner], n[owner].astype(np.int32), at, b0[owner],
+                                   b1[owner], ids[owner], numbers[owner]],
+                                  names=["token", "lh", "n", "i", "b0", "b1", "doc_id", "line_no"])
 
-    return _listed(docs, places).mapInArrow(
-        run, "token long, lh long, n int, i int, bits long, doc_id long, line_no int")
+    return _listed(docs, places).mapInArrow(run, _PREFIX)
 
 
 def full_sets(docs: DataFrame, places: DataFrame, ranks: np.ndarray) -> DataFrame:
@@ -190,30 +194,124 @@ def _passes(a: str, b: str) -> Column:
         ({a}doc_id < {b}doc_id or ({a}doc_id = {b}doc_id and {a}line_no < {b}line_no))
         and 5L * least({a}n, {b}n) >= 4L * greatest({a}n, {b}n)
         and 9L * least({a}n - {a}i, {b}n - {b}i) >= 4L * ({a}n + {b}n)
-        and 9L * bit_count({a}bits ^ {b}bits) <= {a}n + {b}n""")
-
-
-_ROW = ("lh", "n", "i", "bits", "doc_id", "line_no")
+        and 9L * (bit_count({a}b0 ^ {b}b0) + bit_count({a}b1 ^ {b}b1)) <= {a}n + {b}n""")
+
+
+_ROW = ("lh", "n", "i", "b0", "b1", "doc_id", "line_no")
+_PREFIX = "token long, lh long, n int, i int, b0 long, b1 long, doc_id long, line_no int"
+
+
+def _pass_between(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``_passes`` over row numbers of one sorted table."""
+    na, nb = rows["n"][a].astype(np.int64), rows["n"][b].astype(np.int64)
+    total = na + nb
+    ok = np.flatnonzero((5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb))
+                        & (9 * np.minimum(na - rows["i"][a], nb - rows["i"][b]) >= 4 * total))
+    a, b = a[ok], b[ok]
+    differ = sum(np.bitwise_count(rows[c][a] ^ rows[c][b]).astype(np.int64) for c in ("b0", "b1"))
+    later = (rows["doc_id"][a] != rows["doc_id"][b]) | (rows["line_no"][a] != rows["line_no"][b])
+    passed = np.zeros(len(total), bool)
+    passed[ok] = (9 * differ <= total[ok]) & later
+    return passed
+
+
+def _run_pairs(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Pairs (a, b, led) of lines in whole runs of equal tokens, ordered by place."""
+    token, lh = rows["token"], rows["lh"]
+    new = np.ones(len(token), bool)
+    new[1:] = token[1:] != token[:-1]
+    at = np.arange(len(token))
+    start = np.maximum.accumulate(np.where(new, at, 0))
+    later = at[~new]
+    passed = _pass_between(rows, start[later], later)
+    yield lh[start[later[passed]]], lh[later[passed]], True
+    rest = later[~passed]
+    many = rest - start[rest] - 1  # earlier rows behind the first
+    ends = np.cumsum(many)
+    done = 0
+    while done < len(rest):
+        upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PAIRS_AT_ONCE, "right")))
+        m = many[done:upto]
+        b = np.repeat(rest[done:upto], m)
+        a = np.repeat(start[rest[done:upto]] + 1 - (np.cumsum(m) - m), m) + np.arange(len(b))
+        passed = _pass_between(rows, a, b)
+        yield lh[a[passed]], lh[b[passed]], False
+        done = upto
+
+
+def _paired(batches: Batches, hot_rows: int) -> Batches:
+    """Rows sorted by token and place to pairs; tokens of more than ``hot_rows``
+    rows are handed on as they are."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("led", pa.bool_())])
+    blank: dict = {}
+
+    def pairs(rows: dict) -> Batches:
+        for a, b, led in _run_pairs(rows):
+            if len(a):
+                out = pa.record_batch([pa.array(a), pa.array(b), pa.array(np.full(len(a), led))], schema=schema)
+                for c, kind in blank.items():
+                    out = out.append_column(c, pa.nulls(len(a), kind))
+                yield out
+
+    def handed_on(rows: dict) -> pa.RecordBatch:
+        size = len(rows["token"])
+        return pa.record_batch([*(pa.nulls(size, f.type) for f in schema), *(pa.array(rows[c], blank[c]) for c in blank)],
+                               names=[*schema.names, *blank])
+
+    held, hot = None, None
+    for batch in batches:
+        blank = {f.name: f.type for f in batch.schema}
+        rows = {c: batch.column(c).to_numpy() for c in blank}
+        if held is not None:
+            rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
+        if hot is not None:
+            known = int(np.searchsorted(rows["token"], hot, "right"))
+            yield handed_on({c: v[:known] for c, v in rows.items()})
+            rows = {c: v[known:] for c, v in rows.items()}
+        if not len(rows["token"]):
+            held = None
+            continue
+        hot, last = None, int(np.searchsorted(rows["token"], rows["token"][-1], "left"))
+        yield from pairs({c: v[:last] for c, v in rows.items()})
+        held = {c: v[last:] for c, v in rows.items()}
+        if len(held["token"]) > hot_rows:
+            hot = held["token"][0]
+            yield handed_on(held)
+            held = None
+    if held is not None:
+        yield from pairs(held)
 
 
 def _named(rows: DataFrame, side: str) -> DataFrame:
     return rows.select("token", *(F.col(c).alias(f"{side}_{c}") for c in _ROW))
 
 
-def candidate_pairs(prefixes: DataFrame) -> DataFrame:
+def candidate_pairs(prefixes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(a, b, led): pairs of lines, a earlier, that pass all filters under a code:
-    with the earliest line alone where that passes (``led``), else with all earlier ones."""
-    by_token = Window.partitionBy("token").orderBy("doc_id", "line_no")
-    rows = prefixes.repartition("token")
-    led = rows.withColumn("f", F.first(F.struct(*_ROW)).over(by_token))
-    led = led.select("token", *(F.col(c).alias(f"b_{c}") for c in _ROW), *(F.col(f"f.{c}").alias(f"a_{c}") for c in _ROW))
+    with the earliest line alone where that passes (``led``), else with all
+    earlier ones.  Codes of more than ``hot_rows`` lines meet in a join that
+    Spark can split, the others in sorted batches."""
+    ordered = prefixes.repartition("token").sortWithinPartitions("token", "doc_id", "line_no")
+    out = written(ordered.mapInArrow(lambda b: _paired(b, hot_rows), f"a long, b long, led boolean, {_PREFIX}"),
+                  "line-met")
+    pairs = out.where("token is null").select("a", "b", "led")
+    hot = out.where("token is not null").drop("a", "b", "led")
+    if not hot.isEmpty():
+        pairs = pairs.unionByName(_hot_pairs(hot))
+    return pairs.groupBy("a", "b").agg(F.max("led").alias("led"))
+
+
+def _hot_pairs(rows: DataFrame) -> DataFrame:
+    """The same pairs by joins; the first line of each hot code is a small table."""
+    leaders = _sized(written(rows.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "lh", "n", "i", "b0", "b1"))
+                                                       .alias("f")), "line-leaders"))
+    led = _named(rows, "b").join(leaders, "token").select("*", *(F.col(f"f.{c}").alias(f"a_{c}") for c in _ROW)).drop("f")
     passed = F.coalesce(_passes("a_", "b_"), F.lit(False))
     ends = (F.col("a_lh").alias("a"), F.col("b_lh").alias("b"))
     first = led.where(passed).select(*ends, F.lit(True).alias("led"))
-    rest = (led.where(~passed & (F.col("a_lh") != F.col("b_lh"))).select("token", *(f"b_{c}" for c in _ROW))
-            .join(_named(rows, "a"), "token").where(_passes("a_", "b_"))
-            .select(*ends, F.lit(False).alias("led")))
-    return first.unionByName(rest).groupBy("a", "b").agg(F.max("led").alias("led"))
+    rest = led.where(~passed & (F.col("a_lh") != F.col("b_lh"))).select("token", *(f"b_{c}" for c in _ROW))
+    return first.unionByName(rest.join(_named(rows, "a"), "token").where(_passes("a_", "b_"))
+                             .select(*ends, F.lit(False).alias("led")))
 
 
 def _sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

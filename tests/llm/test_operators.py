@@ -310,7 +310,7 @@ def test_prefix_depth_reaches_target():
         assert 1 - (1 - 0.8 ** d) ** 32 >= target and (d == 8 or 1 - (1 - 0.8 ** (d + 1)) ** 32 < target)
 
 
-def test_line_dedup_matches_brute_force(spark, nothing, rows):
+def test_line_dedup_matches_brute_force(spark, nothing, rows, monkeypatch):
     rng = random.Random(12)
     data = list(rows[:-2])
     line = prose(rng, 30).split()
@@ -334,6 +334,9 @@ def test_line_dedup_matches_brute_force(spark, nothing, rows):
     frame = spark.createDataFrame(data, SCHEMA).repartition(3)
     got = line_dedup.dedup_lines(frame).collect()
     assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in got} == want
+    monkeypatch.setattr(line_dedup.candidate_pairs, "__defaults__", (4,))  # all frequent codes take the join
+    got = line_dedup.dedup_lines(frame).collect()
+    assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in got} == want
     whole = line_dedup.without_later_lines(frame)
     assert whole.columns == frame.columns and {r.doc_id: r.text or "" for r in whole.collect()} == {k: v[0] for k, v in want.items()}
     assert line_dedup.dedup_lines(nothing).count() == 0
