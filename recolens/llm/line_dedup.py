@@ -208,7 +208,7 @@ def _pass_between(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) ->
     ok = np.flatnonzero((5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb))
                         & (9 * np.minimum(na - rows["i"][a], nb - rows["i"][b]) >= 4 * total))
     a, b = a[ok], b[ok]
-    differ = sum(np.bitwise_count(rows[c][a] ^ rows[c][b]).astype(np.int64) for c in ("b0", "b1"))
+    differ = sum(np.bitwise_count((rows[c][a] ^ rows[c][b]).view(np.uint64)).astype(np.int64) for c in ("b0", "b1"))
     later = (rows["doc_id"][a] != rows["doc_id"][b]) | (rows["line_no"][a] != rows["line_no"][b])
     passed = np.zeros(len(total), bool)
     passed[ok] = (9 * differ <= total[ok]) & later

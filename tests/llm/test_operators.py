@@ -310,6 +310,14 @@ def test_prefix_depth_reaches_target():
         assert 1 - (1 - 0.8 ** d) ** 32 >= target and (d == 8 or 1 - (1 - 0.8 ** (d + 1)) ** 32 < target)
 
 
+def test_line_filters_count_the_sign_bit_once():
+    table = {"n": [20, 20], "i": [0, 0], "b0": [-(1 << 63), 0], "b1": [3, 3], "doc_id": [1, 2], "line_no": [0, 0]}
+    table = {c: np.array(v, np.int64) for c, v in table.items()}
+    assert line_dedup._pass_between(table, np.array([0]), np.array([1])).tolist() == [True]
+    table["b0"] = np.array([-1, 0], np.int64)
+    assert line_dedup._pass_between(table, np.array([0]), np.array([1])).tolist() == [False]
+
+
 def test_line_dedup_matches_brute_force(spark, nothing, rows, monkeypatch):
     rng = random.Random(12)
     data = list(rows[:-2])
