@@ -1,13 +1,14 @@
 """Line deduplication by an exact set-similarity join.
 
-A line is the set of its words.  Words become 64-bit codes whose order is that
-of rarity: the top 16 bits of the word hash are replaced by the rarity rank of
-that hash bucket over the whole corpus (a fixed 65,536 counts), which keeps
-codes distinct and gives every line the same global order.  Two lines of
-similarity 4/5 or more share a code in their prefixes (the rarest fifth and
-one more).  Only the first place of each distinct line enters the join.  Prefix
-rows meet by code and pass length, positional and bitmap filters; what passes
-is verified on the full sets.  A line is removed if an earlier line, by
+A line is the set of its words, as 64-bit hashes ordered by rarity and hash.
+The rarity of a word is the logarithm of the count of its hash bucket over the
+whole corpus (a fixed 4 million counts, one byte each), which gives every line
+the same global order.  Two lines of similarity 4/5 or more share a code in
+their prefixes (the rarest fifth and one more); a word that occurs once in the
+corpus takes its place there but cannot be shared, so it makes no row.  Only
+the first place of each distinct line enters the join.  Prefix rows meet by
+code and pass length, positional and bitmap filters; what passes is verified on
+the full sets.  A line is removed if an earlier line, by
 (doc_id, line number), is similar or equal.
 
 Large groups of variants stay linear: under each code, a line is paired with
@@ -28,26 +29,24 @@ an empty result.
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
-from itertools import count
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recolens.llm.frames import LAST_ID, text_rows, unpacked, whole_rows, written
 
-BUCKETS = 1 << 16
+BUCKET_BITS = 22
 #: Sides of at most this many rows (of some 100 bytes) are broadcast, others shuffled.
 BROADCAST_ROWS = 400_000
-#: Words coded at a time (a longer line is coded whole).
-CHUNK_WORDS = 1 << 19
+#: Bytes of text coded at a time (a longer text is coded whole).
+CHUNK_BYTES = 1 << 22
 #: Rows of one code that a task pairs in memory; codes of more rows are joined by Spark.
 HOT_ROWS = 20_000
 PAIRS_AT_ONCE = 1 << 21
-_LOW = np.uint64((1 << 48) - 1)
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -58,57 +57,80 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
                                   F.xxhash64("text").alias("th"), "text")
 
 
-def coded(lines: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Words per line, and the 64-bit hash of every word of all lines."""
+def _parts(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of at most ``CHUNK_BYTES`` of text in column ``at`` (a longer text is alone)."""
+    ends = np.cumsum(pc.binary_length(batch.column(at)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    done = 0
+    while done < batch.num_rows:
+        before = ends[done - 1] if done else 0
+        upto = max(done + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, "right")))
+        yield batch.slice(done, upto - done)
+        done = upto
+
+
+def _hashes(values: list[bytes]) -> np.ndarray:
     from xxhash import xxh3_64_intdigest
 
-    seen: dict[bytes, int] = defaultdict(count().__next__)
-    codes, sizes = [], []
-    for line in lines:
-        found = line.split()
-        sizes.append(len(found))
-        codes.extend(map(seen.__getitem__, found))
-    hashes = np.fromiter(map(xxh3_64_intdigest, seen), np.uint64, len(seen))
-    return np.array(sizes, np.int64), hashes[np.array(codes, np.int64)]
+    return np.fromiter(map(xxh3_64_intdigest, values), np.uint64, len(values))
+
+
+def coded(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words per line, and the 64-bit hash of every word of all lines."""
+    found = pc.ascii_split_whitespace(lines.cast(pa.large_string()))
+    sizes = pc.list_value_length(found).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = found.flatten().dictionary_encode()
+    seen = words.dictionary.cast(pa.large_binary()).to_pylist()
+    index = words.indices.to_numpy()
+    if b"" in seen:  # before a leading and after a trailing gap
+        real = index != seen.index(b"")
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[real], minlength=len(sizes))
+        index = index[real]
+    return sizes, _hashes(seen)[index]
+
+
+def _lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All lines of the texts end to end, and their number by text."""
+    lines = pc.split_pattern(texts.cast(pa.large_string()), "\n")
+    return lines.flatten(), pc.list_value_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _bucket(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 def _bucket_counts(batches: Batches) -> Batches:
-    total = np.zeros(BUCKETS, np.int64)
+    total = np.zeros(1 << BUCKET_BITS, np.int64)
     for batch in batches:
-        for text in batch.column(0).cast(pa.binary()):
-            words = coded([text.as_py()])[1]
-            total += np.bincount((words >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
+        for part in _parts(batch, 0):
+            np.add.at(total, _bucket(coded(part.column(0))[1]), 1)
     held = np.flatnonzero(total)
-    yield pa.record_batch([pa.array(held), pa.array(total[held])], names=["bucket", "words"])
+    yield pa.record_batch([pa.array(held, pa.int32()), pa.array(total[held])], names=["bucket", "words"])
 
 
-def rarity_ranks(docs: DataFrame) -> np.ndarray:
-    """Rank of every hash bucket by its words' count over all texts."""
-    counts = (text_rows(docs).select("text").mapInArrow(_bucket_counts, "bucket long, words long")
-              .groupBy("bucket").agg(F.sum("words").alias("words")).collect())
-    held = np.zeros(BUCKETS, np.int64)
-    for row in counts:
-        held[row.bucket] = row.words
-    ranks = np.empty(BUCKETS, np.uint64)
-    ranks[np.argsort(held, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
-    return ranks
+def rarity_levels(docs: DataFrame) -> np.ndarray:
+    """Rarity of every hash bucket, one byte each: 0 for at most one word in all
+    texts, else a step of a quarter octave of the count."""
+    counts = (text_rows(docs).select("text").mapInArrow(_bucket_counts, "bucket int, words long")
+              .groupBy("bucket").agg(F.sum("words").alias("words")).where("words > 1")
+              .select("bucket", F.floor(4 * F.log2("words")).cast("byte").alias("level")).toArrow())
+    levels = np.zeros(1 << BUCKET_BITS, np.uint8)
+    levels[counts["bucket"].to_numpy()] = counts["level"].to_numpy()
+    return levels
 
 
 def line_places(docs: DataFrame, min_words: int) -> DataFrame:
     """(lh, doc_id, line_no, th): every place of a line of ``min_words`` words or more."""
     def run(batches: Batches) -> Batches:
-        from xxhash import xxh3_64_intdigest
-
         for batch in batches:
-            rows, numbers, hashes = [], [], []
-            for row, text in enumerate(batch.column(2).cast(pa.binary())):
-                for number, line in enumerate(text.as_py().split(b"\n")):
-                    if len(line.split(None, min_words - 1)) >= min_words:
-                        rows.append(row), numbers.append(number), hashes.append(xxh3_64_intdigest(line))
-            at = pa.array(rows, pa.int64())
-            yield pa.record_batch([pa.array(np.array(hashes, np.uint64).view(np.int64)), batch.column(0).take(at),
-                                   pa.array(numbers, pa.int32()), batch.column(1).take(at)],
-                                  names=["lh", "doc_id", "line_no", "th"])
+            for part in _parts(batch, 2):
+                lines, many = _lines(part.column(2))
+                row = np.repeat(np.arange(len(many)), many)
+                number = np.arange(len(row)) - (np.cumsum(many) - many)[row]
+                at = np.flatnonzero(coded(lines)[0] >= min_words)
+                rows = pa.array(row[at])
+                yield pa.record_batch([pa.array(_hashes(lines.take(pa.array(at)).cast(pa.large_binary()).to_pylist()).view(np.int64)),
+                                       part.column(0).take(rows), pa.array(number[at].astype(np.int32)),
+                                       part.column(1).take(rows)], names=["lh", "doc_id", "line_no", "th"])
 
     return keyed_rows(docs).mapInArrow(run, "lh long, doc_id long, line_no int, th long")
 
@@ -119,34 +141,26 @@ def first_places(places: DataFrame) -> DataFrame:
             .select("lh", "first.*", "n"))
 
 
-def _line_sets(batches: Batches, ranks: np.ndarray) -> Iterator[tuple]:
+def _line_sets(batches: Batches, levels: np.ndarray) -> Iterator[tuple]:
     """Of the listed lines of (doc_id, text, lines): id, number and hash of each
-    line, its distinct codes in order of rarity end to end, and their number."""
-    def sets(part: list[tuple]) -> tuple:
-        ids, numbers, hashes, lines = zip(*part)
-        sizes, words = coded(lines)
-        codes = ranks[(words >> np.uint64(48)).astype(np.int64)] << np.uint64(48) | words & _LOW
-        owner = np.repeat(np.arange(len(part)), sizes)
-        order = np.lexsort((codes, owner))
-        owner, codes = owner[order], codes[order]
-        new = np.ones(len(codes), bool)
-        new[1:] = (owner[1:] != owner[:-1]) | (codes[1:] != codes[:-1])
-        return (np.array(ids, np.int64), np.array(numbers, np.int32), np.array(hashes, np.int64), codes[new],
-                np.bincount(owner[new], minlength=len(part)))
-
+    line, its distinct codes in order of rarity end to end, their number, and
+    whether each code may occur again."""
     for batch in batches:
-        part, held = [], 0
-        for doc_id, text, lines in zip(batch.column(0), batch.column(1).cast(pa.binary()), batch.column(2)):
-            all_lines = text.as_py().split(b"\n")
-            for at in lines.as_py():
-                line = all_lines[at["line_no"]]
-                part.append((doc_id.as_py(), at["line_no"], at["lh"], line))
-                held += len(line) // 6
-                if held >= CHUNK_WORDS:
-                    yield sets(part)
-                    part, held = [], 0
-        if part:
-            yield sets(part)
+        for part in _parts(batch, 1):
+            lines, many = _lines(part.column(1))
+            wanted = pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False)
+            places = part.column(2).flatten()
+            numbers, hashes = (places.field(c).to_numpy() for c in ("line_no", "lh"))
+            at = np.repeat(np.cumsum(many) - many, wanted) + numbers
+            sizes, words = coded(lines.take(pa.array(at)))
+            rank = np.repeat(np.arange(len(at)), sizes) << 8 | levels[_bucket(words)]  # by line, then rarity
+            order = np.lexsort((words, rank))
+            rank, codes = rank[order], words[order]
+            new = np.ones(len(codes), bool)
+            new[1:] = (rank[1:] != rank[:-1]) | (codes[1:] != codes[:-1])
+            rank, codes = rank[new], codes[new]
+            yield (np.repeat(part.column(0).to_numpy(), wanted), numbers, hashes, codes,
+                   np.bincount(rank >> 8, minlength=len(at)), (rank & 255) > 0)
 
 
 def _listed(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -156,17 +170,18 @@ def _listed(docs: DataFrame, places: DataFrame) -> DataFrame:
     return keyed_rows(docs).join(_sized(lines), ["doc_id", "th"]).select("doc_id", "text", "lines")
 
 
-def prefix_rows(docs: DataFrame, places: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """(token, lh, n, i, b0, b1, doc_id, line_no): one row per code of each line's prefix."""
+def prefix_rows(docs: DataFrame, places: DataFrame, levels: np.ndarray) -> DataFrame:
+    """(token, lh, n, i, b0, b1, doc_id, line_no): one row per code of each line's prefix
+    that may occur again."""
     def run(batches: Batches) -> Batches:
-        for ids, numbers, hashes, codes, n in _line_sets(batches, ranks):
+        for ids, numbers, hashes, codes, n, again in _line_sets(batches, levels):
             starts = np.cumsum(n) - n
             bit, half = np.uint64(1) << (codes & np.uint64(63)), codes & np.uint64(64)
             b0, b1 = (np.bitwise_xor.reduceat(np.where(half == np.uint64(h), bit, np.uint64(0)), starts).view(np.int64)
                       for h in (0, 64))
             owner = np.repeat(np.arange(len(n)), n)
             at = np.arange(len(codes)) - starts[owner]
-            short = at < (n - (4 * n + 4) // 5 + 1)[owner]
+            short = again & (at < (n - (4 * n + 4) // 5 + 1)[owner])
             owner, at = owner[short], at[short].astype(np.int32)
             yield pa.record_batch([codes[short].view(np.int64), hashes[owner], n[owner].astype(np.int32), at, b0[owner],
                                    b1[owner], ids[owner], numbers[owner]],
@@ -175,10 +190,10 @@ def prefix_rows(docs: DataFrame, places: DataFrame, ranks: np.ndarray) -> DataFr
     return _listed(docs, places).mapInArrow(run, _PREFIX)
 
 
-def full_sets(docs: DataFrame, places: DataFrame, ranks: np.ndarray) -> DataFrame:
+def full_sets(docs: DataFrame, places: DataFrame, levels: np.ndarray) -> DataFrame:
     """(lh, codes): the whole set of each line."""
     def run(batches: Batches) -> Batches:
-        for _, _, hashes, codes, n in _line_sets(batches, ranks):
+        for _, _, hashes, codes, n, _ in _line_sets(batches, levels):
             ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             yield pa.record_batch([pa.array(hashes), pa.ListArray.from_arrays(pa.array(ends), pa.array(codes.view(np.int64)))],
                                   names=["lh", "codes"])
@@ -319,10 +334,10 @@ def _sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, ranks: np.ndarray) -> DataFrame:
+def verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, levels: np.ndarray) -> DataFrame:
     """(lh): later lines of the pairs whose full word sets have similarity 4/5 or more."""
     named = written(pairs.select(F.col("a").alias("lh")).union(pairs.select("b")).distinct(), "line-named")
-    sets = written(full_sets(docs, firsts.join(_sized(named), "lh"), ranks), "line-sets")
+    sets = written(full_sets(docs, firsts.join(_sized(named), "lh"), levels), "line-sets")
     left, right = (sets.select(F.col("lh").alias(c), F.col("codes").alias(f"{c}_codes")) for c in "ab")
     return (pairs.join(left, "a").join(right, "b")
             .where("9L * size(array_intersect(a_codes, b_codes)) >= 4L * (size(a_codes) + size(b_codes))")
@@ -331,18 +346,18 @@ def verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, ranks: np.nda
 
 def similar_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """(lh): lines whose first place has a similar, different line before it."""
-    ranks = rarity_ranks(docs)
-    pairs = written(candidate_pairs(prefix_rows(docs, firsts, ranks)), "line-pairs")
-    found = written(verified(docs, firsts, pairs, ranks), "line-matches")
+    levels = rarity_levels(docs)
+    pairs = written(candidate_pairs(prefix_rows(docs, firsts, levels)), "line-pairs")
+    found = written(verified(docs, firsts, pairs, levels), "line-matches")
     open_lines = written(pairs.where("led").select(F.col("b").alias("lh")).distinct()
                          .join(found, "lh", "left_anti"), "line-open")
     if open_lines.isEmpty():
         return found
-    wanted = written(_named(prefix_rows(docs, firsts.join(_sized(open_lines), "lh"), ranks), "b"), "line-pending")
-    more = written(_named(prefix_rows(docs, firsts, ranks), "a").join(_sized(wanted), "token")
+    wanted = written(_named(prefix_rows(docs, firsts.join(_sized(open_lines), "lh"), levels), "b"), "line-pending")
+    more = written(_named(prefix_rows(docs, firsts, levels), "a").join(_sized(wanted), "token")
                    .where(_passes("a_", "b_")).select(F.col("a_lh").alias("a"), F.col("b_lh").alias("b")).distinct()
                    .join(pairs, ["a", "b"], "left_anti"), "line-pairs")
-    return found.union(verified(docs, firsts, more, ranks)).distinct()
+    return found.union(verified(docs, firsts, more, levels)).distinct()
 
 
 def removed_lines(docs: DataFrame, min_words: int) -> DataFrame:
