@@ -1,7 +1,8 @@
 """Secret scan: candidate runs scored by a random forest, in native functions.
 
-Candidates are runs of 12 or more token characters with a digit.  Features:
-length, distinct characters, character-class transitions, share covered by the
+Candidates are all values assigned to a credential name, of any length and
+characters, and elsewhere known key shapes and runs of 12 or more token
+characters with a digit; a name and its value are apart.  Features: length, distinct characters, character-class transitions, share covered by the
 corpus' frequent words (a dictionary counted over all documents), path and
 address surroundings, and the neighbouring words and quotes.  The forest is
 fitted with MLlib on labelled findings; its job is to remove false positives
@@ -9,8 +10,9 @@ such as numbers, identifiers and addresses.
 
 Labelled findings may be passed in; without them a bounded sample of the
 candidates is labelled by precise rules: an assignment to a credential name of
-a mixed, dense value is a secret; bare numbers, paths, addresses and values
-made of words are not.
+a mixed, dense value is a secret; placeholders there, and elsewhere bare numbers,
+paths, addresses and values made of words are not.  Other values assigned to a
+credential name (letters or digits only, short) have no label; the forest decides.
 
 Defined results: null and empty texts have no candidate; null ids are kept;
 repeated rows give repeated findings; when the labelled findings are not of
@@ -28,15 +30,40 @@ from pyspark.sql import functions as F
 
 from recolens.llm.frames import LAST_ID, WORD_GAP, text_rows, unpacked, whole_rows, written
 
-CANDIDATE = r"(?<![A-Za-z0-9+/=_\-])(?=[A-Za-z+/=_\-]*[0-9])[A-Za-z0-9+/=_\-]{12,}"
-CREDENTIAL = r"(?i)(token|secret|passw(or)?d|pwd|api.?key|access.?key|private.?key|auth|credential|bearer)"
+CREDENTIAL = (r"(?i:token|secret(?!ar)|passw(?:or)?d|passphrase|pwd|api.?key|access.?key|private.?key"
+              r"|auth(?!or(?!i[sz])|entic(?!at))|credential|bearer)")
+#: Published shapes of provider keys; dotted ones are a candidate as a whole.
+KNOWN_KEY = (r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_\w{22,}|glpat-[\w\-]{20,}"
+             r"|xox[abeprs]-[A-Za-z0-9\-]{10,}|[srp]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-[\w\-]{20,}"
+             r"|AIza[\w\-]{35}|npm_[A-Za-z0-9]{36}|SG\.[\w\-]{16,}\.[\w\-]{16,}"
+             r"|eyJ[\w\-]{8,}\.[\w\-]{8,}\.[\w\-]{8,})(?![A-Za-z0-9_\-])")
+#: Credential name, sign and scheme before an assigned value (bounded, as it is looked behind for).
+_SIGN, _SCHEME = r"[\"'`\]]{0,2}\s{0,3}(?:=>|[:=]?=|:)\s{0,3}", r"(?:(?i:bearer|basic)\s{1,3})?"
+_NAMED = CREDENTIAL + r"[\w\-]{0,20}" + _SIGN + _SCHEME
+#: Characters that end an unquoted value when nothing follows, or when , ; & start the next assignment.
+_STOPS = r",;&.)\]}\"'`"
+_UNQUOTED = (rf"(?!(?i:bearer|basic)\s)(?:[^\s{_STOPS}]++|[{_STOPS}]++(?!\s|$)"
+             rf"(?!(?<=[,;&][\"'`]?)[\w.\-]{{1,40}}[\"'`]?\s{{0,3}}[=:][^\s=]))++")
+_ASSIGNED = "|".join(rf"(?<={q})(?<={_NAMED}{q})(?:[^{q}\\\n]++|\\.)++(?={q})" for q in "\"'`")
+_ASSIGNED += rf"|(?<=[=:>\s\"'`])(?<=[=:>]\s{{0,3}}{_SCHEME}[\"'`]?)(?<={_NAMED}[\"'`]?)(?![\s\"'`]){_UNQUOTED}"
+_RUN = r"[A-Za-z0-9+/_\-]"
+#: Any value assigned to a credential name; provider keys; runs of 12 or more token
+#: characters with a digit, '=' only as closing padding.
+CANDIDATE = (rf"{_ASSIGNED}|(?<!{_RUN}){KNOWN_KEY}"
+             rf"|(?<!{_RUN})(?=[A-Za-z+/_\-]*+[0-9]){_RUN}{{12,}}+(?:={{1,2}}(?![A-Za-z0-9+/_\-=\"'`]))?"
+             rf"(?!(?<={CREDENTIAL}[\w\-]{{0,20}}){_SIGN}[^\s=])")
+#: Slashes between names of letters and a short number; slashes alone also occur in Base64.
+PATH = r"^/?[A-Za-z_\-]{2,}[0-9]{0,4}(/[A-Za-z_\-]+[0-9]{0,4}|/[0-9]{1,4}){2,}/?$"
+#: Values that stand for a secret or for none.
+PLACEHOLDER = (r"(?i)^(true|false|none|null|nil|undefined|string|str|int|bool|bytes|an?|the|is|was|and|or|in|of|to|for"
+               r"|\*+|x+|\.+|<.*>|\$\{?\w+\}?|\{\{.*|your\W.*)$")
 #: Bounds of the training sample (findings of each kind) and of the dictionary (words).
 SAMPLE_FINDINGS, DICTIONARY_WORDS = 2000, 300
 #: Characters around a candidate that features look at.
-CONTEXT = 48
+CONTEXT = 64
 #: Findings of documents up to this many rows (some 100 bytes each) are broadcast for redaction.
 BROADCAST_ROWS = 400_000
-FEATURES = ("length", "distinct_share", "digit_share", "upper_share", "letter_digit", "digit_letter", "case_changes",
+FEATURES = ("length", "distinct_share", "digit_share", "symbol_share", "upper_share", "letter_digit", "digit_letter", "case_changes",
             "vowel_pairs", "hex_only", "covered", "path", "address", "credential", "assigned", "quoted",
             "number_before", "word_before", "word_after")
 
@@ -50,11 +77,15 @@ def candidates(docs: DataFrame) -> DataFrame:
     lengths = F.zip_with(F.slice("gaps", 1, F.size("values")), "values", lambda g, v: F.length(g) + F.length(v))
     ends = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
     return (cut.withColumn("ends", ends)
-            .select("doc_id", "gaps", "ends", F.posexplode("values").alias("at", "value"))
+            .select("doc_id", "gaps", "ends", "values", F.posexplode("values").alias("at", "value"))
             .select("doc_id", "at", "value",
                     (F.get("ends", F.col("at")) + F.length(F.get("gaps", F.col("at")))).cast("long").alias("start"),
-                    F.substring(F.get("gaps", F.col("at")), -CONTEXT, CONTEXT).alias("before"),
-                    F.substring(F.get("gaps", F.col("at") + 1), 1, CONTEXT).alias("after")))
+                    F.substring(F.concat(_value(-1), F.get("gaps", F.col("at"))), -CONTEXT, CONTEXT).alias("before"),
+                    F.substring(F.concat(F.get("gaps", F.col("at") + 1), _value(1)), 1, CONTEXT).alias("after")))
+
+
+def _value(step: int) -> Column:
+    return F.coalesce(F.get("values", F.col("at") + step), F.lit(""))
 
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY_WORDS) -> str:
@@ -81,6 +112,7 @@ def with_features(found: DataFrame, words: str) -> DataFrame:
         "length": n,
         "distinct_share": F.size(F.array_distinct(F.split("value", ""))) / n,
         "digit_share": _count("[0-9]") / n,
+        "symbol_share": _count("[^A-Za-z0-9]") / n,
         "upper_share": _count("[A-Z]") / n,
         "letter_digit": _count("(?<=[A-Za-z])(?=[0-9])") / n,
         "digit_letter": _count("(?<=[0-9])(?=[A-Za-z])") / n,
@@ -88,10 +120,10 @@ def with_features(found: DataFrame, words: str) -> DataFrame:
         "vowel_pairs": _count("(?i)[aeiou][bcdfghjklmnpqrstvwxyz]") / n,
         "hex_only": _is("value", "^([0-9a-f]+|[0-9A-F]+)$"),
         "covered": covered,
-        "path": F.greatest(_is("before", r"(/|\\|://\S*)$"), _is("after", r"^\.[A-Za-z]{1,5}\b"), _is("value", "/.*/")),
-        "address": F.greatest(_is("after", "^[@.]"), _is("before", r"[@.]$")),
-        "credential": _is("before", CREDENTIAL + r"\W{0,6}$"),
-        "assigned": _is("before", r"[=:]\s*[\"'`]?$"),
+        "path": F.greatest(_is("before", r"(/|\\|://[^\s?#]*)$"), _is("after", r"^\.[A-Za-z]{1,5}\b"), _is("value", PATH)),
+        "address": F.greatest(_is("after", r"^(@|\.[A-Za-z0-9])"), _is("before", r"[@.]$")),
+        "credential": _is("before", rf"({_NAMED}[\"'`]?|{CREDENTIAL}\W{{0,6}})$"),
+        "assigned": _is("before", rf"(=>|[=:])\s*{_SCHEME}[\"'`]?$"),
         "quoted": F.greatest(_is("before", "[\"'`]$"), _is("after", "^[\"'`]")),
         "number_before": _is("before", r"[0-9)]\W{0,3}$"),
         "word_before": _is("before", r"[A-Za-z]{2,}\s$"),
@@ -101,10 +133,14 @@ def with_features(found: DataFrame, words: str) -> DataFrame:
 
 def rule_labels(featured: DataFrame) -> DataFrame:
     """``label`` 1.0 or 0.0 where a precise rule speaks, else null."""
-    secret = ((F.col("credential") == 1) & (F.col("assigned") == 1) & (F.col("distinct_share") >= 0.2)
-              & (F.col("digit_share") < 0.95) & (F.col("covered") < 0.5))
-    clean = ((F.col("digit_share") >= 0.95) | (F.col("path") == 1) | (F.col("address") == 1) | (F.col("covered") >= 0.6)
-             | ((F.col("credential") == 0) & (F.col("assigned") == 0) & (F.col("quoted") == 0)))
+    named = (F.col("credential") == 1) & (F.col("assigned") == 1)
+    blank = F.regexp_like("value", F.lit(PLACEHOLDER)) | ((F.col("covered") == 1) & (F.col("length") <= 12))
+    secret = (named & (F.col("length") >= 8) & (F.col("distinct_share") >= 0.2) & (F.col("covered") < 0.5)
+              & F.col("digit_share").between(0.01, 0.95) & ~blank)
+    number = F.regexp_like("value", F.lit(r"^[0-9+/=_\-]+$")) | (F.col("digit_share") >= 0.95)
+    clean = F.when(named, blank).otherwise(
+        number | (F.col("path") == 1) | (F.col("address") == 1) | (F.col("covered") >= 0.6)
+        | ((F.col("credential") == 0) & (F.col("assigned") == 0) & (F.col("quoted") == 0)))
     return featured.withColumn("label", F.when(secret, 1.0).when(clean, 0.0))
 
 

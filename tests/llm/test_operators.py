@@ -378,6 +378,38 @@ def test_secret_forest(spark, nothing):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def found_in(spark, *texts):
+    got = secrets_forest.candidates(spark.createDataFrame([(i, x, "", 0, 0) for i, x in enumerate(texts)], SCHEMA))
+    rows = got.orderBy("doc_id", "at").collect()
+    assert all(texts[r.doc_id][r.start:r.start + len(r.value)] == r.value for r in rows)
+    return [[r.value for r in rows if r.doc_id == i] for i in range(len(texts))]
+
+
+def test_secret_candidates_are_whole_assigned_values(spark):
+    cases = {"set API_KEY=sk9fA83kdLq02mZx71Pw now": ["sk9fA83kdLq02mZx71Pw"],
+             "password=Xk29vLq0TzP81mNa": ["Xk29vLq0TzP81mNa"],
+             "https://h/p?a=1&token=a8f3c1d09be7745fa0b1&x=2": ["a8f3c1d09be7745fa0b1"],
+             "secret_key: aB3/dE6/gH9+kL2=": ["aB3/dE6/gH9+kL2="],
+             "password: correcthorsebatterystaple.": ["correcthorsebatterystaple"],
+             "pwd = hunter2!, then": ["hunter2!"], "password=a,b;c&d": ["a,b;c&d"],
+             'password = "two words, \\"quoted\\""': ['two words, \\"quoted\\"'],
+             '{"token":12345,"user":"ann","api_key":"k#1"}': ["12345", "k#1"],
+             "Authorization: Bearer abc.def": ["abc.def"], "author: Ann, secretary: Bob": [],
+             "AWS_S3_2_ACCESS_KEY='zz'": ["zz"], "x=abcdefgh123456==": ["abcdefgh123456=="],
+             "password=" + "a,=" * 20000 + "b": ["a,=" * 20000 + "b"], "no password here, name=value": []}
+    assert found_in(spark, *cases) == list(cases.values())
+
+
+def test_secret_labels_do_not_clear_assigned_values(spark):
+    texts = ["API_KEY=sk9fA83kdLq02mZx71Pw", "https://h/?token=a8f3c1d09be7745fa0b1", "secret=aB3/dE6/gH9/kL2mN",
+             "password=hunter2!", "password: correcthorsebatterystaple", "password=None", "see 4734663219866878 there",
+             "password=739104"]
+    frame = spark.createDataFrame([(i, x, "", 0, 0) for i, x in enumerate(texts)], SCHEMA)
+    found = secrets_forest.with_features(secrets_forest.candidates(frame), "")
+    got = {r.doc_id: r.label for r in secrets_forest.rule_labels(found).collect()}
+    assert got == {0: 1.0, 1: 1.0, 2: 1.0, 3: 1.0, 4: None, 5: 0.0, 6: 0.0, 7: None}
+
+
 # -------------------------------------------------------------------- WARC
 
 def test_warc_round_trip(spark):
