@@ -9,10 +9,12 @@ fitted with MLlib on labelled findings; its job is to remove false positives
 such as numbers, identifiers and addresses.
 
 Labelled findings may be passed in; without them a bounded sample of the
-candidates is labelled by precise rules: an assignment to a credential name of
-a mixed, dense value is a secret; placeholders there, and elsewhere bare numbers,
-paths, addresses and values made of words are not.  Other values assigned to a
-credential name (letters or digits only, short) have no label; the forest decides.
+candidates is labelled by precise rules: published shapes of provider keys are
+secrets wherever they stand (and have score 1), and so is an assignment to a
+credential name of a mixed, dense value; placeholders there, and elsewhere bare
+numbers, UUIDs, names, paths, addresses and values made of words are not.  All
+others (short or plain assigned values, dense runs without an assignment) have no
+label; the forest decides.
 
 Defined results: null and empty texts have no candidate; null ids are kept;
 repeated rows give repeated findings; when the labelled findings are not of
@@ -54,6 +56,7 @@ CANDIDATE = (rf"{_ASSIGNED}|(?<!{_RUN}){KNOWN_KEY}"
              rf"(?!(?<={CREDENTIAL}[\w\-]{{0,20}}){_SIGN}[^\s=])")
 #: Slashes between names of letters and a short number; slashes alone also occur in Base64.
 PATH = r"^/?[A-Za-z_\-]{2,}[0-9]{0,4}(/[A-Za-z_\-]+[0-9]{0,4}|/[0-9]{1,4}){2,}/?$"
+UUID = r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
 #: Values that stand for a secret or for none.
 PLACEHOLDER = (r"(?i)^(true|false|none|null|nil|undefined|string|str|int|bool|bytes|an?|the|is|was|and|or|in|of|to|for"
                r"|\*+|x+|\.+|<.*>|\$\{?\w+\}?|\{\{.*|your\W.*)$")
@@ -137,11 +140,16 @@ def rule_labels(featured: DataFrame) -> DataFrame:
     blank = F.regexp_like("value", F.lit(PLACEHOLDER)) | ((F.col("covered") == 1) & (F.col("length") <= 12))
     secret = (named & (F.col("length") >= 8) & (F.col("distinct_share") >= 0.2) & (F.col("covered") < 0.5)
               & F.col("digit_share").between(0.01, 0.95) & ~blank)
+    identifier = F.regexp_like("value", F.lit(UUID)) | F.regexp_like("after", F.lit(rf"^{_SIGN}[^\s=]"))
     number = F.regexp_like("value", F.lit(r"^[0-9+/=_\-]+$")) | (F.col("digit_share") >= 0.95)
     clean = F.when(named, blank).otherwise(
-        number | (F.col("path") == 1) | (F.col("address") == 1) | (F.col("covered") >= 0.6)
-        | ((F.col("credential") == 0) & (F.col("assigned") == 0) & (F.col("quoted") == 0)))
-    return featured.withColumn("label", F.when(secret, 1.0).when(clean, 0.0))
+        number | identifier | (F.col("path") == 1) | (F.col("address") == 1) | (F.col("covered") >= 0.6))
+    return featured.withColumn("label", F.when(secret | known_key(), 1.0).when(clean, 0.0))
+
+
+def known_key() -> Column:
+    """Whether the value has the published shape of a provider's key, whatever stands around it."""
+    return F.regexp_like("value", F.lit(f"^{KNOWN_KEY}$"))
 
 
 def scored(docs: DataFrame, findings: DataFrame | None = None, sample: int = SAMPLE_FINDINGS, trees: int = 30,
@@ -169,6 +177,8 @@ def scored(docs: DataFrame, findings: DataFrame | None = None, sample: int = SAM
         model = forest.fit(join.transform(ordered).select("features", "label"))
         out = model.transform(join.transform(featured))
         score = vector_to_array("probability")[1]
+        if findings is None:
+            score = F.when(known_key(), 1.0).otherwise(score)
     return (out.withColumn("score", score)
             .select("doc_id", "at", "start", F.col("length").cast("long").alias("length"), "value", "score",
                     (F.col("score") >= 0.5).alias("is_secret")))
