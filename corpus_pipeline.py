@@ -2,7 +2,7 @@
 
 1. toxicity: documents that the tagger predicts toxic go;
 2. line_dedup: later similar lines leave the texts, documents stay;
-3. near_duplicates: one document of each class of similar texts stays;
+3. near_duplicates: one row of each class of similar texts stays;
 4. secrets: secrets in texts are masked, documents stay;
 5. packing: the remaining texts become packed sequence pieces.
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recolens.llm import line_dedup, lsh_forest, packing, secrets_forest, toxicity
-from recolens.llm.frames import unpacked, whole_rows, written
+from recolens.llm.frames import LAST_ID, unpacked, whole_rows, written
 
 ORACLE_SQL = None
 
@@ -35,13 +35,25 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each class of similar texts (rows that
-    share that id stay together; rows without an id stay)."""
-    classes = lsh_forest.jaccard_join(docs)
-    gone = written(classes.where("doc_id <> class_id").select(F.col("doc_id").alias("id")).distinct(), "duplicates")
-    if gone.count() <= lsh_forest.BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return unpacked(whole_rows(docs).join(gone, "id", "left_anti"), docs.columns)
+    """Keep one row of each class of similar texts: the smallest id, a null id last,
+    then the smallest text hash.  Of rows that repeat that id and text, one stays.
+    Texts without a word are in no class and stay."""
+    classes = lsh_forest.row_classes(docs).where("label is not null")
+    place = [F.coalesce("doc_id", F.lit(LAST_ID)).alias("id"), "th"]
+    places = written(classes.select("label", F.col("doc_id").isNull().alias("last"), *place)
+                     .groupBy("label", "last", "id", "th").agg(F.count("*").alias("n")), "duplicate-places")
+    first = places.groupBy("label").agg(F.min(F.struct("last", "id", "th")).alias("first"), F.sum("n").alias("all"))
+    gone = written(places.join(first.where("`all` > 1"), "label")
+                   .select("last", "id", "th", (F.struct("last", "id", "th") == F.col("first")).alias("kept"), "n")
+                   .where("not kept or n > 1").drop("n"), "duplicates")
+    keys = ["last", "id", "th"]
+    small = F.broadcast if gone.count() <= lsh_forest.BROADCAST_ROWS else (lambda df: df)
+    rows = (whole_rows(docs).withColumn("last", F.col("row.doc_id").isNull())
+            .withColumn("th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))))
+    alone = rows.join(small(gone), keys, "left_anti").select("row")
+    one = (rows.join(small(gone.where("kept").drop("kept")), keys, "left_semi")
+           .groupBy(*keys).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row"))
+    return unpacked(alone.unionByName(one), docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,7 +83,7 @@ def min_hashes(members: np.ndarray, count: int) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], words: int, trees: int, max_depth: int, depth: int):
-    """(doc_id, text) to (doc_id, set_id, signature, keys); no shingles, no signature."""
+    """(doc_id, text, th) to (doc_id, th, set_id, signature, keys); no shingles, no signature."""
     from xxhash import xxh3_64_intdigest
 
     for batch in batches:
@@ -101,8 +101,9 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int, trees: int, max_depth
             for d in range(depth):
                 key = _mixed(key * _M2 + label[:, d])
             keys.append(key.view(np.int64))
-        yield pa.record_batch([batch.column(0), pa.array(sets, pa.int64()), pa.array(signatures, pa.binary()),
-                               pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "set_id", "signature", "keys"])
+        yield pa.record_batch([batch.column(0), batch.column(2), pa.array(sets, pa.int64()), pa.array(signatures, pa.binary()),
+                               pa.array(keys, pa.list_(pa.int64()))],
+                              names=["doc_id", "th", "set_id", "signature", "keys"])
 
 
 def _stars(trees_depth: int, agreement: float):
@@ -197,10 +198,17 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, num: int = 4, den: int = 5
                  max_depth: int = MAX_DEPTH, target: float = TARGET_RECALL) -> DataFrame:
     """(doc_id, class_id, n_links): per document the smallest id of its class and
     the number of other documents of similarity ``num / den`` or more."""
+    return row_classes(docs, words, num, den, trees, max_depth, target).select("doc_id", "class_id", "n_links")
+
+
+def row_classes(docs: DataFrame, words: int = WORDS, num: int = 4, den: int = 5, trees: int = TREES,
+                max_depth: int = MAX_DEPTH, target: float = TARGET_RECALL) -> DataFrame:
+    """(doc_id, th, label, class_id, n_links): of every row also the hash of its
+    text and its class, null where the text has no shingle."""
     depth = prefix_depth(num / den, trees, max_depth, target)
     rows = text_rows(docs)
-    signed = rows.mapInArrow(lambda b: _signed(b, words, trees, max_depth, depth),
-                             "doc_id long, set_id long, signature binary, keys array<long>")
+    signed = rows.withColumn("th", F.xxhash64("text")).mapInArrow(lambda b: _signed(b, words, trees, max_depth, depth),
+                             "doc_id long, th long, set_id long, signature binary, keys array<long>")
     sets = written(signed.where("set_id is not null").groupBy("set_id")
                    .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"),
                         F.first("signature").alias("signature"), F.first("keys").alias("keys")), "sets")
@@ -221,10 +229,10 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, num: int = 4, den: int = 5
              .withColumn("label", F.coalesce("label", "set_id")))
     named = known.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     known = known.join(named, "label").select(
-        "set_id", "class_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    narrow = signed.select("doc_id", "set_id")
+        "set_id", "label", "class_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    narrow = signed.select("doc_id", "th", "set_id")
     return (narrow.join(known, "set_id", "left")
-            .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
+            .select("doc_id", "th", "label", F.coalesce("class_id", "doc_id").alias("class_id"),
                     F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
 
 

@@ -51,6 +51,18 @@ def test_stages_take_effect(spark, tmp_dir):
     assert {r.doc_id for r in seen["packing"].select("doc_id").distinct().collect()} == set(texts["secrets"])
 
 
+def test_near_duplicates_keeps_one_row_of_each_class(spark, tmp_dir):
+    rng = random.Random(22)
+    a, b, c, d, alone = (prose(rng, 60) for _ in range(5))
+    near = a.replace(a.split()[9], "other", 1)
+    rows = [(1, a, "en"), (1, a, "en"), (1, a, "fr"), (None, a, "en"), (2, near, "en"), (2, alone, "en"),
+            (None, b, "en"), (None, b, "en"), (None, c, "en"), (7, c, "en"), (8, d, "en"), (9, "", "en"), (10, None, "en")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, frame, tmp_dir).collect()]
+    want = [(1, a), (2, alone), (None, b), (7, c), (8, d), (9, ""), (10, None)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_entry_registers_all():
     import __spark_entry__ as entry
 
