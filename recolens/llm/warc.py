@@ -39,7 +39,6 @@ UNKNOWN_DATE = "1970-01-01T00:00:00Z"
 _HEX_DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION_LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
-_HEADER_MAX = 1 << 20
 RECORD_SCHEMA = ("path string, offset long, length long, warc_type string, record_id string, "
                  "page_id long, refers_to string, digest string, payload binary, gap string")
 
@@ -129,7 +128,7 @@ def parse_record(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
     version = _VERSION_LINE.match(data, at)
     if version is None:
         raise Damaged("no version line")
-    head_end = data.find(b"\r\n\r\n", version.end(), version.end() + _HEADER_MAX)
+    head_end = data.find(b"\r\n\r\n", version.end())
     if head_end < 0:
         raise Damaged("headers do not end")
     headers = _headers(data[version.end():head_end])
@@ -201,6 +200,12 @@ def _next_valid(data: bytes, at: int) -> int:
             at = start + 1
 
 
+def _page_id(text: str) -> int | None:
+    """A signed 64-bit id; anything else is none."""
+    page = int(text) if re.fullmatch(r"-?[0-9]{1,19}", text) else None
+    return page if page is not None and -(1 << 63) <= page < 1 << 63 else None
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()),
                         ("warc_type", pa.string()), ("record_id", pa.string()), ("page_id", pa.int64()),
@@ -211,9 +216,8 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             name, out, size = path.as_py(), [], 0
             for offset, length, headers, block, gap in salvage(content.as_py()):
                 h = headers or {}
-                page = h.get("x-page-id", "")
                 out.append((name, offset, length, h.get("warc-type"), h.get("warc-record-id"),
-                            int(page) if re.fullmatch(r"-?\d{1,18}", page) else None, h.get("warc-refers-to"),
+                            _page_id(h.get("x-page-id", "")), h.get("warc-refers-to"),
                             h.get("warc-payload-digest", "").removeprefix("sha1:") or None,
                             None if gap else block, gap))
                 size += len(block)

@@ -459,6 +459,17 @@ def test_warc_round_trip(spark):
     assert small.where("record_type = 'revisit'").count() == 0
 
 
+def test_warc_keeps_every_id_and_long_urls(spark):
+    top, low = (1 << 63) - 1, -(1 << 63)
+    pages = [(top, "u", "a"), (low, "u", "b"), (10**18, "u", "c"), (5, "http://h/" + "y" * (3 << 20), "d"),
+             (low + 1, "u", "b"), (top - 1, "u", "a"), (-10**18, None, "e")]
+    got = warc.archive_round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: (r.record_type, r.refers_to) for r in got} == {
+        top - 1: ("response", None), top: ("revisit", top - 1), low: ("response", None), low + 1: ("revisit", low),
+        10**18: ("response", None), 5: ("response", None), -10**18: ("response", None)}
+    assert warc._page_id(str(1 << 63)) is None and warc._page_id("x") is None
+
+
 def record(payload, i):
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     return (f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:{i}>\r\nX-Page-ID: {i}\r\n"
