@@ -47,13 +47,16 @@ _STOPS = r",;&.)\]}\"'`"
 _UNQUOTED = (rf"(?!(?i:bearer|basic)\s)(?:[^\s{_STOPS}]++|[{_STOPS}]++(?!\s|$)"
              rf"(?!(?<=[,;&][\"'`]?)[\w.\-]{{1,40}}[\"'`]?\s{{0,3}}[=:][^\s=]))++")
 _ASSIGNED = "|".join(rf"(?<={q})(?<={_NAMED}{q})(?:[^{q}\\\n]++|\\.)++(?={q})" for q in "\"'`")
-_ASSIGNED += rf"|(?<=[=:>\s\"'`])(?<=[=:>]\s{{0,3}}{_SCHEME}[\"'`]?)(?<={_NAMED}[\"'`]?)(?![\s\"'`]){_UNQUOTED}"
+_ASSIGNED += rf"|(?<={_NAMED}[\"'`]?)(?![\"'`]){_UNQUOTED}"
+#: Cheap looks behind come first: the pattern is tried at every character.
+_ASSIGNED = (r"(?<=[=:>\s\"'`])(?=\S)(?:(?<=[=:>]\s{0,3}[\"'`]?)|(?<=[cCrR]\s{1,3}[\"'`]?)(?<=" + _SCHEME[:-1]
+             + rf"[\"'`]?))(?:{_ASSIGNED})")
 _RUN = r"[A-Za-z0-9+/_\-]"
 #: Any value assigned to a credential name; provider keys; runs of 12 or more token
 #: characters with a digit, '=' only as closing padding.
-CANDIDATE = (rf"{_ASSIGNED}|(?<!{_RUN}){KNOWN_KEY}"
-             rf"|(?<!{_RUN})(?=[A-Za-z+/_\-]*+[0-9]){_RUN}{{12,}}+(?:={{1,2}}(?![A-Za-z0-9+/_\-=\"'`]))?"
-             rf"(?!(?<={CREDENTIAL}[\w\-]{{0,20}}){_SIGN}[^\s=])")
+CANDIDATE = (rf"{_ASSIGNED}|(?<!{_RUN})(?={_RUN})(?:{KNOWN_KEY}"
+             rf"|(?=[A-Za-z+/_\-]*+[0-9]){_RUN}{{12,}}+(?:={{1,2}}(?![A-Za-z0-9+/_\-=\"'`]))?"
+             rf"(?!(?<={CREDENTIAL}[\w\-]{{0,20}}){_SIGN}[^\s=]))")
 #: Slashes between names of letters and a short number; slashes alone also occur in Base64.
 PATH = r"^/?[A-Za-z_\-]{2,}[0-9]{0,4}(/[A-Za-z_\-]+[0-9]{0,4}|/[0-9]{1,4}){2,}/?$"
 UUID = r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
