@@ -7,7 +7,8 @@ label prefix are candidates.  Prefixes start at full depth and are shortened
 until the forest finds a pair at the threshold with the target recall.
 
 Under each prefix, members with similar signatures are chained to a star, not
-paired; the stars' components are the groups to verify.  A group is split into
+paired; a prefix of many members is split into parts, and every pair of parts is
+a task of its own, so none is lost.  The stars' components are the groups to verify.  A group is split into
 blocks, and every pair of blocks counts exact intersections as one matrix
 product and returns link counts and a spanning forest of its links.  The
 components of those are the classes.
@@ -36,6 +37,8 @@ TREES, MAX_DEPTH, TARGET_RECALL = 32, 8, 0.99999
 #: seven standard deviations below the threshold for 256 hashes.
 AGREEMENT = 0.62
 BLOCK_MEMBERS = 256
+#: Members of a part of a prefix; a prefix of more members meets by pairs of parts.
+STAR_MEMBERS = 2048
 #: Members of at most this many rows are broadcast to fetch their texts, more are shuffled.
 BROADCAST_ROWS = 400_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -213,9 +216,15 @@ def row_classes(docs: DataFrame, words: int = WORDS, num: int = 4, den: int = 5,
                    .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"),
                         F.first("signature").alias("signature"), F.first("keys").alias("keys")), "sets")
     nodes = sets.select("set_id", F.explode("keys").alias("key"))
-    shared = nodes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    under = nodes.join(shared, "key").join(sets.select("set_id", "signature"), "set_id").select("key", "set_id", "signature")
-    edges = under.groupBy("key").applyInArrow(_stars(trees * max_depth, AGREEMENT), "a long, b long").distinct()
+    shared = (nodes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+              .select("key", F.ceil(F.col("n") / STAR_MEMBERS).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("set_id", "key"), F.col("parts")).cast("int")
+    under = (nodes.join(shared, "key").withColumn("part", part)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .select("key", "set_id", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"))
+             .join(sets.select("set_id", "signature"), "set_id"))
+    edges = (under.groupBy("key", "first", "second")
+             .applyInArrow(_stars(trees * max_depth, AGREEMENT), "a long, b long").distinct())
     groups = components(edges)
     sizes = groups.groupBy("label").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
     members = written(groups.join(sizes, "label").join(sets, groups.node == sets.set_id)

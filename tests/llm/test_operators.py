@@ -304,6 +304,32 @@ def test_jaccard_join_matches_brute_force(spark, nothing, rows):
     assert lsh_forest.jaccard_join(nothing).count() == 0
 
 
+def test_hot_prefixes_are_split_without_loss(spark, monkeypatch):
+    rng = random.Random(15)
+    base, data = prose(rng, 80).split(), []
+    for i in range(90):
+        t = list(base)
+        t[rng.randrange(80)] = "new" + str(i)
+        data.append((i, " ".join(t), "", 0, 0))
+    frame = spark.createDataFrame(data, SCHEMA).repartition(3)
+    want = sorted(map(tuple, lsh_forest.jaccard_join(frame).collect()))
+    stars, path = lsh_forest._stars, shared_path(spark, "stars").removeprefix("file://")
+    os.makedirs(path)
+
+    def seen(*args):
+        run = stars(*args)
+
+        def counted(table):
+            open(f"{path}/{table.num_rows}", "w").close()
+            return run(table)
+        return counted
+
+    monkeypatch.setattr(lsh_forest, "_stars", seen)
+    monkeypatch.setattr(lsh_forest, "STAR_MEMBERS", 10)
+    assert sorted(map(tuple, lsh_forest.jaccard_join(frame).collect())) == want
+    assert max(map(int, os.listdir(path))) < 60, "no task holds all 90 members"
+
+
 def test_prefix_depth_reaches_target():
     for target in (0.9, 0.99999):
         d = lsh_forest.prefix_depth(0.8, 32, 8, target)
