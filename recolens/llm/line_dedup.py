@@ -42,6 +42,9 @@ from recolens.llm.frames import LAST_ID, text_rows, unpacked, whole_rows, writte
 BUCKET_BITS = 22
 #: Sides of at most this many rows (of some 100 bytes) are broadcast, others shuffled.
 BROADCAST_ROWS = 400_000
+#: Sides of arrays are broadcast up to this many elements in sum: as every row has one
+#: at least, that is some 40 MB of rows of 64 bytes and elements of 32.
+BROADCAST_ELEMENTS = 400_000
 #: Bytes of text coded at a time (a longer text is coded whole).
 CHUNK_BYTES = 1 << 22
 #: Rows of one code that a task pairs in memory; codes of more rows are joined by Spark.
@@ -167,7 +170,7 @@ def _listed(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(doc_id, text, lines): the texts that hold some of these places."""
     lines = written(places.groupBy("doc_id", "th").agg(F.collect_set(F.struct("line_no", "lh")).alias("lines")),
                     "line-lists")
-    return keyed_rows(docs).join(_sized(lines), ["doc_id", "th"]).select("doc_id", "text", "lines")
+    return keyed_rows(docs).join(_sized(lines, elements="lines"), ["doc_id", "th"]).select("doc_id", "text", "lines")
 
 
 def prefix_rows(docs: DataFrame, places: DataFrame, levels: np.ndarray) -> DataFrame:
@@ -329,9 +332,14 @@ def _hot_pairs(rows: DataFrame) -> DataFrame:
                              .select(*ends, F.lit(False).alias("led")))
 
 
-def _sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a written table proven small; larger ones are shuffled."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _sized(df: DataFrame, rows: int = BROADCAST_ROWS, elements: str | None = None) -> DataFrame:
+    """Broadcast hint for a written table proven small; larger ones are shuffled.
+
+    ``elements`` names an array column, whose elements are bounded in sum."""
+    if elements is None:
+        return F.broadcast(df) if df.count() <= rows else df
+    held = df.agg(F.coalesce(F.sum(F.size(elements)), F.lit(0))).first()[0]
+    return F.broadcast(df) if held <= BROADCAST_ELEMENTS else df.hint("merge")
 
 
 def verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, levels: np.ndarray) -> DataFrame:
@@ -382,7 +390,7 @@ def _without(text: Column, gone: Column) -> Column:
 def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """(doc_id, text, n_lines, n_removed): every document without its later similar lines."""
     rows = (text_rows(docs).withColumn("k", F.coalesce("doc_id", F.lit(LAST_ID))).withColumn("th", F.xxhash64("text"))
-            .join(_sized(removed_lines(docs, min_words).withColumnRenamed("doc_id", "k")), ["k", "th"], "left"))
+            .join(_sized(removed_lines(docs, min_words).withColumnRenamed("doc_id", "k"), elements="gone"), ["k", "th"], "left"))
     ends = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     return rows.select("doc_id", _without(F.col("text"), F.col("gone")).alias("text"),
                        (ends + 1).cast("long").alias("n_lines"),
@@ -394,7 +402,7 @@ def without_later_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     stays null), ``n_chars`` follows it."""
     gone = removed_lines(docs, min_words).withColumnRenamed("doc_id", "id")
     rows = (whole_rows(docs).withColumn("th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-            .join(_sized(gone), ["id", "th"], "left").withColumn("text", _without(F.col("text"), F.col("gone"))))
+            .join(_sized(gone, elements="gone"), ["id", "th"], "left").withColumn("text", _without(F.col("text"), F.col("gone"))))
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

@@ -376,6 +376,21 @@ def test_line_dedup_matches_brute_force(spark, nothing, rows, monkeypatch):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_line_lists_are_broadcast_by_elements_not_rows(spark, monkeypatch):
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    docs = spark.createDataFrame([(i, "\n".join(f"{i} line {j} of some words" for j in range(20)), "", 0, 0)
+                                  for i in range(5)], SCHEMA)
+    places = line_dedup.line_places(docs, 5)
+    assert "broadcast" in plan(line_dedup._listed(docs, places))
+    want = {(r.doc_id, r.text, len(r.lines)) for r in line_dedup._listed(docs, places).collect()}
+    monkeypatch.setattr(line_dedup, "BROADCAST_ELEMENTS", 99)  # 5 rows of 20 lines each
+    large = line_dedup._listed(docs, places)
+    assert "broadcast" not in plan(large) and {(r.doc_id, r.text, len(r.lines)) for r in large.collect()} == want
+    assert line_dedup.dedup_lines(docs).count() == 5 and len(want) == 5
+
+
 # ----------------------------------------------------------------- secrets
 
 def test_secret_forest(spark, nothing):
