@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recolens.llm import backoff, bitsliced, bpe, line_dedup, lsh_forest, packing, quality, secrets_forest, toxicity, warc
+from recolens.llm import (backoff, bitsliced, bpe, line_dedup, lsh_forest, marked_words, packing, quality,
+                          secrets_forest, toxicity, turn_repair, warc, whitening)
 from recolens.sources.tables import load_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +183,20 @@ FROM d
 @register("op10_warc_salvage", WARC_SQL)
 def q_warc_salvage(spark, sf):
     return warc.archive_round_trip(load_table(spark, sf, "pages"), min_bytes=0)
+
+
+@register("op11_embedding_whitening")
+def q_embedding_whitening(spark, sf):
+    """Deviations beyond 64 bits are null here; the operator's own are decimals."""
+    return (whitening.whiten(load_table(spark, sf, "embeddings"))
+            .withColumn("deviation", F.col("deviation").try_cast("long")))
+
+
+@register("op12_marked_words")
+def q_marked_words(spark, sf):
+    return marked_words.digests(load_table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@register("op13_turn_repair")
+def q_turn_repair(spark, sf):
+    return turn_repair.repair(load_table(spark, sf, "conversations"))
