@@ -2,15 +2,15 @@
 
 No piece of the model holds a whitespace marker behind another character, so no
 merge crosses the place before such a marker and a text may be cut there: into
-marked words, markers followed by other characters.  The texts become blocks,
-each the list of its distinct words and one code for each word in place.  Every
-distinct word of all blocks is segmented once by the library; its ids are joined
-back to the blocks that hold it, and a block puts them together by position.
+marked words, markers followed by other characters.  A task keeps a table of the
+distinct words it has met.  The texts of a block become codes of that table; the
+words that are new are segmented by the library, each once; ids are joined back to
+the texts by position.
 
-Texts are read once.  What crosses shuffles are the codes and each block's
-distinct words; a word that stands everywhere is one row a block, and Spark's
-skew join may split it.  Memory is bounded by a block (``BLOCK_CHARS``, or one
-text longer than that).
+Texts stay where they are read: no shuffle, so no word or source is a hot key.  The
+table is the task's own (one for all tasks would send every block's words and codes
+through a shuffle).  It starts anew after ``TABLE_WORDS`` words and a block
+ends after ``BLOCK_CHARS`` characters, which bounds memory but for one longer text.
 
 Defined results: a null or empty text has no ids and decodes to the empty text;
 null ids stay null; repeated rows give repeated results; an empty table gives an
@@ -25,17 +25,18 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recolens.llm.frames import text_rows, written
+from recolens.llm.frames import text_rows
 
 MARK = "▁"
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 2 << 20
+TABLE_WORDS = 1 << 19
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 _CROSSING = re.compile(f"[^{MARK}]{MARK}")
 
@@ -70,86 +71,65 @@ def word_ids(words: list[str], model_file: str) -> list[list[int]]:
     return [ids if len(w) > 1 else [lone] for w, ids in zip(words, found)]
 
 
-def blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(block, docs, counts, codes, words): texts as codes of the block's distinct words.
+class WordTable:
+    """Distinct marked words and their ids; a word is segmented when it first appears."""
+
+    def __init__(self, model_file: str):
+        self.model_file = model_file
+        self.codes: defaultdict[str, int] = defaultdict()
+        self.codes.default_factory = self.codes.__len__
+        self.sizes = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, "<u4")
+
+    def coded(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
+
+    def segment_new(self) -> None:
+        """Ids of the words that have come since the last call."""
+        new = list(islice(self.codes, len(self.sizes), None))
+        if new:
+            ids = word_ids(new, self.model_file)
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), "<u4")])
+
+    def ids(self, texts: list[np.ndarray]) -> list[bytes]:
+        """The ids of coded texts: each word's ids, gathered by position."""
+        first = np.cumsum(self.sizes) - self.sizes
+        out = []
+        for codes in texts:
+            n = self.sizes[codes]
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            out.append(self.flat[np.repeat(first[codes], n) + inner].tobytes())
+        return out
+
 
-    ``counts`` has the words of each document, ``codes`` little-endian unsigned
-    32-bit integers.  Block numbers hold for one written copy alone."""
-    schema = pa.schema([("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
-                        ("codes", pa.binary()), ("words", pa.list_(pa.string()))])
+def encode(docs: DataFrame, model_file: str, block_chars: int = BLOCK_CHARS, table_words: int = TABLE_WORDS) -> DataFrame:
+    """(doc_id, ids, n_tokens): the library's ids of every text, packed little-endian
+    unsigned 32-bit, without begin and end ids."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        ids, counts, codes, chars = [], [], [], 0
-        table: defaultdict[str, int] = defaultdict()
-        table.default_factory = table.__len__
+        table, doc_ids, texts, chars = WordTable(model_file), [], [], 0
 
-        def closed():
-            return pa.record_batch([pa.array([v], t) for v, t in zip(
-                (number, ids, counts, b"".join(codes), list(table)), schema.types)], schema=schema)
+        def block():
+            table.segment_new()
+            return pa.record_batch([pa.array(doc_ids, pa.int64()), pa.array(table.ids(texts), pa.binary())], schema=schema)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py()
-                words = marked_words(text)
-                ids.append(doc_id.as_py())
-                counts.append(len(words))
-                codes.append(np.fromiter(map(table.__getitem__, words), "<u4", len(words)).tobytes())
+                doc_ids.append(doc_id.as_py())
+                texts.append(table.coded(marked_words(text)))
                 chars += len(text) + 16
                 if chars >= block_chars:
-                    yield closed()
-                    number, chars = number + 1, 0
-                    ids, counts, codes = [], [], []
-                    table.clear()
-        if ids:
-            yield closed()
-
-    return text_rows(docs).mapInArrow(
-        run, "block long, docs array<long>, counts array<long>, codes binary, words array<string>")
-
-
-def word_table(words: DataFrame, model_file: str) -> DataFrame:
-    """(word, ids): every distinct word segmented once; ids are packed 32-bit integers."""
-    schema = pa.schema([("word", pa.string()), ("ids", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                ids = [np.array(i, "<u4").tobytes() for i in word_ids(batch.column(0).to_pylist(), model_file)]
-                yield pa.record_batch([batch.column(0).cast(pa.string()), pa.array(ids, pa.binary())], schema=schema)
-
-    return words.select("word").distinct().mapInArrow(run, "word string, ids binary")
-
-
-def _joined(block: pa.Table, words: pa.Table) -> pa.Table:
-    """Ids of a block's documents: each word's ids, gathered by position."""
-    ids, ends, counts = [], [0], []
-    if block.num_rows:
-        order = np.argsort(words.column("code").to_numpy())
-        parts = words.column("ids").to_pylist()
-        sizes = np.array([len(p) // 4 for p in parts], dtype=np.int64)[order]
-        flat = np.frombuffer(b"".join(parts[i] for i in order), "<u4")
-        first = np.cumsum(sizes) - sizes
-        codes = np.frombuffer(block.column("codes")[0].as_py(), "<u4")
-        ids = block.column("docs")[0].as_py()
-        at = 0
-        for count in block.column("counts")[0].as_py():
-            own = codes[at:at + count]
-            at += count
-            n = sizes[own]
-            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            counts.append(flat[np.repeat(first[own], n) + inner].tobytes())
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "ids": pa.array(counts, pa.binary())})
-
-
-def encode(docs: DataFrame, model_file: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, ids, n_tokens): the library's ids of every text, packed little-endian
-    unsigned 32-bit, without begin and end ids."""
-    table = written(blocks(docs, block_chars), "marked-words")
-    places = table.select("block", F.posexplode("words").alias("code", "word"))
-    own = places.join(word_table(places, model_file), "word").select(F.col("block").alias("of"), "code", "ids")
-    out = (table.select("block", "docs", "counts", "codes").groupBy("block").cogroup(own.groupBy("of"))
-           .applyInArrow(_joined, "doc_id long, ids binary"))
+                    yield block()
+                    doc_ids, texts, chars = [], [], 0
+                    if len(table.codes) > table_words:
+                        table = WordTable(model_file)
+        if doc_ids:
+            yield block()
+
+    out = text_rows(docs).mapInArrow(run, "doc_id long, ids binary")
     return out.withColumn("n_tokens", F.expr("cast(octet_length(ids) div 4 as long)"))
 
 

@@ -106,8 +106,8 @@ def test_marked_words_equal_the_library(spark):
              hostile(rng, 20_000), "word " * 30_000, "x" * 20_000, "漢" * 3000]
     rows = [(i, t, "k", 1) for i, t in enumerate(texts)] + [(None, "a b a", "", 2), (9, texts[9], "", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, block string, ids int").repartition(3)
-    for chars in (1, 500, marked_words.BLOCK_CHARS):
-        encoded = marked_words.encode(docs, MODEL, chars)
+    for chars, words in ((1, 1), (500, 40), (1, 1 << 19), (marked_words.BLOCK_CHARS, marked_words.TABLE_WORDS)):
+        encoded = marked_words.encode(docs, MODEL, chars, words)
         got = {r.doc_id: r for r in encoded.collect()}
         assert len(got) == len(rows) - 1 and encoded.count() == len(rows)
         for i, t in [*enumerate(texts), (None, "a b a")]:
