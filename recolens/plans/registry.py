@@ -131,3 +131,11 @@ for _name, _fn, _sql in (
         ("als_recommend", RP.als_recommend, None),
         ("doc_embedding", RP.doc_embedding, None)):
     register(_name, _sql)(_fn)
+
+
+# ----------------------------------------- top k of every item, indexed search
+
+from recolens.plans import indexplans as IP  # noqa: E402
+
+for _name, (_fn, _sql) in IP.QUERIES.items():
+    register(_name, _sql)(_fn)
