@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recolens.functions import text as T
-from recolens.operators import sparse_index, tfidf
+from recolens.operators import co_overlap, sparse_index, tfidf
 from recolens.plans import driver
 from recolens.plans import evaluation as E
 from recolens.plans import textplans as TP
@@ -36,10 +36,27 @@ def text_search_blocks(spark, sf):
             .select(F.col("seed_id").alias("query_id"), "item_id", "similarity", "rank"))
 
 
+def jaccard_all_items_topk(spark, sf):
+    """The ten items with the largest co-reviewer overlap, for every item."""
+    top = co_overlap.all_items_topk(E.pairs(spark, sf, materialize=True), TP.DOC_TOPK)
+    return top.select("seed_id", "item_id", F.round("similarity", 6).alias("jaccard"), F.col("rank").alias("rel_rank"))
+
+
+JACCARD_ALL_SQL = "WITH " + E.PAIRS_CTE + f""",
+deg AS (SELECT item_id, count(*) AS n FROM pairs GROUP BY item_id),
+inter AS (SELECT a.item_id AS seed_id, b.item_id, count(*) AS n
+          FROM pairs a JOIN pairs b ON a.user_id = b.user_id AND a.item_id <> b.item_id GROUP BY a.item_id, b.item_id),
+jac AS (SELECT i.seed_id, i.item_id, i.n / (s.n + o.n - i.n) AS jaccard
+        FROM inter i JOIN deg s ON s.item_id = i.seed_id JOIN deg o ON o.item_id = i.item_id)
+SELECT seed_id, item_id, round(jaccard, 6) AS jaccard,
+       row_number() OVER (PARTITION BY seed_id ORDER BY jaccard DESC, item_id) AS rel_rank
+FROM jac QUALIFY rel_rank <= {TP.DOC_TOPK}"""
+
 TFIDF_ALL_SQL = (TP.DOC_TFIDF_CTE + ",\nseeds AS (SELECT doc_id AS seed_id FROM documents),\n"
                  + E._cosine_topk_sql(TP.DOC_TOPK) + "\nSELECT seed_id, item_id, similarity, rank FROM ranked")
 
 QUERIES = {
     "tfidf_all_items_topk": (tfidf_all_items_topk, TFIDF_ALL_SQL),
+    "jaccard_all_items_topk": (jaccard_all_items_topk, JACCARD_ALL_SQL),
     "text_search_blocks": (text_search_blocks, TP.TEXT_SEARCH_SQL),
 }
