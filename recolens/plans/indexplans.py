@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recolens.functions import text as T
-from recolens.operators import co_overlap, sparse_index, tfidf
+from recolens.operators import co_overlap, dense_index, sparse_index, tfidf
 from recolens.plans import driver
 from recolens.plans import evaluation as E
 from recolens.plans import textplans as TP
@@ -42,6 +42,35 @@ def jaccard_all_items_topk(spark, sf):
     return top.select("seed_id", "item_id", F.round("similarity", 6).alias("jaccard"), F.col("rank").alias("rel_rank"))
 
 
+def embedding_all_items_topk(spark, sf):
+    """The ten nearest vectors of every vector by cosine, exact."""
+    return dense_index.all_items_topk(driver.embeddings(spark, sf), TP.DOC_TOPK)
+
+
+def embedding_probe_topk(spark, sf):
+    """J6 by the index alone: as many of the nearest clusters as a sample asks for.
+    Approximate; the tests measure its recall."""
+    index = dense_index.build(driver.embeddings(spark, sf))
+    queries = index.vectors.select(F.col("item_id").alias("seed_id"), "embedding")
+    return dense_index.probe_topk(index, queries, TP.DOC_TOPK, dense_index.choose_probes(index, TP.DOC_TOPK))
+
+
+def vector_dot_topk(spark, sf):
+    """K6/M10 on given factors: the ten largest inner products of every vector, itself included."""
+    v = driver.embeddings(spark, sf)
+    index = dense_index.build(v, cosine=False)
+    return dense_index.topk(v.withColumnRenamed("item_id", "seed_id"), index, TP.DOC_TOPK).top
+
+
+EMBEDDING_ALL_SQL = ("WITH seeds AS (SELECT vec_id AS seed_id FROM embeddings),\n" + E._embedding_topk_sql(TP.DOC_TOPK)
+                     + "\nSELECT seed_id, item_id, similarity, rank FROM eranked")
+DOT_SQL = f"""WITH ev AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+dots AS (SELECT a.vec_id AS seed_id, b.vec_id AS item_id, round(list_inner_product(a.e, b.e), 6) AS similarity
+         FROM ev a JOIN ev b ON len(a.e) = len(b.e))
+SELECT seed_id, item_id, similarity,
+       row_number() OVER (PARTITION BY seed_id ORDER BY similarity DESC, item_id) AS rank
+FROM dots QUALIFY rank <= {TP.DOC_TOPK}"""
+
 JACCARD_ALL_SQL = "WITH " + E.PAIRS_CTE + f""",
 deg AS (SELECT item_id, count(*) AS n FROM pairs GROUP BY item_id),
 inter AS (SELECT a.item_id AS seed_id, b.item_id, count(*) AS n
@@ -58,5 +87,8 @@ TFIDF_ALL_SQL = (TP.DOC_TFIDF_CTE + ",\nseeds AS (SELECT doc_id AS seed_id FROM
 QUERIES = {
     "tfidf_all_items_topk": (tfidf_all_items_topk, TFIDF_ALL_SQL),
     "jaccard_all_items_topk": (jaccard_all_items_topk, JACCARD_ALL_SQL),
+    "embedding_all_items_topk": (embedding_all_items_topk, EMBEDDING_ALL_SQL),
+    "embedding_probe_topk": (embedding_probe_topk, None),
+    "vector_dot_topk": (vector_dot_topk, DOT_SQL),
     "text_search_blocks": (text_search_blocks, TP.TEXT_SEARCH_SQL),
 }
