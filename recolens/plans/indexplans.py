@@ -8,10 +8,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recolens.functions import text as T
-from recolens.operators import co_overlap, dense_index, sparse_index, tfidf
+from recolens.operators import co_overlap, dense_index, docvec, sentvec, sparse_index, tfidf, wordvec
+from recolens.operators.lexicon import Lexicons, preprocess
 from recolens.plans import driver
 from recolens.plans import evaluation as E
 from recolens.plans import textplans as TP
+from recolens.session import cut_lineage
 
 
 def tfidf_all_items_topk(spark, sf):
@@ -62,6 +64,28 @@ def vector_dot_topk(spark, sf):
     return dense_index.topk(v.withColumnRenamed("item_id", "seed_id"), index, TP.DOC_TOPK).top
 
 
+def _doc_tokens(spark, sf):
+    """(item_id, toks): whitespace tokens of the cleaned documents."""
+    stop = E.doc_stopwords(spark, sf)
+    return cut_lineage(driver.documents(spark, sf).select(
+        "item_id", T.split_tokens(preprocess(F.col("text"), Lexicons(stopwords=stop))).alias("toks")))
+
+
+def doc_vectors(spark, sf):
+    """M4: paragraph vectors of the documents with the reference's settings, as its
+    evaluation takes them: inferred once the words are trained."""
+    toks = _doc_tokens(spark, sf)
+    return docvec.infer(toks, docvec.fit(toks)).withColumnRenamed("item_id", "doc_id")
+
+
+def sentence_vectors(spark, sf):
+    """M5: weighted word vectors of the documents without their common direction."""
+    toks = _doc_tokens(spark, sf)
+    words = wordvec.fit(toks).getVectors()
+    return (sentvec.sentence_vectors(toks, words, wordvec.VECTOR_SIZE)
+            .select(F.col("item_id").alias("doc_id"), F.col("embedding").cast("array<float>")))
+
+
 EMBEDDING_ALL_SQL = ("WITH seeds AS (SELECT vec_id AS seed_id FROM embeddings),\n" + E._embedding_topk_sql(TP.DOC_TOPK)
                      + "\nSELECT seed_id, item_id, similarity, rank FROM eranked")
 DOT_SQL = f"""WITH ev AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
@@ -89,6 +113,8 @@ QUERIES = {
     "jaccard_all_items_topk": (jaccard_all_items_topk, JACCARD_ALL_SQL),
     "embedding_all_items_topk": (embedding_all_items_topk, EMBEDDING_ALL_SQL),
     "embedding_probe_topk": (embedding_probe_topk, None),
+    "doc_vectors": (doc_vectors, None),
+    "sentence_vectors": (sentence_vectors, None),
     "vector_dot_topk": (vector_dot_topk, DOT_SQL),
     "text_search_blocks": (text_search_blocks, TP.TEXT_SEARCH_SQL),
 }
