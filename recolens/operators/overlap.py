@@ -37,27 +37,23 @@ def item_user_counts(pairs: DataFrame) -> DataFrame:
 
 
 def eligible_items(pairs: DataFrame, min_rel: int = MIN_REL) -> DataFrame:
-    """Items that share a user with at least ``min_rel`` (= 2) other items.
-
-    Pair-free: a user with >= 3 items gives each of them >= 2 co-items; a
-    user with exactly 2 items gives each one co-item (the other one).  So an
-    item qualifies when some user of it has >= 3 items, or when its 2-item
-    users point at two different other items.
-    """
-    if min_rel != 2:
-        raise ValueError("pair-free eligibility is defined for min_rel == 2")
-    udeg = pairs.groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("n_items"),
-        F.min("item_id").alias("lo"), F.max("item_id").alias("hi"))
-    other = F.when(F.col("n_items") == 2,
-                   F.when(F.col("item_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")))
-    per_item = (pairs.join(udeg, "user_id")
-                .select("item_id", "n_items", other.alias("other"))
-                .groupBy("item_id")
-                .agg(F.max("n_items").alias("max_user_items"),
-                     F.min("other").alias("o_lo"), F.max("other").alias("o_hi")))
-    return (per_item.where((F.col("max_user_items") >= 3) | (F.col("o_lo") != F.col("o_hi")))
-            .select("item_id"))
+    """Items that share a user with at least ``min_rel`` other items.
+
+    Pair-free.  Of each user only the ``min_rel + 1`` smallest items are kept: they hold
+    ``min_rel`` others of any item if the user has as many, and all of them if not.  An
+    item qualifies by one user of more than ``min_rel`` items, or by ``min_rel``
+    distinct partners from users that all have fewer."""
+    if min_rel < 1:
+        return pairs.select("item_id").distinct()
+    mine = Window.partitionBy("user_id").orderBy("item_id")
+    smallest = (pairs.withColumn("place", F.row_number().over(mine)).where(F.col("place") <= min_rel + 1)
+                .groupBy("user_id").agg(F.collect_list("item_id").alias("some")))
+    met = pairs.join(smallest, "user_id")
+    full = met.where(F.size("some") > min_rel).select("item_id").distinct()
+    few = (met.where((F.size("some") <= min_rel) & (F.size("some") > 1))
+           .select("item_id", F.explode("some").alias("other")).where("item_id <> other").distinct()
+           .groupBy("item_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_rel).select("item_id"))
+    return full.unionByName(few).distinct()
 
 
 def sample_order(id_col: str, seed: int = SEED_RNG):

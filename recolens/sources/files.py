@@ -1,28 +1,32 @@
 """File sources and sinks.
 
-* ``read_csv_safely``: CSV with an encoding fallback.  Spark never fails on
-  invalid UTF-8 - it substitutes U+FFFD - so the fallback is decided by
-  looking for U+FFFD in the decoded strings (one bounded probe), and the file
-  is then re-read as ISO-8859-1 (latin-1 never fails, as in the reference's
-  last resort).  A UTF-8 byte-order mark is stripped from the first header.
+* ``read_csv_safely``: CSV whose files may differ in encoding.  Every file is read as
+  ISO-8859-1, which keeps each byte as one character; a first scan decides for each
+  file which encoding its bytes allow (UTF-8 with or without a byte-order mark, then
+  cp1258, then ISO-8859-1), a second one decodes its values so.  Vietnamese in cp1258
+  writes tones as combining marks, so decoded values are composed (NFC).
 * embeddings, recommendation tables and result tables are parquet/CSV
   directories written by the cluster (no driver-side files).
 """
 
 from __future__ import annotations
 
+import unicodedata
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, FloatType, LongType, StringType, StructField,
                                StructType)
 
+from recolens.functions import text as T
+from recolens.session import cut_lineage
 from recolens.sources.dictionaries import path_exists
 
-REPLACEMENT_CHAR = "\ufffd"
 BOM = "\ufeff"
-ENCODINGS = ("UTF-8", "ISO-8859-1")
+UTF8, CP1258, LATIN1 = "UTF-8", "cp1258", "ISO-8859-1"
+ENCODINGS = (UTF8, CP1258, LATIN1)
 RECS_SCHEMA = StructType([StructField("UserName", StringType()),
                           StructField("RecommendedHotel", StringType())])
 EMBEDDING_SCHEMA = StructType([StructField("item_id", LongType()),
@@ -38,28 +42,87 @@ def _read_csv(spark: SparkSession, path: str, encoding: str, **options) -> DataF
     return df
 
 
-def has_decode_errors(df: DataFrame) -> bool:
-    """True when any string value (or header) holds U+FFFD."""
-    if any(REPLACEMENT_CHAR in c for c in df.columns):
-        return True
-    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
-    if not strings:
-        return False
-    cond = None
-    for c in strings:
-        e = F.instr(F.col(f"`{c}`"), REPLACEMENT_CHAR) > 0
-        cond = e if cond is None else (cond | e)
-    return df.where(cond).limit(1).count() > 0
+def cp1258_table() -> tuple[str, str, str]:
+    """(bytes as characters, what cp1258 reads in them, bytes that it does not define)."""
+    source, target, undefined = "", "", ""
+    for code in range(0x80, 0x100):
+        try:
+            target += bytes([code]).decode("cp1258")
+            source += chr(code)
+        except UnicodeDecodeError:
+            undefined += chr(code)
+    return source, target, undefined
+
+
+def _utf8(raw):
+    """The UTF-8 text of a string of bytes, without a byte-order mark in front."""
+    return F.regexp_replace(F.decode(F.encode(raw, LATIN1), UTF8), f"^{BOM}", "")
+
+
+def _cp1258(raw):
+    source, target, _ = cp1258_table()
+    return T.nfc(F.translate(raw, source, target))
+
+
+def _allows(raw, encoding: str):
+    """Whether the bytes of a value are text in that encoding; null is."""
+    if encoding == UTF8:
+        ok = F.is_valid_utf8(F.encode(raw, LATIN1).cast("string"))
+    elif encoding == CP1258:
+        ok = ~raw.rlike(f"[{cp1258_table()[2]}]")
+    else:
+        ok = F.lit(True)
+    return F.coalesce(ok, F.lit(True))
+
+
+def _name(raw: str, encodings) -> str:
+    """A header's name, by the first encoding that allows it."""
+    for encoding in encodings:
+        try:
+            return unicodedata.normalize("NFC", raw.encode("latin-1").decode(encoding)).removeprefix(BOM)
+        except UnicodeError:
+            continue
+    return raw
+
+
+def file_encodings(spark: SparkSession, path: str, encodings=ENCODINGS, **options) -> DataFrame:
+    """(file, encoding): the first of ``encodings`` that every value of the file allows,
+    the last one without a check."""
+    raw = _read_csv(spark, path, LATIN1, **options)
+    texts = [F.col(f"`{f.name}`") for f in raw.schema.fields if isinstance(f.dataType, StringType)]
+    checks = [reduce(lambda x, y: x & y, [_allows(c, e) for c in texts], F.lit(True)) for e in encodings[:-1]]
+    found = raw.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.lit(True).alias("any"), *(F.bool_and(c).alias(f"is{i}") for i, c in enumerate(checks)))
+    kind = F.lit(encodings[-1])
+    for i in reversed(range(len(checks))):
+        kind = F.when(F.col(f"is{i}"), encodings[i]).otherwise(kind)
+    return found.select("file", kind.alias("encoding"))
 
 
 def read_csv_safely(spark: SparkSession, path: str, encodings=ENCODINGS, **options) -> DataFrame:
-    """First encoding whose decoding is clean; the last one unconditionally."""
-    last = None
-    for enc in encodings:
-        last = _read_csv(spark, path, enc, **options)
-        if enc == encodings[-1] or not has_decode_errors(last):
-            return last
-    return last
+    """A CSV file or a folder of them, each file in the first of ``encodings`` that
+    its bytes allow.  Names come from the first file's header; empty files are no files."""
+    raw = _read_csv(spark, path, LATIN1, **options)
+    names = [_name(c, encodings) for c in raw.columns]
+    kinds = cut_lineage(file_encodings(spark, path, encodings, **options))       # one row a file
+    used = {r.encoding for r in kinds.select("encoding").distinct().collect()}
+    marked = raw.select("*", F.col("_metadata.file_path").alias("file of row"))
+    if len(used) > 1:
+        marked = marked.join(kinds.withColumnRenamed("file", "file of row"), "file of row")
+    else:
+        marked = marked.withColumn("encoding", F.lit(next(iter(used), encodings[-1])))
+
+    def decoded(field):
+        c = F.col(f"`{field.name}`")
+        if not isinstance(field.dataType, StringType):
+            return c
+        out = c
+        for encoding, read in ((CP1258, _cp1258), (UTF8, _utf8)):
+            if encoding in used:
+                out = F.when(F.col("encoding") == encoding, read(c)).otherwise(out)
+        return out
+
+    return marked.select(*(decoded(f).alias(n) for f, n in zip(raw.schema.fields, names)))
 
 
 def save_embeddings(df: DataFrame, path: str, id_col: str = "item_id",
