@@ -11,8 +11,10 @@ exploded tokens against it and re-assembling each text by token position.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
+from heapq import heappop, heappush
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,14 +59,72 @@ def drop_tokens(tokens: Column, words: Iterable[str], lower_key: bool = False,
     return F.filter(tokens, keep)
 
 
+#: Up to so many keys are nested ``replace`` calls; more go through the automaton.
+NESTED_MAX_KEYS = 64
+
+
+def replace_in_order(text: str, keys: list[str], values: list[str], automaton) -> str:
+    """``text.replace(key, value)`` for each key in order, touching only keys that occur.
+
+    ``automaton`` finds (end, (place in ``keys``, length)).  The earliest key that occurs is
+    replaced; a replacement can bring in new keys only where it touches the text, so
+    those stretches alone are searched again, for later keys."""
+    due = {i for _, (i, _) in automaton.iter(text)}
+    heap = sorted(due)
+    longest = max(map(len, keys))
+    while heap:
+        i = heappop(heap)
+        key, value = keys[i], values[i]
+        parts = text.split(key)
+        if len(parts) == 1:
+            continue                                  # an earlier replacement took it away
+        text = value.join(parts)
+        at = reach = 0
+        for part in parts[:-1]:
+            at += len(part)
+            start, end = max(reach, at - longest), at + len(value) + longest
+            for _, (j, _) in automaton.iter(text[start:end]):
+                if j > i and j not in due:
+                    due.add(j)
+                    heappush(heap, j)
+            at += len(value)
+            reach = max(reach, at - longest)
+    return text
+
+
+def _automaton(keys: list[str]):
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for i, key in enumerate(keys):
+        found.add_word(key, (i, len(key)))
+    found.make_automaton()
+    return found
+
+
+def replace_by_automaton(c: Column, mapping: Mapping[str, str]) -> Column:
+    """T3 for dictionaries of any number of keys: the result of replacing them one after
+    another, in batches of texts; a worker builds the automaton once a task."""
+    keys = [k for k in mapping if k]
+    values = [f" {mapping[k]} " for k in keys]
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = _automaton(keys)
+        for batch in batches:
+            yield batch.map(lambda t: None if t is None else replace_in_order(t, keys, values, automaton))
+    return F.pandas_udf(run, "string")(c)
+
+
 def replace_substrings(c: Column, mapping: Mapping[str, str], longest_first: bool = False) -> Column:
     """Substring replacement ``emo -> ' meaning '`` in dictionary order
     (the reference's order); ``longest_first`` applies longer keys first, for
-    dictionaries whose keys contain one another."""
-    out = c
-    items = list(mapping.items())
+    dictionaries whose keys contain one another.  Empty keys are left out."""
+    items = [(k, v) for k, v in mapping.items() if k]
     if longest_first:
         items.sort(key=lambda kv: -len(kv[0]))
+    if len(items) > NESTED_MAX_KEYS:
+        return replace_by_automaton(c, dict(items))
+    out = c
     for k, v in items:
         out = F.replace(out, F.lit(k), F.lit(f" {v} "))
     return out

@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recolens.functions import text as T
-from recolens.operators import co_overlap, dense_index, docvec, sentvec, sparse_index, tfidf, wordvec
-from recolens.operators.lexicon import Lexicons, preprocess
+from recolens.operators import co_overlap, dense_index, docvec, overlap, ranking, sentvec, sparse_index, tfidf, wordvec
+from recolens.operators.lexicon import Lexicons, preprocess, replace_substrings
 from recolens.plans import driver
 from recolens.plans import evaluation as E
+from recolens.plans import sqltext as S
 from recolens.plans import textplans as TP
 from recolens.session import cut_lineage
 
@@ -108,7 +109,43 @@ FROM jac QUALIFY rel_rank <= {TP.DOC_TOPK}"""
 TFIDF_ALL_SQL = (TP.DOC_TFIDF_CTE + ",\nseeds AS (SELECT doc_id AS seed_id FROM documents),\n"
                  + E._cosine_topk_sql(TP.DOC_TOPK) + "\nSELECT seed_id, item_id, similarity, rank FROM ranked")
 
+ELIGIBLE_LEVELS = (1, 3, 5)
+LARGE_DICTIONARY = 500
+
+
+def seed_eligibility_levels(spark, sf):
+    """P22 at other thresholds than the evaluation's: (min_rel, item_id)."""
+    p = E.pairs(spark, sf, materialize=True)
+    return ranking.union_methods([overlap.eligible_items(p, m).withColumn("min_rel", F.lit(m).cast("long"))
+                                  for m in ELIGIBLE_LEVELS])
+
+
+def frequent_tokens(spark, sf, n):
+    """The ``n`` tokens in most documents, most frequent first; bounded by ``n``."""
+    toks = driver.documents(spark, sf).select(F.explode(F.array_distinct(T.split_tokens(T.simple_clean(F.col("text"))))).alias("tok"))
+    top = toks.groupBy("tok").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "tok").limit(n)
+    return [r.tok for r in top.orderBy(F.desc("df"), "tok").collect()]
+
+
+def replace_substrings_large(spark, sf):
+    """T3 with a dictionary beyond nested calls: frequent tokens, most frequent first, lose
+    their first letter, so replaced text holds later keys."""
+    mapping = {k: k[1:] + "_" for k in frequent_tokens(spark, sf, LARGE_DICTIONARY)}
+    d = driver.documents(spark, sf)
+    return d.select(F.col("item_id").alias("doc_id"), replace_substrings(T.lower_nfc(T.as_text("text")), mapping).alias("replaced"))
+
+
+ELIGIBLE_LEVELS_SQL = "WITH " + E.ELIGIBLE_CTE + f"""
+SELECT CAST(m AS BIGINT) AS min_rel, item_id FROM co, (SELECT unnest({list(ELIGIBLE_LEVELS)}) AS m) WHERE n_co >= m"""
+REPLACE_SQL = f"""WITH dtok AS (SELECT DISTINCT doc_id, unnest({S.split_tokens(S.simple_clean('text'))}) AS tok FROM documents),
+top AS (SELECT tok, count(*) AS df FROM dtok GROUP BY tok ORDER BY df DESC, tok LIMIT {LARGE_DICTIONARY}),
+keys AS (SELECT list(tok ORDER BY df DESC, tok) AS ks FROM top)
+SELECT doc_id, list_reduce(ks, lambda t, k: replace(t, k, ' ' || substr(k, 2) || '_ '), {S.lower_nfc(S.as_text('text'))}) AS replaced
+FROM documents, keys"""
+
 QUERIES = {
+    "seed_eligibility_levels": (seed_eligibility_levels, ELIGIBLE_LEVELS_SQL),
+    "replace_substrings_large": (replace_substrings_large, REPLACE_SQL),
     "tfidf_all_items_topk": (tfidf_all_items_topk, TFIDF_ALL_SQL),
     "jaccard_all_items_topk": (jaccard_all_items_topk, JACCARD_ALL_SQL),
     "embedding_all_items_topk": (embedding_all_items_topk, EMBEDDING_ALL_SQL),
