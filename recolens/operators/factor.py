@@ -41,6 +41,22 @@ def ratings_frame(df: DataFrame, user: str, item: str, rating: str) -> DataFrame
                      F.col(rating).cast("double").alias("rating")).dropna()
 
 
+def coded_ratings(df: DataFrame, user: str, item: str, rating: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ratings with dense ids for keys of any type and size, which MLlib's 32-bit ids could
+    not hold, and the tables (key, id) of users and items to read results back by."""
+    from recolens.operators.ids import dense_ids
+    rows = df.select(F.col(user).alias("user_key"), F.col(item).alias("item_key"),
+                     F.col(rating).cast("double").alias("rating")).dropna()
+    users, items = dense_ids(rows, "user_key", "userId"), dense_ids(rows, "item_key", "itemId")
+    coded = rows.join(users, "user_key").join(items, "item_key").select("userId", "itemId", "rating")
+    return coded, users, items
+
+
+def decoded(recs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+    """Recommendations under the keys that ``coded_ratings`` replaced."""
+    return recs.join(users, "userId").join(items, "itemId").drop("userId", "itemId")
+
+
 def make_als(rank: int, reg: float, iters: int, seed: int = SEED) -> ALS:
     """M7 with the reference's settings (+ a seed, so fits are repeatable); as many
     blocks as the cluster has cores, ten at least."""
@@ -52,17 +68,44 @@ def make_als(rank: int, reg: float, iters: int, seed: int = SEED) -> ALS:
 
 def rmse(model: ALSModel, test: DataFrame) -> float:
     """M8 + P18 + A5: predictions kept where present, then RMSE."""
-    preds = model.transform(test).where(F.col("prediction").isNotNull())
     return RegressionEvaluator(metricName="rmse", labelCol="rating",
-                               predictionCol="prediction").evaluate(preds)
+                               predictionCol="prediction").evaluate(with_prediction(model.transform(test)))
+
+
+def with_prediction(predictions: DataFrame) -> DataFrame:
+    """Rows that the model could predict."""
+    return predictions.where(F.col("prediction").isNotNull())
+
+
+def rmse_by(predictions: DataFrame, *group: str) -> DataFrame:
+    """A5 as a table: ``(group..., n, rmse)`` over the rows with a prediction."""
+    error = F.col("rating") - F.col("prediction")
+    return (with_prediction(predictions).groupBy(*group)
+            .agg(F.count("*").alias("n"), F.sqrt(F.avg(error * error)).alias("rmse")))
+
+
+def item_mean_predictions(train: DataFrame, test: DataFrame, regs) -> DataFrame:
+    """``test`` under each ``regParam``: an item's mean rating drawn to the overall mean as by
+    ``regParam`` further ratings.  Items without a rating in ``train`` have none."""
+    mean = train.agg(F.avg("rating")).first()[0]
+    items = train.groupBy("itemId").agg(F.sum("rating").alias("s"), F.count("*").alias("n"))
+    reg = F.explode(F.array(*(F.lit(float(r)) for r in regs))).alias("regParam")
+    return (test.join(items, "itemId", "left").select("userId", "itemId", "rating", "s", "n", reg)
+            .withColumn("prediction", (F.col("s") + F.col("regParam") * F.lit(mean)) / (F.col("n") + F.col("regParam")))
+            .drop("s", "n"))
+
+
+def split_share(seed: int = SEED):
+    """A rating's place in 0..999 by a digest of its row, which any SQL engine can repeat."""
+    row = F.concat_ws("|", "userId", "itemId", F.round(F.col("rating") * 100).cast("long"), F.lit(seed))
+    return F.conv(F.substring(F.md5(row), 1, 7), 16, 10).cast("long") % 1000
 
 
 def split(ratings: DataFrame, seed: int = SEED):
     """80/20 hold-out by a hash of the row, so it does not depend on partitioning;
     frozen by reliable checkpoints."""
-    share = F.pmod(F.xxhash64("userId", "itemId", "rating", F.lit(seed)), F.lit(1000)) / 1000
-    cut = SPLIT[0] / sum(SPLIT)
-    return cut_lineage(ratings.where(share < cut)), cut_lineage(ratings.where(share >= cut))
+    cut = SPLIT[0] / sum(SPLIT) * 1000
+    return cut_lineage(ratings.where(split_share(seed) < cut)), cut_lineage(ratings.where(split_share(seed) >= cut))
 
 
 @dataclass

@@ -93,8 +93,42 @@ def _ratings(spark, sf):
     return factor.ratings_frame(i, "user_id", "item_id", "rating_clean")
 
 
+_GRIDS: dict[tuple, factor.GridResult] = {}
+
+
 def grid(spark: SparkSession, sf: str) -> factor.GridResult:
-    return factor.grid_search(_ratings(spark, sf))
+    """The grid of a session and folder, fitted once for the queries that report on it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _GRIDS:
+        _GRIDS[key] = factor.grid_search(_ratings(spark, sf))
+    return _GRIDS[key]
+
+
+def als_split(spark, sf):
+    """The hold-out of every rating."""
+    train, test = factor.split(_ratings(spark, sf))
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+BASELINE_REGS = (0.0, 1.0, 5.0, 25.0)
+
+
+def _baseline_trials(spark, sf):
+    train, test = factor.split(_ratings(spark, sf))
+    by_reg = factor.rmse_by(factor.item_mean_predictions(train, test, BASELINE_REGS), "regParam")
+    number = F.array_position(F.array(*(F.lit(r) for r in BASELINE_REGS)), F.col("regParam"))
+    return by_reg.select(number.cast("int").alias("trial"), F.lit(0).alias("rank"), "regParam", F.lit(0).alias("maxIter"),
+                         F.round("rmse", 6).alias("rmse"), "n")
+
+
+def baseline_trials(spark, sf):
+    """The error of shrunken item means on the hold-out, for each shrinkage."""
+    return _baseline_trials(spark, sf)
+
+
+def baseline_best(spark, sf):
+    """The best of them."""
+    return factor.best_trial(_baseline_trials(spark, sf))
 
 
 def als_grid(spark, sf):
@@ -137,6 +171,23 @@ parsed AS (SELECT l_orderkey, l_linenumber, raw_score, user_id, item_id,
                   {RATING_EXPR_SQL} AS rating_clean
            FROM (SELECT *, {_S} AS s FROM inter_rows))"""
 RATING_PARSE_SQL = RATING_CTE + "\nSELECT l_orderkey, l_linenumber, raw_score, rating_clean FROM parsed"
+SPLIT_CTE = RATING_CTE + f""",
+ratings AS (SELECT CAST(user_id AS INTEGER) AS "userId", CAST(item_id AS INTEGER) AS "itemId", rating_clean AS rating
+            FROM parsed WHERE user_id IS NOT NULL AND item_id IS NOT NULL AND rating_clean IS NOT NULL),
+placed AS (SELECT *, CASE WHEN CAST('0x' || substr(md5(concat_ws('|', "userId", "itemId",
+             CAST(round(rating * 100) AS BIGINT), {factor.SEED})), 1, 7) AS BIGINT) % 1000 < 800
+           THEN 'train' ELSE 'test' END AS part FROM ratings)"""
+ALS_SPLIT_SQL = SPLIT_CTE + '\nSELECT "userId", "itemId", rating, part FROM placed'
+BASELINE_CTE = SPLIT_CTE + f""",
+items AS (SELECT "itemId", sum(rating) AS s, count(*) AS n FROM placed WHERE part = 'train' GROUP BY "itemId"),
+mean AS (SELECT avg(rating) AS mu FROM placed WHERE part = 'train'),
+regs AS (SELECT unnest({list(BASELINE_REGS)})::DOUBLE AS reg),
+trials AS (SELECT list_position({list(BASELINE_REGS)}::DOUBLE[], reg) AS trial, 0 AS rank, reg AS "regParam", 0 AS "maxIter",
+                  round(sqrt(avg((p.rating - (i.s + reg * mu) / (i.n + reg)) ** 2)), 6) AS rmse, count(*) AS n
+           FROM placed p JOIN items i ON i."itemId" = p."itemId", mean, regs WHERE p.part = 'test' GROUP BY reg)"""
+BASELINE_TRIALS_SQL = BASELINE_CTE + '\nSELECT CAST(trial AS INTEGER) AS trial, rank, "regParam", "maxIter", rmse, n FROM trials'
+BASELINE_BEST_SQL = (BASELINE_CTE + '\nSELECT CAST(trial AS INTEGER) AS trial, rank, "regParam", "maxIter", rmse FROM trials '
+                     "ORDER BY rmse, trial LIMIT 1")
 RATING_UNPARSED_SQL = RATING_CTE + """
 SELECT raw_score, first_orderkey, first_linenumber FROM (
   SELECT raw_score, arg_min(l_orderkey, (l_orderkey, l_linenumber)) AS first_orderkey,

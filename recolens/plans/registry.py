@@ -125,6 +125,9 @@ for _name, _fn, _sql in (
         ("distinct_item_names", RP.distinct_item_names, RP.DISTINCT_ITEM_NAMES_SQL),
         ("missing_labels", RP.missing_labels, RP.MISSING_LABELS_SQL),
         ("user_recs_join", RP.user_recs_join, RP.USER_RECS_JOIN_SQL),
+        ("als_split", RP.als_split, RP.ALS_SPLIT_SQL),
+        ("baseline_trials", RP.baseline_trials, RP.BASELINE_TRIALS_SQL),
+        ("baseline_best", RP.baseline_best, RP.BASELINE_BEST_SQL),
         # model outputs (seeded MLlib solvers): row-count checks + unit tests
         ("als_grid", RP.als_grid, None),
         ("best_trial", RP.best_trial, None),
@@ -139,3 +142,11 @@ from recolens.plans import indexplans as IP  # noqa: E402
 
 for _name, (_fn, _sql) in IP.QUERIES.items():
     register(_name, _sql)(_fn)
+
+
+# ------------------------------------------------- files, dictionaries, serving
+
+from recolens.plans import sourceplans as SP  # noqa: E402
+
+for _name, (_fn, _sql) in SP.QUERIES.items():
+    register(_name, _sql)(_fn)

@@ -102,3 +102,21 @@ def test_write_reports(spark, tmp_dir):
     cat = spark.read.parquet(f"{SF_SMALL}/part.parquet").selectExpr(
         "p_partkey AS item_id", "concat(p_name, ' #', CAST(p_partkey AS STRING)) AS name")
     assert serve.recommend(recs, cat, first_user).count() == 10
+
+
+def test_ids_beyond_32_bits_and_names(spark):
+    rows = [(f"user {u}", (1 << 40) + i, float((u * i) % 9 + 1)) for u in range(12) for i in range(9) if (u + i) % 3]
+    frame = spark.createDataFrame([*rows, (None, 5, 1.0)], "who string, what long, r double")
+    coded, users, items = factor.coded_ratings(frame, "who", "what", "r")
+    assert coded.count() == len(rows) and dict(coded.dtypes)["itemId"] == "int"
+    model = factor.make_als(3, 0.1, 2).fit(coded)
+    back = factor.decoded(factor.recommend_bounded(model, 2), users, items).collect()
+    assert {r.user_key for r in back} == {w for w, _, _ in rows}
+    assert all(r.item_key >= 1 << 40 for r in back) and len(back) == 24
+
+
+def test_rmse_by_leaves_out_rows_without_prediction(spark):
+    train = spark.createDataFrame([(1, 1, 4.0), (2, 1, 8.0), (1, 2, 6.0)], "userId int, itemId int, rating double")
+    test = spark.createDataFrame([(3, 1, 5.0), (3, 9, 1.0)], "userId int, itemId int, rating double")
+    got = {r.regParam: (r.n, r.rmse) for r in factor.rmse_by(factor.item_mean_predictions(train, test, (0, 2)), "regParam").collect()}
+    assert got == {0.0: (1, 1.0), 2.0: (1, 1.0)}
