@@ -15,14 +15,14 @@ Defined results: a null or empty text, or one without letters, scores as a
 document without toxic tokens; without both kinds of labelled rows the score is
 the smoothed share of toxic labels; label rows with null id or null label teach
 nothing, conflicting ones count as toxic; a null id is not held out; repeated
-rows are scored each; an empty table gives an empty result.
+rows are scored each; an empty table gives an empty result.  The sample is bounded by
+documents and characters and is all that the driver holds.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recolens.llm.frames import text_rows
+from recolens.llm.frames import text_rows, written
 
-#: Bound of the training sample: documents of each label, and characters of one.
-SAMPLE_DOCS, SAMPLE_CHARS = 2000, 30_000
+#: Bound of the training sample: documents of each label, characters of one, and of all of a label.
+SAMPLE_DOCS, SAMPLE_CHARS, TOTAL_CHARS = 2000, 30_000, 4_000_000
 #: Bound of the training windows of each kind, and their tokens.
 WINDOWS, WINDOW_TOKENS = 6000, 64
 FEATURES = 1 << 18
@@ -146,25 +146,40 @@ def _pair_error(odds, left, total, y, there, chain) -> np.ndarray:
 
 # ------------------------------------------------------------- training
 
-def find_markers(toxic: list[set[str]], clean: list[set[str]]) -> set[str]:
-    """Markers that explain the toxic documents: a greedy cover, then whole words
-    that are common among toxic documents and (nearly) absent from clean ones."""
-    of_toxic, of_clean = (Counter(m for words in docs for m in {m for w in words for m in markers_of(w)})
-                          for docs in (toxic, clean))
-    share = 20 * len(toxic) / max(len(clean), 1)
-    least = max(2, len(toxic) // 200)
-    open_docs = [{m for w in words for m in markers_of(w)} for words in toxic]
-    chosen: set[str] = set()
-    while open_docs:
-        cover = Counter(m for d in open_docs for m in d)
-        best = max(sorted(cover), key=lambda m: cover[m] - share * of_clean[m])
-        if cover[best] - share * of_clean[best] < least:
+def find_markers(docs: list[np.ndarray], labels: list[int], words: list[str]) -> np.ndarray:
+    """Which ``words`` are markers of toxic documents: by a greedy cover of the toxic ones,
+    then whole words common among toxic documents and (nearly) absent from clean ones.
+
+    ``docs`` are word codes; markers are numbered in the order of their names, each worked
+    out once for a distinct word."""
+    of_word = [markers_of(w) for w in words]
+    names = sorted({m for ms in of_word for m in ms})
+    place = {m: i for i, m in enumerate(names)}
+    codes = [np.array([place[m] for m in ms], dtype=np.int32) for ms in of_word]
+    toxic, of_clean, n_clean = [], np.zeros(len(names), np.int64), 0
+    for doc, label in zip(docs, labels, strict=True):
+        held = np.unique(np.concatenate([codes[w] for w in np.unique(doc)])) if len(doc) else np.zeros(0, np.int32)
+        if label:
+            toxic.append(held)
+        else:
+            of_clean[held] += 1
+            n_clean += 1
+    count = lambda held: np.bincount(np.concatenate(held), minlength=len(names)) if held else of_clean * 0
+    of_toxic, share, least = count(toxic), 20 * len(toxic) / max(n_clean, 1), max(2, len(toxic) // 200)
+    chosen = np.zeros(len(names), bool)
+    open_docs, cover = toxic, of_toxic
+    while open_docs and len(names):
+        gain = np.where(cover > 0, cover - share * of_clean, -np.inf)
+        best = int(gain.argmax())
+        if gain[best] < least:
             break
-        chosen.add(best)
+        chosen[best] = True
         open_docs = [d for d in open_docs if best not in d]
+        cover = count(open_docs)
     often = max(3, len(toxic) // 50)
-    return chosen | {m for m, n in of_toxic.items()
-                     if m[0] == "=" and n >= often and of_clean[m] * share <= n / 5}
+    whole = np.array([m[0] == "=" for m in names], bool)
+    chosen |= whole & (of_toxic >= often) & (of_clean * share <= of_toxic / 5)
+    return np.array([chosen[c].any() for c in codes], bool)
 
 
 def tokens(text: str) -> list[str]:
@@ -179,17 +194,16 @@ def fit(sample: list[tuple[str, int]], seed: int = 7) -> Model:
     none = Model(np.zeros(FEATURES), np.zeros(5), np.array([prior, 0.0, 0.0]))
     if not 0 < n_toxic < len(rows):
         return none
-    docs = [([w.lower() for w in tokens(text)], label) for text, label in rows]
-    marks = find_markers([set(d) for d, label in docs if label], [set(d) for d, label in docs if not label])
-    if not marks:
-        return none
     number: dict[str, int] = {}
-    coded = [np.array([number.setdefault(w, len(number)) for w in d], dtype=np.int64) for d, _ in docs]
-    marked = np.array([not marks.isdisjoint(markers_of(w)) for w in number])
+    coded = [np.array([number.setdefault(w.lower(), len(number)) for w in tokens(text)], dtype=np.int64) for text, _ in rows]
+    labels = [label for _, label in rows]
+    marked = find_markers(coded, labels, list(number))
+    if not marked.any():
+        return none
     table, own = feature_table(list(number))
     rng = np.random.default_rng(seed)
     kinds: tuple[list, list] = ([], [])
-    for codes, (_, label) in zip(coded, docs, strict=True):
+    for codes, label in zip(coded, labels, strict=True):
         y = marked[codes] * float(label) if len(codes) else np.zeros(0)
         for i in range(0, len(codes), WINDOW_TOKENS):
             part = slice(i, i + WINDOW_TOKENS)
@@ -197,10 +211,10 @@ def fit(sample: list[tuple[str, int]], seed: int = 7) -> Model:
     chosen = [w for kind in kinds for w in (kind[i] for i in rng.permutation(len(kind))[:WINDOWS])]
     weights, chain = train_chain([w for w, _ in chosen], [y for _, y in chosen], table, own, seed=seed)
     model = Model(weights, chain, np.array([prior, 0.0, 0.0]))
-    marginals = tag([d for d, _ in docs], model)
-    x = np.array([document_features(m) for m in marginals])
-    y = np.array([label for _, label in docs], float)
-    model.head = _logistic(x, y)
+    words = list(number)
+    x = np.array([document_features(m) for at in range(0, len(coded), 500)
+                  for m in tag([[words[c] for c in d] for d in coded[at:at + 500]], model)])
+    model.head = _logistic(x, np.array(labels, float))
     return model
 
 
@@ -318,15 +332,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS,
-                    sample_chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
-    """(text, toxic) of at most ``sample_docs`` labelled rows of each kind, none held out."""
+                    sample_chars: int = SAMPLE_CHARS, total_chars: int = TOTAL_CHARS) -> list[tuple[str, int]]:
+    """(text, toxic) of at most ``sample_docs`` labelled ids of each kind, none held out,
+    by a hash of the id.  An id gives one text, the one of the smallest hash; texts of more
+    than ``sample_chars`` and those beyond ``total_chars`` of a kind in all are left out."""
     known = (labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
              .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")))
     picked = [known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
               for kind in (0, 1)]
     rows = text_rows(docs).where(F.length("text") <= sample_chars)
-    return [(r.text, r.toxic) for r in
-            rows.join(F.broadcast(picked[0].unionAll(picked[1])), "doc_id").select("text", "toxic").collect()]
+    one_each = written(rows.join(F.broadcast(picked[0].unionAll(picked[1])), "doc_id").groupBy("doc_id", "toxic")
+                       .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")), "toxicity-sample")
+    left, chosen = [total_chars, total_chars], []
+    for r in one_each.select("doc_id", "toxic", F.length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r.n <= left[r.toxic]:
+            left[r.toxic] -= r.n
+            chosen.append(r.doc_id)
+    return [(r.text, r.toxic) for r in one_each.where(F.col("doc_id").isin(chosen)).select("text", "toxic").collect()]
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:

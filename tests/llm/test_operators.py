@@ -164,6 +164,16 @@ def test_forward_backward_matches_enumeration():
     assert np.allclose(toxicity.sigmoid(total[:, 0]), [weight[t, 1] / (weight[t, 0] + weight[t, 1]) for t in range(5)])
 
 
+def test_toxicity_sample_is_bounded(spark):
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 1), (3, 0, 1)], "doc_id long, toxic int, quality int")
+    rows = [(1, f"text {i} of one id") for i in range(500)] + [(2, "b" * 90), (3, "c" * 90), (3, "c" * 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = toxicity.training_sample(docs, labels)
+    assert sorted(len(t) for t, _ in got)[-2:] == [90, 90] and sum(label for _, label in got) == 1 and len(got) == 3
+    assert len(toxicity.training_sample(docs, labels, total_chars=100)) == 2
+    assert toxicity.training_sample(docs, labels, sample_chars=50)[0][1] == 1
+
+
 def test_toxicity_learns_and_points_at_spans(spark, nothing):
     rng = random.Random(8)
     data, labels = [], []
