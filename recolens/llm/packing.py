@@ -13,12 +13,14 @@ items: no shuffle, no sequence over two partitions.
 
 Defined results: a null or empty text is one segment holding the end id alone;
 null ids and repeated rows are packed like any other row; an item over the
-limits is cut into several sequences; an empty table gives an empty result.
+limits is cut into several sequences; an empty table gives an empty result; a
+special string of the tokenizer file inside a text is its special id.
 """
 
 from __future__ import annotations
 
-import os
+import json
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,8 +37,6 @@ from recolens.llm.frames import text_rows
 
 #: Waiting items of a partition; packing starts when the pool is full.
 POOL_ITEMS = 4096
-#: Entries of a worker's cache from pre-split pieces to ids.
-CACHE_PIECES = 300_000
 BATCH_BYTES = 4 << 20
 PIECES = ("doc_id long, start long, length long, loss long, doc_tokens long, sequence_id long, "
           "offset long, ids binary")
@@ -52,50 +52,48 @@ class Limits:
 # -------------------------------------------------------------- tokenising
 
 class Pieces:
-    """Ids of texts by a local tokenizer file; repeated pieces are looked up.
+    """Ids of texts as the tokenizer file gives them, computed by tiktoken.
 
-    Special strings inside a text are ordinary text."""
+    A byte-level BPE whose ids follow its merges is the same as ranks; the file is checked
+    for that.  Special strings inside a text are their own ids, as the ``tokenizers``
+    library reads them, and cut the text."""
 
     def __init__(self, tokenizer_file: str, pattern: str):
-        import regex
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
-        self.split = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        import tiktoken
+
+        with open(tokenizer_file, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, special = spec["model"], spec["added_tokens"]
+        if model["type"] != "BPE" or spec["normalizer"] or spec["pre_tokenizer"]["type"] != "ByteLevel" or any(
+                t["lstrip"] or t["rstrip"] or t["single_word"] for t in special):
+            raise ValueError("packing needs a byte-level BPE without a normalizer")
+        ids, byte = model["vocab"], byte_letters()
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+        if [ids[m] for m in merged] != sorted(ids[m] for m in merged):
+            raise ValueError("the ids of the tokenizer file do not follow its merges")
+        own = {t["content"] for t in special}
+        ranks = {bytes(byte[c] for c in token): rank for token, rank in ids.items() if token not in own}
+        self.encoding = tiktoken.Encoding(tokenizer_file, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in special}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(own, key=len, reverse=True))) + ")") if own else None
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Packed little-endian unsigned 32-bit ids of each text."""
-        for group in _groups(texts):
-            parts = [[self.split(part) for part in chunks(text)] for text in group]
-            distinct = {p for text in parts for part in text for p in part}
-            new = distinct.difference(self.known)
-            if len(self.known) + len(new) > CACHE_PIECES:
-                self.known.clear()
-                new = distinct
-            if new:
-                new = list(new)
-                encoded = self.tokenizer.encode_batch(new, add_special_tokens=False)
-                self.known.update(zip(new, (np.array(e.ids, dtype="<u4").tobytes() for e in encoded), strict=True))
-            look = self.known.__getitem__
-            for text in parts:
-                yield b"".join([b"".join(map(look, part)) for part in text])
-
-
-def _groups(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
-    """Runs of texts of about ``chars`` characters, each run one text at least."""
-    held, size = [], 0
-    for text in texts:
-        held.append(text)
-        size += len(text)
-        if size >= chars:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+        for text in texts:
+            parts = self.cut.split(text) if self.cut else [text]
+            yield b"".join(self.special[part] if i % 2 else self._plain(part) for i, part in enumerate(parts))
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(self.encoding.encode_to_numpy(part, disallowed_special=()).astype("<u4").tobytes()
+                        for part in chunks(text))
+
+
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in byte-level BPE files: printable bytes for
+    themselves, the others in order from U+0100 on."""
+    plain = [b for b in range(256) if chr(b).isprintable() and b != 0x20 and b != 0xAD]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
 @lru_cache(maxsize=2)
