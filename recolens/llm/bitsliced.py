@@ -10,7 +10,8 @@ the boundary are resolved by id.
 The query set meets all index blocks in blocks of queries, and only the best k
 rows of each pair of blocks leave a task.
 
-Defined results: components become floor(256 * x), held to 32 bits; vectors
+Defined results: components become floor(256 * x), held to +-2^61, and scores
+are exact, reported as the nearest 64-bit number beyond that range; vectors
 that are null or hold null or non-finite components take no part; vectors of
 different lengths are not compared; a query is compared with every row of
 another id, repeated rows included, and repeated query rows give one answer
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 256
+#: Components beyond this have scores beyond 64 bits with any other component but 0 and 1.
+LIMIT = 2.0 ** 61
 BLOCK_ROWS = 16384
 QUERY_ROWS = 256
 
@@ -67,7 +70,7 @@ def _packed(limit: int, slices: bool):
                 for part in np.array_split(rows, -(-len(rows) // limit)):
                     x = flat[starts[part][:, None] + np.arange(dim)] if dim else np.zeros((len(part), 0))
                     with np.errstate(over="ignore"):
-                        v = np.clip(np.floor(SCALE * x), -(2.0 ** 31), 2.0 ** 31 - 1).astype(np.int64)
+                        v = np.clip(np.floor(SCALE * x), -LIMIT, LIMIT).astype(np.int64)
                     key, vec, n = held.get(int(dim), ([], [], 0))
                     if n + len(part) > limit:
                         yield block(int(dim), key, vec)

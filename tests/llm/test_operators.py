@@ -112,7 +112,6 @@ def test_packing_documents(docs, nothing, rows):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
     limits = packing.Limits(64, 4, 64)
     pieces = packing.pack_documents(docs, JSON, PATTERN, limits).collect()
     sizes = check_pieces(pieces, limits)
@@ -128,6 +127,17 @@ def test_packing_documents(docs, nothing, rows):
     assert packing.pack_documents(nothing, JSON, PATTERN).count() == 0
 
 
+def test_packing_ids_are_those_of_the_tokenizer_file():
+    from tokenizers import Tokenizer
+
+    tok, mine, rng = Tokenizer.from_file(JSON), packing.pieces(JSON, PATTERN), random.Random(12)
+    parts = ["ab", " ", "\n", "12", "'s", "  ", "é", "!", "\t\n", "漢字", "🙂", "<|endoftext|>", "<|ENDOFTEXT|>", "\0", "\u00a0", "The", " the"]
+    texts = ["", "a <|endoftext|> b", "<|endoftext|>" * 3,
+             *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(1500))]
+    for text, ids in zip(texts, mine.ids(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
 def test_packing_instruction_examples(spark):
     rng = random.Random(5)
     data = []
@@ -551,3 +561,15 @@ def test_warc_gaps_are_reported(spark):
     rows = warc.read_archives(spark, folder).orderBy("offset").collect()
     assert [(r.page_id, r.gap) for r in rows] == [(1, None), (None, "no version line"), (2, None)]
     assert rows[1].length == 3
+
+
+def test_bit_sliced_large_components(spark):
+    vectors = [[1.0, 2.0], [1e8, 1.0], [9e6, 1.0], [0.5, 0.25], [-3e10, 7.0], [2.0 ** 40, -1.0], [1e300, 0.0]]
+    frame = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in bitsliced.top_k(frame, frame.where("vec_id in (0, 3)"), 10).collect()}
+    whole = [[math.floor(256 * x) for x in v] for v in vectors]
+    for (q, v), score in got.items():
+        if v != 6:
+            assert score == sum(a * b for a, b in zip(whole[q], whole[v])), (q, v)
+    assert got[0, 1] == 6553600131072 and got[0, 2] == 589824131072 and got[0, 6] == (1 << 63) - 1
+    assert len(got) == 12
