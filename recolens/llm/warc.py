@@ -234,23 +234,28 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
             .mapInArrow(_parsed, RECORD_SCHEMA))
 
 
-def page_digests(spark: SparkSession, folder: str) -> DataFrame:
+def page_digests(spark: SparkSession, folder: str, quarantine: str | None = None) -> DataFrame:
     """Per page record: payload size and digest, type, and the response of a revisit.
 
-    A revisit takes its payload from the response record it names."""
+    A revisit takes its payload from the response record it names.  If that one is lost, its
+    own headers give the digest and the page it refers to; the size is then unknown.
+    Gaps (path, offset, length, gap) are appended to the Parquet table ``quarantine``."""
     records = written(
-        read_archives(spark, folder).where("gap is null")
-        .select("page_id", "record_id", F.col("refers_to").alias("refers_id"), F.col("warc_type").alias("record_type"),
-                F.octet_length("payload").cast("long").alias("payload_bytes"),
+        read_archives(spark, folder)
+        .select("path", "offset", "length", "gap", "page_id", "record_id", "digest", F.col("refers_to").alias("refers_id"),
+                F.col("warc_type").alias("record_type"), F.octet_length("payload").cast("long").alias("payload_bytes"),
                 sha1_base32(F.col("payload")).alias("payload_digest")), "warc-records")
-    responses = (records.where("record_type = 'response'")
+    if quarantine is not None:
+        records.where("gap is not null").select("path", "offset", "length", "gap").write.mode("append").parquet(quarantine)
+    responses = (records.where("gap is null and record_type = 'response'")
                  .groupBy(F.col("record_id").alias("refers_id"))
-                 .agg(F.min("page_id").alias("refers_to"), F.min("payload_bytes").alias("b"),
+                 .agg(F.min("page_id").alias("first_id"), F.min("payload_bytes").alias("b"),
                       F.min("payload_digest").alias("d")))
-    revisits = (records.where("record_type = 'revisit'").join(responses, "refers_id")
-                .select("page_id", F.col("b").alias("payload_bytes"), F.col("d").alias("payload_digest"),
-                        "record_type", "refers_to"))
-    return (records.where("record_type = 'response'")
+    named = F.regexp_extract("refers_id", "^<urn:x-page:(-?[0-9]+):", 1).try_cast("long")
+    revisits = (records.where("gap is null and record_type = 'revisit'").join(responses, "refers_id", "left")
+                .select("page_id", F.col("b").alias("payload_bytes"), F.coalesce("d", "digest").alias("payload_digest"),
+                        "record_type", F.coalesce("first_id", named).alias("refers_to")))
+    return (records.where("gap is null and record_type = 'response'")
             .select("page_id", "payload_bytes", "payload_digest", "record_type",
                     F.lit(None).cast("long").alias("refers_to"))
             .unionByName(revisits))
@@ -258,4 +263,5 @@ def page_digests(spark: SparkSession, folder: str) -> DataFrame:
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     spark = pages.sparkSession
-    return page_digests(spark, write_archives(pages, shared_path(spark, "warc"), min_bytes))
+    return page_digests(spark, write_archives(pages, shared_path(spark, "warc"), min_bytes),
+                        shared_path(spark, "warc-quarantine"))

@@ -563,6 +563,27 @@ def test_warc_gaps_are_reported(spark):
     assert rows[1].length == 3
 
 
+def test_warc_damaged_archive_keeps_revisits(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>same</p>"), (2, "u", "<p>same</p>"), (3, "u", "<p>other</p>")],
+                                  "page_id long, url string, html string").coalesce(1)
+    folder = warc.write_archives(pages, shared_path(spark, "warc-test")).removeprefix("file://")
+    for name in os.listdir(folder):
+        if name.startswith("part-"):
+            with open(f"{folder}/{name}", "rb") as f:
+                data = f.read()
+            with open(f"{folder}/{name}", "wb") as f:
+                f.write(data.replace(b"<p>same", b"<p>sbme"))
+        elif name.endswith(".crc"):
+            os.remove(f"{folder}/{name}")
+    gaps = shared_path(spark, "warc-gaps")
+    got = {r.page_id: r for r in warc.page_digests(spark, folder, gaps).collect()}
+    assert set(got) == {2, 3} and got[2].record_type == "revisit" and got[2].refers_to == 1
+    assert got[2].payload_digest == base64.b32encode(hashlib.sha1(b"<p>same</p>").digest()).decode()
+    assert got[2].payload_bytes is None and got[3].payload_bytes == 12
+    logged = spark.read.parquet(gaps).collect()
+    assert len(logged) == 1 and logged[0].gap == "payload digest differs" and logged[0].length > 12
+
+
 def test_bit_sliced_large_components(spark):
     vectors = [[1.0, 2.0], [1e8, 1.0], [9e6, 1.0], [0.5, 0.25], [-3e10, 7.0], [2.0 ** 40, -1.0], [1e300, 0.0]]
     frame = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
