@@ -1,7 +1,7 @@
 """Join helpers that keep broadcasts behind a size check and split hot keys.
 
-``maybe_broadcast`` counts at most ``max_rows + 1`` rows of the small side and
-only then hints a broadcast; otherwise the plan is left to the optimizer
+``maybe_broadcast`` counts the rows and bytes of the small side and hints a
+broadcast only within both bounds; otherwise the plan is left to the optimizer
 (sort-merge join with AQE skew splitting, or AQE's own runtime broadcast
 conversion, which is itself size-checked against real shuffle sizes).
 ``salted_join`` is the explicit fallback for a big side whose join key may hold
@@ -18,13 +18,26 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
-def row_count_at_most(df: DataFrame, max_rows: int) -> int:
-    """Rows of ``df``, counted in parallel (one partial count per task), held to ``max_rows + 1``."""
-    return min(df.count(), max_rows + 1)
+MAX_BROADCAST_BYTES = 256 << 20
 
 
-def fits(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    return row_count_at_most(df, max_rows) <= max_rows
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: strings and binaries by length, arrays and maps by their
+    elements, anything else 8."""
+    def of(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            return F.octet_length(c) + 16
+        if kind.startswith(("array<string", "map<")):
+            return F.octet_length(F.to_json(F.struct(c)))
+        return F.size(c) * 8 + 16 if kind.startswith("array") else F.lit(8)
+    return sum((F.coalesce(of(n, k), F.lit(0)).cast("long") for n, k in df.dtypes), F.lit(16).cast("long"))
+
+
+def fits(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most so many rows and bytes, summed in parallel."""
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(df)).alias("b")).first()
+    return size.n <= max_rows and (size.b or 0) <= max_bytes
 
 
 def checked_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS):
@@ -38,7 +51,7 @@ def checked_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS):
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the frame is proven to hold <= ``max_rows`` rows."""
+    """Broadcast hint only when the frame is proven to be within the bounds."""
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
