@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recolens.llm.frames import text_rows, written
+from recolens.llm.frames import LAST_ID, text_rows, written
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH, TARGET_RECALL = 32, 8, 0.99999
@@ -214,6 +214,7 @@ def row_classes(docs: DataFrame, words: int = WORDS, num: int = 4, den: int = 5,
                              "doc_id long, th long, set_id long, signature binary, keys array<long>")
     sets = written(signed.where("set_id is not null").groupBy("set_id")
                    .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"),
+                        F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("k"), "th")).alias("row"),
                         F.first("signature").alias("signature"), F.first("keys").alias("keys")), "sets")
     nodes = sets.select("set_id", F.explode("keys").alias("key"))
     shared = (nodes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -228,7 +229,7 @@ def row_classes(docs: DataFrame, words: int = WORDS, num: int = 4, den: int = 5,
     groups = components(edges)
     sizes = groups.groupBy("label").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
     members = written(groups.join(sizes, "label").join(sets, groups.node == sets.set_id)
-                      .select("label", "set_id", "doc_id", "copies", "blocks",
+                      .select("label", "set_id", "row", "copies", "blocks",
                               F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int").alias("block")), "members")
     links = written(_block_pairs(rows, members, words).groupBy("label", "first", "second").applyInArrow(
         _verified(num, den), "a long, b long, copies long"), "links")
@@ -246,10 +247,12 @@ def row_classes(docs: DataFrame, words: int = WORDS, num: int = 4, den: int = 5,
 
 
 def _block_pairs(rows: DataFrame, members: DataFrame, words: int) -> DataFrame:
-    """One row per member and pair of blocks that holds its block, with its shingles."""
-    wanted = members.select("doc_id", "set_id")
-    keyed = rows.withColumn("k", F.coalesce("doc_id", F.lit(-1)))
-    wanted = wanted.withColumn("k", F.coalesce("doc_id", F.lit(-1))).select("k", "set_id")
+    """One row per member and pair of blocks that holds its block, with its shingles.
+
+    A member's text is read from one of its rows, found by id and text hash, so rows
+    without an id meet only their own text."""
+    keyed = rows.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("k"), F.xxhash64("text").alias("th"), "text")
+    wanted = members.select("row.k", "row.th", "set_id")
     if members.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
 
@@ -266,7 +269,7 @@ def _block_pairs(rows: DataFrame, members: DataFrame, words: int) -> DataFrame:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary()))],
                                       names=["set_id", "shingles"])
 
-    texts = (keyed.join(wanted, "k").select("set_id", "text").mapInArrow(run, "set_id long, shingles binary")
+    texts = (keyed.join(wanted, ["k", "th"]).select("set_id", "text").mapInArrow(run, "set_id long, shingles binary")
              .dropDuplicates(["set_id"]))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     return (members.select("label", "set_id", "copies", "block", other.alias("other"))

@@ -563,6 +563,20 @@ def test_warc_gaps_are_reported(spark):
     assert rows[1].length == 3
 
 
+def test_jaccard_join_of_rows_without_ids(spark):
+    rng = random.Random(31)
+    texts = []
+    for _ in range(150):
+        base = prose(rng, 60).split()
+        texts += [" ".join(base), " ".join([*base[:30], "other", *base[31:]])]
+    with_ids = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    without = spark.createDataFrame([(None, t) for t in texts] + [(7, texts[0]), (7, texts[2])], "doc_id long, text string").repartition(4)
+    assert Counter(r.n_links for r in lsh_forest.jaccard_join(with_ids).collect()) == {1: 300}
+    got = lsh_forest.jaccard_join(without).collect()
+    assert Counter(r.n_links for r in got) == {1: 296, 2: 6}
+    assert Counter(r.class_id for r in got) == {None: 296, 7: 6}
+
+
 def test_warc_damaged_archive_keeps_revisits(spark):
     pages = spark.createDataFrame([(1, "u", "<p>same</p>"), (2, "u", "<p>same</p>"), (3, "u", "<p>other</p>")],
                                   "page_id long, url string, html string").coalesce(1)
