@@ -109,6 +109,18 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int, trees: int, max_depth
                               names=["doc_id", "th", "set_id", "signature", "keys"])
 
 
+def _set_ids(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, th, set_id) of (doc_id, text, th) rows; null where a text has no shingle."""
+    from xxhash import xxh3_64_intdigest
+
+    for batch in batches:
+        sets = []
+        for text in batch.column(1):
+            members = shingles(text.as_py(), words)
+            sets.append(np.uint64(xxh3_64_intdigest(members.tobytes())).astype(np.int64) if len(members) else None)
+        yield pa.record_batch([batch.column(0), batch.column(2), pa.array(sets, pa.int64())], names=["doc_id", "th", "set_id"])
+
+
 def _stars(trees_depth: int, agreement: float):
     """Chain the members under one prefix whose signatures agree: (a, b) star edges."""
     def run(table: pa.Table) -> pa.Table:
@@ -240,7 +252,9 @@ def row_classes(docs: DataFrame, words: int = WORDS, num: int = 4, den: int = 5,
     named = known.groupBy("label").agg(F.min("doc_id").alias("class_id"))
     known = known.join(named, "label").select(
         "set_id", "label", "class_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    narrow = signed.select("doc_id", "th", "set_id")
+    # the rows again, by their sets alone: signatures are not worked out twice
+    narrow = rows.withColumn("th", F.xxhash64("text")).mapInArrow(
+        lambda b: _set_ids(b, words), "doc_id long, th long, set_id long")
     return (narrow.join(known, "set_id", "left")
             .select("doc_id", "th", "label", F.coalesce("class_id", "doc_id").alias("class_id"),
                     F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
