@@ -41,11 +41,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage through a Parquet table in the shared folder.
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Cut the lineage through a Parquet table in the shared folder, or in a
+    ``folder`` of the caller's there.
 
     Unlike a checkpoint, the table keeps column pruning for later readers."""
-    path = shared_path(df.sparkSession, name)
+    path = shared_path(df.sparkSession, name) if folder is None else f"{folder}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def removed_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of ``shared_path`` whose tables have no readers left."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -11,13 +11,18 @@ code and pass length, positional and bitmap filters; what passes is verified on
 the full sets.  A line is removed if an earlier line, by
 (doc_id, line number), is similar or equal.
 
+Texts are read three times (rarity, lines, removal) and shuffled once, with the
+numbers of their lines to remove.  The second reading writes every line's place,
+prefix and set; all later steps work on that table.
+
 Large groups of variants stay linear: under each code, a line is paired with
 the earliest line alone when that one passes all filters, with all earlier ones
 otherwise.  A line whose earliest partner then fails verification is joined
 with all earlier lines in a second pass.
 
 Words are split, coded and sorted in Arrow batches, joins and aggregates are
-DataFrame code (README: the native form could not meet the limits).
+DataFrame code (README: the native form could not meet the limits).  Tables
+between the steps lie in one folder, which goes when the result is written.
 
 Defined results: a null or empty text has no lines to remove and stays as the
 empty text; lines of fewer than ``min_words`` words are never removed
@@ -37,14 +42,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recolens.llm.frames import LAST_ID, text_rows, unpacked, whole_rows, written
+from recolens.llm.frames import LAST_ID, removed_folder, shared_path, text_rows, unpacked, whole_rows, written
 
 BUCKET_BITS = 22
 #: Sides of at most this many rows (of some 100 bytes) are broadcast, others shuffled.
 BROADCAST_ROWS = 400_000
-#: Sides of arrays are broadcast up to this many elements in sum: as every row has one
-#: at least, that is some 40 MB of rows of 64 bytes and elements of 32.
-BROADCAST_ELEMENTS = 400_000
 #: Bytes of text coded at a time (a longer text is coded whole).
 CHUNK_BYTES = 1 << 22
 #: Rows of one code that a task pairs in memory; codes of more rows are joined by Spark.
@@ -77,8 +79,9 @@ def _hashes(values: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, values), np.uint64, len(values))
 
 
-def coded(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Words per line, and the 64-bit hash of every word of all lines."""
+def coded(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words per line, the number of every word of all lines in a list of distinct
+    words, and the 64-bit hashes of that list."""
     found = pc.ascii_split_whitespace(lines.cast(pa.large_string()))
     sizes = pc.list_value_length(found).to_numpy(zero_copy_only=False).astype(np.int64)
     words = found.flatten().dictionary_encode()
@@ -88,7 +91,7 @@ def coded(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         real = index != seen.index(b"")
         sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[real], minlength=len(sizes))
         index = index[real]
-    return sizes, _hashes(seen)[index]
+    return sizes, index, _hashes(seen)
 
 
 def _lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -105,7 +108,8 @@ def _bucket_counts(batches: Batches) -> Batches:
     total = np.zeros(1 << BUCKET_BITS, np.int64)
     for batch in batches:
         for part in _parts(batch, 0):
-            np.add.at(total, _bucket(coded(part.column(0))[1]), 1)
+            _, index, hashes = coded(part.column(0))
+            np.add.at(total, _bucket(hashes), np.bincount(index, minlength=len(hashes)))
     held = np.flatnonzero(total)
     yield pa.record_batch([pa.array(held, pa.int32()), pa.array(total[held])], names=["bucket", "words"])
 
@@ -121,87 +125,82 @@ def rarity_levels(docs: DataFrame) -> np.ndarray:
     return levels
 
 
-def line_places(docs: DataFrame, min_words: int) -> DataFrame:
-    """(lh, doc_id, line_no, th): every place of a line of ``min_words`` words or more."""
+def _sets(sizes: np.ndarray, index: np.ndarray, hashes: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct codes of each line in order of rarity, end to end, their number,
+    and whether each may occur again."""
+    rarity = levels[_bucket(hashes)]
+    order = np.lexsort((hashes, rarity))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    key = np.sort(np.repeat(np.arange(len(sizes)), sizes) * max(1, len(order)) + rank[index])
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    line, rank = np.divmod(key[new], max(1, len(order)))
+    return hashes[order][rank], np.bincount(line, minlength=len(sizes)), (rarity[order] > 0)[rank]
+
+
+def _list_array(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+
+
+_LINE = ("lh long, doc_id long, line_no int, th long, n int, b0 long, b1 long, skipped int, "
+         "prefix array<long>, rest array<long>")
+
+
+def line_rows(docs: DataFrame, levels: np.ndarray, min_words: int) -> DataFrame:
+    """Every place of a line of ``min_words`` words or more: hash ``lh`` and place
+    (doc_id, line_no, th); the number ``n`` of its distinct codes and their
+    bitmap; the codes of its prefix that may occur again, behind ``skipped``
+    codes that cannot, and all its other codes."""
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for part in _parts(batch, 2):
                 lines, many = _lines(part.column(2))
                 row = np.repeat(np.arange(len(many)), many)
                 number = np.arange(len(row)) - (np.cumsum(many) - many)[row]
-                at = np.flatnonzero(coded(lines)[0] >= min_words)
-                rows = pa.array(row[at])
-                yield pa.record_batch([pa.array(_hashes(lines.take(pa.array(at)).cast(pa.large_binary()).to_pylist()).view(np.int64)),
-                                       part.column(0).take(rows), pa.array(number[at].astype(np.int32)),
-                                       part.column(1).take(rows)], names=["lh", "doc_id", "line_no", "th"])
-
-    return keyed_rows(docs).mapInArrow(run, "lh long, doc_id long, line_no int, th long")
-
-
-def first_places(places: DataFrame) -> DataFrame:
-    """(lh, doc_id, line_no, th, n): the first place of every distinct line, its number of places."""
-    return (places.groupBy("lh").agg(F.min(F.struct("doc_id", "line_no", "th")).alias("first"), F.count("*").alias("n"))
-            .select("lh", "first.*", "n"))
-
-
-def _line_sets(batches: Batches, levels: np.ndarray) -> Iterator[tuple]:
-    """Of the listed lines of (doc_id, text, lines): id, number and hash of each
-    line, its distinct codes in order of rarity end to end, their number, and
-    whether each code may occur again."""
-    for batch in batches:
-        for part in _parts(batch, 1):
-            lines, many = _lines(part.column(1))
-            wanted = pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False)
-            places = part.column(2).flatten()
-            numbers, hashes = (places.field(c).to_numpy() for c in ("line_no", "lh"))
-            at = np.repeat(np.cumsum(many) - many, wanted) + numbers
-            sizes, words = coded(lines.take(pa.array(at)))
-            rank = np.repeat(np.arange(len(at)), sizes) << 8 | levels[_bucket(words)]  # by line, then rarity
-            order = np.lexsort((words, rank))
-            rank, codes = rank[order], words[order]
-            new = np.ones(len(codes), bool)
-            new[1:] = (rank[1:] != rank[:-1]) | (codes[1:] != codes[:-1])
-            rank, codes = rank[new], codes[new]
-            yield (np.repeat(part.column(0).to_numpy(), wanted), numbers, hashes, codes,
-                   np.bincount(rank >> 8, minlength=len(at)), (rank & 255) > 0)
-
-
-def _listed(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc_id, text, lines): the texts that hold some of these places."""
-    lines = written(places.groupBy("doc_id", "th").agg(F.collect_set(F.struct("line_no", "lh")).alias("lines")),
-                    "line-lists")
-    return keyed_rows(docs).join(_sized(lines, elements="lines"), ["doc_id", "th"]).select("doc_id", "text", "lines")
-
-
-def prefix_rows(docs: DataFrame, places: DataFrame, levels: np.ndarray) -> DataFrame:
+                sizes, index, hashes = coded(lines)
+                at = np.flatnonzero(sizes >= max(1, min_words))
+                if not len(at):
+                    continue
+                index = index[np.repeat(sizes >= max(1, min_words), sizes)]
+                codes, n, again = _sets(sizes[at], index, hashes, levels)
+                starts = np.cumsum(n) - n
+                bit, half = np.uint64(1) << (codes & np.uint64(63)), codes & np.uint64(64)
+                b0, b1 = (np.bitwise_xor.reduceat(np.where(half == np.uint64(h), bit, np.uint64(0)), starts).view(np.int64)
+                          for h in (0, 64))
+                owner = np.repeat(np.arange(len(n)), n)
+                short = again & (np.arange(len(codes)) - starts[owner] < (n - (4 * n + 4) // 5 + 1)[owner])
+                skipped = np.bincount(owner[~again], minlength=len(n))
+                rows, values = pa.array(row[at]), codes.view(np.int64)
+                lh = _hashes(lines.take(pa.array(at)).cast(pa.large_binary()).to_pylist()).view(np.int64)
+                yield pa.record_batch(
+                    [pa.array(lh), part.column(0).take(rows), pa.array(number[at].astype(np.int32)), part.column(1).take(rows),
+                     pa.array(n.astype(np.int32)), pa.array(b0), pa.array(b1), pa.array(skipped.astype(np.int32)),
+                     _list_array(values[short], np.bincount(owner[short], minlength=len(n))),
+                     _list_array(values[~short], np.bincount(owner[~short], minlength=len(n)))],
+                    names=["lh", "doc_id", "line_no", "th", "n", "b0", "b1", "skipped", "prefix", "rest"])
+
+    return keyed_rows(docs).mapInArrow(run, _LINE)
+
+
+def first_places(lines: DataFrame) -> DataFrame:
+    """The first place of every distinct line with its prefix, and its number of places."""
+    return (lines.groupBy("lh").agg(F.min(F.struct("doc_id", "line_no", "th", "n", "b0", "b1", "skipped", "prefix")).alias("first"),
+                                    F.count("*").alias("places"))
+            .select("lh", "first.*", "places"))
+
+
+def prefix_rows(firsts: DataFrame) -> DataFrame:
     """(token, lh, n, i, b0, b1, doc_id, line_no): one row per code of each line's prefix
     that may occur again."""
-    def run(batches: Batches) -> Batches:
-        for ids, numbers, hashes, codes, n, again in _line_sets(batches, levels):
-            starts = np.cumsum(n) - n
-            bit, half = np.uint64(1) << (codes & np.uint64(63)), codes & np.uint64(64)
-            b0, b1 = (np.bitwise_xor.reduceat(np.where(half == np.uint64(h), bit, np.uint64(0)), starts).view(np.int64)
-                      for h in (0, 64))
-            owner = np.repeat(np.arange(len(n)), n)
-            at = np.arange(len(codes)) - starts[owner]
-            short = again & (at < (n - (4 * n + 4) // 5 + 1)[owner])
-            owner, at = owner[short], at[short].astype(np.int32)
-            yield pa.record_batch([codes[short].view(np.int64), hashes[owner], n[owner].astype(np.int32), at, b0[owner],
-                                   b1[owner], ids[owner], numbers[owner]],
-                                  names=["token", "lh", "n", "i", "b0", "b1", "doc_id", "line_no"])
-
-    return _listed(docs, places).mapInArrow(run, _PREFIX)
-
-
-def full_sets(docs: DataFrame, places: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(lh, codes): the whole set of each line."""
-    def run(batches: Batches) -> Batches:
-        for _, _, hashes, codes, n, _ in _line_sets(batches, levels):
-            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            yield pa.record_batch([pa.array(hashes), pa.ListArray.from_arrays(pa.array(ends), pa.array(codes.view(np.int64)))],
-                                  names=["lh", "codes"])
+    return (firsts.select("lh", "n", "b0", "b1", "doc_id", "line_no", "skipped", F.posexplode("prefix").alias("at", "token"))
+            .select("token", "lh", "n", (F.col("skipped") + F.col("at")).alias("i"), "b0", "b1", "doc_id", "line_no"))
 
-    return _listed(docs, places).mapInArrow(run, "lh long, codes array<long>").dropDuplicates(["lh"])
+
+def full_sets(lines: DataFrame, named: DataFrame) -> DataFrame:
+    """(lh, codes): the whole set of each named line."""
+    return (lines.select("lh", "prefix", "rest").join(_sized(named), "lh").dropDuplicates(["lh"])
+            .select("lh", F.concat("prefix", "rest").alias("codes")))
 
 
 def _passes(a: str, b: str) -> Column:
@@ -304,25 +303,25 @@ def _named(rows: DataFrame, side: str) -> DataFrame:
     return rows.select("token", *(F.col(c).alias(f"{side}_{c}") for c in _ROW))
 
 
-def candidate_pairs(prefixes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def candidate_pairs(prefixes: DataFrame, folder: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(a, b, led): pairs of lines, a earlier, that pass all filters under a code:
     with the earliest line alone where that passes (``led``), else with all
     earlier ones.  Codes of more than ``hot_rows`` lines meet in a join that
     Spark can split, the others in sorted batches."""
     ordered = prefixes.repartition("token").sortWithinPartitions("token", "doc_id", "line_no")
     out = written(ordered.mapInArrow(lambda b: _paired(b, hot_rows), f"a long, b long, led boolean, {_PREFIX}"),
-                  "line-met")
+                  "met", folder)
     pairs = out.where("token is null").select("a", "b", "led")
     hot = out.where("token is not null").drop("a", "b", "led")
     if not hot.isEmpty():
-        pairs = pairs.unionByName(_hot_pairs(hot))
+        pairs = pairs.unionByName(_hot_pairs(hot, folder))
     return pairs.groupBy("a", "b").agg(F.max("led").alias("led"))
 
 
-def _hot_pairs(rows: DataFrame) -> DataFrame:
+def _hot_pairs(rows: DataFrame, folder: str) -> DataFrame:
     """The same pairs by joins; the first line of each hot code is a small table."""
     leaders = _sized(written(rows.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "lh", "n", "i", "b0", "b1"))
-                                                       .alias("f")), "line-leaders"))
+                                                       .alias("f")), "leaders", folder))
     led = _named(rows, "b").join(leaders, "token").select("*", *(F.col(f"f.{c}").alias(f"a_{c}") for c in _ROW)).drop("f")
     passed = F.coalesce(_passes("a_", "b_"), F.lit(False))
     ends = (F.col("a_lh").alias("a"), F.col("b_lh").alias("b"))
@@ -332,53 +331,50 @@ def _hot_pairs(rows: DataFrame) -> DataFrame:
                              .select(*ends, F.lit(False).alias("led")))
 
 
-def _sized(df: DataFrame, rows: int = BROADCAST_ROWS, elements: str | None = None) -> DataFrame:
-    """Broadcast hint for a written table proven small; larger ones are shuffled.
-
-    ``elements`` names an array column, whose elements are bounded in sum."""
-    if elements is None:
-        return F.broadcast(df) if df.count() <= rows else df
-    held = df.agg(F.coalesce(F.sum(F.size(elements)), F.lit(0))).first()[0]
-    return F.broadcast(df) if held <= BROADCAST_ELEMENTS else df.hint("merge")
+def _sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint for a written table proven small; larger ones are shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
-def verified(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, levels: np.ndarray) -> DataFrame:
+def verified(lines: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
     """(lh): later lines of the pairs whose full word sets have similarity 4/5 or more."""
-    named = written(pairs.select(F.col("a").alias("lh")).union(pairs.select("b")).distinct(), "line-named")
-    sets = written(full_sets(docs, firsts.join(_sized(named), "lh"), levels), "line-sets")
+    named = written(pairs.select(F.col("a").alias("lh")).union(pairs.select("b")).distinct(), "named", folder)
+    sets = written(full_sets(lines, named), "sets", folder)
     left, right = (sets.select(F.col("lh").alias(c), F.col("codes").alias(f"{c}_codes")) for c in "ab")
     return (pairs.join(left, "a").join(right, "b")
             .where("9L * size(array_intersect(a_codes, b_codes)) >= 4L * (size(a_codes) + size(b_codes))")
             .select(F.col("b").alias("lh")).distinct())
 
 
-def similar_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+def similar_lines(lines: DataFrame, firsts: DataFrame, folder: str) -> DataFrame:
     """(lh): lines whose first place has a similar, different line before it."""
-    levels = rarity_levels(docs)
-    pairs = written(candidate_pairs(prefix_rows(docs, firsts, levels)), "line-pairs")
-    found = written(verified(docs, firsts, pairs, levels), "line-matches")
+    pairs = written(candidate_pairs(prefix_rows(firsts), folder), "pairs", folder)
+    found = written(verified(lines, pairs, folder), "matches", folder)
     open_lines = written(pairs.where("led").select(F.col("b").alias("lh")).distinct()
-                         .join(found, "lh", "left_anti"), "line-open")
+                         .join(found, "lh", "left_anti"), "open", folder)
     if open_lines.isEmpty():
         return found
-    wanted = written(_named(prefix_rows(docs, firsts.join(_sized(open_lines), "lh"), levels), "b"), "line-pending")
-    more = written(_named(prefix_rows(docs, firsts, levels), "a").join(_sized(wanted), "token")
+    wanted = written(_named(prefix_rows(firsts.join(_sized(open_lines), "lh")), "b"), "pending", folder)
+    more = written(_named(prefix_rows(firsts), "a").join(_sized(wanted), "token")
                    .where(_passes("a_", "b_")).select(F.col("a_lh").alias("a"), F.col("b_lh").alias("b")).distinct()
-                   .join(pairs, ["a", "b"], "left_anti"), "line-pairs")
-    return found.union(verified(docs, firsts, more, levels)).distinct()
+                   .join(pairs, ["a", "b"], "left_anti"), "pairs", folder)
+    return found.union(verified(lines, more, folder)).distinct()
 
 
 def removed_lines(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, th, gone): per text, the numbers of its lines to remove."""
-    places = written(line_places(docs, min_words), "line-places")
-    firsts = written(first_places(places), "line-firsts")
-    similar = similar_lines(docs, firsts).withColumn("similar", F.lit(True))
-    marked = written(firsts.join(similar, "lh", "left").where("n > 1 or similar")
-                     .select("lh", F.struct("doc_id", "line_no").alias("first"), "similar"), "line-marked")
-    removed = (places.join(_sized(marked), "lh")
+    folder = shared_path(docs.sparkSession, "line-dedup")
+    lines = written(line_rows(docs, rarity_levels(docs), min_words), "lines", folder)
+    firsts = written(first_places(lines), "firsts", folder)
+    similar = similar_lines(lines, firsts, folder).withColumn("similar", F.lit(True))
+    marked = written(firsts.join(similar, "lh", "left").where("places > 1 or similar")
+                     .select("lh", F.struct("doc_id", "line_no").alias("first"), "similar"), "marked", folder)
+    removed = (lines.select("lh", "doc_id", "line_no", "th").join(_sized(marked), "lh")
                .where(F.col("similar") | (F.struct("doc_id", "line_no") > F.col("first")))
                .groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("gone")))
-    return written(removed, "line-removed")
+    done = written(removed, "line-removed")
+    removed_folder(docs.sparkSession, folder)
+    return done
 
 
 def _without(text: Column, gone: Column) -> Column:
@@ -390,7 +386,7 @@ def _without(text: Column, gone: Column) -> Column:
 def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """(doc_id, text, n_lines, n_removed): every document without its later similar lines."""
     rows = (text_rows(docs).withColumn("k", F.coalesce("doc_id", F.lit(LAST_ID))).withColumn("th", F.xxhash64("text"))
-            .join(_sized(removed_lines(docs, min_words).withColumnRenamed("doc_id", "k"), elements="gone"), ["k", "th"], "left"))
+            .join(removed_lines(docs, min_words).withColumnRenamed("doc_id", "k").hint("shuffle_hash"), ["k", "th"], "left"))
     ends = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
     return rows.select("doc_id", _without(F.col("text"), F.col("gone")).alias("text"),
                        (ends + 1).cast("long").alias("n_lines"),
@@ -402,7 +398,7 @@ def without_later_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     stays null), ``n_chars`` follows it."""
     gone = removed_lines(docs, min_words).withColumnRenamed("doc_id", "id")
     rows = (whole_rows(docs).withColumn("th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-            .join(_sized(gone, elements="gone"), ["id", "th"], "left").withColumn("text", _without(F.col("text"), F.col("gone"))))
+            .join(gone.hint("shuffle_hash"), ["id", "th"], "left").withColumn("text", _without(F.col("text"), F.col("gone"))))
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

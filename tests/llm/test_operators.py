@@ -396,19 +396,26 @@ def test_line_dedup_matches_brute_force(spark, nothing, rows, monkeypatch):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
-def test_line_lists_are_broadcast_by_elements_not_rows(spark, monkeypatch):
-    def plan(df):
-        return df._jdf.queryExecution().optimizedPlan().toString()
-
+def test_line_dedup_shuffles_texts_once_and_leaves_one_table(spark):
     docs = spark.createDataFrame([(i, "\n".join(f"{i} line {j} of some words" for j in range(20)), "", 0, 0)
                                   for i in range(5)], SCHEMA)
-    places = line_dedup.line_places(docs, 5)
-    assert "broadcast" in plan(line_dedup._listed(docs, places))
-    want = {(r.doc_id, r.text, len(r.lines)) for r in line_dedup._listed(docs, places).collect()}
-    monkeypatch.setattr(line_dedup, "BROADCAST_ELEMENTS", 99)  # 5 rows of 20 lines each
-    large = line_dedup._listed(docs, places)
-    assert "broadcast" not in plan(large) and {(r.doc_id, r.text, len(r.lines)) for r in large.collect()} == want
-    assert line_dedup.dedup_lines(docs).count() == 5 and len(want) == 5
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    out = line_dedup.dedup_lines(docs)
+    new = set(os.listdir(folder)) - before
+    assert len(new) == 1 and next(iter(new)).startswith("line-removed")
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
+    assert out.count() == 5
+
+
+def test_line_rows_keep_every_code(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f\n\n  \nb a\tb", "", 0, 0), (None, "a b", "", 0, 0)], SCHEMA)
+    got = line_dedup.line_rows(docs, line_dedup.rarity_levels(docs), 2).collect()
+    assert sorted((r.line_no, r.n, r.skipped) for r in got) == [(0, 2, 0), (0, 6, 4), (3, 2, 0)]
+    assert all(len(set(r.prefix) | set(r.rest)) == r.n == len(r.prefix + r.rest) for r in got)
+    of_two = [set(r.prefix) | set(r.rest) for r in got if r.n == 2]
+    assert of_two[0] == of_two[1] and of_two[0] < set().union(*(r.prefix + r.rest for r in got if r.n == 6))
 
 
 # ----------------------------------------------------------------- secrets
