@@ -11,9 +11,9 @@ code and pass length, positional and bitmap filters; what passes is verified on
 the full sets.  A line is removed if an earlier line, by
 (doc_id, line number), is similar or equal.
 
-Texts are read three times (rarity, lines, removal) and shuffled once, with the
-numbers of their lines to remove.  The second reading writes every line's place,
-prefix and set; all later steps work on that table.
+Texts are shuffled once, with the numbers of their lines to remove.  They are
+read for the rarity, for a table of all lines (place and prefix) on which the
+join works, for the full sets of lines in pairs, and for the removal.
 
 Large groups of variants stay linear: under each code, a line is paired with
 the earliest line alone when that one passes all filters, with all earlier ones
@@ -35,8 +35,10 @@ an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -79,19 +81,55 @@ def _hashes(values: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, values), np.uint64, len(values))
 
 
+_GAP = np.zeros(256, bool)
+_GAP[[0x20, *range(0x09, 0x0E)]] = True
+
+
+@cache
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A fixed 64-bit value for every byte, and 2**bits powers of an odd base and of its inverse."""
+    base = 0x9E3779B97F4A7C15
+    both = (np.multiply.accumulate(np.full(1 << bits, b, np.uint64)) for b in (base, pow(base, -1, 1 << 64)))
+    return np.random.default_rng(1).integers(1 << 64, size=256, dtype=np.uint64), *both
+
+
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words per line of UTF-8 bytes, and the hash of every word: the polynomial of
+    its bytes, as a difference of running sums brought back to the first power."""
+    gap = _GAP[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    starts = np.flatnonzero(~gap & (edge[:-1] | np.concatenate([[True], gap[:-1]])))
+    ends = np.flatnonzero(~gap & (edge[1:] | np.concatenate([gap[1:], [True]]))) + 1
+    values, up, down = _powers(max(22, len(data).bit_length()))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(values[data] * up[:len(data)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * down[starts]
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
+    return np.diff(np.searchsorted(starts, offsets)), h ^ h >> np.uint64(33)
+
+
 def coded(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words per line, the number of every word of all lines in a list of distinct
-    words, and the 64-bit hashes of that list."""
-    found = pc.ascii_split_whitespace(lines.cast(pa.large_string()))
-    sizes = pc.list_value_length(found).to_numpy(zero_copy_only=False).astype(np.int64)
-    words = found.flatten().dictionary_encode()
-    seen = words.dictionary.cast(pa.large_binary()).to_pylist()
-    index = words.indices.to_numpy()
-    if b"" in seen:  # before a leading and after a trailing gap
-        real = index != seen.index(b"")
-        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[real], minlength=len(sizes))
-        index = index[real]
-    return sizes, index, _hashes(seen)
+    """Words per line, and for every word of all lines its place in a list of
+    distinct 64-bit hashes, with that list.
+
+    Some ``CHUNK_BYTES`` of lines are hashed at a time (a longer line whole)."""
+    lines = lines.cast(pa.large_string())
+    _, offsets, data = lines.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[lines.offset:lines.offset + len(lines) + 1] if len(lines) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    sizes, words, done = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    while done < len(lines):
+        upto = max(done + 1, int(np.searchsorted(offsets, offsets[done] + CHUNK_BYTES, "right")) - 1)
+        ends = offsets[done:upto + 1]
+        many, h = _word_hashes(data[ends[0]:ends[-1]], ends - ends[0])
+        sizes.append(many)
+        words.append(h)
+        done = upto
+    index, hashes = pd.factorize(np.concatenate(words))
+    return np.concatenate(sizes), index, hashes
 
 
 def _lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -139,19 +177,20 @@ def _sets(sizes: np.ndarray, index: np.ndarray, hashes: np.ndarray, levels: np.n
     return hashes[order][rank], np.bincount(line, minlength=len(sizes)), (rarity[order] > 0)[rank]
 
 
-def _list_array(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+_LINE = "lh long, doc_id long, line_no int, th long, n int, bits long, skipped int, prefix array<int>"
 
 
-_LINE = ("lh long, doc_id long, line_no int, th long, n int, b0 long, b1 long, skipped int, "
-         "prefix array<long>, rest array<long>")
+def _line_hashes(lines: pa.Array) -> np.ndarray:
+    return _hashes(lines.cast(pa.large_binary()).to_pylist()).view(np.int64)
 
 
 def line_rows(docs: DataFrame, levels: np.ndarray, min_words: int) -> DataFrame:
     """Every place of a line of ``min_words`` words or more: hash ``lh`` and place
     (doc_id, line_no, th); the number ``n`` of its distinct codes and their
     bitmap; the codes of its prefix that may occur again, behind ``skipped``
-    codes that cannot, and all its other codes."""
+    codes that cannot.
+
+    Codes of a prefix only make lines meet, so their upper half will do."""
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for part in _parts(batch, 2):
@@ -159,48 +198,65 @@ def line_rows(docs: DataFrame, levels: np.ndarray, min_words: int) -> DataFrame:
                 row = np.repeat(np.arange(len(many)), many)
                 number = np.arange(len(row)) - (np.cumsum(many) - many)[row]
                 sizes, index, hashes = coded(lines)
-                at = np.flatnonzero(sizes >= max(1, min_words))
+                wanted = sizes >= max(1, min_words)
+                at = np.flatnonzero(wanted)
                 if not len(at):
                     continue
-                index = index[np.repeat(sizes >= max(1, min_words), sizes)]
-                codes, n, again = _sets(sizes[at], index, hashes, levels)
+                codes, n, again = _sets(sizes[at], index[np.repeat(wanted, sizes)], hashes, levels)
                 starts = np.cumsum(n) - n
-                bit, half = np.uint64(1) << (codes & np.uint64(63)), codes & np.uint64(64)
-                b0, b1 = (np.bitwise_xor.reduceat(np.where(half == np.uint64(h), bit, np.uint64(0)), starts).view(np.int64)
-                          for h in (0, 64))
+                bits = np.bitwise_xor.reduceat(np.uint64(1) << (codes & np.uint64(63)), starts).view(np.int64)
                 owner = np.repeat(np.arange(len(n)), n)
-                short = again & (np.arange(len(codes)) - starts[owner] < (n - (4 * n + 4) // 5 + 1)[owner])
-                skipped = np.bincount(owner[~again], minlength=len(n))
-                rows, values = pa.array(row[at]), codes.view(np.int64)
-                lh = _hashes(lines.take(pa.array(at)).cast(pa.large_binary()).to_pylist()).view(np.int64)
+                short = np.flatnonzero(again & (np.arange(len(codes)) - starts[owner] < (n - (4 * n + 4) // 5 + 1)[owner]))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(owner[short], minlength=len(n)))]).astype(np.int32)
+                rows = pa.array(row[at])
                 yield pa.record_batch(
-                    [pa.array(lh), part.column(0).take(rows), pa.array(number[at].astype(np.int32)), part.column(1).take(rows),
-                     pa.array(n.astype(np.int32)), pa.array(b0), pa.array(b1), pa.array(skipped.astype(np.int32)),
-                     _list_array(values[short], np.bincount(owner[short], minlength=len(n))),
-                     _list_array(values[~short], np.bincount(owner[~short], minlength=len(n)))],
-                    names=["lh", "doc_id", "line_no", "th", "n", "b0", "b1", "skipped", "prefix", "rest"])
+                    [pa.array(_line_hashes(lines.take(pa.array(at)))), part.column(0).take(rows), pa.array(number[at].astype(np.int32)),
+                     part.column(1).take(rows), pa.array(n.astype(np.int32)), pa.array(bits),
+                     pa.array(np.bincount(owner[~again], minlength=len(n)).astype(np.int32)),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array((codes[short] >> np.uint64(32)).astype(np.uint32).view(np.int32)))],
+                    names=["lh", "doc_id", "line_no", "th", "n", "bits", "skipped", "prefix"])
 
     return keyed_rows(docs).mapInArrow(run, _LINE)
 
 
 def first_places(lines: DataFrame) -> DataFrame:
     """The first place of every distinct line with its prefix, and its number of places."""
-    return (lines.groupBy("lh").agg(F.min(F.struct("doc_id", "line_no", "th", "n", "b0", "b1", "skipped", "prefix")).alias("first"),
+    return (lines.groupBy("lh").agg(F.min(F.struct("doc_id", "line_no", "th", "n", "bits", "skipped", "prefix")).alias("first"),
                                     F.count("*").alias("places"))
             .select("lh", "first.*", "places"))
 
 
 def prefix_rows(firsts: DataFrame) -> DataFrame:
-    """(token, lh, n, i, b0, b1, doc_id, line_no): one row per code of each line's prefix
+    """(token, lh, n, i, bits, doc_id, line_no): one row per code of each line's prefix
     that may occur again."""
-    return (firsts.select("lh", "n", "b0", "b1", "doc_id", "line_no", "skipped", F.posexplode("prefix").alias("at", "token"))
-            .select("token", "lh", "n", (F.col("skipped") + F.col("at")).alias("i"), "b0", "b1", "doc_id", "line_no"))
+    return (firsts.select("lh", "n", "bits", "doc_id", "line_no", "skipped", F.posexplode("prefix").alias("at", "token"))
+            .select("token", "lh", "n", (F.col("skipped") + F.col("at")).alias("i"), "bits", "doc_id", "line_no"))
+
+
+def full_sets(docs: DataFrame, named: DataFrame, levels: np.ndarray) -> DataFrame:
+    """(lh, codes): the whole set of each named line.
 
+    One bit for each of 4 million slots of line hashes tells most other lines
+    apart before they are coded; the join with ``named`` is exact."""
+    slots = named.select(F.expr(f"cast(lh & {(1 << BUCKET_BITS) - 1} as int)").alias("slot")).distinct().toArrow()
+    held = np.zeros(1 << BUCKET_BITS, bool)
+    held[slots["slot"].to_numpy()] = True
+    held = np.packbits(held)
+
+    def run(batches: Batches) -> Batches:
+        slot = np.unpackbits(held).astype(bool)
+        for batch in batches:
+            for part in _parts(batch, 0):
+                lines, _ = _lines(part.column(0))
+                lh, at = np.unique(_line_hashes(lines), return_index=True)
+                some = slot[lh & ((1 << BUCKET_BITS) - 1)]
+                codes, n, _ = _sets(*coded(lines.take(pa.array(at[some]))), levels)
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                yield pa.record_batch([pa.array(lh[some]), pa.ListArray.from_arrays(pa.array(ends), pa.array(codes.view(np.int64)))],
+                                      names=["lh", "codes"])
 
-def full_sets(lines: DataFrame, named: DataFrame) -> DataFrame:
-    """(lh, codes): the whole set of each named line."""
-    return (lines.select("lh", "prefix", "rest").join(_sized(named), "lh").dropDuplicates(["lh"])
-            .select("lh", F.concat("prefix", "rest").alias("codes")))
+    return (text_rows(docs).select("text").mapInArrow(run, "lh long, codes array<long>")
+            .join(_sized(named), "lh").dropDuplicates(["lh"]))
 
 
 def _passes(a: str, b: str) -> Column:
@@ -211,11 +267,11 @@ def _passes(a: str, b: str) -> Column:
         ({a}doc_id < {b}doc_id or ({a}doc_id = {b}doc_id and {a}line_no < {b}line_no))
         and 5L * least({a}n, {b}n) >= 4L * greatest({a}n, {b}n)
         and 9L * least({a}n - {a}i, {b}n - {b}i) >= 4L * ({a}n + {b}n)
-        and 9L * (bit_count({a}b0 ^ {b}b0) + bit_count({a}b1 ^ {b}b1)) <= {a}n + {b}n""")
+        and 9L * bit_count({a}bits ^ {b}bits) <= {a}n + {b}n""")
 
 
-_ROW = ("lh", "n", "i", "b0", "b1", "doc_id", "line_no")
-_PREFIX = "token long, lh long, n int, i int, b0 long, b1 long, doc_id long, line_no int"
+_ROW = ("lh", "n", "i", "bits", "doc_id", "line_no")
+_PREFIX = "token int, lh long, n int, i int, bits long, doc_id long, line_no int"
 
 
 def _pass_between(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -225,7 +281,7 @@ def _pass_between(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) ->
     ok = np.flatnonzero((5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb))
                         & (9 * np.minimum(na - rows["i"][a], nb - rows["i"][b]) >= 4 * total))
     a, b = a[ok], b[ok]
-    differ = sum(np.bitwise_count((rows[c][a] ^ rows[c][b]).view(np.uint64)).astype(np.int64) for c in ("b0", "b1"))
+    differ = np.bitwise_count((rows["bits"][a] ^ rows["bits"][b]).view(np.uint64)).astype(np.int64)
     later = (rows["doc_id"][a] != rows["doc_id"][b]) | (rows["line_no"][a] != rows["line_no"][b])
     passed = np.zeros(len(total), bool)
     passed[ok] = (9 * differ <= total[ok]) & later
@@ -320,7 +376,7 @@ def candidate_pairs(prefixes: DataFrame, folder: str, hot_rows: int = HOT_ROWS)
 
 def _hot_pairs(rows: DataFrame, folder: str) -> DataFrame:
     """The same pairs by joins; the first line of each hot code is a small table."""
-    leaders = _sized(written(rows.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "lh", "n", "i", "b0", "b1"))
+    leaders = _sized(written(rows.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "lh", "n", "i", "bits"))
                                                        .alias("f")), "leaders", folder))
     led = _named(rows, "b").join(leaders, "token").select("*", *(F.col(f"f.{c}").alias(f"a_{c}") for c in _ROW)).drop("f")
     passed = F.coalesce(_passes("a_", "b_"), F.lit(False))
@@ -336,20 +392,20 @@ def _sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def verified(lines: DataFrame, pairs: DataFrame, folder: str) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, levels: np.ndarray, folder: str) -> DataFrame:
     """(lh): later lines of the pairs whose full word sets have similarity 4/5 or more."""
     named = written(pairs.select(F.col("a").alias("lh")).union(pairs.select("b")).distinct(), "named", folder)
-    sets = written(full_sets(lines, named), "sets", folder)
+    sets = written(full_sets(docs, named, levels), "sets", folder)
     left, right = (sets.select(F.col("lh").alias(c), F.col("codes").alias(f"{c}_codes")) for c in "ab")
     return (pairs.join(left, "a").join(right, "b")
             .where("9L * size(array_intersect(a_codes, b_codes)) >= 4L * (size(a_codes) + size(b_codes))")
             .select(F.col("b").alias("lh")).distinct())
 
 
-def similar_lines(lines: DataFrame, firsts: DataFrame, folder: str) -> DataFrame:
+def similar_lines(docs: DataFrame, firsts: DataFrame, levels: np.ndarray, folder: str) -> DataFrame:
     """(lh): lines whose first place has a similar, different line before it."""
     pairs = written(candidate_pairs(prefix_rows(firsts), folder), "pairs", folder)
-    found = written(verified(lines, pairs, folder), "matches", folder)
+    found = written(verified(docs, pairs, levels, folder), "matches", folder)
     open_lines = written(pairs.where("led").select(F.col("b").alias("lh")).distinct()
                          .join(found, "lh", "left_anti"), "open", folder)
     if open_lines.isEmpty():
@@ -358,15 +414,16 @@ def similar_lines(lines: DataFrame, firsts: DataFrame, folder: str) -> DataFrame
     more = written(_named(prefix_rows(firsts), "a").join(_sized(wanted), "token")
                    .where(_passes("a_", "b_")).select(F.col("a_lh").alias("a"), F.col("b_lh").alias("b")).distinct()
                    .join(pairs, ["a", "b"], "left_anti"), "pairs", folder)
-    return found.union(verified(lines, more, folder)).distinct()
+    return found.union(verified(docs, more, levels, folder)).distinct()
 
 
 def removed_lines(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, th, gone): per text, the numbers of its lines to remove."""
     folder = shared_path(docs.sparkSession, "line-dedup")
-    lines = written(line_rows(docs, rarity_levels(docs), min_words), "lines", folder)
+    levels = rarity_levels(docs)
+    lines = written(line_rows(docs, levels, min_words), "lines", folder)
     firsts = written(first_places(lines), "firsts", folder)
-    similar = similar_lines(lines, firsts, folder).withColumn("similar", F.lit(True))
+    similar = similar_lines(docs, firsts, levels, folder).withColumn("similar", F.lit(True))
     marked = written(firsts.join(similar, "lh", "left").where("places > 1 or similar")
                      .select("lh", F.struct("doc_id", "line_no").alias("first"), "similar"), "marked", folder)
     removed = (lines.select("lh", "doc_id", "line_no", "th").join(_sized(marked), "lh")
@@ -377,10 +434,13 @@ def removed_lines(docs: DataFrame, min_words: int) -> DataFrame:
     return done
 
 
-def _without(text: Column, gone: Column) -> Column:
-    lines = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    return F.when(gone.isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+def _without(rows: DataFrame) -> DataFrame:
+    """``rows`` whose text has lost the lines numbered in ``gone``."""
+    # lines are a column of their own, since a lambda would split the text for every line
+    rows = rows.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split("text", "\n")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    return rows.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(
+        F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n")))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
@@ -388,17 +448,17 @@ def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     rows = (text_rows(docs).withColumn("k", F.coalesce("doc_id", F.lit(LAST_ID))).withColumn("th", F.xxhash64("text"))
             .join(removed_lines(docs, min_words).withColumnRenamed("doc_id", "k").hint("shuffle_hash"), ["k", "th"], "left"))
     ends = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    return rows.select("doc_id", _without(F.col("text"), F.col("gone")).alias("text"),
-                       (ends + 1).cast("long").alias("n_lines"),
-                       F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"))
+    return (_without(rows.withColumn("n_lines", (ends + 1).cast("long")))
+            .select("doc_id", "text", "n_lines",
+                    F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed")))
 
 
 def without_later_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """All columns of ``docs``; the text loses its later similar lines (a null one
     stays null), ``n_chars`` follows it."""
     gone = removed_lines(docs, min_words).withColumnRenamed("doc_id", "id")
-    rows = (whole_rows(docs).withColumn("th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-            .join(gone.hint("shuffle_hash"), ["id", "th"], "left").withColumn("text", _without(F.col("text"), F.col("gone"))))
+    rows = _without(whole_rows(docs).withColumn("th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+                    .join(gone.hint("shuffle_hash"), ["id", "th"], "left"))
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

@@ -6,11 +6,13 @@ import hashlib
 import math
 import os
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -357,10 +359,10 @@ def test_prefix_depth_reaches_target():
 
 
 def test_line_filters_count_the_sign_bit_once():
-    table = {"n": [20, 20], "i": [0, 0], "b0": [-(1 << 63), 0], "b1": [3, 3], "doc_id": [1, 2], "line_no": [0, 0]}
+    table = {"n": [20, 20], "i": [0, 0], "bits": [-(1 << 63), 0], "doc_id": [1, 2], "line_no": [0, 0]}
     table = {c: np.array(v, np.int64) for c, v in table.items()}
     assert line_dedup._pass_between(table, np.array([0]), np.array([1])).tolist() == [True]
-    table["b0"] = np.array([-1, 0], np.int64)
+    table["bits"] = np.array([-1, 0], np.int64)
     assert line_dedup._pass_between(table, np.array([0]), np.array([1])).tolist() == [False]
 
 
@@ -411,11 +413,26 @@ def test_line_dedup_shuffles_texts_once_and_leaves_one_table(spark):
 
 def test_line_rows_keep_every_code(spark):
     docs = spark.createDataFrame([(1, "a b c d e f\n\n  \nb a\tb", "", 0, 0), (None, "a b", "", 0, 0)], SCHEMA)
-    got = line_dedup.line_rows(docs, line_dedup.rarity_levels(docs), 2).collect()
-    assert sorted((r.line_no, r.n, r.skipped) for r in got) == [(0, 2, 0), (0, 6, 4), (3, 2, 0)]
-    assert all(len(set(r.prefix) | set(r.rest)) == r.n == len(r.prefix + r.rest) for r in got)
-    of_two = [set(r.prefix) | set(r.rest) for r in got if r.n == 2]
-    assert of_two[0] == of_two[1] and of_two[0] < set().union(*(r.prefix + r.rest for r in got if r.n == 6))
+    levels = line_dedup.rarity_levels(docs)
+    got = line_dedup.line_rows(docs, levels, 2).collect()
+    assert sorted((r.line_no, r.n, r.skipped, len(r.prefix)) for r in got) == [(0, 2, 0, 1), (0, 6, 4, 0), (3, 2, 0, 1)]
+    assert len({(r.bits, *r.prefix) for r in got if r.n == 2}) == 1
+    sets = {r.lh: set(r.codes) for r in line_dedup.full_sets(docs, spark.createDataFrame(got).select("lh"), levels).collect()}
+    assert sorted(map(len, sets.values())) == [2, 2, 6] and len(set.union(*sets.values())) == 6
+
+
+def test_word_hashes_equal_words_split_by_python(monkeypatch):
+    rng = random.Random(5)
+    lines = ["".join(rng.choice("ab \t\r\x0b\x0c\u00a0\u00e9\U0001f600") for _ in range(rng.randrange(40))) for _ in range(500)]
+    monkeypatch.setattr(line_dedup, "CHUNK_BYTES", 100)
+    sizes, index, hashes = line_dedup.coded(pa.array(["x", *lines])[1:])
+    split = [re.findall(r"[^\x20\x09-\x0D]+", x) for x in lines]
+    assert sizes.tolist() == [len(w) for w in split]
+    names = {}
+    for word, h in zip((w for x in split for w in x), hashes[index].tolist(), strict=True):
+        assert names.setdefault(word, h) == h
+    assert len(set(names.values())) == len(names) == len(hashes)
+    assert [len(x) for x in line_dedup.coded(pa.array([], pa.string()))] == [0, 0, 0]
 
 
 # ----------------------------------------------------------------- secrets
