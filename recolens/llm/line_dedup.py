@@ -289,7 +289,9 @@ def _pass_between(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) ->
 
 
 def _run_pairs(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Pairs (a, b, led) of lines in whole runs of equal tokens, ordered by place."""
+    """Pairs (a, b, led) of lines in whole runs of equal tokens."""
+    order = np.lexsort((rows["line_no"], rows["doc_id"], rows["token"]))
+    rows = {c: v[order] for c, v in rows.items()}
     token, lh = rows["token"], rows["lh"]
     new = np.ones(len(token), bool)
     new[1:] = token[1:] != token[:-1]
@@ -313,7 +315,7 @@ def _run_pairs(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.nda
 
 
 def _paired(batches: Batches, hot_rows: int) -> Batches:
-    """Rows sorted by token and place to pairs; tokens of more than ``hot_rows``
+    """Rows sorted by token to pairs; tokens of more than ``hot_rows``
     rows are handed on as they are."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("led", pa.bool_())])
     blank: dict = {}
@@ -364,7 +366,7 @@ def candidate_pairs(prefixes: DataFrame, folder: str, hot_rows: int = HOT_ROWS)
     with the earliest line alone where that passes (``led``), else with all
     earlier ones.  Codes of more than ``hot_rows`` lines meet in a join that
     Spark can split, the others in sorted batches."""
-    ordered = prefixes.repartition("token").sortWithinPartitions("token", "doc_id", "line_no")
+    ordered = prefixes.repartition("token").sortWithinPartitions("token")  # one key: radix sort
     out = written(ordered.mapInArrow(lambda b: _paired(b, hot_rows), f"a long, b long, led boolean, {_PREFIX}"),
                   "met", folder)
     pairs = out.where("token is null").select("a", "b", "led")
