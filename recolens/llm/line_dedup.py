@@ -362,9 +362,9 @@ def _named(rows: DataFrame, side: str) -> DataFrame:
 
 
 def candidate_pairs(prefixes: DataFrame, folder: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(a, b, led): pairs of lines, a earlier, that pass all filters under a code:
-    with the earliest line alone where that passes (``led``), else with all
-    earlier ones.  Codes of more than ``hot_rows`` lines meet in a join that
+    """(a, b, led, met): pairs of lines, a earlier, that pass all filters under
+    ``met`` codes: with the earliest line alone where that passes (``led``), else
+    with all earlier ones.  Codes of more than ``hot_rows`` lines meet in a join that
     Spark can split, the others in sorted batches."""
     ordered = prefixes.repartition("token").sortWithinPartitions("token")  # one key: radix sort
     out = written(ordered.mapInArrow(lambda b: _paired(b, hot_rows), f"a long, b long, led boolean, {_PREFIX}"),
@@ -373,7 +373,7 @@ def candidate_pairs(prefixes: DataFrame, folder: str, hot_rows: int = HOT_ROWS)
     hot = out.where("token is not null").drop("a", "b", "led")
     if not hot.isEmpty():
         pairs = pairs.unionByName(_hot_pairs(hot, folder))
-    return pairs.groupBy("a", "b").agg(F.max("led").alias("led"))
+    return pairs.groupBy("a", "b").agg(F.max("led").alias("led"), F.count("*").alias("met"))
 
 
 def _hot_pairs(rows: DataFrame, folder: str) -> DataFrame:
@@ -394,16 +394,27 @@ def _sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def verified(docs: DataFrame, pairs: DataFrame, levels: np.ndarray, folder: str) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(lh): later lines of the pairs whose full word sets have similarity 4/5 or more."""
-    named = written(pairs.select(F.col("a").alias("lh")).union(pairs.select("b")).distinct(), "named", folder)
-    sets = written(full_sets(docs, named, levels), "sets", folder)
     left, right = (sets.select(F.col("lh").alias(c), F.col("codes").alias(f"{c}_codes")) for c in "ab")
-    return (pairs.join(left, "a").join(right, "b")
+    return (pairs.select("a", "b").join(left, "a").join(right, "b")
             .where("9L * size(array_intersect(a_codes, b_codes)) >= 4L * (size(a_codes) + size(b_codes))")
             .select(F.col("b").alias("lh")).distinct())
 
 
+def verified(docs: DataFrame, pairs: DataFrame, levels: np.ndarray, folder: str) -> DataFrame:
+    """(lh): later lines of the pairs that are similar to an earlier one.
+
+    A line meets most of its partners in one group of variants, so the partner it
+    meets under the most codes is verified first and the others only if that fails."""
+    named = written(pairs.select(F.col("a").alias("lh")).union(pairs.select("b")).distinct(), "named", folder)
+    sets = written(full_sets(docs, named, levels), "sets", folder)
+    best = pairs.groupBy("b").agg(F.max(F.struct("met", "a")).alias("best")).select("best.a", "b")
+    found = written(_similar(best, sets), "best", folder)
+    rest = pairs.join(found.withColumnRenamed("lh", "b"), "b", "left_anti").join(best, ["a", "b"], "left_anti")
+    return found.union(_similar(rest, sets))
+
+
 def similar_lines(docs: DataFrame, firsts: DataFrame, levels: np.ndarray, folder: str) -> DataFrame:
     """(lh): lines whose first place has a similar, different line before it."""
     pairs = written(candidate_pairs(prefix_rows(firsts), folder), "pairs", folder)
@@ -414,7 +425,7 @@ def similar_lines(docs: DataFrame, firsts: DataFrame, levels: np.ndarray, folder
         return found
     wanted = written(_named(prefix_rows(firsts.join(_sized(open_lines), "lh")), "b"), "pending", folder)
     more = written(_named(prefix_rows(firsts), "a").join(_sized(wanted), "token")
-                   .where(_passes("a_", "b_")).select(F.col("a_lh").alias("a"), F.col("b_lh").alias("b")).distinct()
+                   .where(_passes("a_", "b_")).groupBy(F.col("a_lh").alias("a"), F.col("b_lh").alias("b")).agg(F.count("*").alias("met"))
                    .join(pairs, ["a", "b"], "left_anti"), "pairs", folder)
     return found.union(verified(docs, more, levels, folder)).distinct()
 
