@@ -256,7 +256,7 @@ def full_sets(docs: DataFrame, named: DataFrame, levels: np.ndarray) -> DataFram
                                       names=["lh", "codes"])
 
     return (text_rows(docs).select("text").mapInArrow(run, "lh long, codes array<long>")
-            .join(_sized(named), "lh").dropDuplicates(["lh"]))
+            .join(_shuffled(named), "lh").dropDuplicates(["lh"]))
 
 
 def _passes(a: str, b: str) -> Column:
@@ -389,6 +389,11 @@ def _hot_pairs(rows: DataFrame, folder: str) -> DataFrame:
                              .select(*ends, F.lit(False).alias("led")))
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """A table of lines or pairs, which grows with the input: never broadcast, at any size."""
+    return df.hint("merge")
+
+
 def _sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint for a written table proven small; larger ones are shuffled."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -437,7 +442,7 @@ def removed_lines(docs: DataFrame, min_words: int) -> DataFrame:
     lines = written(line_rows(docs, levels, min_words), "lines", folder)
     firsts = written(first_places(lines), "firsts", folder)
     similar = similar_lines(docs, firsts, levels, folder).withColumn("similar", F.lit(True))
-    marked = written(firsts.join(similar, "lh", "left").where("places > 1 or similar")
+    marked = written(firsts.join(_shuffled(similar), "lh", "left").where("places > 1 or similar")
                      .select("lh", F.struct("doc_id", "line_no").alias("first"), "similar"), "marked", folder)
     removed = (lines.select("lh", "doc_id", "line_no", "th").join(_sized(marked), "lh")
                .where(F.col("similar") | (F.struct("doc_id", "line_no") > F.col("first")))
