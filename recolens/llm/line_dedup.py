@@ -15,10 +15,10 @@ Texts are shuffled once, with the numbers of their lines to remove.  They are
 read for the rarity, for a table of all lines (place and prefix) on which the
 join works, for the full sets of lines in pairs, and for the removal.
 
-Large groups of variants stay linear: under each code, a line is paired with
-the earliest line alone when that one passes all filters, with all earlier ones
-otherwise.  A line whose earliest partner then fails verification is joined
-with all earlier lines in a second pass.
+Large groups of variants stay linear: under each code, lines that pass all filters
+with a common earlier line follow that leader and are paired with it alone, and
+with lines of other leaders.  A line whose pairs all fail verification is then
+paired with the earlier followers of its leaders, which the table of pairs names.
 
 Words are split, coded and sorted in Arrow batches, joins and aggregates are
 DataFrame code (README: the native form could not meet the limits).  Tables
@@ -54,6 +54,8 @@ CHUNK_BYTES = 1 << 22
 #: Rows of one code that a task pairs in memory; codes of more rows are joined by Spark.
 HOT_ROWS = 20_000
 PAIRS_AT_ONCE = 1 << 21
+#: Leaders looked for under a code; lines that follow none of them are paired with all others.
+LEADERS = 3
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -259,18 +261,23 @@ def full_sets(docs: DataFrame, named: DataFrame, levels: np.ndarray) -> DataFram
             .join(_shuffled(named), "lh").dropDuplicates(["lh"]))
 
 
-def _passes(a: str, b: str) -> Column:
-    """Length, positional and bitmap filters for two prefix rows of one code; a
-    before b.  A similar pair passes under the first code that it shares, with
-    all its common codes from there on."""
+def _may_be_similar(a: str, b: str) -> Column:
+    """Length and bitmap filters for two lines, a before b."""
     return F.expr(f"""
         ({a}doc_id < {b}doc_id or ({a}doc_id = {b}doc_id and {a}line_no < {b}line_no))
         and 5L * least({a}n, {b}n) >= 4L * greatest({a}n, {b}n)
-        and 9L * least({a}n - {a}i, {b}n - {b}i) >= 4L * ({a}n + {b}n)
         and 9L * bit_count({a}bits ^ {b}bits) <= {a}n + {b}n""")
 
 
+def _passes(a: str, b: str) -> Column:
+    """Length, bitmap and positional filters for two prefix rows of one code; a
+    before b.  A similar pair passes under the first code that it shares, with
+    all its common codes from there on."""
+    return _may_be_similar(a, b) & F.expr(f"9L * least({a}n - {a}i, {b}n - {b}i) >= 4L * ({a}n + {b}n)")
+
+
 _ROW = ("lh", "n", "i", "bits", "doc_id", "line_no")
+_FOLLOWER = ("doc_id", "line_no", "n", "bits")
 _PREFIX = "token int, lh long, n int, i int, bits long, doc_id long, line_no int"
 
 
@@ -288,44 +295,76 @@ def _pass_between(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) ->
     return passed
 
 
-def _run_pairs(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Pairs (a, b, led) of lines in whole runs of equal tokens."""
-    order = np.lexsort((rows["line_no"], rows["doc_id"], rows["token"]))
-    rows = {c: v[order] for c, v in rows.items()}
-    token, lh = rows["token"], rows["lh"]
-    new = np.ones(len(token), bool)
-    new[1:] = token[1:] != token[:-1]
-    at = np.arange(len(token))
-    start = np.maximum.accumulate(np.where(new, at, 0))
-    later = at[~new]
-    passed = _pass_between(rows, start[later], later)
-    yield lh[start[later[passed]]], lh[later[passed]], True
-    rest = later[~passed]
-    many = rest - start[rest] - 1  # earlier rows behind the first
+def _in_ranges(rows: dict[str, np.ndarray], at: np.ndarray, starts: np.ndarray, many: np.ndarray) -> Iterator[tuple]:
+    """Pairs (a, b) of row numbers, a first, that pass all filters: the row at each
+    place of ``at`` with the rows at the ``many`` places from its start; and no leader's."""
+    for x, y in _ranges(starts, many):
+        a, b = np.minimum(at[x], at[y]), np.maximum(at[x], at[y])
+        passed = _pass_between(rows, a, b)
+        yield a[passed], b[passed], False
+
+
+def _ranges(starts: np.ndarray, many: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(x, y) for every x and ``many[x]`` values y from ``starts[x]``, some millions at a time."""
     ends = np.cumsum(many)
     done = 0
-    while done < len(rest):
+    while done < len(many):
         upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PAIRS_AT_ONCE, "right")))
         m = many[done:upto]
-        b = np.repeat(rest[done:upto], m)
-        a = np.repeat(start[rest[done:upto]] + 1 - (np.cumsum(m) - m), m) + np.arange(len(b))
-        passed = _pass_between(rows, a, b)
-        yield lh[a[passed]], lh[b[passed]], False
+        x = np.repeat(np.arange(done, upto), m)
+        yield x, np.arange(len(x)) + np.repeat(starts[done:upto] - (np.cumsum(m) - m), m)
         done = upto
 
 
+def _run_pairs(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Pairs (a, b, led) of row numbers, in whole runs of equal tokens sorted by place.
+
+    The first line of a run leads those that pass with it, then the first of the others, and so on."""
+    size = len(rows["token"])
+    if not size:
+        return
+    run = np.cumsum(np.concatenate([[False], rows["token"][1:] != rows["token"][:-1]]))
+    leader, rest = np.arange(size), np.arange(size)
+    for _ in range(LEADERS):
+        new = np.concatenate([[True], run[rest[1:]] != run[rest[:-1]]])[:len(rest)]  # the first of each run
+        first = rest[np.maximum.accumulate(np.where(new, np.arange(len(rest)), 0))]
+        a, b = first[~new], rest[~new]
+        passed = _pass_between(rows, a, b)
+        leader[b[passed]] = a[passed]
+        yield a[passed], b[passed], True
+        rest = b[~passed]
+    grouped = np.bincount(leader, minlength=size)[leader] > 1
+    # lines in no group, by length: each meets the shorter ones of four fifths of its length
+    n = rows["n"].astype(np.int64)
+    alone = np.flatnonzero(~grouped)
+    alone = alone[np.lexsort((n[alone], run[alone]))]
+    wide = int(n.max(initial=0)) + 1
+    starts = np.searchsorted(run[alone] * wide + n[alone], run[alone] * wide + (4 * n[alone] + 4) // 5)
+    yield from _in_ranges(rows, alone, starts, np.arange(len(alone)) - starts)
+    # then the groups: each line meets the lines in no group, and the groups before its own
+    at = np.lexsort((np.where(grouped, leader, -1), run))
+    group = np.where(grouped, leader, -1)[at]
+    place = np.arange(size)
+    new = np.concatenate([[True], run[at[1:]] != run[at[:-1]]])
+    starts = np.maximum.accumulate(np.where(new, place, 0))
+    new |= np.concatenate([[True], group[1:] != group[:-1]])
+    yield from _in_ranges(rows, at, starts, np.where(grouped[at], np.maximum.accumulate(np.where(new, place, 0)) - starts, 0))
+
+
 def _paired(batches: Batches, hot_rows: int) -> Batches:
-    """Rows sorted by token to pairs; tokens of more than ``hot_rows``
-    rows are handed on as they are."""
+    """Rows sorted by token to pairs, those with a leader with the follower's place,
+    length and bitmap; tokens of more than ``hot_rows`` rows are handed on as they are."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("led", pa.bool_())])
     blank: dict = {}
 
     def pairs(rows: dict) -> Batches:
+        order = np.lexsort((rows["line_no"], rows["doc_id"], rows["token"]))
+        rows = {c: v[order] for c, v in rows.items()}
         for a, b, led in _run_pairs(rows):
             if len(a):
-                out = pa.record_batch([pa.array(a), pa.array(b), pa.array(np.full(len(a), led))], schema=schema)
+                out = pa.record_batch([pa.array(rows["lh"][a]), pa.array(rows["lh"][b]), pa.array(np.full(len(a), led))], schema=schema)
                 for c, kind in blank.items():
-                    out = out.append_column(c, pa.nulls(len(a), kind))
+                    out = out.append_column(c, pa.array(rows[c][b], kind) if led and c in _FOLLOWER else pa.nulls(len(a), kind))
                 yield out
 
     def handed_on(rows: dict) -> pa.RecordBatch:
@@ -362,31 +401,36 @@ def _named(rows: DataFrame, side: str) -> DataFrame:
 
 
 def candidate_pairs(prefixes: DataFrame, folder: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(a, b, led, met): pairs of lines, a earlier, that pass all filters under
-    ``met`` codes: with the earliest line alone where that passes (``led``), else
-    with all earlier ones.  Codes of more than ``hot_rows`` lines meet in a join that
-    Spark can split, the others in sorted batches."""
+    """(a, b, follower, met): pairs of lines, a earlier, that pass all filters under
+    ``met`` codes, but not two followers of one leader.  ``follower`` has place, length and
+    bitmap of b where a leads it, else it is null.  Codes of more than ``hot_rows`` lines
+    meet in a join that Spark can split, the others in sorted batches."""
     ordered = prefixes.repartition("token").sortWithinPartitions("token")  # one key: radix sort
     out = written(ordered.mapInArrow(lambda b: _paired(b, hot_rows), f"a long, b long, led boolean, {_PREFIX}"),
                   "met", folder)
-    pairs = out.where("token is null").select("a", "b", "led")
+    pairs = out.where("token is null").select("a", "b", F.when(F.col("led"), F.struct(*_FOLLOWER)).alias("follower"))
     hot = out.where("token is not null").drop("a", "b", "led")
     if not hot.isEmpty():
         pairs = pairs.unionByName(_hot_pairs(hot, folder))
-    return pairs.groupBy("a", "b").agg(F.max("led").alias("led"), F.count("*").alias("met"))
+    return pairs.groupBy("a", "b").agg(F.max("follower").alias("follower"), F.count("*").alias("met"))
 
 
 def _hot_pairs(rows: DataFrame, folder: str) -> DataFrame:
-    """The same pairs by joins; the first line of each hot code is a small table."""
+    """The same pairs by joins; the first line of each hot code, its one leader, is a small table."""
     leaders = _sized(written(rows.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "lh", "n", "i", "bits"))
                                                        .alias("f")), "leaders", folder))
     led = _named(rows, "b").join(leaders, "token").select("*", *(F.col(f"f.{c}").alias(f"a_{c}") for c in _ROW)).drop("f")
     passed = F.coalesce(_passes("a_", "b_"), F.lit(False))
     ends = (F.col("a_lh").alias("a"), F.col("b_lh").alias("b"))
-    first = led.where(passed).select(*ends, F.lit(True).alias("led"))
+    first = led.where(passed)
     rest = led.where(~passed & (F.col("a_lh") != F.col("b_lh"))).select("token", *(f"b_{c}" for c in _ROW))
-    return first.unionByName(rest.join(_named(rows, "a"), "token").where(_passes("a_", "b_"))
-                             .select(*ends, F.lit(False).alias("led")))
+    earlier_rest = rest.select("token", *(F.col(f"b_{c}").alias(f"a_{c}") for c in _ROW))
+    met = (rest.join(_named(rows, "a"), "token").where(_passes("a_", "b_")).select(*ends)
+           .unionByName(first.select("token", *(f"b_{c}" for c in _ROW)).join(earlier_rest, "token")
+                        .where(_passes("a_", "b_")).select(*ends)))
+    follower = F.struct(*(F.col(f"b_{c}").alias(c) for c in _FOLLOWER)).alias("follower")
+    return first.select(*ends, follower).unionByName(met.select("a", "b", F.lit(None).cast(
+        "struct<doc_id:bigint,line_no:int,n:int,bits:bigint>").alias("follower")))
 
 
 def _shuffled(df: DataFrame) -> DataFrame:
@@ -407,32 +451,38 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .select(F.col("b").alias("lh")).distinct())
 
 
-def verified(docs: DataFrame, pairs: DataFrame, levels: np.ndarray, folder: str) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
     """(lh): later lines of the pairs that are similar to an earlier one.
 
     A line meets most of its partners in one group of variants, so the partner it
     meets under the most codes is verified first and the others only if that fails."""
-    named = written(pairs.select(F.col("a").alias("lh")).union(pairs.select("b")).distinct(), "named", folder)
-    sets = written(full_sets(docs, named, levels), "sets", folder)
     best = pairs.groupBy("b").agg(F.max(F.struct("met", "a")).alias("best")).select("best.a", "b")
     found = written(_similar(best, sets), "best", folder)
     rest = pairs.join(found.withColumnRenamed("lh", "b"), "b", "left_anti").join(best, ["a", "b"], "left_anti")
     return found.union(_similar(rest, sets))
 
 
+def followers_of_one_leader(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b): followers b that are not found, with the earlier followers a of their
+    leaders, where length and bitmap let them be similar.
+
+    A similar pair is in ``pairs`` unless both lines follow one leader under their first common
+    code, so these pairs complete the join without another look at the prefixes."""
+    led = pairs.where("follower is not null")
+    late = led.join(_shuffled(found.withColumnRenamed("lh", "b")), "b", "left_anti").select(
+        F.col("a").alias("leader"), F.col("b"), *(F.col(f"follower.{c}").alias(f"b_{c}") for c in _FOLLOWER))
+    early = led.select(F.col("a").alias("leader"), F.col("b").alias("a"), *(F.col(f"follower.{c}").alias(f"a_{c}") for c in _FOLLOWER))
+    return (late.join(_shuffled(early), "leader").where(_may_be_similar("a_", "b_")).select("a", "b").distinct()
+            .join(pairs, ["a", "b"], "left_anti"))
+
+
 def similar_lines(docs: DataFrame, firsts: DataFrame, levels: np.ndarray, folder: str) -> DataFrame:
     """(lh): lines whose first place has a similar, different line before it."""
     pairs = written(candidate_pairs(prefix_rows(firsts), folder), "pairs", folder)
-    found = written(verified(docs, pairs, levels, folder), "matches", folder)
-    open_lines = written(pairs.where("led").select(F.col("b").alias("lh")).distinct()
-                         .join(found, "lh", "left_anti"), "open", folder)
-    if open_lines.isEmpty():
-        return found
-    wanted = written(_named(prefix_rows(firsts.join(_sized(open_lines), "lh")), "b"), "pending", folder)
-    more = written(_named(prefix_rows(firsts), "a").join(_sized(wanted), "token")
-                   .where(_passes("a_", "b_")).groupBy(F.col("a_lh").alias("a"), F.col("b_lh").alias("b")).agg(F.count("*").alias("met"))
-                   .join(pairs, ["a", "b"], "left_anti"), "pairs", folder)
-    return found.union(verified(docs, more, levels, folder)).distinct()
+    named = written(pairs.select(F.col("a").alias("lh")).union(pairs.select("b")).distinct(), "named", folder)
+    sets = written(full_sets(docs, named, levels), "sets", folder)
+    found = written(verified(pairs, sets, folder), "matches", folder)
+    return found.union(_similar(followers_of_one_leader(pairs, found), sets)).distinct()
 
 
 def removed_lines(docs: DataFrame, min_words: int) -> DataFrame:

@@ -398,6 +398,35 @@ def test_line_dedup_matches_brute_force(spark, nothing, rows, monkeypatch):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_line_dedup_of_groups_near_the_threshold(spark, monkeypatch):
+    rng = random.Random(31)
+    stems = [prose(rng, 24).split() for _ in range(3)]
+    data = []
+    for i in range(120):
+        t = list(rng.choice(stems))
+        for _ in range(rng.randrange(5)):
+            t[rng.randrange(len(t))] = "e" + str(rng.randrange(40))
+        data.append((i, " ".join([*t, *rng.sample(["rare", "rarer", "rarest"], 2)]), "", 0, 0))
+    sets = [set(r[1].split()) for r in data]
+    want = {i for i in range(120) if any(5 * len(sets[i] & s) >= 4 * len(sets[i] | s) for s in sets[:i])}
+    assert 20 < len(want) < 110
+    frame = spark.createDataFrame(data, SCHEMA).repartition(3)
+    seen, real = [], line_dedup.followers_of_one_leader
+
+    def counted(*args):
+        out = real(*args)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "followers_of_one_leader", counted)
+    for leaders, hot_rows in ((3, 1000), (1, 1000), (3, 4)):
+        monkeypatch.setattr(line_dedup, "LEADERS", leaders)
+        monkeypatch.setattr(line_dedup.candidate_pairs, "__defaults__", (hot_rows,))
+        got = {r.doc_id for r in line_dedup.dedup_lines(frame).collect() if r.n_removed}
+        assert got == want
+    assert min(seen) > 0, "the last step had pairs to verify"
+
+
 def test_line_dedup_shuffles_texts_once_and_leaves_one_table(spark):
     docs = spark.createDataFrame([(i, "\n".join(f"{i} line {j} of some words" for j in range(20)), "", 0, 0)
                                   for i in range(5)], SCHEMA)
