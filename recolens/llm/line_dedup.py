@@ -179,7 +179,8 @@ def _sets(sizes: np.ndarray, index: np.ndarray, hashes: np.ndarray, levels: np.n
     return hashes[order][rank], np.bincount(line, minlength=len(sizes)), (rarity[order] > 0)[rank]
 
 
-_LINE = "lh long, doc_id long, line_no int, th long, n int, bits long, skipped int, prefix array<int>"
+_LINE = ("lh long, doc_id long, line_no int, th long, n int, bits long, w0 long, w1 long, w2 long, "
+         "skipped int, prefix array<int>")
 
 
 def _line_hashes(lines: pa.Array) -> np.ndarray:
@@ -188,9 +189,9 @@ def _line_hashes(lines: pa.Array) -> np.ndarray:
 
 def line_rows(docs: DataFrame, levels: np.ndarray, min_words: int) -> DataFrame:
     """Every place of a line of ``min_words`` words or more: hash ``lh`` and place
-    (doc_id, line_no, th); the number ``n`` of its distinct codes and their
-    bitmap; the codes of its prefix that may occur again, behind ``skipped``
-    codes that cannot.
+    (doc_id, line_no, th); the number ``n`` of its distinct codes and their bitmap of 64
+    bits, with three of the four (``w0`` to ``w2``) that it is the sum of; the codes of
+    its prefix that may occur again, behind ``skipped`` codes that cannot.
 
     Codes of a prefix only make lines meet, so their upper half will do."""
     def run(batches: Batches) -> Batches:
@@ -206,24 +207,26 @@ def line_rows(docs: DataFrame, levels: np.ndarray, min_words: int) -> DataFrame:
                     continue
                 codes, n, again = _sets(sizes[at], index[np.repeat(wanted, sizes)], hashes, levels)
                 starts = np.cumsum(n) - n
-                bits = np.bitwise_xor.reduceat(np.uint64(1) << (codes & np.uint64(63)), starts).view(np.int64)
+                bit, part_of = np.uint64(1) << (codes & np.uint64(63)), codes >> np.uint64(20) & np.uint64(3)
+                bits, *wide = (np.bitwise_xor.reduceat(b, starts).view(np.int64)
+                               for b in (bit, *(np.where(part_of == q, bit, np.uint64(0)) for q in range(3))))
                 owner = np.repeat(np.arange(len(n)), n)
                 short = np.flatnonzero(again & (np.arange(len(codes)) - starts[owner] < (n - (4 * n + 4) // 5 + 1)[owner]))
                 ends = np.concatenate([[0], np.cumsum(np.bincount(owner[short], minlength=len(n)))]).astype(np.int32)
                 rows = pa.array(row[at])
                 yield pa.record_batch(
                     [pa.array(_line_hashes(lines.take(pa.array(at)))), part.column(0).take(rows), pa.array(number[at].astype(np.int32)),
-                     part.column(1).take(rows), pa.array(n.astype(np.int32)), pa.array(bits),
+                     part.column(1).take(rows), pa.array(n.astype(np.int32)), pa.array(bits), *map(pa.array, wide),
                      pa.array(np.bincount(owner[~again], minlength=len(n)).astype(np.int32)),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array((codes[short] >> np.uint64(32)).astype(np.uint32).view(np.int32)))],
-                    names=["lh", "doc_id", "line_no", "th", "n", "bits", "skipped", "prefix"])
+                    names=["lh", "doc_id", "line_no", "th", "n", "bits", "w0", "w1", "w2", "skipped", "prefix"])
 
     return keyed_rows(docs).mapInArrow(run, _LINE)
 
 
 def first_places(lines: DataFrame) -> DataFrame:
     """The first place of every distinct line with its prefix, and its number of places."""
-    return (lines.groupBy("lh").agg(F.min(F.struct("doc_id", "line_no", "th", "n", "bits", "skipped", "prefix")).alias("first"),
+    return (lines.groupBy("lh").agg(F.min(F.struct("doc_id", "line_no", "th", "n", "bits", "w0", "w1", "w2", "skipped", "prefix")).alias("first"),
                                     F.count("*").alias("places"))
             .select("lh", "first.*", "places"))
 
@@ -261,23 +264,29 @@ def full_sets(docs: DataFrame, named: DataFrame, levels: np.ndarray) -> DataFram
             .join(_shuffled(named), "lh").dropDuplicates(["lh"]))
 
 
-def _may_be_similar(a: str, b: str) -> Column:
-    """Length and bitmap filters for two lines, a before b."""
+def _passes(a: str, b: str) -> Column:
+    """Length, bitmap and positional filters for two prefix rows of one code; a
+    before b.  A similar pair passes under the first code that it shares, with
+    all its common codes from there on."""
     return F.expr(f"""
         ({a}doc_id < {b}doc_id or ({a}doc_id = {b}doc_id and {a}line_no < {b}line_no))
         and 5L * least({a}n, {b}n) >= 4L * greatest({a}n, {b}n)
+        and 9L * least({a}n - {a}i, {b}n - {b}i) >= 4L * ({a}n + {b}n)
         and 9L * bit_count({a}bits ^ {b}bits) <= {a}n + {b}n""")
 
 
-def _passes(a: str, b: str) -> Column:
-    """Length, bitmap and positional filters for two prefix rows of one code; a
-    before b.  A similar pair passes under the first code that it shares, with
-    all its common codes from there on."""
-    return _may_be_similar(a, b) & F.expr(f"9L * least({a}n - {a}i, {b}n - {b}i) >= 4L * ({a}n + {b}n)")
+def _near(a: str, b: str) -> Column:
+    """Length filter and bitmap filter on 256 bits for two lines, a before b."""
+    differ = [f"({a}w{q} ^ {b}w{q})" for q in range(3)]
+    differ.append(" ^ ".join([f"({a}bits ^ {b}bits)", *differ]))
+    return F.expr(f"""
+        ({a}doc_id < {b}doc_id or ({a}doc_id = {b}doc_id and {a}line_no < {b}line_no))
+        and 5L * least({a}n, {b}n) >= 4L * greatest({a}n, {b}n)
+        and 9L * ({" + ".join(f"bit_count({d})" for d in differ)}) <= {a}n + {b}n""")
 
 
 _ROW = ("lh", "n", "i", "bits", "doc_id", "line_no")
-_FOLLOWER = ("doc_id", "line_no", "n", "bits")
+_SKETCH = ("lh", "doc_id", "line_no", "n", "bits", "w0", "w1", "w2")
 _PREFIX = "token int, lh long, n int, i int, bits long, doc_id long, line_no int"
 
 
@@ -352,8 +361,8 @@ def _run_pairs(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.nda
 
 
 def _paired(batches: Batches, hot_rows: int) -> Batches:
-    """Rows sorted by token to pairs, those with a leader with the follower's place,
-    length and bitmap; tokens of more than ``hot_rows`` rows are handed on as they are."""
+    """Rows sorted by token to pairs; tokens of more than ``hot_rows``
+    rows are handed on as they are."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("led", pa.bool_())])
     blank: dict = {}
 
@@ -364,7 +373,7 @@ def _paired(batches: Batches, hot_rows: int) -> Batches:
             if len(a):
                 out = pa.record_batch([pa.array(rows["lh"][a]), pa.array(rows["lh"][b]), pa.array(np.full(len(a), led))], schema=schema)
                 for c, kind in blank.items():
-                    out = out.append_column(c, pa.array(rows[c][b], kind) if led and c in _FOLLOWER else pa.nulls(len(a), kind))
+                    out = out.append_column(c, pa.nulls(len(a), kind))
                 yield out
 
     def handed_on(rows: dict) -> pa.RecordBatch:
@@ -401,18 +410,17 @@ def _named(rows: DataFrame, side: str) -> DataFrame:
 
 
 def candidate_pairs(prefixes: DataFrame, folder: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(a, b, follower, met): pairs of lines, a earlier, that pass all filters under
-    ``met`` codes, but not two followers of one leader.  ``follower`` has place, length and
-    bitmap of b where a leads it, else it is null.  Codes of more than ``hot_rows`` lines
-    meet in a join that Spark can split, the others in sorted batches."""
+    """(a, b, led): pairs of lines, a earlier, that pass all filters under a code, but not
+    two followers of one leader; ``led`` where a leads b under some code.  Codes of more than
+    ``hot_rows`` lines meet in a join that Spark can split, the others in sorted batches."""
     ordered = prefixes.repartition("token").sortWithinPartitions("token")  # one key: radix sort
     out = written(ordered.mapInArrow(lambda b: _paired(b, hot_rows), f"a long, b long, led boolean, {_PREFIX}"),
                   "met", folder)
-    pairs = out.where("token is null").select("a", "b", F.when(F.col("led"), F.struct(*_FOLLOWER)).alias("follower"))
+    pairs = out.where("token is null").select("a", "b", "led")
     hot = out.where("token is not null").drop("a", "b", "led")
     if not hot.isEmpty():
         pairs = pairs.unionByName(_hot_pairs(hot, folder))
-    return pairs.groupBy("a", "b").agg(F.max("follower").alias("follower"), F.count("*").alias("met"))
+    return pairs.groupBy("a", "b").agg(F.max("led").alias("led"))
 
 
 def _hot_pairs(rows: DataFrame, folder: str) -> DataFrame:
@@ -428,9 +436,20 @@ def _hot_pairs(rows: DataFrame, folder: str) -> DataFrame:
     met = (rest.join(_named(rows, "a"), "token").where(_passes("a_", "b_")).select(*ends)
            .unionByName(first.select("token", *(f"b_{c}" for c in _ROW)).join(earlier_rest, "token")
                         .where(_passes("a_", "b_")).select(*ends)))
-    follower = F.struct(*(F.col(f"b_{c}").alias(c) for c in _FOLLOWER)).alias("follower")
-    return first.select(*ends, follower).unionByName(met.select("a", "b", F.lit(None).cast(
-        "struct<doc_id:bigint,line_no:int,n:int,bits:bigint>").alias("follower")))
+    return (first.select(*ends, F.lit(True).alias("led"))
+            .unionByName(met.select("a", "b", F.lit(False).alias("led"))))
+
+
+def _sketches(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select(F.col("lh").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in _SKETCH[1:]))
+
+
+def near_pairs(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(a, b, led, near, b's sketch): pairs that the wide bitmaps let be similar (``near``),
+    and all with a leader."""
+    return (pairs.join(_shuffled(_sketches(firsts, "a")), "a").join(_shuffled(_sketches(firsts, "b")), "b")
+            .withColumn("near", _near("a_", "b_")).where("led or near")
+            .select("a", "b", "led", "near", *(f"b_{c}" for c in _SKETCH[1:])))
 
 
 def _shuffled(df: DataFrame) -> DataFrame:
@@ -451,15 +470,10 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .select(F.col("b").alias("lh")).distinct())
 
 
-def verified(pairs: DataFrame, sets: DataFrame, folder: str) -> DataFrame:
-    """(lh): later lines of the pairs that are similar to an earlier one.
-
-    A line meets most of its partners in one group of variants, so the partner it
-    meets under the most codes is verified first and the others only if that fails."""
-    best = pairs.groupBy("b").agg(F.max(F.struct("met", "a")).alias("best")).select("best.a", "b")
-    found = written(_similar(best, sets), "best", folder)
-    rest = pairs.join(found.withColumnRenamed("lh", "b"), "b", "left_anti").join(best, ["a", "b"], "left_anti")
-    return found.union(_similar(rest, sets))
+def verified(docs: DataFrame, pairs: DataFrame, levels: np.ndarray, folder: str) -> DataFrame:
+    """(lh): later lines of the pairs that are similar to an earlier one."""
+    named = written(pairs.select(F.col("a").alias("lh")).union(pairs.select("b")).distinct(), "named", folder)
+    return written(_similar(pairs, written(full_sets(docs, named, levels), "sets", folder)), "matches", folder)
 
 
 def followers_of_one_leader(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -468,21 +482,21 @@ def followers_of_one_leader(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
     A similar pair is in ``pairs`` unless both lines follow one leader under their first common
     code, so these pairs complete the join without another look at the prefixes."""
-    led = pairs.where("follower is not null")
-    late = led.join(_shuffled(found.withColumnRenamed("lh", "b")), "b", "left_anti").select(
-        F.col("a").alias("leader"), F.col("b"), *(F.col(f"follower.{c}").alias(f"b_{c}") for c in _FOLLOWER))
-    early = led.select(F.col("a").alias("leader"), F.col("b").alias("a"), *(F.col(f"follower.{c}").alias(f"a_{c}") for c in _FOLLOWER))
-    return (late.join(_shuffled(early), "leader").where(_may_be_similar("a_", "b_")).select("a", "b").distinct()
-            .join(pairs, ["a", "b"], "left_anti"))
+    led = pairs.where("led")
+    late = (led.join(_shuffled(found.withColumnRenamed("lh", "b")), "b", "left_anti")
+            .select(F.col("a").alias("leader"), "b", *(f"b_{c}" for c in _SKETCH[1:])))
+    early = led.select(F.col("a").alias("leader"), F.col("b").alias("a"),
+                       *(F.col(f"b_{c}").alias(f"a_{c}") for c in _SKETCH[1:]))
+    return (late.join(_shuffled(early), "leader").where(_near("a_", "b_")).select("a", "b").distinct()
+            .join(pairs.where("near"), ["a", "b"], "left_anti"))
 
 
 def similar_lines(docs: DataFrame, firsts: DataFrame, levels: np.ndarray, folder: str) -> DataFrame:
     """(lh): lines whose first place has a similar, different line before it."""
-    pairs = written(candidate_pairs(prefix_rows(firsts), folder), "pairs", folder)
-    named = written(pairs.select(F.col("a").alias("lh")).union(pairs.select("b")).distinct(), "named", folder)
-    sets = written(full_sets(docs, named, levels), "sets", folder)
-    found = written(verified(pairs, sets, folder), "matches", folder)
-    return found.union(_similar(followers_of_one_leader(pairs, found), sets)).distinct()
+    pairs = written(near_pairs(candidate_pairs(prefix_rows(firsts), folder), firsts), "pairs", folder)
+    found = verified(docs, pairs.where("near"), levels, folder)
+    more = written(followers_of_one_leader(pairs, found), "more", folder)
+    return found if more.isEmpty() else found.union(verified(docs, more, levels, folder)).distinct()
 
 
 def removed_lines(docs: DataFrame, min_words: int) -> DataFrame:
