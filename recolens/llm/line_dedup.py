@@ -51,6 +51,8 @@ BUCKET_BITS = 22
 BROADCAST_ROWS = 400_000
 #: Bytes of text coded at a time (a longer text is coded whole).
 CHUNK_BYTES = 1 << 22
+#: Bytes of lines hashed at a time, so that the running sums stay in the cache (a longer line whole).
+HASH_BYTES = 1 << 18
 #: Rows of one code that a task pairs in memory; codes of more rows are joined by Spark.
 HOT_ROWS = 20_000
 PAIRS_AT_ONCE = 1 << 21
@@ -103,7 +105,7 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     edge[offsets] = True
     starts = np.flatnonzero(~gap & (edge[:-1] | np.concatenate([[True], gap[:-1]])))
     ends = np.flatnonzero(~gap & (edge[1:] | np.concatenate([gap[1:], [True]]))) + 1
-    values, up, down = _powers(max(22, len(data).bit_length()))
+    values, up, down = _powers(max(18, len(data).bit_length()))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(values[data] * up[:len(data)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * down[starts]
@@ -113,25 +115,28 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return np.diff(np.searchsorted(starts, offsets)), h ^ h >> np.uint64(33)
 
 
-def coded(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words per line, and for every word of all lines its place in a list of
-    distinct 64-bit hashes, with that list.
-
-    Some ``CHUNK_BYTES`` of lines are hashed at a time (a longer line whole)."""
+def _hashed(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words per line, and the 64-bit hash of every word of all lines."""
     lines = lines.cast(pa.large_string())
     _, offsets, data = lines.buffers()
     offsets = np.frombuffer(offsets, np.int64)[lines.offset:lines.offset + len(lines) + 1] if len(lines) else np.zeros(1, np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     sizes, words, done = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
     while done < len(lines):
-        upto = max(done + 1, int(np.searchsorted(offsets, offsets[done] + CHUNK_BYTES, "right")) - 1)
+        upto = max(done + 1, int(np.searchsorted(offsets, offsets[done] + HASH_BYTES, "right")) - 1)
         ends = offsets[done:upto + 1]
         many, h = _word_hashes(data[ends[0]:ends[-1]], ends - ends[0])
         sizes.append(many)
         words.append(h)
         done = upto
-    index, hashes = pd.factorize(np.concatenate(words))
-    return np.concatenate(sizes), index, hashes
+    return np.concatenate(sizes), np.concatenate(words)
+
+
+def coded(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words per line, and for every word of all lines its place in a list of
+    distinct 64-bit hashes, with that list."""
+    sizes, words = _hashed(lines)
+    return sizes, *pd.factorize(words)
 
 
 def _lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -148,8 +153,7 @@ def _bucket_counts(batches: Batches) -> Batches:
     total = np.zeros(1 << BUCKET_BITS, np.int64)
     for batch in batches:
         for part in _parts(batch, 0):
-            _, index, hashes = coded(part.column(0))
-            np.add.at(total, _bucket(hashes), np.bincount(index, minlength=len(hashes)))
+            np.add.at(total, _bucket(_hashed(part.column(0))[1]), 1)
     held = np.flatnonzero(total)
     yield pa.record_batch([pa.array(held, pa.int32()), pa.array(total[held])], names=["bucket", "words"])
 

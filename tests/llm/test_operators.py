@@ -453,7 +453,7 @@ def test_line_rows_keep_every_code(spark):
 def test_word_hashes_equal_words_split_by_python(monkeypatch):
     rng = random.Random(5)
     lines = ["".join(rng.choice("ab \t\r\x0b\x0c\u00a0\u00e9\U0001f600") for _ in range(rng.randrange(40))) for _ in range(500)]
-    monkeypatch.setattr(line_dedup, "CHUNK_BYTES", 100)
+    monkeypatch.setattr(line_dedup, "HASH_BYTES", 100)
     sizes, index, hashes = line_dedup.coded(pa.array(["x", *lines])[1:])
     split = [re.findall(r"[^\x20\x09-\x0D]+", x) for x in lines]
     assert sizes.tolist() == [len(w) for w in split]
