@@ -449,11 +449,9 @@ def _sketches(rows: DataFrame, side: str) -> DataFrame:
 
 
 def near_pairs(pairs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(a, b, led, near, b's sketch): pairs that the wide bitmaps let be similar (``near``),
-    and all with a leader."""
-    return (pairs.join(_shuffled(_sketches(firsts, "a")), "a").join(_shuffled(_sketches(firsts, "b")), "b")
-            .withColumn("near", _near("a_", "b_")).where("led or near")
-            .select("a", "b", "led", "near", *(f"b_{c}" for c in _SKETCH[1:])))
+    """The pairs with ``near`` (the wide bitmaps let them be similar) and b's sketch."""
+    return (pairs.select("a", "b").join(_shuffled(_sketches(firsts, "a")), "a").join(_shuffled(_sketches(firsts, "b")), "b")
+            .select("a", "b", _near("a_", "b_").alias("near"), *(f"b_{c}" for c in _SKETCH[1:])))
 
 
 def _shuffled(df: DataFrame) -> DataFrame:
@@ -480,26 +478,33 @@ def verified(docs: DataFrame, pairs: DataFrame, levels: np.ndarray, folder: str)
     return written(_similar(pairs, written(full_sets(docs, named, levels), "sets", folder)), "matches", folder)
 
 
-def followers_of_one_leader(pairs: DataFrame, found: DataFrame) -> DataFrame:
+def followers_of_one_leader(led: DataFrame, found: DataFrame) -> DataFrame:
     """(a, b): followers b that are not found, with the earlier followers a of their
     leaders, where length and bitmap let them be similar.
 
-    A similar pair is in ``pairs`` unless both lines follow one leader under their first common
-    code, so these pairs complete the join without another look at the prefixes."""
-    led = pairs.where("led")
-    late = (led.join(_shuffled(found.withColumnRenamed("lh", "b")), "b", "left_anti")
+    A similar pair is in the table of pairs unless both lines follow one leader under their first
+    common code, so these pairs complete the join without another look at the prefixes."""
+    late = (_unfound(led, found)
             .select(F.col("a").alias("leader"), "b", *(f"b_{c}" for c in _SKETCH[1:])))
     early = led.select(F.col("a").alias("leader"), F.col("b").alias("a"),
                        *(F.col(f"b_{c}").alias(f"a_{c}") for c in _SKETCH[1:]))
-    return (late.join(_shuffled(early), "leader").where(_near("a_", "b_")).select("a", "b").distinct()
-            .join(pairs.where("near"), ["a", "b"], "left_anti"))
+    return late.join(_shuffled(early), "leader").where(_near("a_", "b_")).select("a", "b")
+
+
+def _unfound(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    return pairs.join(_shuffled(found.withColumnRenamed("lh", "b")), "b", "left_anti")
 
 
 def similar_lines(docs: DataFrame, firsts: DataFrame, levels: np.ndarray, folder: str) -> DataFrame:
-    """(lh): lines whose first place has a similar, different line before it."""
-    pairs = written(near_pairs(candidate_pairs(prefix_rows(firsts), folder), firsts), "pairs", folder)
-    found = verified(docs, pairs.where("near"), levels, folder)
-    more = written(followers_of_one_leader(pairs, found), "more", folder)
+    """(lh): lines whose first place has a similar, different line before it.
+
+    Leaders are verified first; other pairs are looked at for lines that no leader is similar to."""
+    pairs = written(candidate_pairs(prefix_rows(firsts), folder), "pairs", folder)
+    led = written(near_pairs(pairs.where("led"), firsts), "led", folder)
+    found = verified(docs, led.where("near").select("a", "b"), levels, folder)
+    others = near_pairs(_unfound(pairs.where("not led"), found), firsts).where("near").select("a", "b")
+    more = written(others.unionByName(followers_of_one_leader(led, found)).distinct()
+                   .join(led.where("near"), ["a", "b"], "left_anti"), "more", folder)
     return found if more.isEmpty() else found.union(verified(docs, more, levels, folder)).distinct()
 
 
