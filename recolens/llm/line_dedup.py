@@ -25,8 +25,8 @@ DataFrame code (README: the native form could not meet the limits).  Tables
 between the steps lie in one folder, which goes when the result is written.
 
 Defined results: a null or empty text has no lines to remove and stays as the
-empty text; lines of fewer than ``min_words`` words are never removed
-and match nothing; a null id sorts last; rows that repeat an id and a text are
+empty text; lines without a word, or of fewer than ``min_words`` words
+(1 unless the caller says otherwise), are never removed and match nothing; a null id sorts last; rows that repeat an id and a text are
 treated alike (no line is later than itself); lines of equal position in
 different texts of one id are not later than each other; an empty table gives
 an empty result.
@@ -534,7 +534,7 @@ def _without(rows: DataFrame) -> DataFrame:
         F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n")))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 1) -> DataFrame:
     """(doc_id, text, n_lines, n_removed): every document without its later similar lines."""
     rows = (text_rows(docs).withColumn("k", F.coalesce("doc_id", F.lit(LAST_ID))).withColumn("th", F.xxhash64("text"))
             .join(removed_lines(docs, min_words).withColumnRenamed("doc_id", "k").hint("shuffle_hash"), ["k", "th"], "left"))
@@ -544,7 +544,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
                     F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed")))
 
 
-def without_later_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
+def without_later_lines(docs: DataFrame, min_words: int = 1) -> DataFrame:
     """All columns of ``docs``; the text loses its later similar lines (a null one
     stays null), ``n_chars`` follows it."""
     gone = removed_lines(docs, min_words).withColumnRenamed("doc_id", "id")

@@ -140,7 +140,7 @@ l AS (
   SELECT doc_id, i, ls[i] AS line,
          list_filter(regexp_split_to_array(ls[i], '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
-s AS (SELECT line, list_distinct(any_value(w)) AS w, min((doc_id, i)) AS first FROM l WHERE len(w) >= 5 GROUP BY line),
+s AS (SELECT line, list_distinct(any_value(w)) AS w, min((doc_id, i)) AS first FROM l WHERE len(w) >= 1 GROUP BY line),
 t AS (SELECT line, len(w) AS n, first, unnest(w) AS tok FROM s),
 o AS (
   SELECT a.line AS a, b.line AS b, count(*) AS o, any_value(a.n) AS na, any_value(b.n) AS nb

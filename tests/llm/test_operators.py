@@ -366,7 +366,8 @@ def test_line_filters_count_the_sign_bit_once():
     assert line_dedup._pass_between(table, np.array([0]), np.array([1])).tolist() == [False]
 
 
-def test_line_dedup_matches_brute_force(spark, nothing, rows, monkeypatch):
+@pytest.mark.parametrize("least", [1, 5])
+def test_line_dedup_matches_brute_force(spark, nothing, rows, monkeypatch, least):
     rng = random.Random(12)
     data = list(rows[:-2])
     line = prose(rng, 30).split()
@@ -380,20 +381,20 @@ def test_line_dedup_matches_brute_force(spark, nothing, rows, monkeypatch):
         for x in (text or "").split("\n"):
             w = words(x)
             s = set(w)
-            gone = len(w) >= 5 and any(5 * len(s & o) >= 4 * len(s | o) for o in seen)
-            if len(w) >= 5:
+            gone = len(w) >= least and any(5 * len(s & o) >= 4 * len(s | o) for o in seen)
+            if len(w) >= least:
                 seen.append(s)
             place += 1
             if not gone:
                 kept.append(x)
         want[doc_id] = ("\n".join(kept), place, place - len(kept))
     frame = spark.createDataFrame(data, SCHEMA).repartition(3)
-    got = line_dedup.dedup_lines(frame).collect()
+    got = line_dedup.dedup_lines(frame, least).collect()
     assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in got} == want
     monkeypatch.setattr(line_dedup.candidate_pairs, "__defaults__", (4,))  # all frequent codes take the join
-    got = line_dedup.dedup_lines(frame).collect()
+    got = line_dedup.dedup_lines(frame, least).collect()
     assert {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in got} == want
-    whole = line_dedup.without_later_lines(frame)
+    whole = line_dedup.without_later_lines(frame, least)
     assert whole.columns == frame.columns and {r.doc_id: r.text or "" for r in whole.collect()} == {k: v[0] for k, v in want.items()}
     assert line_dedup.dedup_lines(nothing).count() == 0
 
