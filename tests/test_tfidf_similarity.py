@@ -198,3 +198,22 @@ def test_embedding_blocked_fallback_equals_broadcast(spark):
         items.join(seeds, items.item_id == seeds.seed_id).select("seed_id", "embedding"),
         items, 4, exclude_self=True, block_rows=7).collect())
     assert a == b == c and len(a) == 20 * 4
+
+
+@pytest.mark.parametrize("cells", [1 << 22, 64])
+def test_seed_scores_make_no_pair_rows(spark, monkeypatch, cells):
+    """Every item shares a term with every seed: ties by item id, and no join of seeds with items."""
+    monkeypatch.setattr(similarity, "SCORE_CELLS", cells)
+    rows = [(i, t, w) for i in range(90) for t, w in [("all", 1.0), (f"some{i % 3}", 2.0)]] + [(90, "alone", 1.0), (None, "all", 1.0)]
+    weights = spark.createDataFrame(rows, "item_id long, term string, w double").repartition(5)
+    seeds = spark.createDataFrame([(i,) for i in (0, 1, 2, 90)], "seed_id long")
+    top = similarity.cosine_topk_for_seeds(weights, seeds, 31)
+    got = {}
+    for r in sorted(top.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.seed_id, []).append((r.item_id, r.similarity))
+    for s in (0, 1, 2):
+        like = [i for i in range(90) if i % 3 == s and i != s]
+        assert got[s] == [(i, 1.0) for i in like] + [(i, 0.2) for i in range(90) if i % 3 != s][:2]
+    assert 90 not in got
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "w_q" not in plan
