@@ -93,3 +93,23 @@ def test_preprocess_wrong_words_and_en_vi(spark):
     # lower-cased first: 'abc' removed twice, en->vi on lower-cased keys,
     # multi-word value re-split, then stopwords ('ngủ') and 1-char tokens go
     assert out == "phòng tốt view"
+
+
+def test_cleaning_in_linear_time_keeps_its_rows(spark):
+    """E-mails after runs, dots and at-signs, digits of other scripts, Roman and superscript
+    numbers; a run of 200,000 letters without an @ took time by its square."""
+    import random
+    import re
+    import time
+    rnd = random.Random(4)
+    parts = ["a@b", "a.b-c@d.e", "@", "@@", "x", "9", "\u0663", "\u2167", "\u00b2", "_", ".", "-", " ", "\t", "\u00a0", "http://q", "www.z",
+             "\u00e9", "e\u0301", "\U0001F600", "\U00020000", ",", "!"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(600)] + [None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    stepwise = T.collapse_ws(T.strip_punct(T.strip_digits(F.regexp_replace(T.strip_urls(T.lower_nfc(T.as_text("t"))), T.EMAIL_RE, " "))))
+    rows = d.select(T.simple_clean("t").alias("a"), stepwise.alias("b"),
+                    T.clean_tokens(T.simple_clean("t")).alias("c"), T.split_tokens(T.simple_clean("t")).alias("e")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and [r.c for r in rows] == [r.e for r in rows]
+    start = time.time()
+    assert len(spark.range(1).select(T.simple_clean(F.repeat(F.lit("q"), 200_000)).alias("a")).first().a) == 200_000
+    assert time.time() - start < 20
