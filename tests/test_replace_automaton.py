@@ -50,3 +50,28 @@ def test_both_forms_agree(spark):
     got = frame.select(lexicon.replace_substrings(F.col("t"), mapping).alias("a"),
                        lexicon.replace_by_automaton(F.col("t"), mapping).alias("b")).collect()
     assert all(r.a == r.b for r in got)
+
+
+def test_stretches_between_spaces_are_replaced_once(monkeypatch):
+    """Whole texts were searched again around every replacement."""
+    rng = random.Random(11)
+    for letters, longest in (("ab", 4), ("abc\n", 5), ("ab ", 4)):
+        for _ in range(80):
+            mapping = dictionary(rng, 8, letters, longest)
+            keys, values = list(mapping), [f" {v} " for v in mapping.values()]
+            text = "".join(rng.choice(letters + "  ") for _ in range(rng.randrange(0, 70)))
+            if len(loop(text, mapping)) < 200_000:
+                assert lexicon.replacer(keys, values)(text) == loop(text, mapping)
+    searched = []
+    found = lexicon._automaton(["an", "b"])
+
+    class Watched:
+        def iter(self, text):
+            searched.append(text)
+            return found.iter(text)
+    monkeypatch.setattr(lexicon, "_automaton", lambda keys: Watched())
+    replaced = lexicon.replacer(["an", "b"], [" n ", "  "])
+    searched.clear()
+    long = "banana" * 20
+    assert replaced(f"banana  ban banana {long}") == loop(f"banana  ban banana {long}", {"an": "n", "b": ""})
+    assert searched == ["banana", "", "ban", long]
