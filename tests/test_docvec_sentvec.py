@@ -86,3 +86,26 @@ def test_sentence_vectors_match_svd(spark):
     flat = spark.createDataFrame([(1, [0.0, 0.0])], "item_id long, embedding array<double>")
     assert not sentvec.common_direction(flat, 2).any()
     assert sentvec.without_direction(flat.where(F.lit(False)), np.zeros(2)).count() == 0
+
+
+def test_window_sums_are_taken_once_while_words_are_frozen(monkeypatch):
+    """Thirty passes of inference added up the same windows thirty times."""
+    rng = np.random.default_rng(5)
+    inner, outer = (rng.normal(size=(50, 8)).astype(np.float32) for _ in range(2))
+    wids, noise = rng.integers(0, 50, 100), np.cumsum(np.full(50, 0.02))
+
+    class Counted(np.ndarray):
+        taken = 0
+
+        def __getitem__(self, at):
+            Counted.taken += 1
+            return np.asarray(self)[at]
+
+    def run(held):
+        monkeypatch.setattr(docvec, "HELD", held)
+        Counted.taken, vec = 0, np.zeros(8, np.float32)
+        docvec.passes(wids, vec, inner.view(Counted), outer, noise, [0.1] * 30, [np.random.default_rng(i) for i in range(30)], 5, False)
+        return vec, Counted.taken
+
+    (once, few), (again, many) = run(1000), run(0)
+    assert np.allclose(once, again, atol=1e-6) and few == 4 and many == 120
