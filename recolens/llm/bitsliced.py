@@ -1,9 +1,10 @@
 """Exact top-k inner-product search over a bit-sliced index.
 
 The index holds, for blocks of rows, one bitmap per attribute and bit.  A
-query adds the slices of all attributes, shifted by the set bits of its own
-quantised components, with carry-save bitmap arithmetic; a negative component
-adds the complement slices.  The sum is itself a stack of slices; the top rows
+query adds the slices of all attributes, by the bits of its own quantised
+components, with carry-save bitmap arithmetic: attributes in groups of four, whose
+sums a block holds once for all queries, then the sums of a bit, then the bits,
+the sign bit's as a complement.  The sum is itself a stack of slices; the top rows
 are selected from the most significant slice downward, and rows that tie at
 the boundary are resolved by id.
 
@@ -32,6 +33,8 @@ SCALE = 256
 LIMIT = 2.0 ** 61
 BLOCK_ROWS = 16384
 QUERY_ROWS = 256
+#: Bytes of sums of groups of attributes that a task holds for a block.
+TABLE_BYTES = 1 << 26
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -94,38 +97,81 @@ def slice_block(values: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
     return low, bits, np.packbits(planes, axis=-1, bitorder="little").view("<u8")
 
 
-def add_slices(addends: np.ndarray) -> np.ndarray:
-    """Sum of bit-sliced numbers (count, slice, word) by carry-save adders."""
-    while len(addends) > 2:
-        k = len(addends) // 3 * 3
-        a, b, c = addends[0:k:3], addends[1:k:3], addends[2:k:3]
+def add_slices(addends: np.ndarray, width: int) -> np.ndarray:
+    """Sums, of ``width`` slices, over the second axis of bit-sliced numbers (sum, count,
+    slice, word) by carry-save adders; numbers grow by a slice at each level."""
+    while addends.shape[1] > 2:
+        n, held = addends.shape[1] // 3, addends.shape[2]
+        a, b, c, rest = addends[:, :n], addends[:, n:2 * n], addends[:, 2 * n:3 * n], addends[:, 3 * n:]
+        wide = min(width, held + 1)
+        out = np.empty((len(addends), 2 * n + rest.shape[1], wide, addends.shape[3]), np.uint64)
+        out[:, :, held:] = 0
+        out[:, n:2 * n, 0] = 0
         half = a ^ b
-        carry = np.zeros_like(half)
-        carry[:, 1:] = ((a & b) | (half & c))[:, :-1]
-        addends = np.concatenate([half ^ c, carry, addends[k:]])
-    if len(addends) < 2:
-        return addends[0]
-    a, b = addends
-    total, carry = np.empty_like(a), np.zeros_like(a[0])
-    for p in range(len(a)):
-        half = a[p] ^ b[p]
-        total[p] = half ^ carry
-        carry = (a[p] & b[p]) | (half & carry)
+        np.bitwise_xor(half, c, out=out[:, :n, :held])
+        half &= c
+        half |= a & b
+        out[:, n:2 * n, 1:] = half[:, :, :wide - 1]
+        out[:, 2 * n:, :held] = rest
+        addends = out
+    held = addends.shape[2]
+    total = np.zeros((len(addends), width, addends.shape[3]), np.uint64)
+    if addends.shape[1]:
+        total[:, :held] = addends[:, 0]
+    if addends.shape[1] == 2:
+        carry = np.zeros_like(total[:, 0])
+        for p in range(width):
+            a = total[:, p].copy()
+            if p < held:
+                b = addends[:, 1, p]
+                half = a ^ b
+                total[:, p] = half ^ carry
+                carry = (a & b) | (half & carry)
+            else:
+                total[:, p] ^= carry
+                carry &= a
     return total
 
 
-def score_slices(query: np.ndarray, low: np.ndarray, bits: int, index: np.ndarray) -> tuple[np.ndarray, int]:
-    """Slices of (score - offset) for all rows of a block, and the offset."""
-    weights = np.abs(query).tolist()
-    top = sum(weights) * ((1 << bits) - 1)
-    width = max(1, top.bit_length())
-    offset = sum(q * lo for q, lo in zip(query.tolist(), low.tolist(), strict=True))
-    offset -= sum(-q for q in query.tolist() if q < 0) * ((1 << bits) - 1)
-    shifts = [(d, s) for d, w in enumerate(weights) for s in range(w.bit_length()) if w >> s & 1]
-    out = np.zeros((max(1, len(shifts)), width, index.shape[-1]), np.uint64)
-    for i, (d, s) in enumerate(shifts):
-        out[i, s:s + bits] = ~index[d] if query[d] < 0 else index[d]
-    return add_slices(out), offset
+def subset_sums(index: np.ndarray) -> np.ndarray:
+    """Bit-sliced sums (group, subset, slice, word) of every subset of each group of attributes:
+    of four, or fewer where the table would pass ``TABLE_BYTES``."""
+    dim, bits, words = index.shape
+    size = next((g for g in (4, 2) if -(-dim // g) * 2 ** g * (bits + g) * words * 8 <= TABLE_BYTES), 1)
+    groups = -(-dim // size)
+    own = np.zeros((groups * size, bits, words), np.uint64)
+    own[:dim] = index
+    own = own.reshape(groups, size, bits, words)
+    width = (size * ((1 << bits) - 1)).bit_length()
+    table = np.zeros((groups, 1 << size, width, words), np.uint64)
+    for subset in range(1, 1 << size):
+        held = [d for d in range(size) if subset >> d & 1]
+        table[:, subset] = add_slices(own[:, held], width)
+    return table
+
+
+def score_slices(query: np.ndarray, low: np.ndarray, bits: int, table: np.ndarray) -> tuple[np.ndarray, int]:
+    """Slices of (score - offset) for all rows of a block, and the offset.
+
+    A component is read as two's complement: attributes that have a bit in common are
+    summed, group by group, from ``subset_sums``; the sums are shifted and added, that of the
+    sign bit by its complement."""
+    groups, subsets, least, words = table.shape
+    size = subsets.bit_length() - 1
+    sign = int(np.abs(query).max(initial=0)).bit_length()
+    planes = np.zeros((sign + 1, groups * size), np.int64)
+    planes[:, :len(query)] = query >> np.arange(sign + 1)[:, None] & 1
+    chosen = (planes.reshape(sign + 1, groups, size) << np.arange(size)).sum(axis=2)
+    most = len(query) * ((1 << bits) - 1)
+    m = max(least, most.bit_length())
+    by_bit = add_slices(table[np.arange(groups), chosen], m)
+    offset = sum(q * lo for q, lo in zip(query.tolist(), low.tolist(), strict=True)) - (((1 << m) - 1) << sign)
+    by_bit[sign] = ~by_bit[sign]
+    width = max(1, ((most << sign) + (((1 << m) - 1) << sign)).bit_length())
+    sums = np.zeros((1, sign + 1, width, words), np.uint64)
+    for s in range(sign + 1):
+        sums[0, s, s:s + m] = by_bit[s]
+    return add_slices(sums, width)[0], offset
 
 
 def select_top(sums: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -167,11 +213,12 @@ def _searched(k: int):
                 ids, low = np.frombuffer(ids, np.int64), np.frombuffer(low, np.int64)
                 words = -(-len(ids) // 64)
                 index = np.frombuffer(data, "<u8").reshape(dim, bits, words)
+                table = subset_sums(index)
                 there = np.packbits(np.arange(words * 64) < len(ids), bitorder="little").view("<u8")
                 queries = np.frombuffer(q_data, np.int64).reshape(len(q_ids) // 8, dim)
                 out: list[tuple[int, int, int]] = []
                 for q_id, query in zip(np.frombuffer(q_ids, np.int64).tolist(), queries, strict=True):
-                    sums, offset = score_slices(query, low, bits, index)
+                    sums, offset = score_slices(query, low, bits, table)
                     rows = there
                     for own in np.flatnonzero(ids == q_id).tolist():
                         rows = rows.copy()
@@ -194,8 +241,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     asked = (quantised(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("x").alias("x"))
              .mapInArrow(_packed(query_rows, False), block)
              .select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-             .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
-    pairs = (index.withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int"))
+             .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+             .repartition(shards, "dim", "shard"))
+    # a count of partitions of its own: blocks are few bytes for their work, so they are not merged into a few tasks
+    pairs = (index.withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int")).repartition(shards, "dim", "shard")
              .join(asked, ["dim", "shard"])
              .select("dim", "ids", "low", "bits", "data", "q_ids", "q_data"))
     found = pairs.mapInArrow(_searched(k), "query_id long, vec_id long, score long")

@@ -266,6 +266,26 @@ def test_bit_sliced_search_matches_brute_force(spark):
     assert bitsliced.top_k(frame.limit(0), frame.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("table_bytes", [0, 1 << 26])
+def test_slice_sums_are_narrow_and_exact(monkeypatch, table_bytes):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(bitsliced, "TABLE_BYTES", table_bytes)
+    real, made = bitsliced.add_slices, []
+    monkeypatch.setattr(bitsliced, "add_slices", lambda a, width: made.append(a.size) or real(a, width))
+    for dim in (0, 1, 5, 64):
+        values = rng.integers(-200, 200, (130, dim))
+        low, bits, index = bitsliced.slice_block(values)
+        table = bitsliced.subset_sums(index)
+        for query in (*rng.integers(-200, 200, (3, dim)), np.zeros(dim, np.int64), np.full(dim, -1)):
+            made.clear()
+            sums, offset = bitsliced.score_slices(query, low, bits, table)
+            got = [sum(int(b) << p for p, b in enumerate(np.unpackbits(sums.view(np.uint8), axis=1, bitorder="little")[:, r])) + offset
+                   for r in range(130)]
+            assert got == (values @ query).tolist()
+    if table_bytes:  # before: every set bit of every component was an addend of the sum's width (some 224 x 23 x 3)
+        assert sum(made) < 224 * 23 * 3 / 3
+
+
 # ----------------------------------------------------------------- quality
 
 def test_quality_measures_match_brute_force(spark, docs, nothing, rows):
