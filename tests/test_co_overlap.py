@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from recolens.operators import co_overlap
@@ -53,3 +55,34 @@ def test_heavy_users_make_no_pair_rows(spark):
     light = co_overlap.light_overlaps(frame, heavy)
     assert light.count() <= sum(1 for _ in range(40)) * 25
     assert co_overlap.all_items_topk(frame.where("user_id < 0"), 3).count() == 0
+
+
+def test_partners_leave_tasks_few_a_seed(spark, monkeypatch):
+    pairs = table(11, 50, 200, 3) + [(30_000 + u, 2_000 + i) for u in range(3) for i in range(60)]
+    frame = spark.createDataFrame(pairs, "user_id long, item_id long").repartition(4)
+    heavy = co_overlap.heavy_users(frame, 70)
+    whole = {(r.a, r.b): r.light for r in co_overlap.light_overlaps(frame, heavy).collect()}
+    items = co_overlap.item_classes(frame).select("item_id", "n_users").join(co_overlap.item_bitmaps(frame, heavy), "item_id", "left")
+    numbered = co_overlap.numbered_items(items.fillna(0, ["n_heavy"]))
+    ids = {r.number: r.item_id for r in numbered.collect()}
+    got = [(ids[r.a], ids[r.b], r.light) for r in co_overlap.light_partners(frame, heavy, numbered, 2).collect()]
+    assert all(whole[min(a, b), max(a, b)] == light for a, b, light in got) and len(set(got)) == len(got)
+    large = [x for x in got if x[0] >= 2_000]
+    assert len(large) == 60 * 2 and sum(a >= 2_000 for a, _ in whole) == 60 * 59 / 2  # before: every pair was a row
+    monkeypatch.setattr(co_overlap, "PARTNERS_AT_ONCE", 100)  # seeds of more are counted by rows
+    frame = frame.where("user_id < 10000 or user_id >= 30000")
+    assert listed(co_overlap.all_items_topk(frame, 4)) == brute([p for p in pairs if p[0] < 10_000 or p[0] >= 30_000], 4)
+
+
+def test_partners_of_whole_seeds_in_parts(monkeypatch):
+    rng = random.Random(3)
+    lists = [sorted(rng.sample(range(40), rng.randrange(2, 9))) for _ in range(80)]
+    degrees = co_overlap.Degrees.__new__(co_overlap.Degrees)
+    degrees.first, degrees.users, degrees.heavy = np.array([0, 20]), np.array([90, 99]), np.array([0, 0])
+    table = pa.table({"block": [1] * 80, "items": pa.array(lists, pa.list_(pa.int32()))})
+    want = co_overlap._partners(degrees, 40, 3, np.zeros(0, np.int32), 50)(table)
+    monkeypatch.setattr(co_overlap, "PARTNERS_AT_ONCE", 5)
+    got = co_overlap._partners(degrees, 40, 3, np.zeros(0, np.int32), 50)(table)
+    assert sorted(map(tuple, map(dict.values, got.to_pylist()))) == sorted(map(tuple, map(dict.values, want.to_pylist())))
+    assert {(r["a"], r["b"]): r["light"] for r in want.to_pylist()} == {
+        (a, b): n for a in range(1, 40, 3) for b in range(40) if a != b and (n := sum(a in x and b in x for x in lists))}
