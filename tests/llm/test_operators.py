@@ -448,6 +448,60 @@ def test_line_dedup_of_groups_near_the_threshold(spark, monkeypatch):
     assert min(seen) > 0, "the last step had pairs to verify"
 
 
+def test_line_pairs_of_near_groups_stay_linear(spark, monkeypatch, tmp_path):
+    rng = random.Random(17)
+    stem, data = prose(rng, 40).split(), []
+    for i in range(200):  # copies of one line some 0.8 alike, led by an unlike line under every code
+        t = list(stem)
+        for at in rng.sample(range(12, 40), 5):
+            t[at] = "e" + str(rng.randrange(8))
+        data.append((i, " ".join(t), "", 0, 0))
+    sets = [set(r[1].split()) for r in data]
+    want = {i for i in range(200) if any(5 * len(sets[i] & s) >= 4 * len(sets[i] | s) for s in sets[:i])}
+    frame = spark.createDataFrame(data, SCHEMA).repartition(3)
+    monkeypatch.setattr(line_dedup, "LIKELY", 2)
+    met, rest = [], []
+    real, real_rest = line_dedup.candidate_pairs, line_dedup.rest_of_pairs
+    near = line_dedup.near_pairs
+
+    def counted(pairs, firsts):
+        met.append(pairs.count())
+        return near(pairs, firsts)
+
+    def counted_rest(*args):
+        out = real_rest(*args)
+        rest.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "near_pairs", counted)
+    monkeypatch.setattr(line_dedup, "rest_of_pairs", counted_rest)
+    got = {r.doc_id for r in line_dedup.dedup_lines(frame).collect() if r.n_removed}
+    assert got == want
+    prefixes = line_dedup.prefix_rows(line_dedup.first_places(line_dedup.line_rows(frame, line_dedup.rarity_levels(frame), 1))).count()
+    assert met[0] <= (2 + 1) * prefixes and rest, "before: pairs by the square of the group"
+    monkeypatch.setattr(line_dedup, "LIKELY", 1 << 30)
+    every, cut = real(line_dedup.prefix_rows(line_dedup.first_places(line_dedup.line_rows(frame, line_dedup.rarity_levels(frame), 1))),
+                      str(tmp_path))
+    assert cut.isEmpty() and every.count() > 2 * met[0]
+
+
+@pytest.mark.parametrize("likely", [0, 1])
+def test_line_dedup_makes_the_rest_of_its_pairs(spark, monkeypatch, rows, likely):
+    rng = random.Random(19)
+    stems = [prose(rng, 24).split() for _ in range(3)]
+    data = []
+    for i in range(150):
+        t = list(rng.choice(stems))
+        for _ in range(rng.randrange(6)):
+            t[rng.randrange(len(t))] = "e" + str(rng.randrange(30))
+        data.append((i, " ".join(t), "", 0, 0))
+    sets = [set(r[1].split()) for r in data]
+    want = {i for i in range(150) if any(5 * len(sets[i] & s) >= 4 * len(sets[i] | s) for s in sets[:i])}
+    monkeypatch.setattr(line_dedup, "LIKELY", likely)
+    frame = spark.createDataFrame(data, SCHEMA).repartition(3)
+    assert {r.doc_id for r in line_dedup.dedup_lines(frame).collect() if r.n_removed} == want
+
+
 def test_line_dedup_shuffles_texts_once_and_leaves_one_table(spark):
     docs = spark.createDataFrame([(i, "\n".join(f"{i} line {j} of some words" for j in range(20)), "", 0, 0)
                                   for i in range(5)], SCHEMA)
