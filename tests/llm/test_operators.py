@@ -539,6 +539,50 @@ def test_word_hashes_equal_words_split_by_python(monkeypatch):
     assert [len(x) for x in line_dedup.coded(pa.array([], pa.string()))] == [0, 0, 0]
 
 
+def test_word_hashes_of_long_words_and_at_the_ends():
+    lines = ["x" * k for k in (1, 7, 8, 9, 16, 63, 64, 65, 200)]
+    lines += ["x" * 64 + "y", "x" * 64 + "z", "y" + "x" * 64, "ab\x00", "ab", "\x00ab"]
+    sizes, index, hashes = line_dedup.coded(pa.array(lines))
+    assert sizes.tolist() == [1] * len(lines) and len(hashes) == len(lines)
+    again = line_dedup.coded(pa.array([f"{x} {x}" for x in reversed(lines)]))
+    assert again[2][again[1]].tolist() == [h for x in hashes[index][::-1].tolist() for h in (x, x)]
+
+
+def test_rarity_levels_add_up_the_parts_of_all_tasks(spark):
+    docs = spark.createDataFrame([(i, "a b b\nonce%d" % i, "", 0, 0) for i in range(40)], SCHEMA).repartition(7)
+    counts = np.zeros(1 << line_dedup.BUCKET_BITS, np.int64)
+    for word in ["a"] * 40 + ["b"] * 80 + ["once%d" % i for i in range(40)]:
+        counts[int(line_dedup.coded(pa.array([word]))[2][0]) >> (64 - line_dedup.BUCKET_BITS)] += 1
+    want = np.floor(4 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
+    assert (line_dedup.rarity_levels(docs) == want).all() and want.max() >= 25
+
+
+def test_line_dedup_leaves_no_shuffle_files_and_codes_named_texts_alone(spark, monkeypatch):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    stem = [f"word{k}" for k in range(20)]
+    data = [(i, " ".join([*stem[:19], f"own{i}"]) if i < 2 else " ".join(f"only{i}x{k}" for k in range(20)), "", 0, 0) for i in range(60)]
+    data.append((None, " ".join([*stem[:19], "last"]), "", 0, 0))
+    read, before = [], spark.conf.get(name, None)
+    real, first = line_dedup.full_sets, line_dedup.first_places
+
+    def counted(docs, *rest):
+        read.append(docs.count())
+        return real(docs, *rest)
+
+    def looked(lines):
+        assert spark.conf.get(name) == "true"
+        return first(lines)
+
+    monkeypatch.setattr(line_dedup, "full_sets", counted)
+    monkeypatch.setattr(line_dedup, "first_places", looked)
+    frame = spark.createDataFrame(data, SCHEMA).repartition(3)
+    assert {r.doc_id for r in line_dedup.dedup_lines(frame).collect() if r.n_removed} == {1, None}
+    assert read and max(read) <= 3, "before: all texts were coded again"
+    assert spark.conf.get(name, None) == before
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    assert {r.doc_id for r in line_dedup.dedup_lines(frame).collect() if r.n_removed} == {1, None} and max(read) == 61
+
+
 # ----------------------------------------------------------------- secrets
 
 def test_secret_forest(spark, nothing):
