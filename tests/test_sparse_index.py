@@ -101,3 +101,17 @@ def test_equal_vectors_are_one_class(spark):
     assert got[0] == [(1, 1.0), (2, 1.0), (3, 1.0)] and got[2] == [(0, 1.0), (1, 1.0), (3, 1.0)]
     assert got[39] == [(0, 1.0), (1, 1.0), (2, 1.0)]
     assert got[50] == [(51, 1.0), (0, 0.5), (1, 0.5)] and got[60] == [(50, 0.5), (51, 0.5)]
+
+
+def test_waves_of_queries_leave_no_routes_and_spent_terms_go(spark, fitted, monkeypatch, tmp_path):
+    """A wave for every group: lists stay exact, the (query, block) rows of a wave are gone after
+    it, and the folder that the weights were read from with them."""
+    model, w, pairs = fitted
+    made = []
+    monkeypatch.setattr(sparse_index, "WAVE_GROUPS", 1)
+    monkeypatch.setattr(sparse_index, "scratch_folder", lambda s, name: (made.append(f"{tmp_path}/{name}-{len(made)}"), made[-1])[1])
+    w.write.parquet(f"{tmp_path}/terms")
+    got = listed(sparse_index.all_items_topk(spark.read.parquet(f"{tmp_path}/terms"), model, 4, 8, spent=f"{tmp_path}/terms"))
+    for s in {a for a, _ in pairs}:
+        assert got.get(s, []) == best(pairs, s, 4, own=False)
+    assert sum("routes" in x for x in made) > 1 and not list(tmp_path.iterdir())
