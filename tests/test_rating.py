@@ -24,3 +24,14 @@ def test_unparsed_predicate(spark):
     bad = {r["raw"] for r in df.select("raw", normalize_rating(F.col("raw")).alias("v"))
            .where(unparsed(F.col("raw"), F.col("v"))).collect()}
     assert bad == {"N/A", "abc", "", "nan", "na", "None"}
+
+
+def test_a_score_is_parsed_once_a_row(spark):
+    """Dropping null ratings must not repeat the parsing in every place that uses its value."""
+    from recolens.operators import factor
+    df = spark.createDataFrame([(1, 2, " 8,4 "), (1, 3, "N/A"), (2, 2, "12.5/10"), (2, 3, None), (3, 1, "nine"), (3, 2, "")],
+                               "u int, i int, raw string").withColumn("score", F.concat("raw", F.lit("")))
+    r = factor.ratings_frame(df.withColumn("r", normalize_rating(F.col("score"))), "u", "i", "r")
+    assert sorted(tuple(x) for x in r.collect()) == [(1, 2, 8.4), (2, 2, 10.0)]
+    plan = r._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") <= 2
