@@ -120,3 +120,14 @@ def test_rmse_by_leaves_out_rows_without_prediction(spark):
     test = spark.createDataFrame([(3, 1, 5.0), (3, 9, 1.0)], "userId int, itemId int, rating double")
     got = {r.regParam: (r.n, r.rmse) for r in factor.rmse_by(factor.item_mean_predictions(train, test, (0, 2)), "regParam").collect()}
     assert got == {0.0: (1, 1.0), 2.0: (1, 1.0)}
+
+
+def test_fits_leave_no_shuffle_files_behind(spark, monkeypatch):
+    """MLlib's shuffles of a fit go with it, and those of its iterations every second one."""
+    from recolens.operators import factor
+    assert factor.make_als(2, 0.1, 5).getCheckpointInterval() == 2
+    ended = []
+    monkeypatch.setattr(factor, "shuffles_collected", lambda s, f=factor.shuffles_collected: (ended.append(1), f(s)))
+    rows = spark.createDataFrame([(u, i, float((u * 7 + i * 3) % 10)) for u in range(12) for i in range(9)], "userId int, itemId int, rating double")
+    found = factor.grid_search(rows, {"rank": [2], "regParam": [0.1], "maxIter": [1, 2, 5]}, 2)
+    assert len(ended) == 3 == found.trials.count()
